@@ -67,6 +67,16 @@ def money(dec: Column) -> Column:
     return F.round(dec, 2).cast("double")
 
 
+def rnd(c: Column, n: int) -> Column:
+    """Round a DOUBLE half away from zero at ``n`` places, as round(x·10ⁿ)/10ⁿ.
+
+    Stated as plain IEEE operations so that every engine gets the same bits; exact
+    decimal amounts use ``money`` instead.
+    """
+    k = float(10 ** n)
+    return F.round(c * F.lit(k), 0) / F.lit(k)
+
+
 def dbl(c: Column) -> Column:
     return c.cast("double")
 

@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tallyframe import schema as S
-from tallyframe.functions.cols import (div, eq_ci, is_return, is_sale, money, month_index, months_before, sum0)
+from tallyframe.functions.cols import (rnd, div, eq_ci, is_return, is_sale, money, month_index, months_before, sum0)
 from tallyframe.functions.ordered import top_k
 from tallyframe.functions.stats import index_sums, ols_intercept, ols_slope
 from tallyframe.functions.cols import month_key_from_index
@@ -73,7 +73,7 @@ def product_sales_trend(sales: DataFrame, product: str | None = None) -> DataFra
              .when(change > 0, F.lit("Up")).otherwise(F.lit("Down")))
     return t.select(D, month_key_from_index(C("last_m")).alias("last_month"),
                     C("u0").alias("last_units"), C("u1").alias("prev_units"),
-                    F.when(months >= 2, F.round(change, 2)).alias("change_pct"), trend.alias("trend"))
+                    F.when(months >= 2, rnd(change, 2)).alias("change_pct"), trend.alias("trend"))
 
 
 def product_lifecycle(sales: DataFrame, product: str | None = None) -> DataFrame:
@@ -176,7 +176,7 @@ def product_demand_trend(sales: DataFrame, product: str | None = None) -> DataFr
     slope = ols_slope(n, sx, C("sy"), sxx, C("sxy"))
     trend = (F.when(n < 2, F.lit("insufficient data")).when(slope > 5, F.lit("growing"))
              .when(slope < -5, F.lit("declining")).otherwise(F.lit("stable")))
-    return agg.select(D, trend.alias("trend"), F.when(n >= 2, F.round(slope, 2)).alias("monthly_slope_units"),
+    return agg.select(D, trend.alias("trend"), F.when(n >= 2, rnd(slope, 2)).alias("monthly_slope_units"),
                       C("sy").cast("bigint").alias("total_units_sold"), n.alias("months_of_data"))
 
 
@@ -194,7 +194,7 @@ def demand_forecast_by_product(sales: DataFrame, horizon: int = 3) -> DataFrame:
     h = agg.select("*", F.explode(F.sequence(F.lit(1), F.lit(int(horizon)))).alias("step"))
     pred = C("intercept") + C("slope") * (C("n") - 1 + C("step")).cast("double")
     return h.select(D, month_key_from_index(C("last_m") + C("step")).alias("month"),
-                    F.round(F.greatest(pred, F.lit(0.0)), 2).alias("predicted_units"))
+                    rnd(F.greatest(pred, F.lit(0.0)), 2).alias("predicted_units"))
 
 
 def _window_units(sales: DataFrame, months: int) -> DataFrame:
@@ -216,14 +216,14 @@ def _window_units(sales: DataFrame, months: int) -> DataFrame:
 
 def high_growth_products(sales: DataFrame, months: int = 3, limit: int | None = 5) -> DataFrame:
     per = _window_units(sales, min(months, 6))
-    g = F.round((C("recent_units") - C("prior_units")).cast("double") / C("prior_units").cast("double") * F.lit(100.0), 1)
+    g = rnd((C("recent_units") - C("prior_units")).cast("double") / C("prior_units").cast("double") * F.lit(100.0), 1)
     out = per.select(D, "recent_units", "prior_units", g.alias("growth_pct"))
     return top_k(out, [C("growth_pct").desc(), C(D)], limit)
 
 
 def slow_movers(sales: DataFrame, months: int = 3, limit: int | None = 10) -> DataFrame:
     per = _window_units(sales, min(months, 6))
-    g = F.round((C("prior_units") - C("recent_units")).cast("double") / C("prior_units").cast("double") * F.lit(100.0), 1)
+    g = rnd((C("prior_units") - C("recent_units")).cast("double") / C("prior_units").cast("double") * F.lit(100.0), 1)
     out = per.select(D, "recent_units", "prior_units", g.alias("decline_pct"))
     return top_k(out, [C("decline_pct").desc(), C(D)], limit)
 

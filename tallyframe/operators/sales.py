@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tallyframe import schema as S
-from tallyframe.functions.cols import (contains_ci, day_key, day_name, dbl, div, elapsed_days, eq_ci, is_return,
+from tallyframe.functions.cols import (rnd, contains_ci, day_key, day_name, dbl, div, elapsed_days, eq_ci, is_return,
                                        is_sale, money, month_index, month_key, sum0, weekday_mon0)
 from tallyframe.functions.ordered import global_running, top_k
 from tallyframe.functions.spine import fill_days, fill_months
@@ -57,12 +57,12 @@ def aov_overall(sales: DataFrame, by: Sequence[str] = ()) -> DataFrame:
 def aov_positive_invoices(sales: DataFrame, by: Sequence[str] = ()) -> DataFrame:
     """Mean net revenue of invoices whose net revenue is positive."""
     inv = sales.groupBy(*by, S.INVOICE).agg(F.sum(S.REVENUE).alias("inv_rev")).filter(C("inv_rev") > 0)
-    return _agg(inv, by, F.round(F.coalesce(div(F.sum("inv_rev"), F.count(F.lit(1))), F.lit(0.0)), 2).alias("aov_positive_invoices"))
+    return _agg(inv, by, rnd(F.coalesce(div(F.sum("inv_rev"), F.count(F.lit(1))), F.lit(0.0)), 2).alias("aov_positive_invoices"))
 
 
 def average_item_price(sales: DataFrame, by: Sequence[str] = ()) -> DataFrame:
     """Unweighted mean unit price over all lines."""
-    return _agg(sales, by, F.round(div(F.sum(S.PRICE), F.count(S.PRICE)), 2).alias("average_item_price"))
+    return _agg(sales, by, rnd(div(F.sum(S.PRICE), F.count(S.PRICE)), 2).alias("average_item_price"))
 
 
 def refund_rate(sales: DataFrame, country: str | None = None, by: Sequence[str] = ()) -> DataFrame:
@@ -210,7 +210,7 @@ def mom_growth(sales: DataFrame) -> DataFrame:
     last = g.agg(F.max("month_idx").alias("_last"))
     return (g.crossJoin(F.broadcast(last))
             .select("month", money(C("rev")).alias("revenue"), money(C("prev")).alias("prev_revenue"),
-                    F.round(C("growth"), 2).alias("growth_pct"),
+                    rnd(C("growth"), 2).alias("growth_pct"),
                     (C("month_idx") == C("_last")).alias("is_latest")))
 
 
@@ -235,7 +235,7 @@ def revenue_drops(sales: DataFrame, threshold: float = -15.0) -> DataFrame:
     pct = F.when((C("prev") == 0) & (C("rev") < 0), F.lit(float("-inf"))).otherwise(C("growth"))
     g = g.withColumn("pct", pct)
     return (g.filter(C("pct") < F.lit(float(threshold)))
-            .select("month", F.round(C("pct"), 2).alias("growth_pct")))
+            .select("month", rnd(C("pct"), 2).alias("growth_pct")))
 
 
 # ── daily series ─────────────────────────────────────────────────────────────
@@ -261,7 +261,7 @@ def simple_forecast_7d(sales: DataFrame, days: int = 14) -> DataFrame:
     d = _daily_series(sales)
     last = d.orderBy(C("day").desc()).limit(days)
     return last.agg(
-        F.round(div(F.sum("rev"), F.count(F.lit(1))) * F.lit(7), 2).alias("forecast_7_day_gbp"),
+        rnd(div(F.sum("rev"), F.count(F.lit(1))) * F.lit(7), 2).alias("forecast_7_day_gbp"),
         F.date_format(F.max("day"), "yyyy-MM-dd").alias("baseline_end"),
         (F.month(F.max("day")) == 12).alias("december_warning"))
 
@@ -301,8 +301,8 @@ def repeat_customers_stats(sales: DataFrame) -> DataFrame:
     return per.agg(
         F.count_if(C("n") > 1).alias("repeat_customers_count"),
         F.count(F.lit(1)).alias("total_customers"),
-        F.round(div(F.count_if(C("n") > 1) * 100, F.count(F.lit(1))), 2).alias("repeat_pct"),
-        F.round(F.coalesce(div(F.sum(F.when(C("n") > 1, C("n"))), F.count_if(C("n") > 1)), F.lit(0.0)), 1)
+        rnd(div(F.count_if(C("n") > 1) * 100, F.count(F.lit(1))), 2).alias("repeat_pct"),
+        rnd(F.coalesce(div(F.sum(F.when(C("n") > 1, C("n"))), F.count_if(C("n") > 1)), F.lit(0.0)), 1)
         .alias("avg_orders_per_returning_customer"))
 
 

@@ -25,11 +25,46 @@ PERIOD = "2000-11"
 RANGE = ("1998-01-01", "1998-12-31")
 
 
+def double_round(sql: str) -> str:
+    """Rewrite two-argument ROUND on doubles as ROUND(x * 1eN) / 1eN (see ``cols.rnd``).
+
+    ``CAST(ROUND(x, 2) AS DOUBLE)`` is the exact decimal rounding of money and is
+    left alone.
+    """
+    out, i = [], 0
+    while True:
+        j = sql.find("ROUND(", i)
+        if j < 0:
+            out.append(sql[i:])
+            return "".join(out)
+        if sql[max(0, j - 5):j] == "CAST(":
+            out.append(sql[i:j + 6])
+            i = j + 6
+            continue
+        depth, k, comma = 1, j + 6, -1
+        while depth:
+            ch = sql[k]
+            if ch == "(":
+                depth += 1
+            elif ch == ")":
+                depth -= 1
+            elif ch == "," and depth == 1:
+                comma = k
+            k += 1
+        if comma < 0:
+            out.append(sql[i:k])
+            i = k
+            continue
+        expr, n = sql[j + 6:comma], sql[comma + 1:k - 1].strip()
+        out.append(sql[i:j] + f"(ROUND(({double_round(expr)}) * 1e{n}) / 1e{n})")
+        i = k
+
+
 def register(name: str, sql: str | None):
     def deco(fn: QueryFn) -> QueryFn:
         if name in REGISTRY:
             raise ValueError(f"duplicate query {name}")
-        REGISTRY[name] = (fn, sql)
+        REGISTRY[name] = (fn, double_round(sql) if sql else None)
         return fn
     return deco
 
