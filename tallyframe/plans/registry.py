@@ -89,6 +89,7 @@ from tallyframe.plans import q_sales  # noqa: E402,F401
 from tallyframe.plans import q_products  # noqa: E402,F401
 from tallyframe.plans import q_customers  # noqa: E402,F401
 from tallyframe.plans import q_basket  # noqa: E402,F401
+from tallyframe.plans import q_models  # noqa: E402,F401
 from tallyframe.plans import q_composite  # noqa: E402,F401
 
 
