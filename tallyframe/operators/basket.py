@@ -26,8 +26,8 @@ def baskets(sales: DataFrame, multi_item_only: bool = False) -> DataFrame:
     Items are reduced to distinct (invoice, product) pairs before grouping.
     """
     pos = sales.filter(is_sale() & C(S.INVOICE).isNotNull() & C(S.DESCRIPTION).isNotNull())
-    any_dated = pos.agg(F.max(F.when(C(S.INVOICE_DATE).isNotNull(), 1).otherwise(0)).alias("_any"))
-    pos = pos.crossJoin(F.broadcast(any_dated)).filter(C(S.INVOICE_DATE).isNotNull() | (C("_any") == 0))
+    any_dated = pos.agg(F.max(F.when(C(S.INVOICE_DATE).isNotNull(), 1).otherwise(0))).scalar()
+    pos = pos.filter(C(S.INVOICE_DATE).isNotNull() | (any_dated == 0))
     pairs = pos.select(S.INVOICE, S.DESCRIPTION).distinct()
     b = pairs.groupBy(S.INVOICE).agg(F.array_sort(F.collect_list(S.DESCRIPTION)).alias("items"))
     if multi_item_only:
@@ -42,7 +42,7 @@ def frequent_itemsets(b: DataFrame, min_support: float) -> DataFrame:
     return model.freqItemsets.select(F.array_sort("items").alias("items"), C("freq").cast("bigint").alias("freq"))
 
 
-def _rules_from_itemsets(fi: DataFrame, n: DataFrame, min_confidence: float) -> DataFrame:
+def _rules_from_itemsets(fi: DataFrame, n, min_confidence: float) -> DataFrame:
     """All rules A → C with A ∪ C frequent, A, C non-empty and disjoint."""
     multi = fi.filter(F.size("items") >= 2)
     masks = multi.select(
@@ -54,7 +54,7 @@ def _rules_from_itemsets(fi: DataFrame, n: DataFrame, min_confidence: float) ->
         F.expr("filter(items, (x, i) -> (shiftright(mask, i) & 1) = 0)").alias("consequent_items"))
     fa = fi.select(C("items").alias("antecedent_items"), C("freq").alias("f_a"))
     fc = fi.select(C("items").alias("consequent_items"), C("freq").alias("f_c"))
-    r = split.join(fa, "antecedent_items").join(fc, "consequent_items").crossJoin(F.broadcast(n))
+    r = split.join(fa, "antecedent_items").join(fc, "consequent_items").withColumn("n", n)
     supp = C("f_ac").cast("double") / C("n").cast("double")
     conf = C("f_ac").cast("double") / C("f_a").cast("double")
     lift = conf / (C("f_c").cast("double") / C("n").cast("double"))
@@ -68,7 +68,7 @@ def market_basket_rules(sales: DataFrame, min_support: float = 0.01, min_confide
     """Association rules over all invoices (single-item baskets count in the
     denominators), any-size antecedent and consequent, by lift descending."""
     b = baskets(sales)
-    n = b.agg(F.count(F.lit(1)).alias("n"))
+    n = b.agg(F.count(F.lit(1))).scalar()
     fi = frequent_itemsets(b, min_support)
     r = _rules_from_itemsets(fi, n, min_confidence)
     out = r.select(F.array_join("antecedent_items", ", ").alias("antecedent"),
@@ -86,7 +86,7 @@ def product_pairs(sales: DataFrame, min_support: float = 0.01, min_confidence: f
     at least ceil(min_support · n) are kept).
     """
     b = baskets(sales, multi_item_only=True)
-    n = b.agg(F.count(F.lit(1)).alias("n"))
+    n = b.agg(F.count(F.lit(1))).scalar()
     fi = frequent_itemsets(b, min_support).filter(F.size("items") <= 2)
     r = _rules_from_itemsets(fi, n, min_confidence)
     out = r.select(C("antecedent_items")[0].alias("antecedent"), C("consequent_items")[0].alias("consequent"),

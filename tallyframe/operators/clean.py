@@ -125,24 +125,23 @@ def dataset_summary(sales: DataFrame) -> DataFrame:
     )
     per_country = (sales.filter(is_sale() & F.col(S.COUNTRY).isNotNull())
                    .groupBy(S.COUNTRY).agg(F.sum(S.REVENUE).alias("rev")))
-    top = per_country.agg(F.min_by(S.COUNTRY, F.struct(-F.col("rev"), F.col(S.COUNTRY))).alias("top_country"))
-    out = (n_distinct(sales, S.CUSTOMER_ID, "total_customers")
-           .crossJoin(n_distinct(sales, S.INVOICE, "total_orders"))
-           .crossJoin(F.broadcast(base))
-           .crossJoin(n_distinct(sales, S.DESCRIPTION, "total_products"))
-           .crossJoin(F.broadcast(top)))
-    return out.select("total_customers", "total_orders", "total_revenue_gbp", "total_items_sold",
-                      "total_products", "date_from", "date_to", "top_country")
+    top = per_country.agg(F.min_by(S.COUNTRY, F.struct(-F.col("rev"), F.col(S.COUNTRY)))).scalar()
+    return base.select(
+        n_distinct(sales, S.CUSTOMER_ID).alias("total_customers"),
+        n_distinct(sales, S.INVOICE).alias("total_orders"),
+        "total_revenue_gbp", "total_items_sold",
+        n_distinct(sales, S.DESCRIPTION).alias("total_products"),
+        "date_from", "date_to", top.alias("top_country"))
 
 
-def n_distinct(df: DataFrame, c: str, alias: str) -> DataFrame:
-    """One-row count of distinct non-null values of ``c``.
+def n_distinct(df: DataFrame, c: str) -> F.Column:
+    """Count of distinct non-null values of ``c`` as a scalar subquery.
 
     Planned as its own aggregate (partial distinct per task, then a count) instead of
     one of several ``count_distinct`` in a shared ``agg``, which would make Spark
     expand every input row once per distinct column before the shuffle.
     """
-    return F.broadcast(df.select(c).where(F.col(c).isNotNull()).distinct().agg(F.count(F.lit(1)).alias(alias)))
+    return df.select(c).where(F.col(c).isNotNull()).distinct().agg(F.count(F.lit(1))).scalar()
 
 
 def require_columns(df: DataFrame, cols: list[str]) -> None:

@@ -113,10 +113,15 @@ def new_customers_by_month(sales: DataFrame) -> DataFrame:
     return first.groupBy(F.date_format("first", "yyyy-MM").alias("month")).agg(F.count(F.lit(1)).alias("new_customers"))
 
 
+def ref_scalar(sales: DataFrame) -> F.Column:
+    """The reference date as a scalar subquery (evaluated once, no join)."""
+    return reference_date(sales.filter(C(S.INVOICE_DATE).isNotNull())).scalar()
+
+
 def _last_seen(sales: DataFrame) -> DataFrame:
     dated = _customers(sales).filter(C(S.INVOICE_DATE).isNotNull())
     last = dated.groupBy(CID).agg(F.max(S.INVOICE_DATE).alias("last"))
-    return last.crossJoin(F.broadcast(reference_date(sales.filter(C(S.INVOICE_DATE).isNotNull()))))
+    return last.withColumn("ref", ref_scalar(sales))
 
 
 def churn_risk_summary(sales: DataFrame, days: int = 90) -> DataFrame:
@@ -152,7 +157,7 @@ def rfm_features(sales: DataFrame) -> DataFrame:
     sd of invoice totals (0 for one invoice), from exact decimal moment sums.
     """
     dated = sales.filter(C(S.INVOICE_DATE).isNotNull())
-    ref = F.broadcast(reference_date(dated))
+    ref = ref_scalar(dated)
     pos = _customers(dated).filter(is_sale())
     inv = pos.groupBy(CID, S.INVOICE).agg(F.sum(S.REVENUE).cast("decimal(18,2)").alias("r"),
                                           F.min(S.INVOICE_DATE).alias("t0"), F.max(S.INVOICE_DATE).alias("t1"),
@@ -163,7 +168,7 @@ def rfm_features(sales: DataFrame) -> DataFrame:
     per = per.filter(C("mon") > 0)
     returns = (_customers(sales).filter(is_return()).select(CID, S.INVOICE).distinct()
                .groupBy(CID).agg(F.count(F.lit(1)).alias("ret_inv")))
-    out = per.crossJoin(ref).join(returns, CID, "left")
+    out = per.withColumn("ref", ref).join(returns, CID, "left")
     return out.select(
         CID,
         elapsed_days(C("last"), C("ref")).alias("recency_days"),

@@ -40,12 +40,11 @@ def revenue_forecast_linear(sales: DataFrame, horizon: int = 3) -> DataFrame:
     horizon = min(int(horizon), 12)
     m = _monthly_pos(sales).filter(C("rev") > 0)
     m = m.withColumn("x", (F.row_number().over(Window.orderBy("month_idx")) - 1).cast("bigint"))
+    med = m.agg(F.median("rev")).scalar()
+    outl = m.agg(F.count_if(C("rev").cast("double") > F.lit(5.0) * med.cast("double"))).scalar()
     st = m.agg(F.count(F.lit(1)).alias("n"), F.sum("rev").alias("sy"), F.sum(C("x") * C("rev")).alias("sxy"),
-               F.max("month_idx").alias("last_idx"), F.max_by("rev", "month_idx").alias("last_rev"),
-               F.median("rev").alias("med"))
-    outl = m.crossJoin(F.broadcast(st.select("med"))).agg(
-        F.count_if(C("rev").cast("double") > F.lit(5.0) * C("med").cast("double")).alias("outlier_months"))
-    st = st.filter(C("n") >= 3).crossJoin(F.broadcast(outl))
+               F.max("month_idx").alias("last_idx"), F.max_by("rev", "month_idx").alias("last_rev"))
+    st = st.filter(C("n") >= 3).withColumn("outlier_months", outl)
     sx, sxx = index_sums(C("n"))
     slope = ols_slope(C("n"), sx, C("sy"), sxx, C("sxy"))
     st = st.withColumn("slope", slope).withColumn("intercept", ols_intercept(C("n"), sx, C("sy"), C("slope")))
@@ -65,9 +64,8 @@ def revenue_forecast_linear(sales: DataFrame, horizon: int = 3) -> DataFrame:
 def linear_trend(sales: DataFrame) -> DataFrame:
     """One row: the linear forecast's trend word ('upward'/'downward'/'flat'), or
     'insufficient data' with fewer than three revenue months."""
-    f = revenue_forecast_linear(sales, 1).select("trend")
-    return (sales.sparkSession.range(1).join(f, how="left")
-            .select(F.coalesce(C("trend"), F.lit("insufficient data")).alias("forecast_trend")))
+    t = revenue_forecast_linear(sales, 1).agg(F.first("trend")).scalar()
+    return sales.sparkSession.range(1).select(F.coalesce(t, F.lit("insufficient data")).alias("forecast_trend"))
 
 
 # ── calendar ─────────────────────────────────────────────────────────────────

@@ -94,7 +94,7 @@ def churn_model(sales: DataFrame, days: int = 90, seed: int = 42, num_trees: int
         rnd(F.coalesce(rec, F.lit(0.0)) * 100.0, 1).alias("recall_churned"),
         rnd(F.coalesce(div(F.lit(2.0) * prec * rec, prec + rec), F.lit(0.0)) * 100.0, 1).alias("f1_churned"),
         F.lit(int(days)).alias("churn_threshold_days"))
-    metrics = metrics.crossJoin(train.agg(F.count(F.lit(1)).alias("training_samples")))
+    metrics = metrics.withColumn("training_samples", train.agg(F.count(F.lit(1))).scalar())
     scores = model.transform(data).select(
         CID, rnd(p1 * F.lit(100.0), 1).alias("churn_probability"), (p1 >= 0.5).alias("high_risk"),
         "recency_days", "frequency", money(C("monetary").cast("decimal(38,2)")).alias("monetary_gbp"),
@@ -237,8 +237,8 @@ def churn_adjusted_clv(sales: DataFrame, months: int = 12, cm: ChurnModel | None
     share, capped at 95 %. ``source`` says which was used."""
     cm = cm or churn_model(sales)
     clv = customer_clv(sales, months)
-    pop = churn_risk_summary(sales).select(F.least(C("churn_risk_pct"), F.lit(95.0)).alias("pop_pct"))
-    j = clv.join(cm.scores.select(CID, C("_p")), CID, "left").crossJoin(F.broadcast(pop))
+    pop = churn_risk_summary(sales).select(F.least(C("churn_risk_pct"), F.lit(95.0))).scalar()
+    j = clv.join(cm.scores.select(CID, C("_p")), CID, "left").withColumn("pop_pct", pop)
     pct = F.coalesce(C("_p") * F.lit(100.0), C("pop_pct"))
     src = F.when(C("_p").isNotNull(), F.lit("random_forest")).otherwise(F.lit("population_average"))
     surv = F.lit(1.0) - pct / F.lit(100.0)

@@ -122,8 +122,8 @@ def product_line_refund_rate(sales: DataFrame, declining: DataFrame | None = Non
 def product_revenue_share(sales: DataFrame, limit: int | None = 10) -> DataFrame:
     """Product net revenue / total net revenue × 100, top N."""
     per = _products(sales).groupBy(D).agg(F.sum(S.REVENUE).alias("rev"))
-    tot = sales.agg(F.sum(S.REVENUE).alias("tot"))
-    out = per.crossJoin(F.broadcast(tot)).select(D, (div(C("rev"), C("tot")) * F.lit(100.0)).alias("revenue_share_pct"))
+    tot = sales.agg(F.sum(S.REVENUE)).scalar()
+    out = per.select(D, (div(C("rev"), tot) * F.lit(100.0)).alias("revenue_share_pct"))
     return top_k(out, [C("revenue_share_pct").desc(), C(D)], limit)
 
 
@@ -139,9 +139,8 @@ def product_purchase_frequency(sales: DataFrame, limit: int | None = 10) -> Data
     """Share of all invoices that contain the product, × 100."""
     pairs = _products(sales).select(D, S.INVOICE).distinct()
     per = pairs.groupBy(D).agg(F.count(F.lit(1)).alias("invoices"))
-    tot = sales.select(S.INVOICE).distinct().agg(F.count(F.lit(1)).alias("all_invoices"))
-    out = per.crossJoin(F.broadcast(tot)).select(
-        D, (div(C("invoices"), C("all_invoices")) * F.lit(100.0)).alias("purchase_frequency_pct"))
+    tot = sales.select(S.INVOICE).distinct().agg(F.count(F.lit(1))).scalar()
+    out = per.select(D, (div(C("invoices"), tot) * F.lit(100.0)).alias("purchase_frequency_pct"))
     return top_k(out, [C("purchase_frequency_pct").desc(), C(D)], limit)
 
 
@@ -204,9 +203,10 @@ def _window_units(sales: DataFrame, months: int) -> DataFrame:
     sums of one aggregate (no join between the windows).
     """
     dated = sales.filter(C(S.INVOICE_DATE).isNotNull())
-    ref = dated.agg(F.max(S.INVOICE_DATE).alias("ref")).select(
-        months_before(C("ref"), months).alias("cut"), months_before(months_before(C("ref"), months), months).alias("pcut"))
-    pos = _products(dated).filter(is_sale()).crossJoin(F.broadcast(ref))
+    ref = dated.agg(F.max(S.INVOICE_DATE)).scalar()
+    cut = months_before(ref, months)
+    pos = (_products(dated).filter(is_sale())
+           .withColumn("cut", cut).withColumn("pcut", months_before(cut, months)))
     recent = C(S.INVOICE_DATE) >= C("cut")
     prior = (C(S.INVOICE_DATE) >= C("pcut")) & (C(S.INVOICE_DATE) < C("cut"))
     per = pos.groupBy(D).agg(F.sum(F.when(recent, C(S.QUANTITY))).alias("recent_units"),

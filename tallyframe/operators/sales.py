@@ -207,8 +207,8 @@ def _growth(sales: DataFrame) -> DataFrame:
 def mom_growth(sales: DataFrame) -> DataFrame:
     """Month-over-month % on the zero-filled series; non-finite changes dropped."""
     g = _growth(sales).filter(C("growth").isNotNull())
-    last = g.agg(F.max("month_idx").alias("_last"))
-    return (g.crossJoin(F.broadcast(last))
+    last = g.agg(F.max("month_idx")).scalar()
+    return (g.withColumn("_last", last)
             .select("month", money(C("rev")).alias("revenue"), money(C("prev")).alias("prev_revenue"),
                     rnd(C("growth"), 2).alias("growth_pct"),
                     (C("month_idx") == C("_last")).alias("is_latest")))
@@ -216,9 +216,8 @@ def mom_growth(sales: DataFrame) -> DataFrame:
 
 def latest_mom(sales: DataFrame) -> DataFrame:
     """One row: latest month-over-month % (0.0 when there is none)."""
-    g = mom_growth(sales).filter(C("is_latest")).select("growth_pct")
-    return (sales.sparkSession.range(1).join(g, how="left")
-            .select(F.coalesce(C("growth_pct"), F.lit(0.0)).alias("latest_mom")))
+    g = mom_growth(sales).agg(F.max_by("growth_pct", "month")).scalar()
+    return sales.sparkSession.range(1).select(F.coalesce(g, F.lit(0.0)).alias("latest_mom"))
 
 
 def sales_trend(sales: DataFrame) -> DataFrame:
@@ -250,9 +249,8 @@ def sales_anomalies(sales: DataFrame) -> DataFrame:
     """Days (zero-filled calendar) with revenue > mean + 2 · sample sd."""
     d = _daily_series(sales).withColumn("rev", C("rev").cast("decimal(18,2)"))
     st = d.agg(F.count(F.lit(1)).alias("n"), F.sum("rev").alias("s1"), F.sum(C("rev") * C("rev")).alias("s2"))
-    st = st.select(div(C("s1"), C("n")).alias("mean"), sample_std(C("n"), C("s1"), C("s2")).alias("sd"))
-    return (d.crossJoin(F.broadcast(st))
-            .filter(dbl(C("rev")) > C("mean") + F.lit(2.0) * C("sd"))
+    cut = st.select(div(C("s1"), C("n")) + F.lit(2.0) * sample_std(C("n"), C("s1"), C("s2"))).scalar()
+    return (d.filter(dbl(C("rev")) > cut)
             .select(F.date_format("day", "yyyy-MM-dd").alias("day"), money(C("rev")).alias("revenue")))
 
 
@@ -272,10 +270,10 @@ def pareto_products_count(sales: DataFrame) -> DataFrame:
     """Products, by net revenue descending, whose cumulative share is < 80 %, plus one."""
     per = (sales.filter(C(S.DESCRIPTION).isNotNull()).groupBy(S.DESCRIPTION)
            .agg(F.sum(S.REVENUE).alias("rev")))
-    tot = per.agg(F.sum("rev").alias("tot"))
+    tot = per.agg(F.sum("rev")).scalar()
     ranked = global_running(per, [C("rev").desc(), C(S.DESCRIPTION)], "rev")
-    share = div(C("_cum"), C("tot"))
-    return (ranked.crossJoin(F.broadcast(tot))
+    share = div(C("_cum"), tot)
+    return (ranked
             .agg((F.count_if(share < F.lit(0.8)) + 1).alias("pareto_products_count")))
 
 
@@ -283,13 +281,13 @@ def revenue_concentration(sales: DataFrame, top_share: float = 0.10) -> DataFram
     """Share of net revenue from the top max(1, ⌊10 % · customers⌋) customers."""
     per = (sales.filter(C(S.CUSTOMER_ID).isNotNull()).groupBy(S.CUSTOMER_ID)
            .agg(F.sum(S.REVENUE).alias("rev")))
-    stats = per.agg(F.count(F.lit(1)).alias("n"), F.sum("rev").alias("tot")).select(
-        "n", "tot", F.greatest(F.lit(1), F.floor(C("n") * F.lit(top_share)).cast("bigint")).alias("k"))
+    n = per.agg(F.count(F.lit(1))).scalar()
+    tot = per.agg(F.sum("rev")).scalar()
+    k = F.greatest(F.lit(1), F.floor(n * F.lit(top_share)).cast("bigint"))
     ranked = global_running(per, [C("rev").desc(), C(S.CUSTOMER_ID)], "rev")
-    joined = ranked.crossJoin(F.broadcast(stats)).filter(C("_pos") <= C("k"))
-    return joined.agg(
-        F.first("n").alias("customers"), F.first("k").alias("top_customers"),
-        (div(F.sum("rev"), F.first("tot")) * F.lit(100.0)).alias("concentration_pct"))
+    return ranked.filter(C("_pos") <= k).agg(
+        n.alias("customers"), k.alias("top_customers"),
+        (div(F.sum("rev"), tot) * F.lit(100.0)).alias("concentration_pct"))
 
 
 # ── customers (sales view) ───────────────────────────────────────────────────
