@@ -74,7 +74,7 @@ def rnd(c: Column, n: int) -> Column:
     decimal amounts use ``money`` instead.
     """
     k = float(10 ** n)
-    return F.round(c * F.lit(k), 0) / F.lit(k)
+    return F.round(c * F.lit(k), 0) / F.lit(k) + F.lit(0.0)   # + 0.0 turns -0.0 into 0.0
 
 
 def dbl(c: Column) -> Column:

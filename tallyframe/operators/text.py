@@ -101,7 +101,7 @@ def response_quality(df: DataFrame, text: str = "text", keys: tuple = ("conv_id"
     """Per response: jargon found, lever, team references, £, time component,
     'n in m' figure, word count, mode, and whether the word limit holds."""
     t = C(text)
-    jargon = F.concat(_found(t, BANNED_TERMS), F.transform(_found(t, BANNED_TERMS_BOUNDARY), F.trim))
+    jargon = F.concat(_found(t, BANNED_TERMS), F.transform(_found(t, BANNED_TERMS_BOUNDARY), lambda x: F.trim(x)))
     lever = F.exists(F.array(*[F.lit(x) for x in STRATEGIC_LEVERS]), lambda x: F.instr(t, x) > 0)
     team = _found(F.lower(t), [x.lower() for x in TEAM_REFS])
     wc = word_count(t)

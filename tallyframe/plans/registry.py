@@ -56,7 +56,7 @@ def double_round(sql: str) -> str:
             i = k
             continue
         expr, n = sql[j + 6:comma], sql[comma + 1:k - 1].strip()
-        out.append(sql[i:j] + f"(ROUND(({double_round(expr)}) * 1e{n}) / 1e{n})")
+        out.append(sql[i:j] + f"(ROUND(({double_round(expr)}) * 1e{n}) / 1e{n} + 0.0)")
         i = k
 
 
