@@ -8,6 +8,7 @@ split into (antecedent, consequent) by bitmask, and supports are joined back.
 
 from __future__ import annotations
 
+from pyspark import StorageLevel
 from pyspark.ml.fpm import FPGrowth
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -39,7 +40,10 @@ def frequent_itemsets(b: DataFrame, min_support: float) -> DataFrame:
     """(items sorted, freq) for every itemset with support ≥ min_support."""
     fp = FPGrowth(itemsCol="items", minSupport=float(min_support), minConfidence=0.0)
     model = fp.fit(b)
-    return model.freqItemsets.select(F.array_sort("items").alias("items"), C("freq").cast("bigint").alias("freq"))
+    # freqItemsets is backed by the mined RDD; persist so that the three reads in
+    # rule derivation do not mine again.
+    return (model.freqItemsets.select(F.array_sort("items").alias("items"), C("freq").cast("bigint").alias("freq"))
+            .persist(StorageLevel.MEMORY_AND_DISK))
 
 
 def _rules_from_itemsets(fi: DataFrame, n, min_confidence: float) -> DataFrame:

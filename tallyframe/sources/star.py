@@ -27,6 +27,9 @@ from tallyframe import schema as S
 from tallyframe.functions.broadcast import bounded_broadcast
 
 STAR_TABLES = ("lineitem", "orders", "customer", "nation", "part")
+# Dimensions with at most this many rows are broadcast (≈ 100 MB for these two
+# narrow projections); larger ones are joined with a shuffle.
+DIM_BROADCAST_ROWS = 2_000_000
 
 
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -79,10 +82,12 @@ def star_sales_raw(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The uncleaned canonical frame over lineitem ⋈ orders ⋈ customer ⋈ nation ⋈ part.
 
     Join strategy: lineitem ⋈ orders is the one large-large join (sort-merge on the
-    order key, AQE may coalesce or split skewed partitions). ``nation`` has a fixed
-    size and is broadcast behind a row-count check; customer and part are left to
-    AQE, which converts them to broadcast joins at run time only when the measured
-    shuffle output is under the threshold.
+    order key; AQE splits a skewed order-key partition). The dimensions — customer
+    with its nation name, and part — are broadcast only behind a row-count check
+    (``DIM_BROADCAST_ROWS``); above it they are shuffle joins that AQE may still
+    convert or skew-split at run time. Broadcasting the customer side also keeps
+    the line rows from being clustered by customer, so a customer with a third of
+    all lines does not end up in one task.
     """
     li = read_table(spark, sf_dir, "lineitem").select(
         "l_orderkey", "l_partkey", "l_quantity", "l_extendedprice", "l_returnflag")
@@ -91,7 +96,9 @@ def star_sales_raw(spark: SparkSession, sf_dir: str) -> DataFrame:
     na = bounded_broadcast(read_table(spark, sf_dir, "nation").select("n_nationkey", "n_name"), 10_000)
     pa = read_table(spark, sf_dir, "part").select("p_partkey", "p_name")
 
-    cust_country = cu.join(na, cu.c_nationkey == na.n_nationkey, "inner").select("c_custkey", "n_name")
+    cust_country = bounded_broadcast(
+        cu.join(na, cu.c_nationkey == na.n_nationkey, "inner").select("c_custkey", "n_name"), DIM_BROADCAST_ROWS)
+    pa = bounded_broadcast(pa, DIM_BROADCAST_ROWS)
     j = (li.join(od, li.l_orderkey == od.o_orderkey, "inner")
            .join(cust_country, F.col("o_custkey") == F.col("c_custkey"), "inner")
            .join(pa, F.col("l_partkey") == F.col("p_partkey"), "inner"))
