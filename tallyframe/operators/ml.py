@@ -11,6 +11,7 @@ k-means (different random streams and split finders); tests check behaviour.
 from __future__ import annotations
 
 import math
+from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass
 
 from pyspark import StorageLevel
@@ -163,7 +164,8 @@ def _avg_rank(col: str) -> F.Column:
     return F.rank().over(w) + (F.count(F.lit(1)).over(tie) - 1) / 2.0
 
 
-def customer_segments(sales: DataFrame, k: int | None = None, seed: int = 42) -> Segmentation:
+def customer_segments(sales: DataFrame, k: int | None = None, seed: int = 42,
+                      search_parallelism: int = 4) -> Segmentation:
     """k-means on z-scored (recency, frequency, monetary); k chosen by silhouette
     over 2..8 when not given. Spark's silhouette uses squared Euclidean distance
     (linear in the data, no sampling or pairwise table)."""
@@ -180,11 +182,16 @@ def customer_segments(sales: DataFrame, k: int | None = None, seed: int = 42) ->
     if k is None:
         ev = ClusteringEvaluator(featuresCol="features", predictionCol="prediction",
                                  distanceMeasure="squaredEuclidean")
-        for kk in range(2, 9):
-            if n < kk * 5:
-                break
+        ks = [kk for kk in range(2, 9) if n >= kk * 5]
+
+        def score(kk: int) -> tuple[int, float]:
             m = KMeans(k=kk, seed=seed, maxIter=200).fit(data)
-            scores.append((kk, float(ev.evaluate(m.transform(data)))))
+            return kk, float(ev.evaluate(m.transform(data)))
+
+        # Candidate k are independent fits; submit them together (as CrossValidator's
+        # ``parallelism`` does) so that their many small jobs overlap on the cluster.
+        with ThreadPoolExecutor(max_workers=min(len(ks), search_parallelism) or 1) as pool:
+            scores = sorted(pool.map(score, ks))
         k = max(scores, key=lambda t: (t[1], -t[0]))[0] if scores else 4
     else:
         k = max(2, min(int(k), 8))
