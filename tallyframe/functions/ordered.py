@@ -51,3 +51,28 @@ def global_running(df: DataFrame, order: Sequence[Column], value: str,
     return (out.withColumn("_pos", F.col("_lpos") + F.col("_off_n"))
                .withColumn("_cum", F.col("_lcum") + F.col("_off_s"))
                .drop("_pid", "_lpos", "_lcum", "_off_n", "_off_s"))
+
+
+def global_lag(df: DataFrame, order: Sequence[Column], cols: Sequence[str],
+               partitions: int | None = None) -> DataFrame:
+    """Add ``_prev_<c>`` for each of ``cols``: the value on the previous row in the
+    total ``order`` (null on the first row).
+
+    Rows are range-partitioned on the order (a hot key's rows spread over several
+    ranges), lagged within each range, and the first row of each range takes the
+    last row of the previous non-empty range from a one-row-per-range table.
+    """
+    spark = df.sparkSession
+    n = partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
+    ranged = df.repartitionByRange(n, *order).withColumn("_pid", F.spark_partition_id())
+    w = Window.partitionBy("_pid").orderBy(*order)
+    local = ranged.withColumn("_rn", F.row_number().over(w))
+    for c in cols:
+        local = local.withColumn(f"_lp_{c}", F.lag(c).over(w))
+    lasts = local.groupBy("_pid").agg(F.max_by(F.struct(*[F.col(c) for c in cols]), "_rn").alias("_last"))
+    wp = Window.orderBy("_pid").rowsBetween(Window.unboundedPreceding, -1)
+    prev_last = lasts.select("_pid", F.last("_last", ignorenulls=True).over(wp).alias("_pl"))
+    out = local.join(F.broadcast(prev_last), "_pid", "left")
+    for c in cols:
+        out = out.withColumn(f"_prev_{c}", F.when(F.col("_rn") == 1, F.col("_pl")[c]).otherwise(F.col(f"_lp_{c}")))
+    return out.drop("_pid", "_rn", "_pl", *[f"_lp_{c}" for c in cols])

@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 from tallyframe import schema as S
 from tallyframe.functions.cols import (rnd, contains_ci, day_key, day_name, dbl, div, elapsed_days, eq_ci, is_return,
                                        is_sale, money, month_index, month_key, sum0, weekday_mon0)
-from tallyframe.functions.ordered import global_running, top_k
+from tallyframe.functions.ordered import global_lag, global_running, top_k
 from tallyframe.functions.spine import fill_days, fill_months
 from tallyframe.functions.stats import pct_change, sample_std
 
@@ -308,14 +308,15 @@ def avg_days_between_purchases(sales: DataFrame) -> DataFrame:
     """Mean floored day gap between a customer's consecutive invoices.
 
     Lines are first reduced to one row per (customer, invoice) at its earliest
-    timestamp (partial aggregation absorbs hot keys); the lag window then runs over
-    invoices per customer.
+    timestamp (partial aggregation absorbs hot keys). The previous invoice comes
+    from a global lag over (customer, time, invoice) computed on range partitions,
+    so a customer with a third of all invoices is spread over many tasks.
     """
     inv = (sales.filter(C(S.CUSTOMER_ID).isNotNull() & C(S.INVOICE_DATE).isNotNull())
            .groupBy(S.CUSTOMER_ID, S.INVOICE).agg(F.min(S.INVOICE_DATE).alias("t")))
-    w = Window.partitionBy(S.CUSTOMER_ID).orderBy("t", S.INVOICE)
-    gaps = inv.withColumn("prev", F.lag("t").over(w)).filter(C("prev").isNotNull())
-    g = gaps.select(elapsed_days(C("prev"), C("t")).alias("gap"))
+    lagged = global_lag(inv, [C(S.CUSTOMER_ID), C("t"), C(S.INVOICE)], [S.CUSTOMER_ID, "t"])
+    gaps = lagged.filter(C(f"_prev_{S.CUSTOMER_ID}") == C(S.CUSTOMER_ID))
+    g = gaps.select(elapsed_days(C("_prev_t"), C("t")).alias("gap"))
     return g.agg(F.coalesce(div(F.sum("gap"), F.count("gap")), F.lit(0.0)).alias("avg_days_between_purchases"))
 
 

@@ -98,3 +98,17 @@ def test_global_running_is_a_prefix_sum(spark, values, parts):
         acc += values[i]
         expect[i] = (pos, acc)
     assert {r["k"]: (r["_pos"], r["_cum"]) for r in out} == expect
+
+
+@SETTINGS
+@given(st.lists(st.tuples(st.integers(1, 4), st.integers(0, 50)), min_size=1, max_size=60), st.integers(1, 6))
+def test_global_lag_matches_sorted_previous(spark, pairs, parts):
+    from tallyframe.functions.ordered import global_lag
+    rows = [(i, c, t) for i, (c, t) in enumerate(pairs)]
+    df = spark.createDataFrame(rows, "k long, c long, t long")
+    out = global_lag(df, [F.col("c"), F.col("t"), F.col("k")], ["c", "t"], partitions=parts).collect()
+    order = sorted(rows, key=lambda r: (r[1], r[2], r[0]))
+    expect = {order[0][0]: (None, None)}
+    for prev, cur in zip(order, order[1:]):
+        expect[cur[0]] = (prev[1], prev[2])
+    assert {r["k"]: (r["_prev_c"], r["_prev_t"]) for r in out} == expect
