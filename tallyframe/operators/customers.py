@@ -31,6 +31,18 @@ def reference_date(sales: DataFrame) -> DataFrame:
     return sales.agg(F.max(S.INVOICE_DATE).alias("ref"))
 
 
+def customer_rollup(sales: DataFrame) -> DataFrame:
+    """One row per customer: last / first dated line, distinct invoices, net revenue.
+
+    A shared building block for customer-level signals; invoices are deduplicated
+    per (customer, invoice) first, so the count needs no distinct aggregate.
+    """
+    per_inv = _customers(sales).groupBy(CID, S.INVOICE).agg(
+        F.max(S.INVOICE_DATE).alias("l"), F.min(S.INVOICE_DATE).alias("f"), F.sum(S.REVENUE).alias("r"))
+    return per_inv.groupBy(CID).agg(F.max("l").alias("last"), F.min("f").alias("first"),
+                                    F.count(F.lit(1)).alias("invoices"), F.sum("r").alias("revenue"))
+
+
 def unique_customers(sales: DataFrame) -> DataFrame:
     return sales.agg(F.count_distinct(CID).alias("unique_customers"))
 

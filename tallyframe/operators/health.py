@@ -52,20 +52,34 @@ def new_customer_counts(sales: DataFrame, months: int = 3) -> tuple[Column, Colu
     return recent, prior
 
 
-def signals(sales: DataFrame) -> DataFrame:
+def signals(sales: DataFrame, days: int = 90, new_months: int = 3) -> DataFrame:
     """One row: latest_mom, churn_risk_pct, repeat_rate, forecast_trend,
-    concentration_pct, new_customers_recent, new_customers_prior."""
+    concentration_pct, new_customers_recent, new_customers_prior.
+
+    The customer-level signals (churn share, repeat rate, new customers) come from
+    one per-customer rollup and a single conditional aggregate over it.
+    """
     spark = sales.sparkSession
     mom = sa.latest_mom(sales).select("latest_mom").scalar()
-    churn = cu.churn_risk_summary(sales).select("churn_risk_pct").scalar()
     trend = fc.linear_trend(sales).select("forecast_trend").scalar()
     conc = sa.revenue_concentration(sales).select("concentration_pct").scalar()
-    recent, prior = new_customer_counts(sales)
+    roll = cu.customer_rollup(sales)
+    ref = cu.ref_scalar(sales)
+    ref_c = roll.agg(F.max("last")).scalar()
+    cut = months_before(ref_c, new_months)
+    pcut = months_before(cut, new_months)
+    idle = F.floor((F.unix_micros(ref) - F.unix_micros(C("last"))) / F.lit(86_400_000_000))
+    st = roll.agg(F.struct(
+        F.count_if(C("last").isNotNull()).alias("dated"), F.count_if(idle >= days).alias("at_risk"),
+        F.count(F.lit(1)).alias("customers"), F.count_if(C("invoices") > 1).alias("repeaters"),
+        F.count_if(C("first") >= cut).alias("new_recent"),
+        F.count_if((C("first") >= pcut) & (C("first") < cut)).alias("new_prior"))).scalar()
     return spark.range(1).select(
-        mom.alias("latest_mom"), F.coalesce(churn, F.lit(0.0)).alias("churn_risk_pct"),
-        repeat_rate(sales).alias("repeat_rate"), trend.alias("forecast_trend"),
-        F.coalesce(conc, F.lit(0.0)).alias("concentration_pct"),
-        recent.alias("new_customers_recent"), prior.alias("new_customers_prior"))
+        mom.alias("latest_mom"),
+        F.coalesce(rnd(div(st["at_risk"] * 100, st["dated"]), 1), F.lit(0.0)).alias("churn_risk_pct"),
+        rnd(F.coalesce(div(st["repeaters"] * 100, st["customers"]), F.lit(0.0)), 2).alias("repeat_rate"),
+        trend.alias("forecast_trend"), F.coalesce(conc, F.lit(0.0)).alias("concentration_pct"),
+        st["new_recent"].alias("new_customers_recent"), st["new_prior"].alias("new_customers_prior"))
 
 
 def _light(v: Column, green: float, yellow: float, higher_is_better: bool = True) -> Column:
