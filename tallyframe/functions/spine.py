@@ -29,6 +29,20 @@ def fill_months(per_month: DataFrame, value_cols: list[str], idx: str = "month_i
     return out.withColumn("month", month_key_from_index(F.col(idx)))
 
 
+def fill_months_by(per_month: DataFrame, by: list[str], value_cols: list[str], idx: str = "month_idx") -> DataFrame:
+    """Per group of ``by``: zero-filled months between the group's own first and last
+    month. The spine has one row per (group, month); it is built from a per-group
+    min/max and joined back on (group, month)."""
+    if not by:
+        return fill_months(per_month, value_cols, idx)
+    bounds = per_month.groupBy(*by).agg(F.min(idx).alias("lo"), F.max(idx).alias("hi"))
+    spine = bounds.select(*by, F.explode(F.sequence("lo", "hi")).alias(idx))
+    out = spine.join(per_month, [*by, idx], "left")
+    for c in value_cols:
+        out = out.withColumn(c, F.coalesce(F.col(c), F.lit(0)))
+    return out.withColumn("month", month_key_from_index(F.col(idx)))
+
+
 def day_spine(per_day: DataFrame, day: str = "day") -> DataFrame:
     bounds = per_day.agg(F.min(day).alias("lo"), F.max(day).alias("hi"))
     return (bounds.filter(F.col("lo").isNotNull())

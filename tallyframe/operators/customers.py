@@ -136,8 +136,23 @@ def _last_seen(sales: DataFrame) -> DataFrame:
     return last.withColumn("ref", ref_scalar(sales))
 
 
-def churn_risk_summary(sales: DataFrame, days: int = 90) -> DataFrame:
-    """Customers whose last dated line is ≥ ``days`` before the reference date."""
+def churn_risk_summary(sales: DataFrame, days: int = 90, by: tuple = ()) -> DataFrame:
+    """Customers whose last dated line is ≥ ``days`` before the reference date.
+
+    With ``by`` (a tenant or country column) each group is summarised against its
+    own reference date, in one job.
+    """
+    if by:
+        dated = _customers(sales).filter(C(S.INVOICE_DATE).isNotNull())
+        last = dated.groupBy(*by, CID).agg(F.max(S.INVOICE_DATE).alias("last"))
+        refs = dated.groupBy(*by).agg(F.max(S.INVOICE_DATE).alias("ref"))
+        ls = last.join(refs, list(by)).withColumn("idle", elapsed_days(C("last"), C("ref")))
+        return ls.groupBy(*by).agg(
+            day_key(F.first("ref")).alias("reference_date"), F.lit(int(days)).alias("days_inactive_threshold"),
+            F.count(F.lit(1)).alias("total_customers"), F.count_if(C("idle") >= days).alias("at_risk_customers"),
+            (F.count(F.lit(1)) - F.count_if(C("idle") >= days)).alias("healthy_customers"),
+            rnd(F.coalesce(div(F.count_if(C("idle") >= days) * 100, F.count(F.lit(1))), F.lit(0.0)), 1)
+            .alias("churn_risk_pct"))
     ls = _last_seen(sales).withColumn("idle", elapsed_days(C("last"), C("ref")))
     return ls.agg(
         day_key(F.first("ref")).alias("reference_date"),

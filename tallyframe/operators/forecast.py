@@ -162,3 +162,74 @@ def forecast_trend_word(fc: DataFrame, threshold: float = 500.0) -> DataFrame:
     d = C("last") - C("first")
     return w.select(F.when(C("n") < 2, "insufficient data").when(d > threshold, "upward")
                     .when(d < -threshold, "downward").otherwise("flat").alias("trend"))
+
+
+SERIES_SCHEMA = "series string, month string, predicted_gbp double, lower_bound_gbp double, upper_bound_gbp double, " \
+                "is_partial_month boolean, model string"
+
+
+def revenue_forecast_by_series(sales: DataFrame, key: str, horizon: int = 3, min_days: int = 30,
+                               reg: float = 1.0, changepoints: int = 5) -> DataFrame:
+    """The seasonal model fitted separately for every value of ``key`` (e.g. country
+    or product), in one job.
+
+    Spark builds the daily series and the full design matrix (history plus the
+    future days of each series) with the same columns as ``revenue_forecast``; each
+    series is then fitted with a closed-form ridge solve in ``applyInPandas``. A group
+    holds one series' days (bounded by the calendar, not by the number of lines).
+    Series with fewer than ``min_days`` revenue days use a straight-line fit.
+    """
+    horizon = min(int(horizon), 12)
+    daily = (sales.filter(is_sale() & C(S.INVOICE_DATE).isNotNull() & C(key).isNotNull())
+             .groupBy(C(key).cast("string").alias("series"), F.to_date(S.INVOICE_DATE).alias("day"))
+             .agg(F.sum(S.REVENUE).cast("double").alias("y")).filter(C("y") > 0))
+    w = Window.partitionBy("series")
+    daily = (daily.withColumn("t0", F.min("day").over(w)).withColumn("t1", F.max("day").over(w))
+             .withColumn("n", F.count(F.lit(1)).over(w)))
+    bounds = daily.groupBy("series").agg(F.first("t0").alias("t0"), F.first("t1").alias("t1"), F.first("n").alias("n"))
+    fut = bounds.select("series", "t0", "t1", "n",
+                        F.explode(F.sequence(F.date_add("t1", 1), F.date_add("t1", horizon * 31))).alias("day"))
+    rows = daily.withColumn("future", F.lit(False)).unionByName(
+        fut.withColumn("y", F.lit(None).cast("double")).withColumn("future", F.lit(True)))
+    span = F.greatest(F.datediff("t1", "t0"), F.lit(1)).cast("double")
+    feats = _design(C("day"), C("t0"), span, changepoints)
+    names = [c._jc.toString().split(" AS ")[-1].strip("`") for c in feats]
+    design = rows.select("series", "day", "y", "future", "n", *feats)
+
+    def fit(pdf):
+        import numpy as np
+        import pandas as pd
+        pdf = pdf.sort_values("day")
+        tr, fu = pdf[~pdf["future"]], pdf[pdf["future"]]
+        if len(tr) >= min_days:
+            X, Xf = tr[names].to_numpy(float), fu[names].to_numpy(float)
+            mu, ly = X.mean(axis=0), np.log(tr["y"].to_numpy(float))
+            Xc, ym = X - mu, ly.mean()
+            beta = np.linalg.solve(Xc.T @ Xc + reg * np.eye(Xc.shape[1]), Xc.T @ (ly - ym))
+            res = ly - (ym + Xc @ beta)
+            q_lo, q_hi = np.quantile(res, [0.025, 0.975])
+            pred = ym + (Xf - mu) @ beta
+            fu = fu.assign(yhat=np.exp(pred), lo=np.exp(pred + q_lo), hi=np.exp(pred + q_hi))
+            model = "log-linear seasonal ridge"
+        else:
+            x = (tr["day"] - tr["day"].min()).dt.days.to_numpy(float) if len(tr) else np.zeros(0)
+            if len(tr) >= 2 and np.ptp(x) > 0:
+                slope, icpt = np.polyfit(x, tr["y"].to_numpy(float), 1)
+            else:
+                slope, icpt = 0.0, float(tr["y"].mean()) if len(tr) else 0.0
+            xf = (fu["day"] - (tr["day"].min() if len(tr) else fu["day"].min())).dt.days.to_numpy(float)
+            yh = np.maximum(icpt + slope * xf, 0.0)
+            fu = fu.assign(yhat=yh, lo=np.nan, hi=np.nan)
+            model = "linear"
+        fu = fu.assign(month=fu["day"].dt.strftime("%Y-%m"))
+        g = fu.groupby("month", sort=True).agg(yhat=("yhat", "sum"), lo=("lo", "sum"), hi=("hi", "sum"),
+                                                first=("day", "min")).head(horizon).reset_index()
+        return pd.DataFrame({
+            "series": pdf["series"].iloc[0], "month": g["month"],
+            "predicted_gbp": g["yhat"].clip(lower=0).round(2),
+            "lower_bound_gbp": g["lo"].clip(lower=0).round(2) if model != "linear" else np.nan,
+            "upper_bound_gbp": g["hi"].clip(lower=0).round(2) if model != "linear" else np.nan,
+            "is_partial_month": g["first"].dt.day != 1, "model": model})
+
+    design = design.withColumn("day", C("day").cast("timestamp"))
+    return design.groupBy("series").applyInPandas(fit, SERIES_SCHEMA)

@@ -18,7 +18,7 @@ from tallyframe import schema as S
 from tallyframe.functions.cols import (rnd, contains_ci, day_key, day_name, dbl, div, elapsed_days, eq_ci, is_return,
                                        is_sale, money, month_index, month_key, sum0, weekday_mon0)
 from tallyframe.functions.ordered import global_lag, global_running, top_k
-from tallyframe.functions.spine import fill_days, fill_months
+from tallyframe.functions.spine import fill_days, fill_months, fill_months_by
 from tallyframe.functions.stats import pct_change, sample_std
 
 C = F.col
@@ -187,31 +187,34 @@ def weekend_vs_weekday(sales: DataFrame) -> DataFrame:
 
 # ── month-over-month family (gap-filled series) ─────────────────────────────
 
-def _monthly_series(sales: DataFrame) -> DataFrame:
+def _monthly_series(sales: DataFrame, by: Sequence[str] = ()) -> DataFrame:
     per = (sales.filter(C(S.INVOICE_DATE).isNotNull())
-           .groupBy(month_index().alias("month_idx")).agg(F.sum(S.REVENUE).alias("rev")))
-    return fill_months(per, ["rev"])
+           .groupBy(*by, month_index().alias("month_idx")).agg(F.sum(S.REVENUE).alias("rev")))
+    return fill_months_by(per, list(by), ["rev"])
 
 
-def _growth(sales: DataFrame) -> DataFrame:
+def _growth(sales: DataFrame, by: Sequence[str] = ()) -> DataFrame:
     """Gap-filled monthly net revenue with previous month and % change.
 
-    The unpartitioned lag runs over months (one row per calendar month), never lines.
+    The lag runs over months (one row per group and calendar month), never lines;
+    without ``by`` it is a single small series.
     """
-    m = _monthly_series(sales)
-    w = Window.orderBy("month_idx")
+    m = _monthly_series(sales, by)
+    w = Window.partitionBy(*by).orderBy("month_idx") if by else Window.orderBy("month_idx")
     m = m.withColumn("prev", F.lag("rev").over(w))
     return m.withColumn("growth", pct_change(C("rev"), C("prev")))
 
 
-def mom_growth(sales: DataFrame) -> DataFrame:
-    """Month-over-month % on the zero-filled series; non-finite changes dropped."""
-    g = _growth(sales).filter(C("growth").isNotNull())
-    last = g.agg(F.max("month_idx")).scalar()
-    return (g.withColumn("_last", last)
-            .select("month", money(C("rev")).alias("revenue"), money(C("prev")).alias("prev_revenue"),
-                    rnd(C("growth"), 2).alias("growth_pct"),
-                    (C("month_idx") == C("_last")).alias("is_latest")))
+def mom_growth(sales: DataFrame, by: Sequence[str] = ()) -> DataFrame:
+    """Month-over-month % on the zero-filled series; non-finite changes dropped.
+    With ``by``, every group is its own series (its own first/last month)."""
+    g = _growth(sales, by).filter(C("growth").isNotNull())
+    if by:
+        g = g.withColumn("_last", F.max("month_idx").over(Window.partitionBy(*by)))
+    else:
+        g = g.withColumn("_last", g.agg(F.max("month_idx")).scalar())
+    return g.select(*by, "month", money(C("rev")).alias("revenue"), money(C("prev")).alias("prev_revenue"),
+                    rnd(C("growth"), 2).alias("growth_pct"), (C("month_idx") == C("_last")).alias("is_latest"))
 
 
 def latest_mom(sales: DataFrame) -> DataFrame:

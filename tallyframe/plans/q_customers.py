@@ -179,3 +179,16 @@ def _cohort_retention(spark, sf):
     "SELECT customer_id, COUNT(DISTINCT invoice) AS n FROM sales WHERE customer_id IS NOT NULL GROUP BY 1)"))
 def _repeat_purchase_probability(spark, sf):
     return op.repeat_purchase_probability(S(spark, sf))
+
+
+@register("churn_risk_by_country", with_sales(
+    "SELECT country, strftime(ANY_VALUE(ref), '%Y-%m-%d') AS reference_date, 90 AS days_inactive_threshold, "
+    "COUNT(*) AS total_customers, COUNT(*) FILTER (WHERE idle >= 90) AS at_risk_customers, "
+    "COUNT(*) - COUNT(*) FILTER (WHERE idle >= 90) AS healthy_customers, "
+    "ROUND(COALESCE(CAST(COUNT(*) FILTER (WHERE idle >= 90) * 100 AS DOUBLE) / NULLIF(CAST(COUNT(*) AS DOUBLE), 0), 0.0), 1) "
+    f"AS churn_risk_pct FROM (SELECT l.country, l.last, r.ref, {DAYS.format(a='l.last', b='r.ref')} AS idle FROM "
+    "(SELECT country, customer_id, MAX(invoice_date) AS last FROM sales WHERE customer_id IS NOT NULL AND invoice_date IS NOT NULL "
+    "GROUP BY 1, 2) l JOIN (SELECT country, MAX(invoice_date) AS ref FROM sales WHERE customer_id IS NOT NULL AND "
+    "invoice_date IS NOT NULL GROUP BY 1) r ON l.country IS NOT DISTINCT FROM r.country) GROUP BY country"))
+def _churn_risk_by_country(spark, sf):
+    return op.churn_risk_summary(S(spark, sf), 90, by=("country",))

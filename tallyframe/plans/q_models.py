@@ -101,3 +101,8 @@ def _revenue_forecast_linear(spark, sf):
 @register("revenue_forecast", None)
 def _revenue_forecast(spark, sf):
     return fc.revenue_forecast(S(spark, sf), 3)
+
+
+@register("revenue_forecast_by_country", None)
+def _revenue_forecast_by_country(spark, sf):
+    return fc.revenue_forecast_by_series(S(spark, sf), "country", 3)

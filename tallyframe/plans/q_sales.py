@@ -394,3 +394,17 @@ def _search_products(spark, sf):
 
 
 __all__ = ["catalog"]
+
+
+@register("mom_growth_by_country", with_sales(
+    "SELECT country, " + MONTH_FROM_IDX + f" AS month, {money('rev')} AS revenue, {money('prev')} AS prev_revenue, "
+    "ROUND(growth, 2) AS growth_pct, month_idx = MAX(month_idx) OVER (PARTITION BY country) AS is_latest FROM ("
+    "SELECT *, CASE WHEN prev <> 0 THEN (CAST(rev AS DOUBLE) / CAST(prev AS DOUBLE) - 1.0) * 100.0 END AS growth FROM ("
+    "SELECT country, month_idx, rev, LAG(rev) OVER (PARTITION BY country ORDER BY month_idx) AS prev FROM ("
+    "SELECT sp.country, sp.month_idx, COALESCE(m.rev, 0) AS rev FROM (SELECT country, unnest(range(MIN(month_idx), "
+    "MAX(month_idx) + 1)) AS month_idx FROM cm GROUP BY country) sp LEFT JOIN cm m ON sp.country IS NOT DISTINCT FROM "
+    "m.country AND sp.month_idx = m.month_idx))) WHERE growth IS NOT NULL",
+    f"cm AS (SELECT country, {MONTH_IDX} AS month_idx, SUM(revenue) AS rev FROM sales WHERE invoice_date IS NOT NULL "
+    "GROUP BY 1, 2)"))
+def _mom_growth_by_country(spark, sf):
+    return op.mom_growth(S(spark, sf), by=("country",))

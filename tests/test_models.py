@@ -62,3 +62,13 @@ def test_uk_holidays(spark):
     df = spark.createDataFrame([(d,) for d in days], "d string").select(F.to_date("d").alias("d"))
     got = [r["h"] for r in df.select(forecast.is_uk_bank_holiday(F.col("d")).alias("h")).collect()]
     assert got == [True] * 10 + [False, False]
+
+
+def test_forecast_by_series_shape(sales):
+    out = forecast.revenue_forecast_by_series(sales, "country", 2).collect()
+    series = {r["series"] for r in out}
+    assert len(out) == 2 * len(series) and len(series) > 1
+    for r in out:
+        assert r["predicted_gbp"] >= 0
+        if r["model"] != "linear":
+            assert r["lower_bound_gbp"] <= r["predicted_gbp"] <= r["upper_bound_gbp"]
