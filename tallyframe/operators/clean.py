@@ -71,15 +71,21 @@ def clean_sales(df: DataFrame) -> DataFrame:
     return typed.filter(_failing_rule().isNull())
 
 
-def cleaning_report(df: DataFrame) -> DataFrame:
-    """Rows removed per rule (first failing rule wins), plus kept / total / bad dates.
+def audited(df: DataFrame) -> DataFrame:
+    """Every distinct row once, with ``_copies`` (how many times it occurred) and
+    ``_rule`` (its first failing cleaning rule, null when kept).
 
-    One shuffle: duplicates are counted while grouping on all columns.
+    ``clean_sales`` is this frame filtered to ``_rule IS NULL``; ``cleaning_report``
+    is an aggregate over it. Materializing it once serves both.
     """
-    grouped = df.groupBy(*df.columns).agg(F.count(F.lit(1)).alias("_copies"))
-    typed = coerce_types(grouped)
-    rule = _failing_rule()
-    agg = typed.agg(
+    cols = [F.col(f"`{c}`") for c in df.columns]
+    grouped = df.repartition(*cols).groupBy(*cols).agg(F.count(F.lit(1)).alias("_copies"))
+    return coerce_types(grouped).withColumn("_rule", _failing_rule())
+
+
+def report_from_audited(a: DataFrame) -> DataFrame:
+    rule = F.col("_rule")
+    agg = a.agg(
         sum0(F.col("_copies")).alias("total"),
         sum0(F.col("_copies") - 1).alias("duplicate"),
         F.count_if(rule == "missing_customer_id").alias("missing_customer_id"),
@@ -94,6 +100,14 @@ def cleaning_report(df: DataFrame) -> DataFrame:
     return agg.selectExpr(stack)
 
 
+def cleaning_report(df: DataFrame) -> DataFrame:
+    """Rows removed per rule (first failing rule wins), plus kept / total / bad dates.
+
+    One shuffle: duplicates are counted while grouping on all columns.
+    """
+    return report_from_audited(audited(df))
+
+
 def minimum_size_ok(df: DataFrame, n: int = 10) -> bool:
     """At least ``n`` rows after cleaning (reads at most n rows)."""
     return df.limit(n).count() >= n

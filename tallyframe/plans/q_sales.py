@@ -56,7 +56,7 @@ def _clean_sales(spark, sf):
     " JOIN customer ON o_custkey = c_custkey JOIN nation ON c_nationkey = n_nationkey JOIN part ON l_partkey = p_partkey)"
     " UNION ALL SELECT 'unparseable_date', (SELECT COUNT(*) FROM sales WHERE invoice_date IS NULL))"))
 def _cleaning_report(spark, sf):
-    return cl.cleaning_report(star_sales_raw(spark, sf))
+    return catalog.cleaning_report(spark, sf)
 
 
 @register("dataset_profile", with_sales(

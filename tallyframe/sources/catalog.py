@@ -16,7 +16,9 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tallyframe.operators.clean import clean_sales
+from pyspark.sql import functions as F
+
+from tallyframe.operators.clean import audited, clean_sales, report_from_audited
 from tallyframe.session import checkpoint_dir, prepare
 from tallyframe.sources.star import STAR_TABLES, events_sales_raw, read_table, star_sales_raw
 
@@ -48,17 +50,29 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     return spark.read.parquet(path)
 
 
-def sales(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Cleaned canonical sales lines from the star-schema tables (materialized once)."""
+def audited_sales(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The materialized audit table: each distinct canonical row with ``_copies`` and
+    ``_rule`` (first failing cleaning rule, null when kept). Written once per session."""
     prepare(spark)
     name = f"sales-{_fingerprint(sf_dir, STAR_TABLES)}"
     key = (id(spark), checkpoint_dir(spark), name)
     if key not in _MATERIALIZED:
-        materialize(clean_sales(star_sales_raw(spark, sf_dir)), name)
+        materialize(audited(star_sales_raw(spark, sf_dir)), name)
         _MATERIALIZED[key] = _path(spark, name)
     return spark.read.parquet(_MATERIALIZED[key])
 
 
+def sales(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Cleaned canonical sales lines: the audit table filtered to kept rows (the
+    ``_rule IS NULL`` filter is pushed into the Parquet scan)."""
+    a = audited_sales(spark, sf_dir)
+    return a.filter(F.col("_rule").isNull()).drop("_rule", "_copies")
+
+
+def cleaning_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return report_from_audited(audited_sales(spark, sf_dir))
+
+
 def sales_lazy(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Same rows as ``sales`` but as one lazy plan (no materialization)."""
     prepare(spark)

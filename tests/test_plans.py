@@ -38,7 +38,8 @@ def test_date_filter_pushed_to_scan(spark):
 def test_column_pruning(spark):
     df = entry.queries()["total_orders"](spark, SF)
     p = plan(df)
-    assert "ReadSchema: struct<invoice:string>" in p
+    assert "ReadSchema: struct<invoice:string,_rule:string>" in p
+    assert "IsNull(_rule)" in p.split("PushedFilters: [", 1)[1].split("]", 1)[0]
 
 
 def test_global_order_is_range_partitioned(spark):
