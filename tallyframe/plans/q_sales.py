@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from pyspark.sql import functions as F
+
 from tallyframe.operators import clean as cl
 from tallyframe.operators import sales as op
 from tallyframe.plans.registry import (COUNTRY, KEYWORD, PERIOD, PRODUCT, RANGE, E, S, money, register,
@@ -42,7 +44,9 @@ def sample_std_sql(n: str, s1: str, s2: str) -> str:
 
 @register("clean_sales", with_sales("SELECT * FROM sales"))
 def _clean_sales(spark, sf):
-    return S(spark, sf)
+    # Wall-clock timestamps as TIMESTAMP_NTZ: collected values do not depend on the
+    # client's time zone.
+    return S(spark, sf).withColumn("invoice_date", F.col("invoice_date").cast("timestamp_ntz"))
 
 
 @register("cleaning_report", with_sales(
@@ -83,7 +87,7 @@ def _dataset_summary(spark, sf):
 
 @register("events_sales", with_events("SELECT * FROM event_sales"))
 def _events_sales(spark, sf):
-    return E(spark, sf)
+    return E(spark, sf).withColumn("invoice_date", F.col("invoice_date").cast("timestamp_ntz"))
 
 
 # ── §2.2 scalar KPIs ─────────────────────────────────────────────────────────
