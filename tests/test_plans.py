@@ -45,3 +45,17 @@ def test_column_pruning(spark):
 def test_global_order_is_range_partitioned(spark):
     p = plan(entry.queries()["pareto_products_count"](spark, SF))
     assert "rangepartitioning" in p.lower()
+
+
+FLAGGED = ("CartesianProduct", "BroadcastNestedLoopJoin", "BatchEvalPython", "ArrowEvalPython")
+
+
+def test_no_cartesian_or_python_anywhere(spark):
+    """Every SQL-checked query: no cartesian / nested-loop join, no Python UDF node."""
+    sql = entry.oracle_sql()
+    for name, fn in entry.queries().items():
+        if name not in sql:
+            continue
+        p = plan(fn(spark, "/root/testdata/sf0.001"))
+        bad = [f for f in FLAGGED if f in p]
+        assert not bad, (name, bad)
