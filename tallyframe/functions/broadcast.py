@@ -16,7 +16,3 @@ def bounded_broadcast(df: DataFrame, max_rows: int) -> DataFrame:
     n = df.limit(max_rows + 1).count()
     return F.broadcast(df) if n <= max_rows else df
 
-
-def one_row(df: DataFrame) -> DataFrame:
-    """Mark a global (no group key) aggregate for broadcast: it has exactly one row."""
-    return F.broadcast(df)

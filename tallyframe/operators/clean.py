@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from tallyframe import schema as S
 from tallyframe.functions.cols import day_key, is_sale, money, sum0
@@ -169,8 +168,3 @@ def require_columns(df: DataFrame, cols: list[str]) -> None:
 def empty_sales(spark) -> DataFrame:
     return spark.createDataFrame([], S.SALES_SCHEMA)
 
-
-__all__ = [
-    "clean_sales", "cleaning_report", "dataset_profile", "dataset_summary", "coerce_types",
-    "parse_timestamp", "minimum_size_ok", "require_columns", "T",
-]

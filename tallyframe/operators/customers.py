@@ -272,5 +272,3 @@ def repeat_purchase_probability(sales: DataFrame) -> DataFrame:
         rnd(F.coalesce(div(F.sum(F.when(C("n") > 1, C("n"))), rep), F.lit(0.0)), 1)
         .alias("avg_orders_per_returning_customer"))
 
-
-__all__ = [n for n in dir() if not n.startswith("_")]

@@ -13,10 +13,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tallyframe import schema as S
-from tallyframe.functions.cols import (rnd, div, eq_ci, is_return, is_sale, money, month_index, months_before, sum0)
+from tallyframe.functions.cols import (div, eq_ci, is_return, is_sale, month_index, month_key_from_index,
+                                       months_before, rnd, sum0)
 from tallyframe.functions.ordered import top_k
 from tallyframe.functions.stats import index_sums, ols_intercept, ols_slope
-from tallyframe.functions.cols import month_key_from_index
 
 C = F.col
 D = S.DESCRIPTION
@@ -227,6 +227,3 @@ def slow_movers(sales: DataFrame, months: int = 3, limit: int | None = 10) -> Da
     out = per.select(D, "recent_units", "prior_units", g.alias("decline_pct"))
     return top_k(out, [C("decline_pct").desc(), C(D)], limit)
 
-
-__all__ = [n for n in dir() if not n.startswith("_")]
-_ = (money, month_key_from_index)

@@ -18,7 +18,7 @@ from tallyframe import schema as S
 from tallyframe.functions.cols import (rnd, contains_ci, day_key, day_name, dbl, div, elapsed_days, eq_ci, is_return,
                                        is_sale, money, month_index, month_key, sum0, weekday_mon0)
 from tallyframe.functions.ordered import global_lag, global_running, top_k
-from tallyframe.functions.spine import fill_days, fill_months, fill_months_by
+from tallyframe.functions.spine import fill_days, fill_months_by
 from tallyframe.functions.stats import pct_change, sample_std
 
 C = F.col
@@ -355,6 +355,3 @@ def search_products(sales: DataFrame, query: str, limit: int = 10) -> DataFrame:
     hits = sales.filter(contains_ci(S.DESCRIPTION, query)).select(S.DESCRIPTION).distinct()
     return hits.orderBy(S.DESCRIPTION).limit(limit)
 
-
-__all__ = [n for n in dir() if not n.startswith("_") and n not in {"annotations", "Sequence", "DataFrame",
-                                                                    "Window", "F", "S", "C", "date", "timedelta"}]

@@ -9,7 +9,6 @@ from tallyframe.operators import sales as op
 from tallyframe.plans.registry import (COUNTRY, KEYWORD, PERIOD, PRODUCT, RANGE, E, S, money, register,
                                        with_events, with_sales)
 from tallyframe.sources import catalog
-from tallyframe.sources.star import star_sales_raw
 
 POS = "quantity > 0"
 MONTH_IDX = "(year(invoice_date) * 12 + month(invoice_date) - 1)"
@@ -397,8 +396,6 @@ def _search_products(spark, sf):
     return op.search_products(S(spark, sf), KEYWORD)
 
 
-__all__ = ["catalog"]
-
 
 @register("mom_growth_by_country", with_sales(
     "SELECT country, " + MONTH_FROM_IDX + f" AS month, {money('rev')} AS revenue, {money('prev')} AS prev_revenue, "
