@@ -92,6 +92,7 @@ from tallyframe.plans import q_basket  # noqa: E402,F401
 from tallyframe.plans import q_models  # noqa: E402,F401
 from tallyframe.plans import q_composite  # noqa: E402,F401
 from tallyframe.plans import q_text  # noqa: E402,F401
+from tallyframe.plans import q_lookup  # noqa: E402,F401
 
 
 def queries() -> dict[str, QueryFn]:
