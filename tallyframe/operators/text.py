@@ -82,7 +82,7 @@ CONSTRAINT_PATTERN = r"i work \d+ hours"
 
 def word_count(text: Column) -> Column:
     """Whitespace-separated tokens, as Python's ``len(text.split())``."""
-    return F.coalesce(F.size(F.filter(F.split(text, WHITESPACE), lambda x: x != "")), F.lit(0))
+    return F.coalesce(F.size(F.filter(F.split(text, WHITESPACE), lambda x: x != "")), F.lit(0)).cast("bigint")
 
 
 def _found(text: Column, terms: list[str]) -> Column:

@@ -162,7 +162,7 @@ COHORT_SQL = with_sales(
     "AND invoice_date IS NOT NULL)",
     "fm AS (SELECT customer_id, MIN(m) AS cohort_m FROM cm GROUP BY 1)",
     "ct AS (SELECT cohort_m, m - cohort_m AS k, COUNT(*) AS n FROM cm JOIN fm USING (customer_id) GROUP BY 1, 2)",
-    "per AS (SELECT cohort_m, SUM(CASE WHEN k = 0 THEN n END) AS size, MAX(k) AS max_k, "
+    "per AS (SELECT cohort_m, CAST(SUM(CASE WHEN k = 0 THEN n END) AS BIGINT) AS size, MAX(k) AS max_k, "
     + ", ".join(f"SUM(CASE WHEN k = {i} THEN n END) AS c{i}" for i in range(7)) + " FROM ct GROUP BY cohort_m)")
 
 

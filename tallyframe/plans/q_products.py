@@ -14,7 +14,7 @@ def top(sql_select: str, order: str, limit: int | None) -> str:
 
 
 @register("top_products_by_quantity", with_sales(top(
-    "SELECT description, SUM(quantity) AS units FROM sales WHERE description IS NOT NULL GROUP BY description",
+    "SELECT description, CAST(SUM(quantity) AS BIGINT) AS units FROM sales WHERE description IS NOT NULL GROUP BY description",
     "units DESC, description", 10)))
 def _top_qty(spark, sf):
     return op.top_products_by_quantity(S(spark, sf), 10)
@@ -83,7 +83,8 @@ WINDOW_CTES = [
     "wu AS (SELECT description, SUM(CASE WHEN invoice_date >= cut THEN quantity END) AS recent_units, "
     "SUM(CASE WHEN invoice_date >= pcut AND invoice_date < cut THEN quantity END) AS prior_units "
     "FROM sales, rf WHERE description IS NOT NULL AND invoice_date IS NOT NULL AND quantity > 0 GROUP BY description)",
-    "wf AS (SELECT * FROM wu WHERE recent_units IS NOT NULL AND prior_units IS NOT NULL AND prior_units > 0)",
+    "wf AS (SELECT description, CAST(recent_units AS BIGINT) AS recent_units, CAST(prior_units AS BIGINT) AS prior_units "
+    "FROM wu WHERE recent_units IS NOT NULL AND prior_units IS NOT NULL AND prior_units > 0)",
 ]
 GROWTH = "ROUND(CAST(recent_units - prior_units AS DOUBLE) / CAST(prior_units AS DOUBLE) * 100.0, 1)"
 DECLINE = "ROUND(CAST(prior_units - recent_units AS DOUBLE) / CAST(prior_units AS DOUBLE) * 100.0, 1)"
@@ -125,7 +126,7 @@ def _product_revenue_share(spark, sf):
 
 
 @register("product_popularity", with_sales(top(
-    "SELECT description, SUM(quantity) * COUNT(DISTINCT invoice) AS popularity_score FROM sales "
+    "SELECT description, CAST(SUM(quantity) * COUNT(DISTINCT invoice) AS BIGINT) AS popularity_score FROM sales "
     "WHERE description IS NOT NULL GROUP BY description", "popularity_score DESC, description", 10)))
 def _product_popularity(spark, sf):
     return op.product_popularity(S(spark, sf), 10)
@@ -140,7 +141,7 @@ def _product_purchase_frequency(spark, sf):
 
 
 @register("best_seller_per_country", with_sales(
-    "SELECT country, description, units FROM (SELECT country, description, SUM(quantity) AS units, "
+    "SELECT country, description, units FROM (SELECT country, description, CAST(SUM(quantity) AS BIGINT) AS units, "
     "ROW_NUMBER() OVER (PARTITION BY country ORDER BY SUM(quantity) DESC, description) AS rn FROM sales "
     "WHERE description IS NOT NULL AND country IS NOT NULL GROUP BY country, description) WHERE rn = 1"))
 def _best_seller(spark, sf):

@@ -222,7 +222,7 @@ def _orders_by_country(spark, sf):
 
 
 @register("revenue_by_year", with_sales(
-    f"SELECT year(invoice_date) AS year, {money('SUM(revenue)')} AS total_revenue FROM sales "
+    f"SELECT CAST(year(invoice_date) AS INTEGER) AS year, {money('SUM(revenue)')} AS total_revenue FROM sales "
     f"WHERE {POS} AND invoice_date IS NOT NULL GROUP BY 1"))
 def _revenue_by_year(spark, sf):
     return op.revenue_by_year(S(spark, sf))
@@ -255,7 +255,7 @@ def _busiest_days(spark, sf):
 
 @register("units_by_weekday", with_events(
     "SELECT CAST(isodow(invoice_date) - 1 AS INTEGER) AS weekday, dayname(invoice_date) AS day_of_week, "
-    "SUM(quantity) AS units_sold FROM event_sales WHERE quantity > 0 AND invoice_date IS NOT NULL GROUP BY 1, 2"))
+    "CAST(SUM(quantity) AS BIGINT) AS units_sold FROM event_sales WHERE quantity > 0 AND invoice_date IS NOT NULL GROUP BY 1, 2"))
 def _units_by_weekday(spark, sf):
     return op.units_by_weekday(E(spark, sf))
 
