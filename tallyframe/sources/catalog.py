@@ -91,3 +91,12 @@ def event_sales(spark: SparkSession, sf_dir: str) -> DataFrame:
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     prepare(spark)
     return read_table(spark, sf_dir, name)
+
+
+def register_views(spark: SparkSession, sf_dir: str) -> list[str]:
+    """Register ``sales``, ``sales_audit`` and ``event_sales`` as temp views, so that
+    any other question is one ``spark.sql(...)`` over the cleaned data."""
+    sales(spark, sf_dir).createOrReplaceTempView("sales")
+    audited_sales(spark, sf_dir).createOrReplaceTempView("sales_audit")
+    event_sales(spark, sf_dir).createOrReplaceTempView("event_sales")
+    return ["sales", "sales_audit", "event_sales"]

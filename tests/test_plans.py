@@ -59,3 +59,18 @@ def test_no_cartesian_or_python_anywhere(spark):
         p = plan(fn(spark, "/root/testdata/sf0.001"))
         bad = [f for f in FLAGGED if f in p]
         assert not bad, (name, bad)
+
+
+def test_dedupe_hashes_on_every_column(spark):
+    from tallyframe.operators.clean import audited
+    from tallyframe.sources.star import star_sales_raw
+    p = plan(audited(star_sales_raw(spark, "/root/testdata/sf0.001")))
+    assert ("hashpartitioning(invoice#" in p and "stock_code#" in p.split("hashpartitioning(invoice#", 1)[1].split(")", 1)[0]
+            and "customer_id#" in p.split("hashpartitioning(invoice#", 1)[1].split("], ", 1)[0])
+
+
+def test_sql_views(spark):
+    from tallyframe.sources import catalog
+    catalog.register_views(spark, "/root/testdata/sf0.001")
+    got = spark.sql("SELECT COUNT(DISTINCT invoice) AS n FROM sales").first()["n"]
+    assert got == entry.queries()["total_orders"](spark, "/root/testdata/sf0.001").first()["total_orders"]

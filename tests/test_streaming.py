@@ -29,3 +29,17 @@ def test_running_strategy_counts(spark):
         assert [(r["goal_label"], r["business_type"], r["strategies"]) for r in rows] == [("grow", "shop", 2)]
     finally:
         q.stop()
+
+
+def test_daily_events_with_watermark(spark):
+    d = tempfile.mkdtemp(prefix="tally-stream-wm-")
+    _drop(d, "1.json", [{"id": str(i), "event": "strategy_generated", "timestamp": f"2026-01-0{1 + i % 3}T10:00:00Z"}
+                        for i in range(6)])
+    q = (st.daily_events_stream(st.event_stream(spark, d)).writeStream.outputMode("update").format("memory")
+         .queryName("daily_events_test").start())
+    try:
+        q.processAllAvailable()
+        rows = spark.sql("SELECT window.start AS s, events FROM daily_events_test").collect()
+        assert sum(r["events"] for r in rows) == 6 and len({r["s"] for r in rows}) == 3
+    finally:
+        q.stop()
