@@ -112,3 +112,12 @@ def bundle_candidates(rules: DataFrame, slow: DataFrame, min_lift: float = 1.0)
     best = both.groupBy(S.DESCRIPTION, "partner").agg(
         F.max("lift").alias("lift"), F.max("confidence").alias("confidence"), F.first("decline_pct").alias("decline_pct"))
     return best
+
+
+def basket_summary(sales: DataFrame, min_support: float = 0.01, min_confidence: float = 0.3) -> DataFrame:
+    """Invoices mined, multi-item invoices, and pair rules found before any top-N cut."""
+    b = baskets(sales)
+    rules = product_pairs(sales, min_support, min_confidence, None)
+    return b.agg(F.count(F.lit(1)).alias("invoices_analysed"),
+                 F.count_if(F.size("items") >= 2).alias("multi_item_invoices"),
+                 rules.agg(F.count(F.lit(1))).scalar().alias("pair_rules_found"))

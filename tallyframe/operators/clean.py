@@ -168,3 +168,22 @@ def require_columns(df: DataFrame, cols: list[str]) -> None:
 def empty_sales(spark) -> DataFrame:
     return spark.createDataFrame([], S.SALES_SCHEMA)
 
+
+
+def dataset_samples(df: DataFrame, n: int = 3) -> DataFrame:
+    """For every text column, its ``n`` smallest distinct non-null values joined with
+    ', '. Each column is its own ``distinct → orderBy → limit`` plan (a bounded
+    top-n per task), never a ``collect_set`` of a whole column."""
+    spark = df.sparkSession
+    parts = []
+    for c, t in df.dtypes:
+        if t != "string":
+            continue
+        top = df.select(F.col(f"`{c}`").alias("v")).where(F.col("v").isNotNull()).distinct().orderBy("v").limit(n)
+        parts.append(spark.range(1).select(
+            F.lit(c).alias("column_name"),
+            top.agg(F.array_join(F.array_sort(F.collect_list("v")), ", ")).scalar().alias("sample_values")))
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.unionByName(p)
+    return out

@@ -58,3 +58,10 @@ def _market_basket_rules(spark, sf):
 def _bundle_candidates(spark, sf):
     s = S(spark, sf)
     return op.bundle_candidates(op.product_pairs(s, MIN_SUPPORT, MIN_CONFIDENCE, None), prod.slow_movers(s, 3, 10))
+
+
+@register("basket_summary", with_sales(
+    "SELECT (SELECT COUNT(DISTINCT invoice) FROM b) AS invoices_analysed, (SELECT COUNT(*) FROM mb) AS multi_item_invoices, "
+    "(SELECT COUNT(*) FROM rules) AS pair_rules_found", *PAIR_CTES))
+def _basket_summary(spark, sf):
+    return op.basket_summary(S(spark, sf), MIN_SUPPORT, MIN_CONFIDENCE)

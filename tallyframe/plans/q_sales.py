@@ -409,3 +409,12 @@ def _search_products(spark, sf):
     "GROUP BY 1, 2)"))
 def _mom_growth_by_country(spark, sf):
     return op.mom_growth(S(spark, sf), by=("country",))
+
+
+@register("dataset_samples", with_sales(
+    "SELECT column_name, sample_values FROM (" + " UNION ALL ".join(
+        f"SELECT '{c}' AS column_name, (SELECT array_to_string(list(v ORDER BY v), ', ') FROM (SELECT DISTINCT {c} AS v "
+        f"FROM sales WHERE {c} IS NOT NULL ORDER BY v LIMIT 3)) AS sample_values"
+        for c in ["invoice", "stock_code", "description", "country"]) + ")"))
+def _dataset_samples(spark, sf):
+    return cl.dataset_samples(S(spark, sf))
