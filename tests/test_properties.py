@@ -112,3 +112,21 @@ def test_global_lag_matches_sorted_previous(spark, pairs, parts):
     for prev, cur in zip(order, order[1:]):
         expect[cur[0]] = (prev[1], prev[2])
     assert {r["k"]: (r["_prev_c"], r["_prev_t"]) for r in out} == expect
+
+
+raw_line = st.tuples(st.sampled_from(["1", "2", "C3"]), st.sampled_from(["A", "B", None]),
+                     st.sampled_from(["1", "-2", "x", None]), st.sampled_from(["2.5", "0", "-1", "abc", None]),
+                     st.sampled_from(["2020-01-01 10:00", "2020-01-02", "bad", None]),
+                     st.sampled_from(["17850.0", "13047", "", None]))
+
+
+@SETTINGS
+@given(st.lists(raw_line, min_size=1, max_size=30))
+def test_cleaning_report_balances(spark, rows):
+    from tallyframe.operators import clean
+    df = spark.createDataFrame(rows, "invoice string, description string, quantity string, price string, "
+                                     "invoice_date string, customer_id string")
+    rep = {r["rule"]: r["rows"] for r in clean.cleaning_report(df).collect()}
+    removed = rep["duplicate"] + rep["missing_customer_id"] + rep["missing_description"] + rep["non_positive_price"]
+    assert rep["total"] == len(rows) and rep["kept"] + removed == rep["total"]
+    assert clean.clean_sales(df).count() == rep["kept"]
