@@ -63,9 +63,19 @@ def revenue_forecast_linear(sales: DataFrame, horizon: int = 3) -> DataFrame:
 
 def linear_trend(sales: DataFrame) -> DataFrame:
     """One row: the linear forecast's trend word ('upward'/'downward'/'flat'), or
-    'insufficient data' with fewer than three revenue months."""
-    t = revenue_forecast_linear(sales, 1).agg(F.first("trend")).scalar()
-    return sales.sparkSession.range(1).select(F.coalesce(t, F.lit("insufficient data")).alias("forecast_trend"))
+    'insufficient data' with fewer than three revenue months.
+
+    Only the slope's sign is needed, so this is the least-squares sums alone (one
+    aggregate over the month series), without the forecast's median and outliers.
+    """
+    m = _monthly_pos(sales).filter(C("rev") > 0)
+    m = m.withColumn("x", (F.row_number().over(Window.orderBy("month_idx")) - 1).cast("bigint"))
+    st = m.agg(F.count(F.lit(1)).alias("n"), F.sum("rev").alias("sy"), F.sum(C("x") * C("rev")).alias("sxy"))
+    sx, sxx = index_sums(C("n"))
+    slope = ols_slope(C("n"), sx, C("sy"), sxx, C("sxy"))
+    word = (F.when(C("n") < 3, "insufficient data").when(slope > 0, "upward").when(slope < 0, "downward")
+            .otherwise("flat"))
+    return st.select(word.alias("forecast_trend"))
 
 
 # ── calendar ─────────────────────────────────────────────────────────────────

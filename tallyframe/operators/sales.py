@@ -219,7 +219,7 @@ def mom_growth(sales: DataFrame, by: Sequence[str] = ()) -> DataFrame:
 
 def latest_mom(sales: DataFrame) -> DataFrame:
     """One row: latest month-over-month % (0.0 when there is none)."""
-    g = mom_growth(sales).agg(F.max_by("growth_pct", "month")).scalar()
+    g = _growth(sales).filter(C("growth").isNotNull()).agg(F.max_by(rnd(C("growth"), 2), "month_idx")).scalar()
     return sales.sparkSession.range(1).select(F.coalesce(g, F.lit(0.0)).alias("latest_mom"))
 
 
