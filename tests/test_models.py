@@ -72,3 +72,14 @@ def test_forecast_by_series_shape(sales):
         assert r["predicted_gbp"] >= 0
         if r["model"] != "linear":
             assert r["lower_bound_gbp"] <= r["predicted_gbp"] <= r["upper_bound_gbp"]
+
+
+def test_churn_adjusted_clv_uses_every_score(sales):
+    cm = ml.churn_model(sales, 90, num_trees=10)
+    adj = ml.churn_adjusted_clv(sales, 12, cm)
+    scored = {r["customer_id"] for r in cm.scores.select("customer_id").collect()}
+    rows = adj.select("customer_id", "source", "churn_probability_pct", "survival_probability_pct").collect()
+    for r in rows:
+        assert r["source"] == ("random_forest" if r["customer_id"] in scored else "population_average")
+        assert abs(r["churn_probability_pct"] + r["survival_probability_pct"] - 100.0) < 0.11
+    assert sum(r["source"] == "random_forest" for r in rows) > 50      # not only a top-50 list
