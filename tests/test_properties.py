@@ -130,3 +130,34 @@ def test_cleaning_report_balances(spark, rows):
     removed = rep["duplicate"] + rep["missing_customer_id"] + rep["missing_description"] + rep["non_positive_price"]
     assert rep["total"] == len(rows) and rep["kept"] + removed == rep["total"]
     assert clean.clean_sales(df).count() == rep["kept"]
+
+
+@SETTINGS
+@given(st.lists(st.sets(st.sampled_from("abcde"), min_size=1, max_size=4), min_size=3, max_size=20))
+def test_association_rules_match_enumeration(mk_sales, baskets):
+    rows = [(i, it, 1, 1.0, "2020-01-01", i, "X") for i, b in enumerate(baskets, 1) for it in sorted(b)]
+    s = mk_sales(rows)
+    n = len(baskets)
+    min_sup, min_conf = 0.2, 0.4
+    min_count = math.ceil(min_sup * n)
+    items = sorted({x for b in baskets for x in b})
+    freq = {}
+    for k in range(1, len(items) + 1):
+        for combo in itertools.combinations(items, k):
+            c = sum(1 for b in baskets if set(combo) <= b)
+            if c >= min_count:
+                freq[combo] = c
+    want = {}
+    for iset, f in freq.items():
+        if len(iset) < 2:
+            continue
+        for r in range(1, len(iset)):
+            for ante in itertools.combinations(iset, r):
+                cons = tuple(x for x in iset if x not in ante)
+                conf = f / freq[ante]
+                if conf >= min_conf:
+                    want[(", ".join(ante), ", ".join(cons))] = round(conf, 3)
+    got = {(r["antecedent"], r["consequent"]): r["confidence"]
+           for r in basket.market_basket_rules(s, min_sup, min_conf, None).collect()}
+    assert set(got) == set(want)
+    assert all(abs(got[k] - want[k]) < 1e-9 for k in want)
