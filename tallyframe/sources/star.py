@@ -28,10 +28,15 @@ from tallyframe.functions.broadcast import bounded_broadcast
 
 STAR_TABLES = ("lineitem", "orders", "customer", "nation", "part")
 # Dimensions with at most this many rows are broadcast (≈ 100 MB for these two
-# narrow projections); larger ones are joined with a shuffle.
+# narrow projections); larger ones are joined with a shuffle. Override per session
+# with ``tallyframe.dim.broadcastRows``.
 DIM_BROADCAST_ROWS = 2_000_000
 
 
+def dim_broadcast_rows(spark: SparkSession) -> int:
+    return int(spark.conf.get("tallyframe.dim.broadcastRows", str(DIM_BROADCAST_ROWS)))
+
+
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 
@@ -96,9 +101,10 @@ def star_sales_raw(spark: SparkSession, sf_dir: str) -> DataFrame:
     na = bounded_broadcast(read_table(spark, sf_dir, "nation").select("n_nationkey", "n_name"), 10_000)
     pa = read_table(spark, sf_dir, "part").select("p_partkey", "p_name")
 
+    limit = dim_broadcast_rows(spark)
     cust_country = bounded_broadcast(
-        cu.join(na, cu.c_nationkey == na.n_nationkey, "inner").select("c_custkey", "n_name"), DIM_BROADCAST_ROWS)
-    pa = bounded_broadcast(pa, DIM_BROADCAST_ROWS)
+        cu.join(na, cu.c_nationkey == na.n_nationkey, "inner").select("c_custkey", "n_name"), limit)
+    pa = bounded_broadcast(pa, limit)
     j = (li.join(od, li.l_orderkey == od.o_orderkey, "inner")
            .join(cust_country, F.col("o_custkey") == F.col("c_custkey"), "inner")
            .join(pa, F.col("l_partkey") == F.col("p_partkey"), "inner"))

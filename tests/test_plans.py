@@ -74,3 +74,18 @@ def test_sql_views(spark):
     catalog.register_views(spark, "/root/testdata/sf0.001")
     got = spark.sql("SELECT COUNT(DISTINCT invoice) AS n FROM sales").first()["n"]
     assert got == entry.queries()["total_orders"](spark, "/root/testdata/sf0.001").first()["total_orders"]
+
+
+def test_dimension_broadcast_bound_is_respected(spark):
+    from tallyframe.sources.star import star_sales_raw
+    spark.conf.set("tallyframe.dim.broadcastRows", "10")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    spark.conf.set("spark.sql.adaptive.autoBroadcastJoinThreshold", "-1")
+    try:
+        p = plan(star_sales_raw(spark, "/root/testdata/sf0.001"))
+        # nation (25 rows) exceeds nothing; customer and part are above 10 rows → shuffle joins
+        assert "SortMergeJoin" in p
+    finally:
+        spark.conf.unset("tallyframe.dim.broadcastRows")
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+        spark.conf.unset("spark.sql.adaptive.autoBroadcastJoinThreshold")
