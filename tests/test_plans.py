@@ -83,7 +83,7 @@ def test_dimension_broadcast_bound_is_respected(spark):
     spark.conf.set("spark.sql.adaptive.autoBroadcastJoinThreshold", "-1")
     try:
         p = plan(star_sales_raw(spark, "/root/testdata/sf0.001"))
-        # nation (25 rows) exceeds nothing; customer and part are above 10 rows → shuffle joins
+        # nation keeps its fixed 10k-row bound; customer and part exceed 10 rows → sort-merge joins
         assert "SortMergeJoin" in p
     finally:
         spark.conf.unset("tallyframe.dim.broadcastRows")
