@@ -24,6 +24,19 @@ def top_k(df: DataFrame, order: Sequence[Column], k: int | None, by: Sequence[st
     return df.withColumn("_rn", F.row_number().over(w)).filter(F.col("_rn") <= k).drop("_rn")
 
 
+def _pinned(df: DataFrame) -> DataFrame:
+    """Checkpoint ``df`` (reliably, to the shared checkpoint folder) so that every
+    later read sees the same range partitions.
+
+    The per-range totals and the rows themselves are two reads of the ranged
+    frame; without a single materialized copy their agreement would rest on Spark
+    reusing the same exchange (range bounds are sampled per exchange).
+    """
+    from tallyframe.session import checkpoint_dir
+    checkpoint_dir(df.sparkSession)
+    return df.checkpoint(eager=True)
+
+
 def global_running(df: DataFrame, order: Sequence[Column], value: str,
                    partitions: int | None = None) -> DataFrame:
     """Add ``_pos`` (1-based position in ``order``) and ``_cum`` (running Σ value).
@@ -32,15 +45,17 @@ def global_running(df: DataFrame, order: Sequence[Column], value: str,
     the rows are range-partitioned on the order (balanced by sampling), running sums
     are taken per range, and each range is shifted by the totals of the ranges before
     it — a table with one row per range, broadcast back. ``order`` must be a total
-    order so that ties cannot straddle ranges ambiguously.
+    order so that ties cannot straddle ranges ambiguously. The ranged frame is
+    checkpointed once (see ``_pinned``), so the result does not depend on exchange
+    reuse. This runs a job when called.
     """
     spark = df.sparkSession
     n = partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
     ranged = df.repartitionByRange(n, *order).withColumn("_pid", F.spark_partition_id())
     w = Window.partitionBy("_pid").orderBy(*order)
-    local = (ranged
-             .withColumn("_lpos", F.row_number().over(w))
-             .withColumn("_lcum", F.sum(value).over(w.rowsBetween(Window.unboundedPreceding, 0))))
+    local = _pinned(ranged
+                    .withColumn("_lpos", F.row_number().over(w))
+                    .withColumn("_lcum", F.sum(value).over(w.rowsBetween(Window.unboundedPreceding, 0))))
     totals = local.groupBy("_pid").agg(F.count(F.lit(1)).alias("_n"), F.sum(value).alias("_s"))
     wp = Window.orderBy("_pid").rowsBetween(Window.unboundedPreceding, -1)
     offsets = totals.select(
@@ -69,6 +84,7 @@ def global_lag(df: DataFrame, order: Sequence[Column], cols: Sequence[str],
     local = ranged.withColumn("_rn", F.row_number().over(w))
     for c in cols:
         local = local.withColumn(f"_lp_{c}", F.lag(c).over(w))
+    local = _pinned(local)
     lasts = local.groupBy("_pid").agg(F.max_by(F.struct(*[F.col(c) for c in cols]), "_rn").alias("_last"))
     wp = Window.orderBy("_pid").rowsBetween(Window.unboundedPreceding, -1)
     prev_last = lasts.select("_pid", F.last("_last", ignorenulls=True).over(wp).alias("_pl"))

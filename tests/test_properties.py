@@ -161,3 +161,20 @@ def test_association_rules_match_enumeration(mk_sales, baskets):
            for r in basket.market_basket_rules(s, min_sup, min_conf, None).collect()}
     assert set(got) == set(want)
     assert all(abs(got[k] - want[k]) < 1e-9 for k in want)
+
+
+def test_global_running_without_exchange_reuse(spark):
+    vals = [(i, (i * 37) % 101) for i in range(300)]
+    df = spark.createDataFrame(vals, "k long, v long")
+    spark.conf.set("spark.sql.exchange.reuse", "false")
+    try:
+        out = {r["k"]: (r["_pos"], r["_cum"]) for r in
+               global_running(df, [F.col("v").desc(), F.col("k")], "v", partitions=7).collect()}
+    finally:
+        spark.conf.unset("spark.sql.exchange.reuse")
+    order = sorted(vals, key=lambda t: (-t[1], t[0]))
+    acc, expect = 0, {}
+    for pos, (k, v) in enumerate(order, 1):
+        acc += v
+        expect[k] = (pos, acc)
+    assert out == expect
