@@ -118,11 +118,12 @@ def vip_customers(sales: DataFrame, min_orders: int = 5, min_spend: float = 1000
             .select(CID, "total_orders", money(C("_rev")).alias("total_spend_gbp")))
 
 
-def new_customers_by_month(sales: DataFrame) -> DataFrame:
-    """Customers counted in the month of their first dated line."""
-    first = (_customers(sales).filter(C(S.INVOICE_DATE).isNotNull()).groupBy(CID)
+def new_customers_by_month(sales: DataFrame, by: tuple = ()) -> DataFrame:
+    """Customers counted in the month of their first dated line (per group of ``by``)."""
+    first = (_customers(sales).filter(C(S.INVOICE_DATE).isNotNull()).groupBy(*by, CID)
              .agg(F.min(S.INVOICE_DATE).alias("first")))
-    return first.groupBy(F.date_format("first", "yyyy-MM").alias("month")).agg(F.count(F.lit(1)).alias("new_customers"))
+    return (first.groupBy(*by, F.date_format("first", "yyyy-MM").alias("month"))
+            .agg(F.count(F.lit(1)).alias("new_customers")))
 
 
 def ref_scalar(sales: DataFrame) -> F.Column:
@@ -235,7 +236,7 @@ def customer_clv(sales: DataFrame, months: int = 12, customer_id: int | None = N
         ((C("orders") == 1) | (C("ad") == 0)).alias("insufficient_history"))
 
 
-def cohort_retention(sales: DataFrame, max_cohorts: int = 6, max_index: int = 6) -> DataFrame:
+def cohort_retention(sales: DataFrame, max_cohorts: int = 6, max_index: int = 6, by: tuple = ()) -> DataFrame:
     """Acquisition-month cohorts (first dated sales line) and the % of each cohort
     active 0..6 months later. Keeps cohorts with any later activity, then the last
     ``max_cohorts`` of them, then those with at least two points in months 0..6.
@@ -245,22 +246,23 @@ def cohort_retention(sales: DataFrame, max_cohorts: int = 6, max_index: int = 6)
     lines), so the work stays partitioned by customer.
     """
     max_cohorts = min(max(int(max_cohorts), 1), 12)
+    keys = list(by)
     cm = (_customers(sales).filter(is_sale() & C(S.INVOICE_DATE).isNotNull())
-          .select(CID, month_index().alias("m")).distinct())
-    first = cm.groupBy(CID).agg(F.min("m").alias("cohort_m"))
-    idx = cm.join(first, CID).withColumn("k", C("m") - C("cohort_m"))
-    counts = idx.groupBy("cohort_m", "k").agg(F.count(F.lit(1)).alias("n"))
-    per = counts.groupBy("cohort_m").agg(
+          .select(*keys, CID, month_index().alias("m")).distinct())
+    first = cm.groupBy(*keys, CID).agg(F.min("m").alias("cohort_m"))
+    idx = cm.join(first, [*keys, CID]).withColumn("k", C("m") - C("cohort_m"))
+    counts = idx.groupBy(*keys, "cohort_m", "k").agg(F.count(F.lit(1)).alias("n"))
+    per = counts.groupBy(*keys, "cohort_m").agg(
         F.sum(F.when(C("k") == 0, C("n"))).alias("size"),
         F.max("k").alias("max_k"),
         *[F.sum(F.when(C("k") == i, C("n"))).alias(f"c{i}") for i in range(max_index + 1)])
     followed = per.filter(C("max_k") >= 1)
-    last = top_k(followed, [C("cohort_m").desc()], max_cohorts)
+    last = top_k(followed, [C("cohort_m").desc()], max_cohorts, keys)
     pct = [rnd(div(C(f"c{i}") * 100, C("size")), 1).alias(f"month_{i}") for i in range(max_index + 1)]
     points = sum((F.when(C(f"c{i}").isNotNull(), F.lit(1)).otherwise(F.lit(0)) for i in range(max_index + 1)),
                  F.lit(0))
     return (last.filter(points >= 2)
-            .select(month_key_from_index(C("cohort_m")).alias("cohort"), C("size").alias("cohort_size"), *pct))
+            .select(*keys, month_key_from_index(C("cohort_m")).alias("cohort"), C("size").alias("cohort_size"), *pct))
 
 
 def repeat_purchase_probability(sales: DataFrame) -> DataFrame:

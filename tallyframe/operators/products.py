@@ -90,15 +90,15 @@ def product_lifecycle(sales: DataFrame, product: str | None = None) -> DataFrame
                     C("u0").alias("units_m1"))
 
 
-def product_return_rate(sales: DataFrame, limit: int | None = None) -> DataFrame:
+def product_return_rate(sales: DataFrame, limit: int | None = None, by: Sequence[str] = ()) -> DataFrame:
     """|returned units| / sold units × 100; never returned → 0, returns without sales → 100."""
-    per = _products(sales).groupBy(D).agg(
+    per = _products(sales).groupBy(*by, D).agg(
         sum0(F.when(is_sale(), C(S.QUANTITY))).cast("bigint").alias("units_sold"),
         F.abs(sum0(F.when(is_return(), C(S.QUANTITY)))).cast("bigint").alias("units_returned"))
     rate = (F.when(C("units_sold") > 0, C("units_returned") * 100 / C("units_sold"))
             .when(C("units_returned") > 0, F.lit(100.0)).otherwise(F.lit(0.0)))
     out = per.withColumn("return_rate_pct", rate)
-    return top_k(out, [C("return_rate_pct").desc(), C(D)], limit)
+    return top_k(out, [C("return_rate_pct").desc(), C(D)], limit, by)
 
 
 def product_line_refund_rate(sales: DataFrame, declining: DataFrame | None = None,

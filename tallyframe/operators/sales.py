@@ -295,11 +295,11 @@ def revenue_concentration(sales: DataFrame, top_share: float = 0.10) -> DataFram
 
 # ── customers (sales view) ───────────────────────────────────────────────────
 
-def repeat_customers_stats(sales: DataFrame) -> DataFrame:
+def repeat_customers_stats(sales: DataFrame, by: Sequence[str] = ()) -> DataFrame:
     """Customers with more than one distinct invoice: count, %, average invoices."""
-    per = (sales.filter(C(S.CUSTOMER_ID).isNotNull()).select(S.CUSTOMER_ID, S.INVOICE).distinct()
-           .groupBy(S.CUSTOMER_ID).agg(F.count(F.lit(1)).alias("n")))
-    return per.agg(
+    per = (sales.filter(C(S.CUSTOMER_ID).isNotNull()).select(*by, S.CUSTOMER_ID, S.INVOICE).distinct()
+           .groupBy(*by, S.CUSTOMER_ID).agg(F.count(F.lit(1)).alias("n")))
+    return _agg(per, by,
         F.count_if(C("n") > 1).alias("repeat_customers_count"),
         F.count(F.lit(1)).alias("total_customers"),
         rnd(div(F.count_if(C("n") > 1) * 100, F.count(F.lit(1))), 2).alias("repeat_pct"),

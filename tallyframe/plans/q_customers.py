@@ -192,3 +192,26 @@ def _repeat_purchase_probability(spark, sf):
     "invoice_date IS NOT NULL GROUP BY 1) r ON l.country IS NOT DISTINCT FROM r.country) GROUP BY country"))
 def _churn_risk_by_country(spark, sf):
     return op.churn_risk_summary(S(spark, sf), 90, by=("country",))
+
+
+@register("cohort_retention_by_country", with_sales(
+    "SELECT country, printf('%04d-%02d', cohort_m // 12, cohort_m % 12 + 1) AS cohort, size AS cohort_size, "
+    + ", ".join(f"ROUND(CAST(c{i} * 100 AS DOUBLE) / NULLIF(CAST(size AS DOUBLE), 0), 1) AS month_{i}" for i in range(7))
+    + " FROM (SELECT *, ROW_NUMBER() OVER (PARTITION BY country ORDER BY cohort_m DESC) AS rn FROM per WHERE max_k >= 1) "
+    "WHERE rn <= 6 AND " + " + ".join(f"(CASE WHEN c{i} IS NOT NULL THEN 1 ELSE 0 END)" for i in range(7)) + " >= 2",
+    f"cm AS (SELECT DISTINCT country, customer_id, {MONTH_IDX} AS m FROM sales WHERE customer_id IS NOT NULL AND quantity > 0 "
+    "AND invoice_date IS NOT NULL)",
+    "fm AS (SELECT country, customer_id, MIN(m) AS cohort_m FROM cm GROUP BY 1, 2)",
+    "ct AS (SELECT cm.country, cohort_m, m - cohort_m AS k, COUNT(*) AS n FROM cm JOIN fm ON cm.customer_id = fm.customer_id "
+    "AND cm.country IS NOT DISTINCT FROM fm.country GROUP BY 1, 2, 3)",
+    "per AS (SELECT country, cohort_m, CAST(SUM(CASE WHEN k = 0 THEN n END) AS BIGINT) AS size, MAX(k) AS max_k, "
+    + ", ".join(f"SUM(CASE WHEN k = {i} THEN n END) AS c{i}" for i in range(7)) + " FROM ct GROUP BY country, cohort_m)"))
+def _cohort_by_country(spark, sf):
+    return op.cohort_retention(S(spark, sf), 6, by=("country",))
+
+
+@register("new_customers_by_month_country", with_sales(
+    "SELECT country, strftime(f, '%Y-%m') AS month, COUNT(*) AS new_customers FROM (SELECT country, customer_id, "
+    "MIN(invoice_date) AS f FROM sales WHERE customer_id IS NOT NULL AND invoice_date IS NOT NULL GROUP BY 1, 2) GROUP BY 1, 2"))
+def _new_customers_country(spark, sf):
+    return op.new_customers_by_month(S(spark, sf), by=("country",))

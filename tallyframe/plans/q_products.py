@@ -177,3 +177,15 @@ def _product_demand_trend(spark, sf):
     "(SELECT unnest(range(1, 4)) AS step)", *DEMAND_CTES))
 def _demand_forecast(spark, sf):
     return op.demand_forecast_by_product(S(spark, sf), 3)
+
+
+@register("product_return_rate_by_country", with_sales(
+    "SELECT country, description, units_sold, units_returned, return_rate_pct FROM (SELECT *, ROW_NUMBER() OVER ("
+    "PARTITION BY country ORDER BY return_rate_pct DESC, description) AS rn FROM (SELECT country, description, units_sold, "
+    "units_returned, CASE WHEN units_sold > 0 THEN CAST(units_returned * 100 AS DOUBLE) / CAST(units_sold AS DOUBLE) "
+    "WHEN units_returned > 0 THEN 100.0 ELSE 0.0 END AS return_rate_pct FROM (SELECT country, description, "
+    "CAST(COALESCE(SUM(CASE WHEN quantity > 0 THEN quantity END), 0) AS BIGINT) AS units_sold, "
+    "CAST(abs(COALESCE(SUM(CASE WHEN quantity < 0 THEN quantity END), 0)) AS BIGINT) AS units_returned FROM sales "
+    "WHERE description IS NOT NULL GROUP BY 1, 2))) WHERE rn <= 3"))
+def _return_rate_by_country(spark, sf):
+    return op.product_return_rate(S(spark, sf), 3, by=("country",))

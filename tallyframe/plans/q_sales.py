@@ -418,3 +418,13 @@ def _mom_growth_by_country(spark, sf):
         for c in ["invoice", "stock_code", "description", "country"]) + ")"))
 def _dataset_samples(spark, sf):
     return cl.dataset_samples(S(spark, sf))
+
+
+@register("repeat_customers_by_country", with_sales(
+    "SELECT country, COUNT(*) FILTER (WHERE n > 1) AS repeat_customers_count, COUNT(*) AS total_customers, "
+    "ROUND(CAST(COUNT(*) FILTER (WHERE n > 1) * 100 AS DOUBLE) / NULLIF(CAST(COUNT(*) AS DOUBLE), 0), 2) AS repeat_pct, "
+    "ROUND(COALESCE(CAST(SUM(CASE WHEN n > 1 THEN n END) AS DOUBLE) / NULLIF(CAST(COUNT(*) FILTER (WHERE n > 1) AS DOUBLE), 0), 0.0), 1) "
+    "AS avg_orders_per_returning_customer FROM (SELECT country, customer_id, COUNT(DISTINCT invoice) AS n FROM sales "
+    "WHERE customer_id IS NOT NULL GROUP BY 1, 2) GROUP BY country"))
+def _repeat_by_country(spark, sf):
+    return op.repeat_customers_stats(S(spark, sf), by=("country",))
