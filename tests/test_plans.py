@@ -42,9 +42,23 @@ def test_column_pruning(spark):
     assert "IsNull(_rule)" in p.split("PushedFilters: [", 1)[1].split("]", 1)[0]
 
 
-def test_global_order_is_range_partitioned(spark):
-    p = plan(entry.queries()["pareto_products_count"](spark, SF))
-    assert "rangepartitioning" in p.lower()
+def test_global_order_is_range_partitioned(spark, monkeypatch):
+    """The running sum is computed on range partitions of the order (captured from the
+    frame that is checkpointed), and it is exact."""
+    from pyspark.sql import functions as F
+    import tallyframe.functions.ordered as ordered
+    seen = []
+    real = ordered._pinned
+
+    def spy(df):
+        seen.append(plan(df))
+        return real(df)
+
+    monkeypatch.setattr(ordered, "_pinned", spy)
+    df = spark.createDataFrame([(i, (i * 7919) % 1000) for i in range(2000)], "k long, v long")
+    out = ordered.global_running(df, [F.col("v").desc(), F.col("k")], "v", partitions=6).collect()
+    assert seen and "rangepartitioning" in seen[0].lower()
+    assert sorted(r["_pos"] for r in out) == list(range(1, 2001))
 
 
 FLAGGED = ("CartesianProduct", "BroadcastNestedLoopJoin", "BatchEvalPython", "ArrowEvalPython")
