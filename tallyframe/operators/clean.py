@@ -187,3 +187,9 @@ def dataset_samples(df: DataFrame, n: int = 3) -> DataFrame:
     for p in parts[1:]:
         out = out.unionByName(p)
     return out
+
+
+def dataset_sample_rows(df: DataFrame, n: int = 5) -> DataFrame:
+    """``n`` example rows, the first by invoice and stock code (a bounded top-n)."""
+    keys = [c for c in ("invoice", "stock_code") if c in df.columns] or df.columns[:1]
+    return df.orderBy(*keys).limit(n)

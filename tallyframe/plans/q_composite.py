@@ -182,9 +182,8 @@ def _promotion_gate(spark, sf):
 @register("model_uncertainty_flags", None)
 def _model_uncertainty_flags(spark, sf):
     from tallyframe.operators import customers as cu
-    from tallyframe.operators import forecast as fc
     from tallyframe.operators import products as pr
-    from tallyframe.plans.q_models import churn
+    from tallyframe.plans.q_models import churn, seasonal
     s = S(spark, sf)
-    return he.model_uncertainty_flags(fc.revenue_forecast(s, 3), cu.customer_clv(s), churn(spark, sf).metrics,
+    return he.model_uncertainty_flags(seasonal(spark, sf, 3), cu.customer_clv(s), churn(spark, sf).metrics,
                                       cu.cohort_retention(s), pr.product_demand_trend(s))

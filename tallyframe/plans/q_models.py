@@ -18,6 +18,13 @@ def churn(spark, sf, days: int = 90):
     return _MODELS[key]
 
 
+def seasonal(spark, sf, horizon: int = 3):
+    key = ("seasonal", id(spark), sf, horizon)
+    if key not in _MODELS:
+        _MODELS[key] = fc.revenue_forecast(S(spark, sf), horizon)
+    return _MODELS[key]
+
+
 def segments(spark, sf, k=None):
     key = ("seg", id(spark), sf, k)
     if key not in _MODELS:
@@ -100,7 +107,7 @@ def _revenue_forecast_linear(spark, sf):
 
 @register("revenue_forecast", None)
 def _revenue_forecast(spark, sf):
-    return fc.revenue_forecast(S(spark, sf), 3)
+    return seasonal(spark, sf, 3)
 
 
 @register("revenue_forecast_by_country", None)
