@@ -18,7 +18,7 @@ import tempfile
 
 sys.path.insert(0, os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
 
-OPS = ["avg_days_between_purchases", "customer_profiles", "rfm_features", "customer_clv", "cohort_retention",
+OPS = ["clean_dedupe", "avg_days_between_purchases", "customer_profiles", "rfm_features", "customer_clv", "cohort_retention",
        "repeat_customers_stats", "at_risk_customers", "customer_product_units"]
 
 
@@ -40,7 +40,8 @@ def main():
     s = catalog.sales(spark, sf)
     hot = (F.abs(F.xxhash64("invoice")) % 3) == 0
     skewed = s.withColumn("customer_id", F.when(hot, F.lit(0)).otherwise(F.col("customer_id")))
-    fns = {"avg_days_between_purchases": sales.avg_days_between_purchases, "customer_profiles": customers.customer_profiles,
+    from tallyframe.operators.clean import audited
+    fns = {"clean_dedupe": lambda d: audited(d), "avg_days_between_purchases": sales.avg_days_between_purchases, "customer_profiles": customers.customer_profiles,
            "rfm_features": customers.rfm_features, "customer_clv": customers.customer_clv,
            "cohort_retention": customers.cohort_retention, "repeat_customers_stats": sales.repeat_customers_stats,
            "at_risk_customers": lambda d: customers.at_risk_customers(d, 90, None),
