@@ -19,7 +19,10 @@ import tempfile
 sys.path.insert(0, os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
 
 OPS = ["clean_dedupe", "avg_days_between_purchases", "customer_profiles", "rfm_features", "customer_clv", "cohort_retention",
-       "repeat_customers_stats", "at_risk_customers", "customer_product_units"]
+       "repeat_customers_stats", "at_risk_customers", "customer_product_units",
+       "product_sales_trend", "product_demand_trend", "product_return_rate", "best_seller_per_country",
+       "product_popularity", "high_growth_products"]
+PRODUCT_OPS = OPS[9:]
 
 
 def main():
@@ -35,7 +38,7 @@ def main():
              .config("spark.sql.adaptive.coalescePartitions.enabled", "false")
              .config("spark.sql.session.timeZone", "UTC").getOrCreate())
     spark.sparkContext.setLogLevel("ERROR")
-    from tallyframe.operators import customers, sales
+    from tallyframe.operators import customers, products, sales
     from tallyframe.sources import catalog
     s = catalog.sales(spark, sf)
     hot = (F.abs(F.xxhash64("invoice")) % 3) == 0
@@ -45,10 +48,17 @@ def main():
            "rfm_features": customers.rfm_features, "customer_clv": customers.customer_clv,
            "cohort_retention": customers.cohort_retention, "repeat_customers_stats": sales.repeat_customers_stats,
            "at_risk_customers": lambda d: customers.at_risk_customers(d, 90, None),
-           "customer_product_units": customers.customer_product_units}
+           "customer_product_units": customers.customer_product_units,
+           "product_sales_trend": products.product_sales_trend, "product_demand_trend": products.product_demand_trend,
+           "product_return_rate": products.product_return_rate,
+           "best_seller_per_country": products.best_seller_per_country,
+           "product_popularity": lambda d: products.product_popularity(d, None),
+           "high_growth_products": lambda d: products.high_growth_products(d, 3, None)}
+    hot_product = skewed.withColumn("description", F.when(hot, F.lit("hot product")).otherwise(F.col("description")))
     for name in OPS:
         spark.sparkContext.setJobGroup(name, name)
-        fns[name](skewed).write.format("noop").mode("overwrite").save()
+        data = hot_product if name in PRODUCT_OPS else skewed
+        fns[name](data).write.format("noop").mode("overwrite").save()
     spark.stop()
     tasks, groups = {}, {}
     for path in [p for p in glob.glob(os.path.join(logdir, "**", "*"), recursive=True) if os.path.isfile(p)]:
@@ -80,7 +90,7 @@ def main():
     rows.append("")
     rows.append("Largest single-task share per operator: " +
                 ", ".join(f"`{k}` {v:.1%}" for k, v in worst.items()) +
-                " (the hot customer alone holds about a third of all lines).")
+                " (the hot customer, or for product operators the hot product, alone holds about a third of all lines).")
     text = "\n".join(rows)
     print(text)
     if out:
