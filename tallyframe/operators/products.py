@@ -196,34 +196,40 @@ def demand_forecast_by_product(sales: DataFrame, horizon: int = 3) -> DataFrame:
                     rnd(F.greatest(pred, F.lit(0.0)), 2).alias("predicted_units"))
 
 
-def _window_units(sales: DataFrame, months: int) -> DataFrame:
+def _window_units(sales: DataFrame, months: int, by: Sequence[str] = ()) -> DataFrame:
     """Per product: sales units in [ref − m, ref] and [ref − 2m, ref − m).
 
     ``ref`` is the latest timestamp of any dated line; both windows are conditional
     sums of one aggregate (no join between the windows).
     """
     dated = sales.filter(C(S.INVOICE_DATE).isNotNull())
-    ref = dated.agg(F.max(S.INVOICE_DATE)).scalar()
-    cut = months_before(ref, months)
-    pos = (_products(dated).filter(is_sale())
-           .withColumn("cut", cut).withColumn("pcut", months_before(cut, months)))
+    if by:
+        # each group against its own latest date (a small per-group table joined back)
+        refs = dated.groupBy(*by).agg(F.max(S.INVOICE_DATE).alias("_ref"))
+        pos = _products(dated).filter(is_sale()).join(refs, list(by))
+        pos = pos.withColumn("cut", months_before(C("_ref"), months))
+    else:
+        ref = dated.agg(F.max(S.INVOICE_DATE)).scalar()
+        pos = _products(dated).filter(is_sale()).withColumn("cut", months_before(ref, months))
+    pos = pos.withColumn("pcut", months_before(C("cut"), months))
     recent = C(S.INVOICE_DATE) >= C("cut")
     prior = (C(S.INVOICE_DATE) >= C("pcut")) & (C(S.INVOICE_DATE) < C("cut"))
-    per = pos.groupBy(D).agg(F.sum(F.when(recent, C(S.QUANTITY))).alias("recent_units"),
-                            F.sum(F.when(prior, C(S.QUANTITY))).alias("prior_units"))
+    per = pos.groupBy(*by, D).agg(F.sum(F.when(recent, C(S.QUANTITY))).alias("recent_units"),
+                                 F.sum(F.when(prior, C(S.QUANTITY))).alias("prior_units"))
     return per.filter(C("recent_units").isNotNull() & C("prior_units").isNotNull() & (C("prior_units") > 0))
 
 
-def high_growth_products(sales: DataFrame, months: int = 3, limit: int | None = 5) -> DataFrame:
-    per = _window_units(sales, min(months, 6))
+def high_growth_products(sales: DataFrame, months: int = 3, limit: int | None = 5,
+                         by: Sequence[str] = ()) -> DataFrame:
+    per = _window_units(sales, min(months, 6), by)
     g = rnd((C("recent_units") - C("prior_units")).cast("double") / C("prior_units").cast("double") * F.lit(100.0), 1)
-    out = per.select(D, "recent_units", "prior_units", g.alias("growth_pct"))
-    return top_k(out, [C("growth_pct").desc(), C(D)], limit)
+    out = per.select(*by, D, "recent_units", "prior_units", g.alias("growth_pct"))
+    return top_k(out, [C("growth_pct").desc(), C(D)], limit, by)
 
 
-def slow_movers(sales: DataFrame, months: int = 3, limit: int | None = 10) -> DataFrame:
-    per = _window_units(sales, min(months, 6))
+def slow_movers(sales: DataFrame, months: int = 3, limit: int | None = 10, by: Sequence[str] = ()) -> DataFrame:
+    per = _window_units(sales, min(months, 6), by)
     g = rnd((C("prior_units") - C("recent_units")).cast("double") / C("prior_units").cast("double") * F.lit(100.0), 1)
-    out = per.select(D, "recent_units", "prior_units", g.alias("decline_pct"))
-    return top_k(out, [C("decline_pct").desc(), C(D)], limit)
+    out = per.select(*by, D, "recent_units", "prior_units", g.alias("decline_pct"))
+    return top_k(out, [C("decline_pct").desc(), C(D)], limit, by)
 

@@ -189,3 +189,18 @@ def _demand_forecast(spark, sf):
     "WHERE description IS NOT NULL GROUP BY 1, 2))) WHERE rn <= 3"))
 def _return_rate_by_country(spark, sf):
     return op.product_return_rate(S(spark, sf), 3, by=("country",))
+
+
+@register("slow_movers_by_country", with_sales(
+    "SELECT country, description, recent_units, prior_units, decline_pct FROM (SELECT *, ROW_NUMBER() OVER (PARTITION BY "
+    "country ORDER BY decline_pct DESC, description) AS rn FROM (SELECT country, description, CAST(recent_units AS BIGINT) "
+    "AS recent_units, CAST(prior_units AS BIGINT) AS prior_units, ROUND(CAST(prior_units - recent_units AS DOUBLE) / "
+    "CAST(prior_units AS DOUBLE) * 100.0, 1) AS decline_pct FROM (SELECT s.country, description, "
+    "SUM(CASE WHEN invoice_date >= cut THEN quantity END) AS recent_units, "
+    "SUM(CASE WHEN invoice_date >= pcut AND invoice_date < cut THEN quantity END) AS prior_units FROM sales s JOIN ("
+    "SELECT country, MAX(invoice_date) - INTERVAL 3 MONTH AS cut, MAX(invoice_date) - INTERVAL 3 MONTH - INTERVAL 3 MONTH "
+    "AS pcut FROM sales WHERE invoice_date IS NOT NULL GROUP BY country) r ON s.country IS NOT DISTINCT FROM r.country "
+    "WHERE description IS NOT NULL AND invoice_date IS NOT NULL AND quantity > 0 GROUP BY 1, 2) "
+    "WHERE recent_units IS NOT NULL AND prior_units IS NOT NULL AND prior_units > 0)) WHERE rn <= 3"))
+def _slow_movers_by_country(spark, sf):
+    return op.slow_movers(S(spark, sf), 3, 3, by=("country",))
