@@ -177,28 +177,33 @@ def at_risk_customers(sales: DataFrame, days: int = 90, limit: int | None = 15,
                       day_key(C("last")).alias("last_purchase_date"))
 
 
-def rfm_features(sales: DataFrame) -> DataFrame:
+def rfm_features(sales: DataFrame, by: tuple = ()) -> DataFrame:
     """Recency / frequency / monetary features per customer (sales lines, dated).
 
     recency_days and purchase_span_days are floored elapsed days; purchase_count is
     units; return_rate = return invoices / frequency; std_basket_size is the sample
     sd of invoice totals (0 for one invoice), from exact decimal moment sums.
     """
+    keys = list(by)
     dated = sales.filter(C(S.INVOICE_DATE).isNotNull())
-    ref = ref_scalar(dated)
     pos = _customers(dated).filter(is_sale())
-    inv = pos.groupBy(CID, S.INVOICE).agg(F.sum(S.REVENUE).cast("decimal(18,2)").alias("r"),
+    inv = pos.groupBy(*keys, CID, S.INVOICE).agg(F.sum(S.REVENUE).cast("decimal(18,2)").alias("r"),
                                           F.min(S.INVOICE_DATE).alias("t0"), F.max(S.INVOICE_DATE).alias("t1"),
                                           F.sum(S.QUANTITY).alias("q"))
-    per = inv.groupBy(CID).agg(
+    per = inv.groupBy(*keys, CID).agg(
         F.max("t1").alias("last"), F.min("t0").alias("first"), F.count(F.lit(1)).alias("frequency"),
         F.sum("r").alias("mon"), F.sum(C("r") * C("r")).alias("mon2"), F.sum("q").alias("purchase_count"))
     per = per.filter(C("mon") > 0)
-    returns = (_customers(sales).filter(is_return()).select(CID, S.INVOICE).distinct()
-               .groupBy(CID).agg(F.count(F.lit(1)).alias("ret_inv")))
-    out = per.withColumn("ref", ref).join(returns, CID, "left")
+    returns = (_customers(sales).filter(is_return()).select(*keys, CID, S.INVOICE).distinct()
+               .groupBy(*keys, CID).agg(F.count(F.lit(1)).alias("ret_inv")))
+    if keys:
+        # each group against its own latest dated line
+        refs = dated.groupBy(*keys).agg(F.max(S.INVOICE_DATE).alias("ref"))
+        out = per.join(refs, keys).join(returns, [*keys, CID], "left")
+    else:
+        out = per.withColumn("ref", ref_scalar(dated)).join(returns, CID, "left")
     return out.select(
-        CID,
+        *keys, CID,
         elapsed_days(C("last"), C("ref")).alias("recency_days"),
         C("frequency"),
         C("mon").cast("double").alias("monetary"),
@@ -220,7 +225,7 @@ def customer_clv(sales: DataFrame, months: int = 12, customer_id: int | None = N
     if customer_id is not None:
         df = df.filter(C(CID) == F.lit(int(customer_id)))
     inv = df.filter(is_sale()).groupBy(CID, S.INVOICE).agg(F.sum(S.REVENUE).alias("r"))
-    per = inv.groupBy(CID).agg(F.count(F.lit(1)).alias("orders"), F.sum("r").alias("hist"))
+    per = inv.groupBy(*keys, CID).agg(F.count(F.lit(1)).alias("orders"), F.sum("r").alias("hist"))
     span = df.groupBy(CID).agg(F.min(S.INVOICE_DATE).alias("f"), F.max(S.INVOICE_DATE).alias("l"))
     j = per.join(span, CID).withColumn("aov", div(C("hist"), C("orders"))).filter(C("aov") != 0)
     active_days = F.coalesce(elapsed_days(C("f"), C("l")), F.lit(0))

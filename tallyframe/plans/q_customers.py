@@ -215,3 +215,21 @@ def _cohort_by_country(spark, sf):
     "MIN(invoice_date) AS f FROM sales WHERE customer_id IS NOT NULL AND invoice_date IS NOT NULL GROUP BY 1, 2) GROUP BY 1, 2"))
 def _new_customers_country(spark, sf):
     return op.new_customers_by_month(S(spark, sf), by=("country",))
+
+
+@register("rfm_features_by_country", with_sales(
+    f"SELECT country, customer_id, {DAYS.format(a='last', b='ref')} AS recency_days, frequency, CAST(mon AS DOUBLE) AS monetary, "
+    "CAST(mon AS DOUBLE) / CAST(frequency AS DOUBLE) AS avg_basket_size, CAST(purchase_count AS BIGINT) AS purchase_count, "
+    "COALESCE(CAST(COALESCE(ret_inv, 0) AS DOUBLE) / NULLIF(CAST(frequency AS DOUBLE), 0), 0.0) AS return_rate, "
+    f"{DAYS.format(a='first', b='last')} AS purchase_span_days, "
+    "COALESCE(CASE WHEN frequency >= 2 THEN sqrt(greatest((CAST(mon2 AS DOUBLE) - CAST(mon AS DOUBLE) * CAST(mon AS DOUBLE) "
+    "/ CAST(frequency AS DOUBLE)) / (CAST(frequency AS DOUBLE) - 1.0), 0.0)) END, 0.0) AS std_basket_size "
+    "FROM (SELECT country, customer_id, MAX(t1) AS last, MIN(t0) AS first, COUNT(*) AS frequency, SUM(r) AS mon, "
+    "SUM(r * r) AS mon2, SUM(q) AS purchase_count FROM (SELECT country, customer_id, invoice, CAST(SUM(revenue) AS DECIMAL(18,2)) AS r, "
+    "MIN(invoice_date) AS t0, MAX(invoice_date) AS t1, SUM(quantity) AS q FROM sales WHERE customer_id IS NOT NULL AND "
+    "invoice_date IS NOT NULL AND quantity > 0 GROUP BY 1, 2, 3) GROUP BY country, customer_id HAVING SUM(r) > 0) "
+    "JOIN (SELECT country, MAX(invoice_date) AS ref FROM sales WHERE invoice_date IS NOT NULL GROUP BY country) USING (country) "
+    "LEFT JOIN (SELECT country, customer_id, COUNT(DISTINCT invoice) AS ret_inv FROM sales WHERE customer_id IS NOT NULL "
+    "AND quantity < 0 GROUP BY 1, 2) USING (country, customer_id)"))
+def _rfm_by_country(spark, sf):
+    return op.rfm_features(S(spark, sf), by=("country",))
