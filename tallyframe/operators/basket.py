@@ -67,13 +67,18 @@ def _rules_from_itemsets(fi: DataFrame, n, min_confidence: float) -> DataFrame:
     return r.filter(C("confidence") >= F.lit(float(min_confidence)))
 
 
+def mined(sales: DataFrame, min_support: float, multi_item_only: bool) -> tuple[DataFrame, object]:
+    """(frequent itemsets, basket count) — the fitted part of basket analysis, which
+    callers may keep and pass back in (``itemsets=``) for other thresholds or cuts."""
+    b = baskets(sales, multi_item_only)
+    return frequent_itemsets(b, min_support), b.agg(F.count(F.lit(1))).scalar()
+
+
 def market_basket_rules(sales: DataFrame, min_support: float = 0.01, min_confidence: float = 0.3,
-                        limit: int | None = 15) -> DataFrame:
+                        limit: int | None = 15, itemsets: tuple | None = None) -> DataFrame:
     """Association rules over all invoices (single-item baskets count in the
     denominators), any-size antecedent and consequent, by lift descending."""
-    b = baskets(sales)
-    n = b.agg(F.count(F.lit(1))).scalar()
-    fi = frequent_itemsets(b, min_support)
+    fi, n = itemsets or mined(sales, min_support, False)
     r = _rules_from_itemsets(fi, n, min_confidence)
     out = r.select(F.array_join("antecedent_items", ", ").alias("antecedent"),
                    F.array_join("consequent_items", ", ").alias("consequent"),
@@ -83,15 +88,14 @@ def market_basket_rules(sales: DataFrame, min_support: float = 0.01, min_confide
 
 
 def product_pairs(sales: DataFrame, min_support: float = 0.01, min_confidence: float = 0.3,
-                  limit: int | None = 15) -> DataFrame:
+                  limit: int | None = 15, itemsets: tuple | None = None) -> DataFrame:
     """Pair rules in both directions; denominators count multi-item invoices only.
 
     Pairs whose support is below ``min_support`` are pruned by FP-Growth (counts of
     at least ceil(min_support · n) are kept).
     """
-    b = baskets(sales, multi_item_only=True)
-    n = b.agg(F.count(F.lit(1))).scalar()
-    fi = frequent_itemsets(b, min_support).filter(F.size("items") <= 2)
+    fi, n = itemsets or mined(sales, min_support, True)
+    fi = fi.filter(F.size("items") <= 2)
     r = _rules_from_itemsets(fi, n, min_confidence)
     out = r.select(C("antecedent_items")[0].alias("antecedent"), C("consequent_items")[0].alias("consequent"),
                    rnd(C("support"), 4).alias("support"), rnd(C("confidence"), 3).alias("confidence"),
@@ -114,10 +118,11 @@ def bundle_candidates(rules: DataFrame, slow: DataFrame, min_lift: float = 1.0)
     return best
 
 
-def basket_summary(sales: DataFrame, min_support: float = 0.01, min_confidence: float = 0.3) -> DataFrame:
+def basket_summary(sales: DataFrame, min_support: float = 0.01, min_confidence: float = 0.3,
+                   itemsets: tuple | None = None) -> DataFrame:
     """Invoices mined, multi-item invoices, and pair rules found before any top-N cut."""
     b = baskets(sales)
-    rules = product_pairs(sales, min_support, min_confidence, None)
+    rules = product_pairs(sales, min_support, min_confidence, None, itemsets)
     return b.agg(F.count(F.lit(1)).alias("invoices_analysed"),
                  F.count_if(F.size("items") >= 2).alias("multi_item_invoices"),
                  rules.agg(F.count(F.lit(1))).scalar().alias("pair_rules_found"))

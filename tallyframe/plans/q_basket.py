@@ -32,20 +32,32 @@ PAIR_CTES = [
 ]
 
 
+_MINED: dict = {}
+
+
+def mined(spark, sf, multi_item_only: bool):
+    """FP-Growth itemsets kept per (session, data, support, basket kind), like the
+    fitted models in q_models."""
+    key = (id(spark), sf, MIN_SUPPORT, multi_item_only)
+    if key not in _MINED:
+        _MINED[key] = op.mined(S(spark, sf), MIN_SUPPORT, multi_item_only)
+    return _MINED[key]
+
+
 @register("product_pairs", with_sales(
     "SELECT * FROM rules ORDER BY lift DESC, antecedent, consequent LIMIT 15", *PAIR_CTES))
 def _product_pairs(spark, sf):
-    return op.product_pairs(S(spark, sf), MIN_SUPPORT, MIN_CONFIDENCE, 15)
+    return op.product_pairs(S(spark, sf), MIN_SUPPORT, MIN_CONFIDENCE, 15, mined(spark, sf, True))
 
 
 @register("product_pairs_all", with_sales("SELECT * FROM rules", *PAIR_CTES))
 def _product_pairs_all(spark, sf):
-    return op.product_pairs(S(spark, sf), MIN_SUPPORT, MIN_CONFIDENCE, None)
+    return op.product_pairs(S(spark, sf), MIN_SUPPORT, MIN_CONFIDENCE, None, mined(spark, sf, True))
 
 
 @register("market_basket_rules", None)
 def _market_basket_rules(spark, sf):
-    return op.market_basket_rules(S(spark, sf), MIN_SUPPORT, MIN_CONFIDENCE, 15)
+    return op.market_basket_rules(S(spark, sf), MIN_SUPPORT, MIN_CONFIDENCE, 15, mined(spark, sf, False))
 
 
 @register("bundle_candidates", with_sales(
@@ -57,11 +69,12 @@ def _market_basket_rules(spark, sf):
     *PAIR_CTES, *WINDOW_CTES))
 def _bundle_candidates(spark, sf):
     s = S(spark, sf)
-    return op.bundle_candidates(op.product_pairs(s, MIN_SUPPORT, MIN_CONFIDENCE, None), prod.slow_movers(s, 3, 10))
+    return op.bundle_candidates(op.product_pairs(s, MIN_SUPPORT, MIN_CONFIDENCE, None, mined(spark, sf, True)),
+                                prod.slow_movers(s, 3, 10))
 
 
 @register("basket_summary", with_sales(
     "SELECT (SELECT COUNT(DISTINCT invoice) FROM b) AS invoices_analysed, (SELECT COUNT(*) FROM mb) AS multi_item_invoices, "
     "(SELECT COUNT(*) FROM rules) AS pair_rules_found", *PAIR_CTES))
 def _basket_summary(spark, sf):
-    return op.basket_summary(S(spark, sf), MIN_SUPPORT, MIN_CONFIDENCE)
+    return op.basket_summary(S(spark, sf), MIN_SUPPORT, MIN_CONFIDENCE, mined(spark, sf, True))
