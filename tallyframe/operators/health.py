@@ -18,6 +18,11 @@ from tallyframe.operators import sales as sa
 
 C = F.col
 
+
+def _pin(df: DataFrame) -> DataFrame:
+    from tallyframe.functions.ordered import _pinned
+    return _pinned(df)
+
 # Thresholds of the traffic lights and severity rules.
 MOM_GREEN, MOM_YELLOW = 5.0, -5.0
 CHURN_GREEN, CHURN_YELLOW = 30.0, 55.0
@@ -62,8 +67,9 @@ def signals(sales: DataFrame, days: int = 90, new_months: int = 3) -> DataFrame:
     spark = sales.sparkSession
     mom = sa.latest_mom(sales).select("latest_mom").scalar()
     trend = fc.linear_trend(sales).select("forecast_trend").scalar()
-    conc = sa.revenue_concentration(sales).select("concentration_pct").scalar()
-    roll = cu.customer_rollup(sales)
+    # One per-customer rollup, checkpointed once, feeds every customer-level signal.
+    roll = _pin(cu.customer_rollup(sales))
+    conc = sa.concentration_of(roll.select(S.CUSTOMER_ID, C("revenue").alias("rev"))).select("concentration_pct").scalar()
     ref = cu.ref_scalar(sales)
     ref_c = roll.agg(F.max("last")).scalar()
     cut = months_before(ref_c, new_months)

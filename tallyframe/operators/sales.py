@@ -284,6 +284,11 @@ def revenue_concentration(sales: DataFrame, top_share: float = 0.10) -> DataFram
     """Share of net revenue from the top max(1, ⌊10 % · customers⌋) customers."""
     per = (sales.filter(C(S.CUSTOMER_ID).isNotNull()).groupBy(S.CUSTOMER_ID)
            .agg(F.sum(S.REVENUE).alias("rev")))
+    return concentration_of(per, top_share)
+
+
+def concentration_of(per: DataFrame, top_share: float = 0.10) -> DataFrame:
+    """Concentration from a per-customer (customer_id, rev) frame."""
     n = per.agg(F.count(F.lit(1))).scalar()
     tot = per.agg(F.sum("rev")).scalar()
     k = F.greatest(F.lit(1), F.floor(n * F.lit(top_share)).cast("bigint"))
