@@ -1,7 +1,9 @@
 """Business-health signals and the rule tables applied to them (survey §2.6).
 
-Every signal is a scalar subquery over the sales frame; the rules are ``when``
-chains over the one-row signals frame. Nothing is collected.
+Every signal is a scalar subquery: over the month series (growth, trend) or over one
+per-customer rollup that is checkpointed once (churn share, repeat rate, new
+customers, concentration). The rules are ``when`` chains over the one-row signals
+frame. Nothing is collected to the driver.
 """
 
 from __future__ import annotations
