@@ -68,3 +68,20 @@ def prediction_charts(sales: DataFrame) -> DataFrame:
     s = pr.slow_movers(sales, 3, 8).select(F.lit("slow_movers").alias("chart"), C("description").alias("label"),
                                            C("decline_pct").alias("value"))
     return f.unionByName(g).unionByName(s)
+
+
+def dashboard_kpis_by(sales: DataFrame, by: tuple) -> DataFrame:
+    """The KPI row per group of ``by`` (tenant, country): each KPI is a per-group
+    aggregate, joined on the group key; MoM uses each group's own month series."""
+    keys = list(by)
+    base = sales.groupBy(*keys).agg(F.count(F.lit(1)).alias("records"))
+    parts = [sa.total_revenue(sales, by), sa.total_orders(sales, by),
+             sa.total_items_sold(sales, by).withColumnRenamed("total_items_sold", "total_items"),
+             sa.aov_overall(sales, by), sa.refund_rate(sales, by=by).withColumnRenamed("refund_rate_pct", "refund_rate")]
+    out = base
+    for p in parts:
+        out = out.join(p, keys, "left")
+    mom = sa.mom_growth(sales, by).filter(C("is_latest")).select(*keys, C("growth_pct").alias("mom_growth"))
+    out = out.join(mom, keys, "left").withColumn("mom_growth", F.coalesce(C("mom_growth"), F.lit(0.0)))
+    return out.select(*keys, "total_revenue", "total_orders", "total_items", "aov", "refund_rate", "mom_growth",
+                      "records")

@@ -187,3 +187,22 @@ def _model_uncertainty_flags(spark, sf):
     s = S(spark, sf)
     return he.model_uncertainty_flags(seasonal(spark, sf, 3), cu.customer_clv(s), churn(spark, sf).metrics,
                                       cu.cohort_retention(s), pr.product_demand_trend(s))
+
+
+@register("dashboard_kpis_by_country", with_sales(
+    f"SELECT b.country, {money(POS_REV)} AS total_revenue, COUNT(DISTINCT invoice) AS total_orders, "
+    "CAST(COALESCE(SUM(CASE WHEN quantity > 0 THEN quantity END), 0) AS BIGINT) AS total_items, "
+    f"COALESCE(CAST({POS_REV} AS DOUBLE) / NULLIF(CAST(COUNT(DISTINCT invoice) AS DOUBLE), 0), 0.0) AS aov, "
+    f"{REFUND_SQL.replace(' AS refund_rate_pct', '')} AS refund_rate, "
+    "COALESCE(ANY_VALUE(g.mom), 0.0) AS mom_growth, COUNT(*) AS records FROM sales b LEFT JOIN ("
+    "SELECT country, ROUND(growth, 2) AS mom FROM (SELECT country, month_idx, growth, MAX(month_idx) OVER (PARTITION BY country) "
+    "AS last FROM (SELECT country, month_idx, CASE WHEN prev <> 0 THEN (CAST(rev AS DOUBLE) / CAST(prev AS DOUBLE) - 1.0) * 100.0 "
+    "END AS growth FROM (SELECT country, month_idx, rev, LAG(rev) OVER (PARTITION BY country ORDER BY month_idx) AS prev FROM ("
+    "SELECT sp.country, sp.month_idx, COALESCE(m.rev, 0) AS rev FROM (SELECT country, unnest(range(MIN(month_idx), "
+    "MAX(month_idx) + 1)) AS month_idx FROM cm GROUP BY country) sp LEFT JOIN cm m ON sp.country IS NOT DISTINCT FROM "
+    "m.country AND sp.month_idx = m.month_idx))) WHERE growth IS NOT NULL) WHERE month_idx = last) g "
+    "ON b.country IS NOT DISTINCT FROM g.country GROUP BY b.country",
+    "cm AS (SELECT country, (year(invoice_date) * 12 + month(invoice_date) - 1) AS month_idx, SUM(revenue) AS rev "
+    "FROM sales WHERE invoice_date IS NOT NULL GROUP BY 1, 2)"))
+def _dashboard_kpis_by_country(spark, sf):
+    return db.dashboard_kpis_by(S(spark, sf), ("country",))
