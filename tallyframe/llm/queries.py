@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallyframe.llm import langid, mixing, quality, sharding, toxicity
+from tallyframe.llm import decontaminate, jaccard_join, langid, mixing, quality, sharding, suffix_dedup, token_counts, toxicity
 from tallyframe.llm.store import documents, fold, table
 
 SHARDS = 24
@@ -18,6 +18,10 @@ def op1_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.predict(docs, model)
 
 
+def op2_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard_join.join(documents(spark, sf_dir), jaccard_join.Similarity(words=3, percent=90))
+
+
 def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = documents(spark, sf_dir).withColumn("held_out", fold("doc_id", 5) == 0)
     labels = table(spark, sf_dir, "labels").filter(fold("doc_id", 5) != 0).select("doc_id", "toxic")
@@ -27,11 +31,24 @@ def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.score(docs, model)
 
 
+def op4_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_dedup.suffix_dedup(documents(spark, sf_dir))
+
+
 def op5_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.quality(documents(spark, sf_dir)).select(
         "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "bits")
 
 
+def op6_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vocabulary = token_counts.read_vocabulary(token_counts.VOCABULARY)
+    return token_counts.token_counts(documents(spark, sf_dir), vocabulary)
+
+
+def op7_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.matches(documents(spark, sf_dir), table(spark, sf_dir, "benchmark"))
+
+
 def op8_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     text = F.col("text").cast("binary")
     rows = documents(spark, sf_dir).select(
@@ -47,5 +64,6 @@ def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix.select("doc_id", "size", "source_size", "target", "taken", "source", "copies")
 
 
-QUERIES = {f.__name__: f for f in (op1_language_id, op3_toxicity, op5_quality, op8_sharding, op9_mixing)}
+QUERIES = {f.__name__: f for f in (op1_language_id, op2_jaccard_join, op3_toxicity, op4_suffix_dedup, op5_quality, op6_token_counts,
+                                  op7_decontamination, op8_sharding, op9_mixing)}
 ORACLE_SQL: dict[str, str] = {}

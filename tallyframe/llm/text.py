@@ -84,7 +84,7 @@ def buffers(col) -> tuple[np.ndarray, np.ndarray]:
     """Bytes and offsets (from 0) of a string column; a null is an empty text."""
     if isinstance(col, pa.ChunkedArray):
         col = col.combine_chunks()
-    col = pc.fill_null(col.cast(pa.large_string()), "")
+    col = pc.fill_null(col.cast(pa.large_binary()), b"")
     offs = np.frombuffer(col.buffers()[1], np.int64)[col.offset:col.offset + len(col) + 1]
     data = col.buffers()[2]
     buf = np.frombuffer(data, np.uint8) if data is not None and data.size else np.zeros(0, np.uint8)
