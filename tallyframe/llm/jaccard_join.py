@@ -9,10 +9,12 @@ partition at least, and the hash of a set's part in it is a signature that both
 sets have few partitions, which would be weak; there the domain is cut into ``k + 2`` parts
 and every subset of two is a signature (``k`` differences leave two untouched).
 
-Partitions with ``weak`` shingles or fewer would link sets that have nothing in common. With
-``spare`` more partitions than needed, a set that has no more weak ones than the spare ones
-still agrees with each similar set on a partition that is not weak, so it gives no signature
-for them; only a set with more weak ones gives all.
+Empty partitions would link sets that have nothing in common. There are more partitions than
+``k + 1``, so that similar sets agree on several, and a set that has no more empty ones than
+the surplus gives no signature for them; only a set with more empty ones gives all. What
+surplus is left says how many signatures similar sets share at least, ``c``. So each set may
+forget its ``c - 1`` most frequent signatures: the rarest one that two similar sets share is
+never among those. That takes out the signatures that common passages make.
 
 Sets that share a signature are verified by their exact sets (64-bit shingle hashes).
 """
@@ -40,10 +42,6 @@ class Similarity:
     words: int = 5
     percent: int = 80
 
-    @property
-    def weak(self) -> int:
-        return 0 if self.percent >= 85 else 1
-
     def bands(self, most: int) -> np.ndarray:
         """Lower ends of the bands up to size ``most``, and one more."""
         out = [1]
@@ -55,27 +53,26 @@ class Similarity:
         return upper * (100 - self.percent) // self.percent
 
     def partitions(self, k: np.ndarray) -> np.ndarray:
-        spare = np.maximum(1, -(-(k + 1) // (10 if self.weak == 0 else 2)))
+        spare = np.maximum(1, -(-(k + 1) // (10 if self.percent >= 85 else 4)))
         return np.where(k == 0, 1, np.where(k <= ENUMERATE, k + 2, k + 1 + spare))
 
-    def linked(self, common: int, m: int, n: int) -> bool:
-        return common > 0 and 100 * common >= self.percent * (m + n - common)
-
     def sets(self, p) -> tuple[np.ndarray, np.ndarray]:
         low = type(p)(p.lo, p.hi, LOWER[p.buf], p.offs)
         start, end, doc = words(low)
         return shingle_sets(SpanHash(low.buf)(start, end), doc, p.n, self.words)
 
 
-def signatures(sim: Similarity, h: np.ndarray, d: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
-    """(signature, document) of sets given as sorted (hash, document)."""
+def signatures(sim: Similarity, h: np.ndarray, d: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(signature, document, slack) of sets given as sorted (hash, document). ``slack`` is
+    twice the number of signatures of this kind that the set may forget, plus one for those of
+    the lower band's instance."""
     size = np.bincount(d, minlength=n)
     if len(h) == 0:
-        return np.zeros(0, U), np.zeros(0, np.int64)
+        return np.zeros(0, U), np.zeros(0, np.int64), np.zeros(0, np.int32)
     low = sim.bands(int(size.max()))
     band = np.searchsorted(low, size, side="right") - 1      # -1: an empty set
     upper = low[1:] - 1
-    out_s, out_d = [], []
+    out_s, out_d, out_f = [], [], []
     for back in (0, 1):                                      # the own band's instance, the lower one's
         instance = band - back
         use = instance >= 0
@@ -89,27 +86,27 @@ def signatures(sim: Similarity, h: np.ndarray, d: np.ndarray, n: int) -> tuple[n
         total = int(parts.sum())
         sums = np.zeros(total, U)
         np.add.at(sums, cell, mix(hh ^ U(0x9FB21C651E98DF25)))
-        held = np.bincount(cell, minlength=total)
+        empty = np.bincount(cell, minlength=total) == 0
         doc = np.repeat(np.arange(n), parts)
         nth = np.arange(total) - first[doc]
-        sums = mix(sums + mix((instance[doc] << 24 | nth).astype(U)))   # bands are few, partitions of a band below 2 ** 24
+        sums = mix(sums + mix((instance[doc] << 24 | nth).astype(U)))   # a band has fewer than 2 ** 24 partitions
         small = (k[doc] > 0) & (k[doc] <= ENUMERATE)
-        if (~small).any():
-            weak = (held <= sim.weak) & (k[doc] > 0)
-            too_many = np.bincount(doc[weak], minlength=n) > np.maximum(parts - k - 1, 0)
-            give = ~small & (~weak | too_many[doc])
-            out_s.append(sums[give])
-            out_d.append(doc[give])
+        spare = parts - k - 1 - np.bincount(doc[empty], minlength=n)     # below 0: empty ones are given too
+        give = ~small & (~empty | (spare[doc] < 0))
+        out_s.append(sums[give])
+        out_d.append(doc[give])
+        out_f.append(np.maximum(spare, 0)[doc[give]] * 2 + back)
         for kk in range(1, ENUMERATE + 1):
             docs = np.flatnonzero(use & (k == kk))
             for i, j in combinations(range(kk + 2), 2):
                 out_s.append(mix(sums[first[docs] + i] * U(3) + sums[first[docs] + j] + U(kk)))
                 out_d.append(docs)
-    return np.concatenate(out_s), np.concatenate(out_d)
+                out_f.append(np.full(len(docs), back))
+    return np.concatenate(out_s), np.concatenate(out_d), np.concatenate(out_f).astype(np.int32)
 
 
 def signature_rows(texts: DataFrame, sim: Similarity) -> DataFrame:
-    """(key, node) of (node, text). Within a batch, texts of equal sets give the signatures of
+    """(key, node, slack) of (node, text). Within a batch, texts of equal sets give the signatures of
     the first of them only, and one key of their own that links them to it."""
     def run(batches):
         for b in batches:
@@ -132,12 +129,13 @@ def signature_rows(texts: DataFrame, sim: Similarity) -> DataFrame:
                         keys += [key, key]
                         nodes += [to, int(node[p.lo + i])]
                 use = first[d]
-                s, doc = signatures(sim, h[use], d[use], p.n)
+                s, doc, slack = signatures(sim, h[use], d[use], p.n)
                 yield pa.RecordBatch.from_arrays(
                     [pa.array(np.concatenate([s.view(np.int64), np.array(keys, np.int64)])),
-                     pa.array(np.concatenate([node[p.lo + doc], np.array(nodes, np.int64)]))], ["key", "node"])
+                     pa.array(np.concatenate([node[p.lo + doc], np.array(nodes, np.int64)])),
+                     pa.array(np.concatenate([slack, np.zeros(len(nodes), np.int32)]))], ["key", "node", "slack"])
 
-    return texts.mapInArrow(run, "key long, node long")
+    return texts.mapInArrow(run, "key long, node long, slack int")
 
 
 def classes(docs: DataFrame, sim: Similarity, id_col: str = "doc_id", text: str = "text") -> DataFrame:
@@ -146,7 +144,7 @@ def classes(docs: DataFrame, sim: Similarity, id_col: str = "doc_id", text: str
     same id are one node."""
     texts = (docs.select(F.col(id_col).cast("long").alias("node"), F.col(text).cast("string").alias("text"))
              .filter("node is not null and text is not null"))
-    return linked_components(signature_rows(texts, sim), texts, sim.sets, sim.linked)
+    return linked_components(signature_rows(texts, sim), texts, sim)
 
 
 def join(docs: DataFrame, sim: Similarity) -> DataFrame:

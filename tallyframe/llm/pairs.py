@@ -2,14 +2,16 @@
 
 Members of a key's group are first compared with one of them, its pivot: a group of near
 copies, however large, takes one comparison a member, and the links join it to one component.
-What such stars may miss are links between members of different components; those pairs, and
-only those, are compared in a second round. So every two linked texts end in one component,
-without all pairs of a group.
+What such stars may miss are links between members of different components. Those pairs are
+compared in a second round, except where the first round's figures rule a link out: by size;
+by distance to the common pivot (Jaccard distance is a metric); or by a sketch, the counts of
+a set's hashes in ``SKETCH`` buckets, whose differences add up to no more than the sets'. So
+every two linked texts end in one component, without all pairs of a group.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from typing import Protocol
 
 import numpy as np
 import pyarrow as pa
@@ -19,17 +21,26 @@ from pyspark.sql import functions as F
 
 from tallyframe.llm.graph import components
 from tallyframe.llm.store import keep, tasks
-from tallyframe.llm.text import pieces
+from tallyframe.llm.text import U, pieces
 
 BUCKET = 256  # members compared with one copy of a pivot's text
+SKETCH = 64
 
 
-def verified(texts: DataFrame, pairs: DataFrame, sets: Callable, linked: Callable) -> DataFrame:
-    """The pairs (a, b) of nodes whose texts are linked. ``texts``: (node, text).
+class SetJoin(Protocol):
+    """What is joined: texts are linked at ``percent`` of their sets' union in common."""
 
-    ``sets(piece)`` gives sorted (hash, document) of a piece of texts and ``linked(common, m,
-    n)`` decides from the sizes. Each text is sent once for each pair it is a member of, and
-    once for each ``BUCKET`` members as a pivot, so a pivot of many is met by many tasks."""
+    percent: int
+
+    def sets(self, piece) -> tuple[np.ndarray, np.ndarray]:
+        """Distinct (hash, document) of a piece of texts, sorted by document, then hash."""
+
+
+def compared(texts: DataFrame, pairs: DataFrame, sim: SetJoin) -> DataFrame:
+    """The pairs (a, b) of nodes with linked, common (hashes of both), m and n (sizes of the
+    sets of a and b) and the sketch of b. ``texts``: (node, text). Each text is sent once for each pair it is a member of, and
+    once for each ``BUCKET`` members as a pivot, so a pivot of many is met by many tasks. Of
+    rows that share an id, the most similar pivot row counts."""
     pairs = pairs.select("a", "b").distinct()
     load = pairs.groupBy("a").agg(F.ceil(F.count("*") / BUCKET).alias("salts"))
     salted = keep(pairs.join(load, "a").withColumn("salt", F.pmod(F.xxhash64("b"), F.col("salts")).cast("long"))
@@ -43,9 +54,9 @@ def verified(texts: DataFrame, pairs: DataFrame, sets: Callable, linked: Callabl
         key, pivots = None, []
         for batch in batches:
             a, salt, role, node = (batch.column(c).to_numpy() for c in ("a", "salt", "role", "node"))
-            got_a, got_b = [], []
+            got: list[tuple] = []
             for p in pieces(batch.column("text")):
-                h, d = sets(p)
+                h, d = sim.sets(p)
                 cut = np.searchsorted(d, np.arange(p.n + 1))
                 for i in range(p.n):
                     at = p.lo + i
@@ -55,15 +66,17 @@ def verified(texts: DataFrame, pairs: DataFrame, sets: Callable, linked: Callabl
                     if role[at] == 0:
                         pivots.append(own.copy())
                         continue
-                    for pivot in pivots:  # several only if rows share an id
-                        common = _common(pivot, own)
-                        if linked(common, len(pivot), len(own)):
-                            got_a.append(a[at])
-                            got_b.append(node[at])
-                            break
-            yield pa.RecordBatch.from_arrays([pa.array(got_a, pa.int64()), pa.array(got_b, pa.int64())], ["a", "b"])
+                    common, m = max(((_common(pivot, own), len(pivot)) for pivot in pivots), default=(0, 0))
+                    sketch = np.minimum(np.bincount((own >> U(58)).astype(np.int64), minlength=SKETCH), 127)
+                    linked = common > 0 and 100 * common >= sim.percent * (m + len(own) - common)
+                    got.append((a[at], node[at], linked, common, m, len(own), sketch.astype(np.int8)))
+            columns = zip(*got) if got else [[]] * 7
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types)], names)
 
-    return sent.select("a", "salt", "role", "node", "text").mapInArrow(run, "a long, b long")
+    names = ["a", "b", "linked", "common", "m", "n", "sketch"]
+    types = [pa.int64(), pa.int64(), pa.bool_(), pa.int64(), pa.int64(), pa.int64(), pa.list_(pa.int8())]
+    return sent.select("a", "salt", "role", "node", "text").mapInArrow(
+        run, "a long, b long, linked boolean, common long, m long, n long, sketch array<tinyint>")
 
 
 def _common(x: np.ndarray, y: np.ndarray) -> int:
@@ -76,28 +89,41 @@ def _common(x: np.ndarray, y: np.ndarray) -> int:
     return int(np.count_nonzero(y[at] == x))
 
 
-def linked_components(keyed: DataFrame, texts: DataFrame, sets: Callable, linked: Callable) -> DataFrame:
-    """(node, component) of all nodes with links, from rows (key, node): linked texts share a
-    key. Nodes without a link are not in the result."""
+def linked_components(keyed: DataFrame, texts: DataFrame, sim: SetJoin) -> DataFrame:
+    """(node, component) of all nodes with links, from rows (key, node, slack): linked texts
+    share a key. Of its keys of one slack, a node may forget the ``slack // 2`` most frequent
+    (linked nodes share more than that). Nodes without a link are not in the result."""
     group = W.partitionBy("key")
-    starred = keep(keyed.withColumn("pivot", F.min("node").over(group)).withColumn("last", F.max("node").over(group))
-                   .filter("pivot < last").drop("last"), "stars")
-    stars = starred.filter("node != pivot").select(F.col("pivot").alias("a"), F.col("node").alias("b"))
-    links = keep(verified(texts, stars, sets, linked), "links")
-    found = keep(components(_ordered(links)), "components")
+    shared = keep(keyed.withColumn("n", F.count("*").over(group)).withColumn("low", F.min("node").over(group))
+                  .withColumn("high", F.max("node").over(group)).filter("low < high")
+                  .select("key", "node", "slack", "n"), "shared")
+    often = W.partitionBy("node", "slack").orderBy(F.desc("n"), "key")
+    rare = (shared.withColumn("rank", F.when(F.col("slack") > 1, F.dense_rank().over(often)))
+            .filter("slack <= 1 or rank > slack div 2"))
+    starred = keep(rare.withColumn("pivot", F.min("node").over(group)).withColumn("last", F.max("node").over(group))
+                   .filter("pivot < last and node != pivot").select("key", "node", "pivot").distinct(), "stars")
+    first = keep(compared(texts, starred.select(F.col("pivot").alias("a"), F.col("node").alias("b")), sim), "compared")
+    links = first.filter("linked").select("a", "b")
+    found = keep(components(links), "components")
+
+    about = first.select(F.col("a").alias("pivot"), F.col("b").alias("node"), F.col("n").alias("size"), "sketch",
+                         (1 - F.col("common") / (F.col("m") + F.col("n") - F.col("common"))).alias("far"))
     labelled = (starred.join(found.withColumnRenamed("component", "label"), "node", "left")
                 .withColumn("label", F.coalesce("label", "node")))
-    mixed = keep(labelled.filter("node != pivot").withColumn("low", F.min("label").over(group))
-                 .withColumn("high", F.max("label").over(group)).filter("low < high")
-                 .select("key", "node", "label").distinct(), "mixed")
-    left = mixed.select("key", F.col("node").alias("a"), F.col("label").alias("la"))
-    right = mixed.select("key", F.col("node").alias("b"), F.col("label").alias("lb"))
-    cross = left.join(right, "key").filter("a < b and la != lb").select("a", "b")
-    more = keep(verified(texts, cross, sets, linked), "links")
+    mixed = keep(labelled.withColumn("lowest", F.min("label").over(group)).withColumn("highest", F.max("label").over(group))
+                 .filter("lowest < highest").join(about, ["pivot", "node"])
+                 .select("key", "node", "label", "size", "sketch", "far"), "mixed")
+    x, y = mixed.alias("x"), mixed.alias("y")
+    pc = sim.percent
+    differ = F.aggregate(F.zip_with("x.sketch", "y.sketch", lambda s, t: F.abs(s.cast("int") - t.cast("int"))),
+                         F.lit(0), lambda s, t: s + t)
+    possible = ((F.col("x.key") == F.col("y.key")) & (F.col("x.node") < F.col("y.node"))
+                & (F.col("x.label") != F.col("y.label"))
+                & (100 * F.least("x.size", "y.size") >= pc * F.greatest("x.size", "y.size"))
+                & (F.abs(F.col("x.far") - F.col("y.far")) <= (100 - pc) / 100 + 1e-9)
+                & (differ * (100 + pc) <= (100 - pc) * (F.col("x.size") + F.col("y.size"))))
+    cross = x.join(y, possible).select(F.col("x.node").alias("a"), F.col("y.node").alias("b"))
+    more = keep(compared(texts, cross, sim).filter("linked").select("a", "b"), "links")
     if more.isEmpty():
         return found
-    return components(_ordered(links.unionAll(more)))
-
-
-def _ordered(links: DataFrame) -> DataFrame:
-    return links.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
+    return components(links.unionAll(more))
