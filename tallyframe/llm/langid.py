@@ -73,7 +73,7 @@ def gram_counts(docs: DataFrame) -> DataFrame:
     def rows(held):
         for lang, parts in held.items():
             code, n = added(parts)
-            yield pa.RecordBatch.from_arrays([pa.array([lang] * len(code)), pa.array(code.astype(np.int64)),
+            yield pa.RecordBatch.from_arrays([pa.array([lang] * len(code), pa.string()), pa.array(code.astype(np.int64)),
                                               pa.array(n)], ["lang", "gram", "n"])
 
     def run(batches):

@@ -24,14 +24,17 @@ from tallyframe.llm.store import keep
 from tallyframe.llm.text import SPACE, per_doc, pieces, sums_between, words
 
 
-def measure(docs: DataFrame, id_col: str = "doc_id", text: str = "text", source: str = "source") -> DataFrame:
+def measure(docs: DataFrame, id_col: str = "doc_id", text: str = "text", source: str = "source",
+            keep_columns: list[str] = ()) -> DataFrame:
     """(doc_id, source, size, quality, draw): words of the whole text, a quality weight in
     (0, 1] (share of letters and digits among the non-space bytes, all of UTF-8's multi-byte
     characters counted as letters, floored at 0.05), and the hash the sampling key is drawn
-    from (of id and text, so repeated rows draw alike and differing ones don't)."""
+    from (of id and text, so repeated rows draw alike and differing ones don't), and
+    ``keep_columns``."""
+    own = list(keep_columns)
     schema = T.StructType([T.StructField("doc_id", T.LongType()), T.StructField("source", T.StringType()),
-                           T.StructField("draw", T.LongType()), T.StructField("size", T.LongType()),
-                           T.StructField("quality", T.DoubleType())])
+                           T.StructField("draw", T.LongType()), *[docs.schema[c] for c in own],
+                           T.StructField("size", T.LongType()), T.StructField("quality", T.DoubleType())])
     letter = np.zeros(256, bool)
     letter[[*range(48, 58), *range(65, 91), *range(97, 123), *range(128, 256)]] = True
 
@@ -43,15 +46,15 @@ def measure(docs: DataFrame, id_col: str = "doc_id", text: str = "text", source:
                 good = sums_between(letter[p.buf], p.offs)
                 cut = b.slice(p.lo, p.n)
                 yield pa.RecordBatch.from_arrays(
-                    [cut.column("doc_id"), cut.column("source"), cut.column("draw"),
+                    [cut.column("doc_id"), cut.column("source"), cut.column("draw"), *[cut.column(c) for c in own],
                      pa.array(per_doc(doc, p.n).astype(np.int64)),
                      pa.array(np.maximum(0.05, good / np.maximum(solid, 1)))],
-                    ["doc_id", "source", "draw", "size", "quality"])
+                    ["doc_id", "source", "draw", *own, "size", "quality"])
 
     return (docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(source).cast("string").alias("source"),
-                        F.col(text).alias("text"))
+                        F.col(text).alias("text"), *own)
             .withColumn("draw", F.xxhash64("doc_id", "text", F.lit(17)))
-            .select("doc_id", "source", "draw", "text").mapInArrow(run, schema))
+            .select("doc_id", "source", "draw", "text", *own).mapInArrow(run, schema))
 
 
 def targets(sources: DataFrame, weights: tuple[float, ...], share: float, max_epochs: float) -> DataFrame:
@@ -100,6 +103,7 @@ def mix(measured: DataFrame, weights: tuple[float, ...] = (3, 1, 2), share: floa
     # Taken while the sum after it stays nearer to the budget than the sum before it.
     inside = F.col("_before") + F.col("size") / 2.0 <= rest
     copies = (epochs + F.when(inside & (rest > 0), 1).otherwise(0)).cast("int")
-    return joined.select("doc_id", "source", "draw", "size", "source_size", "target", copies.alias("copies"),
+    given = [c for c in measured.columns if c != "quality"]
+    return joined.select(*given, "source_size", "target", copies.alias("copies"),
                          (copies * F.col("size")).cast("long").alias("taken"))
 

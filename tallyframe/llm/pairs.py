@@ -122,7 +122,9 @@ def linked_components(keyed: DataFrame, texts: DataFrame, sim: SetJoin) -> DataF
                 & (100 * F.least("x.size", "y.size") >= pc * F.greatest("x.size", "y.size"))
                 & (F.abs(F.col("x.far") - F.col("y.far")) <= (100 - pc) / 100 + 1e-9)
                 & (differ * (100 + pc) <= (100 - pc) * (F.col("x.size") + F.col("y.size"))))
-    cross = x.join(y, possible).select(F.col("x.node").alias("a"), F.col("y.node").alias("b"))
+    cross = keep(x.join(y, possible).select(F.col("x.node").alias("a"), F.col("y.node").alias("b")).distinct(), "cross")
+    if cross.isEmpty():
+        return found
     more = keep(compared(texts, cross, sim).filter("linked").select("a", "b"), "links")
     if more.isEmpty():
         return found

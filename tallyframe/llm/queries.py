@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallyframe.llm import decontaminate, jaccard_join, langid, mixing, quality, sharding, suffix_dedup, token_counts, toxicity
+from tallyframe.llm import decontaminate, jaccard_join, langid, line_dedup, mixing, quality, sharding, suffix_dedup, token_counts, toxicity
 from tallyframe.llm.store import documents, fold, table
 
 SHARDS = 24
@@ -64,6 +64,10 @@ def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix.select("doc_id", "size", "source_size", "target", "taken", "source", "copies")
 
 
+def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return line_dedup.line_dedup(documents(spark, sf_dir))
+
+
 QUERIES = {f.__name__: f for f in (op1_language_id, op2_jaccard_join, op3_toxicity, op4_suffix_dedup, op5_quality, op6_token_counts,
-                                  op7_decontamination, op8_sharding, op9_mixing)}
+                                  op7_decontamination, op8_sharding, op9_mixing, op10_line_dedup)}
 ORACLE_SQL: dict[str, str] = {}
