@@ -47,7 +47,8 @@ def compared(texts: DataFrame, pairs: DataFrame, sim: SetJoin) -> DataFrame:
                   .drop("salts"), "pairs")
     wanted = (salted.select(F.col("b").alias("node"), "a", "salt", F.lit(1).alias("role"))
               .unionAll(salted.select(F.col("a").alias("node"), "a", "salt", F.lit(0).alias("role")).distinct()))
-    sent = (texts.join(wanted, "node").repartition(tasks(texts.sparkSession), "a", "salt")
+    # The pairs grow with the corpus: they are never broadcast, whatever their size here.
+    sent = (texts.join(wanted.hint("merge"), "node").repartition(tasks(texts.sparkSession), "a", "salt")
             .sortWithinPartitions("a", "salt", "role"))
 
     def run(batches):
