@@ -27,6 +27,7 @@ def main(argv: list[str] | None = None) -> int:
     sys.path.insert(0, os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
     from tallyframe.plans import registry
     if a.command == "list":
+        registry.load()
         for name, (_, sql) in sorted(registry.REGISTRY.items()):
             print(f"{name}\t{'sql' if sql else 'rows'}")
         return 0

@@ -102,3 +102,10 @@ def eq_ci(c: Column | str, value: str) -> Column:
 
 def _c(x: Column | str) -> Column:
     return F.col(x) if isinstance(x, str) else x
+
+
+def positive(value: int, name: str, least: int = 1) -> int:
+    """A caller's count as given; an error, not another value, if it is too small."""
+    if int(value) < least:
+        raise ValueError(f"{name} must be at least {least}, not {value}")
+    return int(value)

@@ -13,10 +13,14 @@ DATE_FORMATS = [
     "yyyy-MM-dd HH:mm:ss",
     "yyyy-MM-dd HH:mm",
     "yyyy-MM-dd'T'HH:mm:ss",
+    "yyyy-MM-dd HH:mm:ss.SSSSSS",
+    "yyyy-MM-dd'T'HH:mm:ssXXX",
     "yyyy-MM-dd",
     "M/d/yyyy H:mm",
     "M/d/yyyy",
     "d/M/yyyy H:mm",
+    "d/M/yyyy H:mm:ss",
+    "d/M/yyyy",
     "dd.MM.yyyy HH:mm",
     "dd.MM.yyyy",
 ]

@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tallyframe import schema as S
-from tallyframe.functions.cols import (rnd, day_key, div, elapsed_days, eq_ci, is_return, is_sale, money,
+from tallyframe.functions.cols import (rnd, positive, day_key, div, elapsed_days, eq_ci, is_return, is_sale, money,
                                        month_index, month_key_from_index, sum0)
 from tallyframe.functions.ordered import top_k
 from tallyframe.functions.stats import sample_std
@@ -220,7 +220,7 @@ def customer_clv(sales: DataFrame, months: int = 12, customer_id: int | None = N
     Active days span all of the customer's dated lines, returns included. Customers
     without sales, or whose sales invoices total 0, get no projection.
     """
-    months = min(int(months), 36)
+    months = positive(months, "months")
     df = _customers(sales)
     if customer_id is not None:
         df = df.filter(C(CID) == F.lit(int(customer_id)))
@@ -250,7 +250,7 @@ def cohort_retention(sales: DataFrame, max_cohorts: int = 6, max_index: int = 6,
     each customer's cohort comes from an aggregate joined back (no window over
     lines), so the work stays partitioned by customer.
     """
-    max_cohorts = min(max(int(max_cohorts), 1), 12)
+    max_cohorts = positive(max_cohorts, "max_cohorts")
     keys = list(by)
     cm = (_customers(sales).filter(is_sale() & C(S.INVOICE_DATE).isNotNull())
           .select(*keys, CID, month_index().alias("m")).distinct())

@@ -20,7 +20,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tallyframe import schema as S
-from tallyframe.functions.cols import div, is_sale, money, month_index, month_key_from_index, rnd
+from tallyframe.functions.cols import div, is_sale, money, month_index, month_key_from_index, positive, rnd
 from tallyframe.functions.spine import fill_months
 from tallyframe.functions.stats import index_sums, ols_intercept, ols_slope
 
@@ -37,7 +37,7 @@ def revenue_forecast_linear(sales: DataFrame, horizon: int = 3) -> DataFrame:
     """One row per future month: predicted revenue (clipped at 0) and the fit's
     slope, intercept, last actual month, trend and count of >5×median months.
     Empty when fewer than three months have revenue."""
-    horizon = min(int(horizon), 12)
+    horizon = positive(horizon, "horizon")
     m = _monthly_pos(sales).filter(C("rev") > 0)
     m = m.withColumn("x", (F.row_number().over(Window.orderBy("month_idx")) - 1).cast("bigint"))
     med = m.agg(F.median("rev")).scalar()
@@ -131,7 +131,7 @@ def revenue_forecast(sales: DataFrame, horizon: int = 3, min_days: int = 30, reg
     """Monthly forecast with a 95 % band. Falls back to the linear model (bounds null)
     with fewer than ``min_days`` days of revenue. The first forecast month starts the
     day after the last observed day and may be partial (``is_partial_month``)."""
-    horizon = min(int(horizon), 12)
+    horizon = positive(horizon, "horizon")
     daily = (sales.filter(is_sale() & C(S.INVOICE_DATE).isNotNull())
              .groupBy(F.to_date(S.INVOICE_DATE).alias("day")).agg(F.sum(S.REVENUE).cast("double").alias("y"))
              .filter(C("y") > 0))
@@ -189,7 +189,7 @@ def revenue_forecast_by_series(sales: DataFrame, key: str, horizon: int = 3, min
     holds one series' days (bounded by the calendar, not by the number of lines).
     Series with fewer than ``min_days`` revenue days use a straight-line fit.
     """
-    horizon = min(int(horizon), 12)
+    horizon = positive(horizon, "horizon")
     daily = (sales.filter(is_sale() & C(S.INVOICE_DATE).isNotNull() & C(key).isNotNull())
              .groupBy(C(key).cast("string").alias("series"), F.to_date(S.INVOICE_DATE).alias("day"))
              .agg(F.sum(S.REVENUE).cast("double").alias("y")).filter(C("y") > 0))

@@ -136,20 +136,27 @@ def business_severity(sig: DataFrame) -> DataFrame:
 
 
 def revenue_at_stake(sales: DataFrame, days: int = 90, top: int = 15, win_back: float = 0.30) -> DataFrame:
-    """Lifetime sales spend of the top at-risk customers and the share recoverable.
-    With no at-risk customers, falls back to average order value × at-risk count."""
+    """Lifetime sales spend of all at-risk customers, of the ``top`` of them, and the share of
+    each that is recoverable. With no at-risk customers, falls back to average order value ×
+    at-risk count."""
     spark = sales.sparkSession
-    risk = cu.at_risk_customers(sales, days, top, "pos")
-    stake = risk.agg(F.count(F.lit(1)).alias("n"), F.sum("total_spend_gbp").alias("s"))
-    n = stake.select("n").scalar()
-    s = stake.select("s").scalar()
+
+    def stake(limit: int | None):
+        spend = F.sum(C("total_spend_gbp").cast("decimal(38,2)")).cast("double")
+        return cu.at_risk_customers(sales, days, limit, "pos").agg(F.count(F.lit(1)).alias("n"), spend.alias("s"))
+
+    every, first = stake(None), stake(top)
+    n, s = every.select("n").scalar(), every.select("s").scalar()
+    top_n, top_s = first.select("n").scalar(), first.select("s").scalar()
     at_risk = cu.churn_risk_summary(sales, days).select("at_risk_customers").scalar()
     aov = sa.aov_overall(sales).select("aov").scalar()
     value = F.when(n > 0, s).otherwise(aov * at_risk)
     return spark.range(1).select(
         n.alias("customers_considered"), rnd(value, 2).alias("at_risk_revenue_gbp"),
         rnd(value * F.lit(win_back), 2).alias("recoverable_gbp"),
-        F.when(n > 0, "top_at_risk_spend").otherwise("aov_times_at_risk").alias("method"))
+        top_n.alias("top_customers"), rnd(F.coalesce(top_s, F.lit(0.0)), 2).alias("top_at_risk_revenue_gbp"),
+        rnd(F.coalesce(top_s, F.lit(0.0)) * F.lit(win_back), 2).alias("top_recoverable_gbp"),
+        F.when(n > 0, "at_risk_spend").otherwise("aov_times_at_risk").alias("method"))
 
 
 def diagnostic_triggers(sig: DataFrame, near_zero_share: float = 0.10) -> DataFrame:

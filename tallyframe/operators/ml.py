@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tallyframe import schema as S
-from tallyframe.functions.cols import div, elapsed_days, is_sale, money, rnd
+from tallyframe.functions.cols import div, elapsed_days, is_sale, money, positive, rnd
 from tallyframe.operators.customers import churn_risk_summary, customer_clv, rfm_features
 
 C = F.col
@@ -194,7 +194,7 @@ def customer_segments(sales: DataFrame, k: int | None = None, seed: int = 42,
             scores = sorted(pool.map(score, ks))
         k = max(scores, key=lambda t: (t[1], -t[0]))[0] if scores else 4
     else:
-        k = max(2, min(int(k), 8))
+        k = positive(k, "k", 2)
     if n < k * 5:
         raise InsufficientData(f"not enough customers for {k} segments")
     km = KMeans(k=k, seed=seed, maxIter=300).fit(data)
@@ -222,7 +222,7 @@ def customer_segments(sales: DataFrame, k: int | None = None, seed: int = 42,
 def clv_by_segment(sales: DataFrame, months: int = 12, seg: Segmentation | None = None) -> DataFrame:
     """Projected CLV averaged and summed per segment (one labelling, shared with
     ``customer_segments``). Active span here uses dated sales lines only."""
-    months = min(max(int(months), 1), 36)
+    months = positive(months, "months")
     seg = seg or customer_segments(sales)
     pos = sales.filter(is_sale() & C(CID).isNotNull() & C(S.INVOICE_DATE).isNotNull())
     per = pos.groupBy(CID).agg(F.sum(S.REVENUE).alias("spend"), F.count_distinct(S.INVOICE).alias("orders"),

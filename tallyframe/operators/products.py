@@ -131,7 +131,8 @@ def product_popularity(sales: DataFrame, limit: int | None = 10) -> DataFrame:
     """Σ units × distinct invoices (net)."""
     per = _products(sales).groupBy(D).agg(F.sum(S.QUANTITY).alias("units"),
                                          F.count_distinct(S.INVOICE).alias("invoices"))
-    out = per.select(D, (C("units") * C("invoices")).alias("popularity_score"))
+    out = per.select(D, (C("units").cast("decimal(19,0)") * C("invoices").cast("decimal(19,0)"))
+                     .cast("decimal(38,0)").alias("popularity_score"))
     return top_k(out, [C("popularity_score").desc(), C(D)], limit)
 
 
@@ -221,15 +222,19 @@ def _window_units(sales: DataFrame, months: int, by: Sequence[str] = ()) -> Data
 
 def high_growth_products(sales: DataFrame, months: int = 3, limit: int | None = 5,
                          by: Sequence[str] = ()) -> DataFrame:
-    per = _window_units(sales, min(months, 6), by)
+    per = _window_units(sales, months, by)
     g = rnd((C("recent_units") - C("prior_units")).cast("double") / C("prior_units").cast("double") * F.lit(100.0), 1)
     out = per.select(*by, D, "recent_units", "prior_units", g.alias("growth_pct"))
     return top_k(out, [C("growth_pct").desc(), C(D)], limit, by)
 
 
 def slow_movers(sales: DataFrame, months: int = 3, limit: int | None = 10, by: Sequence[str] = ()) -> DataFrame:
-    per = _window_units(sales, min(months, 6), by)
+    per = _window_units(sales, months, by)
     g = rnd((C("prior_units") - C("recent_units")).cast("double") / C("prior_units").cast("double") * F.lit(100.0), 1)
     out = per.select(*by, D, "recent_units", "prior_units", g.alias("decline_pct"))
     return top_k(out, [C("decline_pct").desc(), C(D)], limit, by)
 
+
+def declining_products(sales: DataFrame, months: int = 3) -> DataFrame:
+    """Every product that sold fewer units in the last ``months`` than in as many before."""
+    return slow_movers(sales, months, None).filter(C("prior_units") > C("recent_units"))

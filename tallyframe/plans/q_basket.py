@@ -65,12 +65,12 @@ def _market_basket_rules(spark, sf):
     "SELECT antecedent AS description, consequent AS partner, confidence, lift FROM rules WHERE lift >= 1.0 UNION ALL "
     "SELECT consequent, antecedent, confidence, lift FROM rules WHERE lift >= 1.0) JOIN (SELECT description, "
     "ROUND(CAST(prior_units - recent_units AS DOUBLE) / CAST(prior_units AS DOUBLE) * 100.0, 1) AS decline_pct FROM wf "
-    "ORDER BY decline_pct DESC, description LIMIT 10) USING (description) GROUP BY description, partner",
+    "WHERE prior_units > recent_units) USING (description) GROUP BY description, partner",
     *PAIR_CTES, *WINDOW_CTES))
 def _bundle_candidates(spark, sf):
     s = S(spark, sf)
     return op.bundle_candidates(op.product_pairs(s, MIN_SUPPORT, MIN_CONFIDENCE, None, mined(spark, sf, True)),
-                                prod.slow_movers(s, 3, 10))
+                                prod.declining_products(s, 3))
 
 
 @register("basket_summary", with_sales(

@@ -151,12 +151,14 @@ def _signal_phrases(spark, sf):
 
 @register("revenue_at_stake", with_sales(
     "SELECT n AS customers_considered, ROUND(v, 2) AS at_risk_revenue_gbp, ROUND(v * 0.3, 2) AS recoverable_gbp, "
-    "CASE WHEN n > 0 THEN 'top_at_risk_spend' ELSE 'aov_times_at_risk' END AS method FROM (SELECT n, CASE WHEN n > 0 THEN s "
+    "tn AS top_customers, ROUND(COALESCE(ts, 0.0), 2) AS top_at_risk_revenue_gbp, ROUND(COALESCE(ts, 0.0) * 0.3, 2) AS top_recoverable_gbp, "
+    "CASE WHEN n > 0 THEN 'at_risk_spend' ELSE 'aov_times_at_risk' END AS method FROM (SELECT n, tn, ts, CASE WHEN n > 0 THEN s "
     f"ELSE (SELECT COALESCE(CAST({POS_REV} AS DOUBLE) / NULLIF(CAST(COUNT(DISTINCT invoice) AS DOUBLE), 0), 0.0) FROM sales) "
-    "* (SELECT COUNT(*) FILTER (WHERE idle >= 90) FROM ls) END AS v FROM (SELECT COUNT(*) AS n, SUM(spend) AS s FROM ("
-    f"SELECT {money('COALESCE(sp.spend, 0)')} AS spend FROM ls LEFT JOIN (SELECT customer_id, "
+    "* (SELECT COUNT(*) FILTER (WHERE idle >= 90) FROM ls) END AS v FROM (SELECT COUNT(*) AS n, CAST(SUM(CAST(spend AS DECIMAL(38, 2))) AS DOUBLE) AS s, "
+    "COUNT(*) FILTER (WHERE place <= 15) AS tn, CAST(SUM(CAST(spend AS DECIMAL(38, 2))) FILTER (WHERE place <= 15) AS DOUBLE) AS ts FROM ("
+    f"SELECT {money('COALESCE(sp.spend, 0)')} AS spend, ROW_NUMBER() OVER (ORDER BY COALESCE(sp.spend, 0) DESC, ls.customer_id) AS place FROM ls LEFT JOIN (SELECT customer_id, "
     "COALESCE(SUM(CASE WHEN quantity > 0 THEN revenue END), 0) AS spend FROM sales WHERE customer_id IS NOT NULL "
-    "GROUP BY customer_id) sp USING (customer_id) WHERE idle >= 90 ORDER BY COALESCE(sp.spend, 0) DESC, ls.customer_id LIMIT 15)))",
+    "GROUP BY customer_id) sp USING (customer_id) WHERE idle >= 90)))",
     *LAST_SEEN))
 def _revenue_at_stake(spark, sf):
     return he.revenue_at_stake(S(spark, sf))

@@ -110,11 +110,11 @@ def _slow_movers(spark, sf):
     "FROM (SELECT description, COUNT(*) FILTER (WHERE quantity > 0) AS sale_lines, COUNT(*) FILTER (WHERE quantity < 0) AS return_lines, "
     "COALESCE(CAST(COUNT(*) FILTER (WHERE quantity < 0) * 100 AS DOUBLE) / NULLIF(CAST(COUNT(*) FILTER (WHERE quantity > 0) "
     "+ COUNT(*) FILTER (WHERE quantity < 0) AS DOUBLE), 0), 0.0) AS refund_rate_pct FROM sales WHERE description IS NOT NULL "
-    "GROUP BY description) p LEFT JOIN (SELECT description FROM wf ORDER BY " + DECLINE + " DESC, description LIMIT 10) sm "
+    "GROUP BY description) p LEFT JOIN (SELECT description FROM wf WHERE prior_units > recent_units) sm "
     "ON p.description = sm.description", *WINDOW_CTES))
 def _product_line_refund_rate(spark, sf):
     s = S(spark, sf)
-    return op.product_line_refund_rate(s, op.slow_movers(s, 3, 10))
+    return op.product_line_refund_rate(s, op.declining_products(s, 3))
 
 
 @register("product_revenue_share", with_sales(top(
@@ -126,7 +126,7 @@ def _product_revenue_share(spark, sf):
 
 
 @register("product_popularity", with_sales(top(
-    "SELECT description, CAST(SUM(quantity) * COUNT(DISTINCT invoice) AS BIGINT) AS popularity_score FROM sales "
+    "SELECT description, CAST(SUM(quantity) AS DECIMAL(19, 0)) * CAST(COUNT(DISTINCT invoice) AS DECIMAL(19, 0)) AS popularity_score FROM sales "
     "WHERE description IS NOT NULL GROUP BY description", "popularity_score DESC, description", 10)))
 def _product_popularity(spark, sf):
     return op.product_popularity(S(spark, sf), 10)

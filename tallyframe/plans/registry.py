@@ -8,6 +8,7 @@ statement ask exactly the same question.
 from __future__ import annotations
 
 from collections.abc import Callable
+from importlib import import_module
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -84,22 +85,22 @@ def money(x: str) -> str:
     return MONEY.format(x=x)
 
 
-# Load the query modules (each registers its entries on import).
-from tallyframe.plans import q_sales  # noqa: E402,F401
-from tallyframe.plans import q_products  # noqa: E402,F401
-from tallyframe.plans import q_customers  # noqa: E402,F401
-from tallyframe.plans import q_basket  # noqa: E402,F401
-from tallyframe.plans import q_models  # noqa: E402,F401
-from tallyframe.plans import q_composite  # noqa: E402,F401
-from tallyframe.plans import q_text  # noqa: E402,F401
-from tallyframe.plans import q_lookup  # noqa: E402,F401
+MODULES = ("q_sales", "q_products", "q_customers", "q_basket", "q_models", "q_composite", "q_text", "q_lookup")
+
+
+def load() -> None:
+    """Import the query modules; each registers its entries."""
+    for name in MODULES:
+        import_module(f"tallyframe.plans.{name}")
 
 
 def queries() -> dict[str, QueryFn]:
+    load()
     return {k: v[0] for k, v in REGISTRY.items()}
 
 
 def oracle_sql() -> dict[str, str]:
+    load()
     return {k: v[1] for k, v in REGISTRY.items() if v[1] is not None}
 
 

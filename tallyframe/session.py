@@ -46,7 +46,8 @@ def checkpoint_dir(spark: SparkSession) -> str:
     """The shared folder for checkpoints and materialized tables.
 
     Read from ``spark.checkpoint.dir`` (the cluster names a shared, fault-tolerant
-    location there). Only when it is unset, as in local tests, do we create one.
+    location there). Only when it is unset on one machine, as in tests, do we create one;
+    on a cluster that is an error.
     """
     d = spark.conf.get("spark.checkpoint.dir", None)
     if not d:
@@ -55,6 +56,9 @@ def checkpoint_dir(spark: SparkSession) -> str:
         except Exception:  # pragma: no cover - no SparkContext (Spark Connect)
             d = None
     if not d:
+        # One machine, as in tests: its own folder will do. Executors elsewhere could not read it.
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
         d = tempfile.mkdtemp(prefix="tallyframe-ckpt-")
         spark.conf.set("spark.checkpoint.dir", d)
     try:

@@ -29,9 +29,9 @@ def read_event_log(spark: SparkSession, path: str, multiline: bool = False) -> D
 
 
 def append_events(events: DataFrame, path: str) -> None:
-    """Append records as JSON lines (one file per task; readers take the folder)."""
-    snippet = F.substring(F.col("strategy_snippet"), 1, 300)
-    cols = [snippet.alias(f.name) if f.name == "strategy_snippet" else F.col(f.name).cast(f.dataType).alias(f.name)
+    """Append records as JSON lines (one file per task; readers take the folder). Texts are
+    stored whole; a reader that wants a snippet cuts it."""
+    cols = [F.col(f.name).cast(f.dataType).alias(f.name)
             if f.name in events.columns else F.lit(None).cast(f.dataType).alias(f.name) for f in EVENT_SCHEMA.fields]
     events.select(*cols).write.mode("append").json(path)
 

@@ -100,3 +100,54 @@ def test_event_log_round_trip_and_summary(spark):
     assert s == {"total_strategies": 3, "unique_emails": 2, "top_goal": "grow", "top_biz": "cafe"}
     first = eventlog.strategy_entries(again).first()
     assert first["id"] == "4" and again.filter("id = '2'").first()["goal_questions"] == ["q1", "q2"]
+
+
+def test_csv_files_with_different_header_orders_and_a_space(spark, tmp_path):
+    from tallyframe.sources.csv import read_csv_text
+    (tmp_path / "a b").mkdir()
+    (tmp_path / "a b" / "1.csv").write_text("invoice,quantity,price\n1,2,3.5\n")
+    (tmp_path / "a b" / "2.csv").write_text("price,invoice,quantity\n4.5,2,7\n")
+    (tmp_path / "a b" / "3.csv").write_bytes("invoice,quantity,price,name\n3,1,1.0,caf\xe9\n".encode("latin-1"))
+    got = read_csv_text(spark, str(tmp_path / "a b"))
+    rows = {r.invoice: (r.quantity, r.price, r.name) for r in got.collect()}
+    assert rows == {"1": ("2", "3.5", None), "2": ("7", "4.5", None), "3": ("1", "1.0", "caf\xe9")}
+
+
+def test_parquet_timestamps_keep_fractions(spark, tmp_path):
+    from tallyframe.sources.csv import read_sales_parquet
+    path = str(tmp_path / "s.parquet")
+    spark.sql("SELECT '1' AS invoice, 'p' AS description, 2 AS quantity, 1.5 AS price, 7 AS customer_id, 'UK' AS country, "
+              "TIMESTAMP '2010-01-05 10:00:00.123' AS invoice_date").write.parquet(path)
+    row = read_sales_parquet(spark, path).first()
+    assert str(row.invoice_date) == "2010-01-05 10:00:00.123000"
+
+
+def test_text_dates_of_more_layouts(spark):
+    from tallyframe.operators.clean import parse_timestamp
+    from pyspark.sql import functions as F
+    texts = ["13/02/2010", "13/02/2010 10:00:05", "2010-02-13T10:00:00Z", "2010-02-13 10:00:00.25"]
+    got = spark.createDataFrame([(t,) for t in texts], "t string").select(parse_timestamp(F.col("t")).cast("date").alias("d"))
+    assert [str(r.d) for r in got.collect()] == ["2010-02-13"] * 4
+
+
+def test_event_log_keeps_whole_texts(spark, tmp_path):
+    from tallyframe.sources.eventlog import append_events, read_event_log
+    path = str(tmp_path / "log")
+    append_events(spark.createDataFrame([("strategy_generated", "x" * 5000)], "event string, strategy_snippet string"), path)
+    assert len(read_event_log(spark, path).first().strategy_snippet) == 5000
+
+
+def test_query_modules_import_alone():
+    import subprocess
+    import sys
+    subprocess.run([sys.executable, "-c", "import tallyframe.plans.q_products"], check=True)
+
+
+def test_counts_are_honoured_or_refused(spark, mk_sales):
+    from tallyframe.operators.customers import cohort_retention, customer_clv
+    sales = mk_sales([("1", "p", 1, 2, "2010-01-05", 7, "UK")])
+    year, five = (customer_clv(sales, m).first() for m in (12, 60))
+    money = [c for c in year.asDict() if "clv" in c.lower() or "project" in c.lower()]
+    assert money and all(abs(five[c] - 5 * year[c]) < 0.02 for c in money)
+    with pytest.raises(ValueError):
+        cohort_retention(sales, 0)
