@@ -246,18 +246,18 @@ def _revenue_by_date_range(spark, sf):
     return op.revenue_by_date_range(S(spark, sf), *RANGE)
 
 
-@register("busiest_days_of_week", with_events(
-    "SELECT dayname(invoice_date) AS day_of_week, COUNT(*) AS transactions FROM event_sales "
+@register("busiest_days_of_week", with_sales(
+    "SELECT dayname(invoice_date) AS day_of_week, COUNT(*) AS transactions FROM sales "
     "WHERE invoice_date IS NOT NULL GROUP BY 1"))
 def _busiest_days(spark, sf):
-    return op.busiest_days_of_week(E(spark, sf))
+    return op.busiest_days_of_week(S(spark, sf))
 
 
-@register("units_by_weekday", with_events(
+@register("units_by_weekday", with_sales(
     "SELECT CAST(isodow(invoice_date) - 1 AS INTEGER) AS weekday, dayname(invoice_date) AS day_of_week, "
-    "CAST(SUM(quantity) AS BIGINT) AS units_sold FROM event_sales WHERE quantity > 0 AND invoice_date IS NOT NULL GROUP BY 1, 2"))
+    "CAST(SUM(quantity) AS BIGINT) AS units_sold FROM sales WHERE quantity > 0 AND invoice_date IS NOT NULL GROUP BY 1, 2"))
 def _units_by_weekday(spark, sf):
-    return op.units_by_weekday(E(spark, sf))
+    return op.units_by_weekday(S(spark, sf))
 
 
 @register("hourly_sales", with_events(
@@ -267,12 +267,12 @@ def _hourly_sales(spark, sf):
     return op.hourly_sales(E(spark, sf))
 
 
-@register("weekend_vs_weekday", with_events(
+@register("weekend_vs_weekday", with_sales(
     f"SELECT {money('COALESCE(SUM(CASE WHEN isodow(invoice_date) <= 5 THEN revenue END), 0)')} AS weekday_revenue, "
     f"{money('COALESCE(SUM(CASE WHEN isodow(invoice_date) >= 6 THEN revenue END), 0)')} AS weekend_revenue "
-    "FROM event_sales"))
+    "FROM sales"))
 def _weekend_vs_weekday(spark, sf):
-    return op.weekend_vs_weekday(E(spark, sf))
+    return op.weekend_vs_weekday(S(spark, sf))
 
 
 # ── MoM family ───────────────────────────────────────────────────────────────
