@@ -2,11 +2,14 @@
 
 Members of a key's group are first compared with one of them, its pivot: a group of near
 copies, however large, takes one comparison a member, and the links join it to one component.
-What such stars may miss are links between members of different components. Those pairs are
-compared in a second round, except where the first round's figures rule a link out: by size;
-by distance to the common pivot (Jaccard distance is a metric); or by a sketch, the counts of
-a set's hashes in ``SKETCH`` buckets, whose differences add up to no more than the sets'. So
-every two linked texts end in one component, without all pairs of a group.
+What such stars may miss are links between members of different components. Up to ``TURNS``
+further pivots, drawn anew in each group, are compared with the members of other components,
+while that still joins many: of a large group whose copies lie near the limit, each turn joins
+a good part. The pairs of different components that are left then are all compared, except
+where the first figures rule a link out: by size; by distance to the common pivot (Jaccard
+distance is a metric); or by a sketch, the counts of a set's hashes in ``SKETCH`` buckets,
+whose differences add up to no more than the sets'. So every two linked texts end in one
+component, without all pairs of a group.
 """
 
 from __future__ import annotations
@@ -25,6 +28,7 @@ from tallyframe.llm.text import U, pieces
 
 BUCKET = 256  # members compared with one copy of a pivot's text
 SKETCH = 64
+TURNS = 6     # further pivots of a group, while they join a tenth of those they are compared with
 
 
 class SetJoin(Protocol):
@@ -103,30 +107,69 @@ def linked_components(keyed: DataFrame, texts: DataFrame, sim: SetJoin) -> DataF
             .filter("slack <= 1 or rank > slack div 2"))
     starred = keep(rare.withColumn("pivot", F.min("node").over(group)).withColumn("last", F.max("node").over(group))
                    .filter("pivot < last and node != pivot").select("key", "node", "pivot").distinct(), "stars")
+    # The texts of candidates, by far not all, are set apart once for all comparisons.
+    wanted = starred.select("node").unionAll(starred.select(F.col("pivot").alias("node"))).distinct()
+    texts = keep(texts.join(wanted.hint("merge"), "node"), "texts")
     first = keep(compared(texts, starred.select(F.col("pivot").alias("a"), F.col("node").alias("b")), sim), "compared")
-    links = first.filter("linked").select("a", "b")
-    found = keep(components(links), "components")
+    found = keep(components(first.filter("linked").select("a", "b")), "components")
 
     about = first.select(F.col("a").alias("pivot"), F.col("b").alias("node"), F.col("n").alias("size"), "sketch",
                          (1 - F.col("common") / (F.col("m") + F.col("n") - F.col("common"))).alias("far"))
     labelled = (starred.join(found.withColumnRenamed("component", "label"), "node", "left")
-                .withColumn("label", F.coalesce("label", "node")))
-    mixed = keep(labelled.withColumn("lowest", F.min("label").over(group)).withColumn("highest", F.max("label").over(group))
-                 .filter("lowest < highest").join(about, ["pivot", "node"])
-                 .select("key", "node", "label", "size", "sketch", "far"), "mixed")
-    x, y = mixed.alias("x"), mixed.alias("y")
-    pc = sim.percent
+                .withColumn("label", F.coalesce("label", "node")).join(about, ["pivot", "node"])
+                .select("key", "node", "label", "size", "sketch", "far"))
+    mixed, links = _more_pivots(keep(_mixed(labelled), "mixed"), texts, sim)
+    cross = keep(mixed.alias("x").join(mixed.alias("y"), (F.col("x.node") < F.col("y.node")) & _possible(sim.percent))
+                 .select(F.col("x.node").alias("a"), F.col("y.node").alias("b")).distinct(), "cross")
+    if not cross.isEmpty():
+        links.append(keep(compared(texts, cross, sim).filter("linked").select("a", "b"), "links"))
+    links = [more for more in links if not more.isEmpty()]
+    if not links:
+        return found
+    every = found.select(F.col("component").alias("a"), F.col("node").alias("b"))
+    for more in links:
+        every = every.unionAll(more.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")))
+    return components(every)
+
+
+def _mixed(rows: DataFrame) -> DataFrame:
+    """The rows of the keys under which there are several labels."""
+    several = rows.groupBy("key").agg(F.min("label").alias("least"), F.max("label").alias("most")).filter("least < most")
+    return rows.join(several.select("key"), "key", "left_semi")
+
+
+def _possible(percent: int):
+    """Whether rows x and y share a key, have different labels and may be linked at all."""
     differ = F.aggregate(F.zip_with("x.sketch", "y.sketch", lambda s, t: F.abs(s.cast("int") - t.cast("int"))),
                          F.lit(0), lambda s, t: s + t)
-    possible = ((F.col("x.key") == F.col("y.key")) & (F.col("x.node") < F.col("y.node"))
-                & (F.col("x.label") != F.col("y.label"))
-                & (100 * F.least("x.size", "y.size") >= pc * F.greatest("x.size", "y.size"))
-                & (F.abs(F.col("x.far") - F.col("y.far")) <= (100 - pc) / 100 + 1e-9)
-                & (differ * (100 + pc) <= (100 - pc) * (F.col("x.size") + F.col("y.size"))))
-    cross = keep(x.join(y, possible).select(F.col("x.node").alias("a"), F.col("y.node").alias("b")).distinct(), "cross")
-    if cross.isEmpty():
-        return found
-    more = keep(compared(texts, cross, sim).filter("linked").select("a", "b"), "links")
-    if more.isEmpty():
-        return found
-    return components(links.unionAll(more))
+    return ((F.col("x.key") == F.col("y.key")) & (F.col("x.label") != F.col("y.label"))
+            & (100 * F.least("x.size", "y.size") >= percent * F.greatest("x.size", "y.size"))
+            & (F.abs(F.col("x.far") - F.col("y.far")) <= (100 - percent) / 100 + 1e-9)
+            & (differ * (100 + percent) <= (100 - percent) * (F.col("x.size") + F.col("y.size"))))
+
+
+def _more_pivots(mixed: DataFrame, texts: DataFrame, sim: SetJoin) -> tuple[DataFrame, list[DataFrame]]:
+    """What is left of ``mixed`` after further pivots, with the labels that their links join made
+    one, and these links. A pivot is drawn of all members, so mostly from a large component."""
+    links = []
+    for turn in range(TURNS):
+        drawn = F.min(F.struct(F.xxhash64("node", F.lit(turn)).alias("draw"), "node", "label", "size", "sketch", "far"))
+        pivots = mixed.groupBy("key").agg(drawn.alias("p")).select("key", "p.*")
+        pairs = keep(mixed.alias("x").join(pivots.alias("y"), _possible(sim.percent))
+                     .select(F.col("y.node").alias("a"), F.col("x.node").alias("b"), F.col("y.label").alias("of_a"),
+                             F.col("x.label").alias("of_b")).distinct(), "turn")
+        compared_to = pairs.count()
+        if compared_to == 0:
+            break
+        linked = keep(compared(texts, pairs, sim).filter("linked").select("a", "b"), "links")
+        links.append(linked)
+        # A pivot's label and those linked with it become the least of them.
+        both = pairs.join(linked, ["a", "b"]).select("of_a", "of_b")
+        star = both.groupBy("of_a").agg(F.least(F.min("of_b"), F.col("of_a")).alias("to"))
+        moves = (both.join(star, "of_a").select(F.col("of_b").alias("label"), "to")
+                 .unionAll(star.select(F.col("of_a").alias("label"), "to")).groupBy("label").agg(F.min("to").alias("to")))
+        moved = mixed.join(moves, "label", "left").withColumn("label", F.coalesce("to", "label")).drop("to")
+        mixed = keep(_mixed(moved.select("key", "node", "label", "size", "sketch", "far")), "mixed")
+        if linked.count() * 10 < compared_to:
+            break
+    return mixed, links
