@@ -7,7 +7,7 @@ further pivots, drawn anew in each group, are compared with the members of other
 while that still joins many: of a large group whose copies lie near the limit, each turn joins
 a good part. The pairs of different components that are left then are all compared, except
 where the first figures rule a link out: by size; by distance to the common pivot (Jaccard
-distance is a metric); or by a sketch, the counts of a set's hashes in ``SKETCH`` buckets,
+distance is a metric); or by a sketch, the counts of a set's hashes in 2 ** ``sketch_bits`` buckets,
 whose differences add up to no more than the sets'. So every two linked texts end in one
 component, without all pairs of a group.
 """
@@ -27,7 +27,6 @@ from tallyframe.llm.store import keep, tasks
 from tallyframe.llm.text import U, pieces
 
 BUCKET = 256  # members compared with one copy of a pivot's text
-SKETCH = 64
 TURNS = 6     # further pivots of a group, while they join a tenth of those they are compared with
 
 
@@ -35,6 +34,7 @@ class SetJoin(Protocol):
     """What is joined: texts are linked at ``percent`` of their sets' union in common."""
 
     percent: int
+    sketch_bits: int
 
     def sets(self, piece) -> tuple[np.ndarray, np.ndarray]:
         """Distinct (hash, document) of a piece of texts, sorted by document, then hash."""
@@ -56,7 +56,7 @@ def compared(texts: DataFrame, pairs: DataFrame, sim: SetJoin) -> DataFrame:
             .sortWithinPartitions("a", "salt", "role"))
 
     def run(batches):
-        key, pivots = None, []
+        key, pivots, top = None, [], U(64 - sim.sketch_bits)
         for batch in batches:
             a, salt, role, node = (batch.column(c).to_numpy() for c in ("a", "salt", "role", "node"))
             got: list[tuple] = []
@@ -72,7 +72,7 @@ def compared(texts: DataFrame, pairs: DataFrame, sim: SetJoin) -> DataFrame:
                         pivots.append(own.copy())
                         continue
                     common, m = max(((_common(pivot, own), len(pivot)) for pivot in pivots), default=(0, 0))
-                    sketch = np.minimum(np.bincount((own >> U(58)).astype(np.int64), minlength=SKETCH), 127)
+                    sketch = np.minimum(np.bincount((own >> top).astype(np.int64), minlength=1 << sim.sketch_bits), 127)
                     linked = common > 0 and 100 * common >= sim.percent * (m + len(own) - common)
                     got.append((a[at], node[at], linked, common, m, len(own), sketch.astype(np.int8)))
             columns = zip(*got) if got else [[]] * 7
