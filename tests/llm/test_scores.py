@@ -98,6 +98,17 @@ def test_quality_keeps_good_and_counts_grow(spark):
     assert all_grams.count() > half.count()
 
 
+def test_quality_rejects_junk_of_every_language(spark):
+    """Junk that passes the base rules (menus, marks on every word, shouting) is rejected in each language,
+    while good texts stay."""
+    labels = spark.read.parquet(f"{SF}/labels.parquet")
+    docs = spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "lang")
+    rows = [r for r in queries.op5_quality(spark, SF).join(labels, "doc_id").join(docs, "doc_id").collect() if not r.base_failed]
+    for lang in {r.lang for r in rows}:
+        assert [r.doc_id for r in rows if r.lang == lang and r.quality == 0 and r.kept] == []
+        assert np.mean([r.kept for r in rows if r.lang == lang and r.quality == 1]) > 0.9
+
+
 def test_quality_blocks_of_languages(spark, monkeypatch):
     docs = spark.read.parquet(f"{SF}/documents.parquet").filter("doc_id < 150")
     want = sorted(map(tuple, quality.quality(docs).collect()))
