@@ -9,7 +9,8 @@ bounds over the other terms reach the threshold less ``SLACK`` have their postin
 That is the WAND pivot, taken for a whole piece of passages at once: nothing above the
 threshold is lost, and frequent words cost nothing where no item is near.
 Each item found is verified on the text: the share of the item's distinct word ``SHINGLE``-
-grams that the passage holds, for the question and for the answer.
+grams that the passage holds, for the question and for the answer. A text of fewer words has
+no such gram: its words, in their order, anywhere in the passage are all of it.
 
 A passage is a whole document and its words are case-folded, with punctuation cut off. The
 index is broadcast in parts of at most ``PART_WORDS`` item words; a larger benchmark costs
@@ -28,7 +29,7 @@ from pyspark.sql import types as T
 
 from tallyframe.llm.order import running
 from tallyframe.llm.store import keep
-from tallyframe.llm.text import LOWER, SPACE, U, SpanHash, pieces, shingle_sets, spans
+from tallyframe.llm.text import LOWER, SPACE, U, SpanHash, mix, pieces, shingle_sets, shingles, spans
 
 THRESHOLD = 0.5
 OVERLAP = 0.6
@@ -62,6 +63,7 @@ class Index:
     block: np.ndarray
     bmax: np.ndarray
     parts: tuple               # (sorted shingles, their items, shingles of each item) for question, answer
+    short: tuple               # (words of each item if fewer than a shingle has, else 0; hash of them) for both
     n_blocks: int
 
 
@@ -106,14 +108,21 @@ def build(item_ids: np.ndarray, questions: list, answers: list, n_items: int, me
     bmax = np.zeros(len(bkey))
     np.maximum.at(bmax, bat, w[strong])
     edges = np.arange(len(terms) + 1)
-    parts = []
+    parts, short = [], []
     for texts in (questions, answers):
         th, td = hashed(texts)
+        count = np.bincount(td, minlength=n)
+        words, whole = np.where(count < SHINGLE, count, 0), np.zeros(n, U)
+        for m in range(1, SHINGLE):
+            wh, wd, _ = shingles(th, td, m)
+            one = words[wd] == m
+            whole[wd[one]] = wh[one]
+        short.append((words, whole))
         sh, sd = shingle_sets(th, td, n, SHINGLE)
         o = np.argsort(sh, kind="stable")
         parts.append((sh[o], sd[o], np.bincount(sd, minlength=n)))
     return Index(item_ids, terms, np.searchsorted(term, edges), item, w, np.searchsorted(bkey // max(n_blocks, 1), edges),
-                 bkey % max(n_blocks, 1), bmax, tuple(parts), n_blocks)
+                 bkey % max(n_blocks, 1), bmax, tuple(parts), tuple(short), n_blocks)
 
 
 def _expand(first: np.ndarray, term: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -146,16 +155,17 @@ def search(index: Index, term: np.ndarray, doc: np.ndarray, n: int, threshold: f
 
 def matches(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text: str = "text",
             item_id: str = "item_id", question: str = "text", answer: str | None = None,
-            threshold: float = THRESHOLD, overlap: float = OVERLAP) -> DataFrame:
+            threshold: float = THRESHOLD, overlap: float = OVERLAP, short_items: bool = False) -> DataFrame:
     """(doc_id, item_id, score, overlap, answer_overlap) for every document and test item with
     a score and a share of the question's shingles (and of the answer's, if there is an
     answer column with a text) that reach the limits.
 
-    Null and empty texts match nothing; neither do items without a word. An item of fewer
-    words than a shingle is found only in a document that has no other words. Repeated documents and items match each by themselves,
+    Null and empty texts match nothing; neither do items without a word. An answer of fewer
+    words than a shingle is found wherever a document has these words in this order; so is a
+    question with ``short_items``, without it only in a document that has no other words. Repeated documents and items match each by themselves,
     null ids included. An empty table on either side gives an empty result."""
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"))
-    out = [_part(rows, part, ["doc_id"], threshold, overlap) for part in parts_of(benchmark, item_id, question, answer)]
+    out = [_part(rows, part, threshold, overlap, short_items) for part in parts_of(benchmark, item_id, question, answer)]
     schema = "doc_id long, item_id long, score double, overlap double, answer_overlap double"
     if not out:
         return docs.sparkSession.createDataFrame([], schema)
@@ -166,10 +176,10 @@ def matches(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text:
 
 
 def clean(docs: DataFrame, benchmark: DataFrame, text: str = "text", threshold: float = THRESHOLD,
-          overlap: float = OVERLAP, **columns) -> DataFrame:
+          overlap: float = OVERLAP, short_items: bool = False, **columns) -> DataFrame:
     """The rows of ``docs`` without a match, in one pass per index part; no shuffle of texts."""
     for index in parts_of(benchmark, **{"item_id": "item_id", "question": "text", "answer": None, **columns}):
-        docs = _without(docs, text, index, threshold, overlap)
+        docs = _without(docs, text, index, threshold, overlap, short_items)
     return docs
 
 
@@ -214,7 +224,18 @@ def parts_of(benchmark: DataFrame, item_id: str, question: str, answer: str | No
     return out
 
 
-def _find(index: Index, p, threshold: float, overlap: float):
+def _anywhere(h: np.ndarray, doc: np.ndarray, d: np.ndarray, words: np.ndarray, whole: np.ndarray) -> np.ndarray:
+    """For pairs of a document and a sequence of few words (their number and hash): 1.0 where the
+    document has them side by side."""
+    found = np.zeros(len(d))
+    for m in np.unique(words):
+        wh, wd, _ = shingles(h, doc, int(m))
+        one = np.flatnonzero(words == m)
+        found[one] = np.isin(mix(whole[one] ^ mix(d[one].astype(U))), mix(wh ^ mix(wd.astype(U))))
+    return found
+
+
+def _find(index: Index, p, threshold: float, overlap: float, short_items: bool):
     """Verified matches of a piece: (document, item, score, overlap, answer overlap)."""
     h, doc = tokens(p)
     at = np.minimum(np.searchsorted(index.terms, h), max(len(index.terms) - 1, 0))
@@ -228,7 +249,7 @@ def _find(index: Index, p, threshold: float, overlap: float):
     use = hit[doc]
     sh, sd = shingle_sets(h[use], doc[use], p.n, SHINGLE)
     got = []
-    for shingle, of, total in index.parts:
+    for (shingle, of, total), (words, whole), anywhere in zip(index.parts, index.short, (short_items, True)):
         # Pairs (document, item) by the shingles that both have.
         size_at = np.searchsorted(shingle, sh, "left"), np.searchsorted(shingle, sh, "right")
         n = size_at[1] - size_at[0]
@@ -238,20 +259,23 @@ def _find(index: Index, p, threshold: float, overlap: float):
         want = d * len(index.item_ids) + item
         i = np.minimum(np.searchsorted(pair, want), max(len(pair) - 1, 0))
         found = np.where(pair[i] == want, common[i], 0) if len(pair) else np.zeros(len(want), np.int64)
-        got.append(np.where(total[item] > 0, found / np.maximum(total[item], 1), np.nan))
+        share = np.where(total[item] > 0, found / np.maximum(total[item], 1), np.nan)
+        few = np.flatnonzero(words[item] > 0) if anywhere else np.zeros(0, np.int64)
+        share[few] = _anywhere(h[use], doc[use], d[few], words[item[few]], whole[item[few]])
+        got.append(share)
     q, a = got
     good = (np.where(np.isnan(q), 0, q) >= overlap) & (np.isnan(a) | (a >= overlap))
     return d[good], item[good], score[good], q[good], a[good]
 
 
-def _part(rows: DataFrame, index: Index, keys: list[str], threshold: float, overlap: float) -> DataFrame:
+def _part(rows: DataFrame, index: Index, threshold: float, overlap: float, short_items: bool) -> DataFrame:
     shared = rows.sparkSession.sparkContext.broadcast(index)
 
     def run(batches):
         for b in batches:
             ids = b.column("doc_id")
             for p in pieces(b.column("text")):
-                d, item, score, q, a = _find(shared.value, p, threshold, overlap)
+                d, item, score, q, a = _find(shared.value, p, threshold, overlap, short_items)
                 item_ids = shared.value.item_ids[item]
                 yield pa.RecordBatch.from_arrays(
                     [ids.take(pa.array(d + p.lo)), pa.array(item_ids, mask=item_ids < 0), pa.array(score), pa.array(q),
@@ -260,14 +284,15 @@ def _part(rows: DataFrame, index: Index, keys: list[str], threshold: float, over
     return rows.mapInArrow(run, "doc_id long, item_id long, score double, overlap double, answer_overlap double")
 
 
-def _without(docs: DataFrame, text: str, index: Index, threshold: float, overlap: float) -> DataFrame:
+def _without(docs: DataFrame, text: str, index: Index, threshold: float, overlap: float,
+             short_items: bool) -> DataFrame:
     shared = docs.sparkSession.sparkContext.broadcast(index)
 
     def run(batches):
         for b in batches:
             stay = np.ones(b.num_rows, bool)
             for p in pieces(b.column(text)):
-                stay[_find(shared.value, p, threshold, overlap)[0] + p.lo] = False
+                stay[_find(shared.value, p, threshold, overlap, short_items)[0] + p.lo] = False
             yield b.filter(pa.array(stay))
 
     return docs.mapInArrow(run, docs.schema)

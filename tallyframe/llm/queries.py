@@ -46,7 +46,7 @@ def op6_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return decontaminate.matches(documents(spark, sf_dir), table(spark, sf_dir, "benchmark"))
+    return decontaminate.matches(documents(spark, sf_dir), table(spark, sf_dir, "benchmark"), short_items=True)
 
 
 def op8_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -273,6 +273,25 @@ def test_decontamination_checks_answers(spark):
     assert {(r.doc_id, r.item_id) for r in got.collect()} == {(2, 1), (3, 2)}
 
 
+def test_decontamination_finds_short_answers_and_items(spark):
+    bench = spark.createDataFrame([(1, "what is the capital city of France today", "Paris"),
+                                   (2, "what is six times seven plus nothing", "forty two"), (3, "zebra quagga okapi", None)],
+                                  "id long, q string, a string")
+    filler = " some more words that say nothing at all"
+    texts = ["So what is the capital city of France today? It is Paris, of course." + filler,
+             "So what is the capital city of France today? Nobody knows." + filler,
+             "what is six times seven plus nothing: Forty-two" + filler, "what is six times seven plus nothing: two forty" + filler,
+             "a zebra, quagga, okapi" + filler, "zebra okapi quagga" + filler, "zebra quagga", "okapi"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").coalesce(1)
+    columns = dict(item_id="id", question="q", answer="a", threshold=.3)
+    got = decontaminate.matches(docs, bench, short_items=True, **columns).collect()
+    assert {(r.doc_id, r.item_id) for r in got} == {(0, 1), (2, 2), (4, 3)}
+    assert all(r.overlap == 1 and r.answer_overlap in (1, None) for r in got)
+    left = decontaminate.clean(docs, bench, short_items=True, **columns).collect()
+    assert {r.doc_id for r in left} == {1, 3, 5, 6, 7}
+    assert {(r.doc_id, r.item_id) for r in decontaminate.matches(docs, bench, **columns).collect()} == {(0, 1), (2, 2)}
+
+
 def test_pieces_and_hashes():
     texts = ["ab", None, "", "x" * 50, "ab", "é"]
     got = list(pieces(pa.array(texts), 10))
