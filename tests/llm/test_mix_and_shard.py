@@ -133,6 +133,23 @@ def test_pipeline_stages(spark, docs):
     assert {"shard", "slot"} <= set(kept.columns)
 
 
+def test_near_duplicates_keeps_one_row_of_each_group(spark):
+    """Repeated rows, null ids and ids shared by different texts."""
+    base = {c: " ".join(f"{c}{i}" for i in range(60)) for c in "abcdef"}
+    rows = [(1, base["a"])] * 3 + [(2, base["a"])]                      # repeated rows and another id
+    rows += [(None, base["b"])] * 3 + [(None, base["b"] + " tail")]     # no id at all
+    rows += [(None, base["c"]), (7, base["c"] + " tail")]               # the row with an id stays
+    rows += [(5, base["d"]), (6, base["d"] + " tail"), (6, base["e"])]  # 6 is an id of a clean text too
+    rows += [(8, base["f"])] + [(9, None)] * 2 + [(None, " ")]
+    df = spark.createDataFrame([(d, t, "en", "web", 0) for d, t in rows], COLUMNS).repartition(3)
+    out = corpus_pipeline.near_duplicates(spark, df, SF)
+    assert out.columns == df.columns
+    left = [(r.doc_id, r.text) for r in out.collect()]
+    groups = Counter(t[0] if t and t.strip() else t for _, t in left)
+    assert groups == {"a": 1, "b": 1, "c": 1, "d": 1, "e": 1, "f": 1, None: 2, " ": 1}
+    assert {(1, base["a"]), (7, base["c"] + " tail"), (5, base["d"]), (6, base["e"]), (8, base["f"])} <= set(left)
+
+
 def test_pipeline_stages_on_an_empty_table(spark):
     empty = spark.createDataFrame([], COLUMNS)
     for _, stage in corpus_pipeline.STAGES:
