@@ -71,7 +71,8 @@ def compared(texts: DataFrame, pairs: DataFrame, sim: SetJoin) -> DataFrame:
                     if role[at] == 0:
                         pivots.append(own.copy())
                         continue
-                    common, m = max(((_common(pivot, own), len(pivot)) for pivot in pivots), default=(0, 0))
+                    common, m = max(((_common(pivot, own), len(pivot)) for pivot in pivots), default=(0, 0),
+                                    key=lambda x: x[0] / max(x[1] + len(own) - x[0], 1))
                     sketch = np.minimum(np.bincount((own >> top).astype(np.int64), minlength=1 << sim.sketch_bits), 127)
                     linked = common > 0 and 100 * common >= sim.percent * (m + len(own) - common)
                     got.append((a[at], node[at], linked, common, m, len(own), sketch.astype(np.int8)))

@@ -82,6 +82,14 @@ def test_jaccard_join_of_a_passage_group(spark):
     assert sorted_rows(got) == brute_join(rows, 5, 80)
 
 
+def test_jaccard_join_takes_the_most_similar_row_of_a_pivot(spark):
+    """Two rows share the pivot's id: one equals the other text, one only holds it."""
+    small = " ".join(f"s{i}" for i in range(52))
+    rows = [(1, small + " " + " ".join(f"b{i}" for i in range(900))), (1, small), (2, small)]
+    got = jaccard_join.join(frame(spark, rows), jaccard_join.Similarity(3, 90))
+    assert sorted_rows(got) == brute_join(rows, 3, 90) == sorted([(1, 950, 1), (1, 50, 1), (2, 50, 1)], key=str)
+
+
 def test_empty_tables(spark):
     empty = spark.createDataFrame([], DOCS)
     assert jaccard_join.join(empty, jaccard_join.Similarity()).collect() == []
