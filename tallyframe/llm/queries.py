@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallyframe.llm import (decontaminate, jaccard_join, langid, line_dedup, merkle, mixing, packing, quality, sharding,
+from tallyframe.llm import (decontaminate, divergence, jaccard_join, langid, line_dedup, merkle, mixing, packing, quality, sharding,
                             suffix_dedup, token_counts, toxicity)
 from tallyframe.llm import sql
 from tallyframe.llm.store import documents, fold, table
@@ -70,6 +70,10 @@ def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_dedup.line_dedup(documents(spark, sf_dir))
 
 
+def op11_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return divergence.audit(documents(spark, sf_dir))
+
+
 def op12_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.packed_documents(documents(spark, sf_dir))
 
@@ -79,6 +83,6 @@ def op13_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (op1_language_id, op2_jaccard_join, op3_toxicity, op4_suffix_dedup, op5_quality, op6_token_counts,
-                                  op7_decontamination, op8_sharding, op9_mixing, op10_line_dedup, op12_best_fit_packing,
-                                  op13_merkle_manifest)}
-ORACLE_SQL: dict[str, str] = {"op13_merkle_manifest": sql.MERKLE}
+                                  op7_decontamination, op8_sharding, op9_mixing, op10_line_dedup, op11_source_divergence,
+                                  op12_best_fit_packing, op13_merkle_manifest)}
+ORACLE_SQL: dict[str, str] = {"op11_source_divergence": sql.DIVERGENCE, "op13_merkle_manifest": sql.MERKLE}

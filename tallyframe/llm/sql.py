@@ -68,3 +68,43 @@ SELECT f.doc_id, f.leaf, s.subroot, a.h AS root, sha256(f.p) AS proof_sha256, f.
 FROM folds f JOIN subroots s ON f.source IS NOT DISTINCT FROM s.source CROSS JOIN (SELECT h FROM above WHERE n = 1) a
 WHERE f.k > coalesce(len(f.ls), 0)
 """
+
+DIVERGENCE = """
+WITH docs AS (
+  SELECT coalesce(text, '') AS text, coalesce(lang, '') AS lang, coalesce(source, '') AS source, row_number() OVER () AS k
+  FROM documents),
+words AS (
+  SELECT k, lang, source, term, count(*) AS n
+  FROM (SELECT k, lang, source, unnest(regexp_extract_all(
+          translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+          '[^\\x00-\\x40\\x5B-\\x60\\x7B-\\x7F]+')) AS term FROM docs)
+  GROUP BY ALL),
+kept AS (SELECT lang, term FROM words GROUP BY lang, term HAVING count(*) >= 30),
+groups AS (SELECT DISTINCT lang, source FROM docs),
+own AS (SELECT lang, source, term, sum(n) AS n FROM words GROUP BY ALL),
+counts AS (
+  SELECT g.lang, g.source, k.term, coalesce(o.n, 0)::HUGEINT AS n
+  FROM groups g JOIN kept k USING (lang) LEFT JOIN own o USING (lang, source, term)),
+shares AS (
+  SELECT lang, source, term, n,
+         1 + (1000000000 * (n + 5)) // (sum(n) OVER (PARTITION BY lang, source) + 5 * count(*) OVER (PARTITION BY lang, source)) AS p
+  FROM counts),
+whole AS (SELECT lang, term, sum(n)::HUGEINT AS n FROM counts GROUP BY ALL),
+langs AS (
+  SELECT lang, term, 1 + (1000000000 * (n + 5)) // (sum(n) OVER (PARTITION BY lang) + 5 * count(*) OVER (PARTITION BY lang)) AS q
+  FROM whole),
+far AS (
+  SELECT a.lang, a.source, b.source AS item, sum(abs(a.p - b.p)) AS value
+  FROM shares a JOIN shares b ON a.lang = b.lang AND a.term = b.term AND a.source <> b.source GROUP BY ALL),
+pairs AS (
+  SELECT a.lang, a.source, 'pair' AS part, b.source AS item, coalesce(f.value, 0) AS value
+  FROM groups a JOIN groups b ON a.lang = b.lang AND a.source <> b.source
+  LEFT JOIN far f ON f.lang = a.lang AND f.source = a.source AND f.item = b.source),
+rising AS (
+  SELECT s.lang, s.source, 'term' AS part, s.term AS item, s.p - l.q AS value
+  FROM shares s JOIN langs l USING (lang, term) WHERE s.n > 0 AND s.p > l.q)
+SELECT lang, source, part, item, CAST(value AS BIGINT) AS value,
+       CAST(row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, item) AS INTEGER) AS rank
+FROM (SELECT * FROM pairs UNION ALL SELECT * FROM rising)
+QUALIFY part = 'pair' OR rank <= 50
+"""
