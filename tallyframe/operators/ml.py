@@ -10,7 +10,6 @@ k-means (different random streams and split finders); tests check behaviour.
 
 from __future__ import annotations
 
-import math
 from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass
 
@@ -19,13 +18,14 @@ from pyspark.ml.classification import RandomForestClassifier
 from pyspark.ml.clustering import KMeans
 from pyspark.ml.evaluation import ClusteringEvaluator
 from pyspark.ml.feature import StandardScaler, VectorAssembler
-from pyspark.ml.functions import array_to_vector, vector_to_array
+from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tallyframe import schema as S
 from tallyframe.functions.cols import div, elapsed_days, is_sale, money, positive, rnd
 from tallyframe.operators.customers import churn_risk_summary, customer_clv, rfm_features
+from tallyframe.operators.shapley import explain
 
 C = F.col
 CID = S.CUSTOMER_ID
@@ -41,9 +41,28 @@ class InsufficientData(ValueError):
     pass
 
 
-def _uniform(key: F.Column, seed: int) -> F.Column:
-    """Deterministic U[0,1) per key: a recomputed partition draws the same split."""
-    return (F.abs(F.xxhash64(key, F.lit(seed))) % F.lit(1_000_000)).cast("double") / F.lit(1_000_000.0)
+def stratified_split(rows: DataFrame, key: str, label: str, fraction: float, seed: int = 42) -> DataFrame:
+    """``rows`` (one per key) plus ``is_train``: of every class exactly fraction x n rows, rounded half up,
+    those with the least hashes of the key, so a recomputed partition draws the same split.
+
+    The hash that a class's quota ends at is selected in two steps: counts by leading bits say
+    which bucket holds it, and only that bucket's rows are ranked."""
+    draw, bucket = C("_draw"), F.shiftrightunsigned("_draw", 52)
+    drawn = rows.withColumn("_draw", F.xxhash64(C(key), F.lit(seed))).withColumn("_bucket", bucket)
+    counts = drawn.groupBy(C(label).alias("_class"), C("_bucket").alias("_b")).agg(F.count(F.lit(1)).alias("_n"))
+    upto = Window.partitionBy("_class").orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
+    cut = (counts.withColumn("_before", F.coalesce(F.sum("_n").over(upto), F.lit(0)))
+           .withColumn("_quota", F.round(F.sum("_n").over(Window.partitionBy("_class")) * F.lit(fraction)).cast("long"))
+           .filter((C("_before") < C("_quota")) & (C("_quota") <= C("_before") + C("_n")))
+           .select("_class", C("_b").alias("_cut"), (C("_quota") - C("_before")).alias("_rest")))
+    placed = drawn.join(cut, drawn[label] == cut["_class"], "left")   # one row a class
+    last = placed.filter(C("_bucket") == C("_cut")).select(
+        C(label).alias("_class"), C(key).alias("_key"), "_rest",
+        F.row_number().over(Window.partitionBy(label, "_bucket").orderBy(draw, key)).alias("_rank"))
+    last = last.filter(C("_rank") <= C("_rest")).select("_key", F.lit(True).alias("_in"))
+    out = placed.join(last, placed[key] == last["_key"], "left")
+    is_train = F.coalesce((C("_bucket") < C("_cut")) | C("_in"), F.lit(False))
+    return out.select(*rows.columns, is_train.alias("is_train"))
 
 
 @dataclass
@@ -54,6 +73,7 @@ class ChurnModel:
     metrics: DataFrame       # one row
     importances: DataFrame   # one row per feature
     threshold_days: int
+    rows: DataFrame          # customer_id, features, label, is_train, score: one row per customer
 
 
 def churn_model(sales: DataFrame, days: int = 90, seed: int = 42, num_trees: int = 200, max_depth: int = 6,
@@ -62,12 +82,12 @@ def churn_model(sales: DataFrame, days: int = 90, seed: int = 42, num_trees: int
 
     The label is a function of ``recency_days``, so with recency as a feature the
     metrics are near perfect by construction; ``exclude_recency`` drops it.
-    Classes are weighted n / (2 · n_class); the train/test split is a hash of the
-    customer id (stratified in expectation, stable under recomputation).
+    Classes are weighted n / (2 · n_class); of each class ``train_fraction`` is the
+    training set, to the row (``stratified_split``).
     """
     feats = [f for f in FEATURES if not (exclude_recency and f == "recency_days")]
     rfm = rfm_features(sales).withColumn("label", (C("recency_days") >= days).cast("double"))
-    rfm = rfm.withColumn("_u", _uniform(C(CID), seed))
+    rfm = rfm.persist(StorageLevel.MEMORY_AND_DISK)
     stats = rfm.agg(F.count(F.lit(1)).alias("n"), F.sum("label").alias("pos")).first()
     if stats["n"] < 30:
         raise InsufficientData("need at least 30 customers with complete RFM data")
@@ -75,10 +95,11 @@ def churn_model(sales: DataFrame, days: int = 90, seed: int = 42, num_trees: int
         raise InsufficientData(f"all customers are in one churn class at {days} days")
     n, pos = stats["n"], stats["pos"]
     w = F.when(C("label") == 1.0, F.lit(n / (2.0 * pos))).otherwise(F.lit(n / (2.0 * (n - pos))))
-    data = VectorAssembler(inputCols=feats, outputCol="features").transform(rfm.withColumn("w", w))
+    data = VectorAssembler(inputCols=feats, outputCol="features").transform(
+        stratified_split(rfm, CID, "label", train_fraction, seed).withColumn("w", w))
     data = data.persist(StorageLevel.MEMORY_AND_DISK)
-    train = data.filter(C("_u") < train_fraction)
-    test = data.filter(C("_u") >= train_fraction)
+    train = data.filter("is_train")
+    test = data.filter(~C("is_train"))
     rf = RandomForestClassifier(featuresCol="features", labelCol="label", weightCol="w", numTrees=num_trees,
                                 maxDepth=max_depth, minInstancesPerNode=min_leaf, featureSubsetStrategy="sqrt",
                                 seed=seed)
@@ -104,49 +125,26 @@ def churn_model(sales: DataFrame, days: int = 90, seed: int = 42, num_trees: int
     spark = sales.sparkSession
     importances = spark.createDataFrame(
         [(f, float(round(v * 100, 1))) for f, v in zip(feats, imp)], "feature string, importance_pct double")
-    return ChurnModel(model, feats, scores, metrics, importances, days)
+    rows = model.transform(data).select(CID, *feats, "label", "is_train", p1.alias("score"))
+    return ChurnModel(model, feats, scores, metrics, importances, days, rows)
 
 
 def churn_scores(sales: DataFrame, days: int = 90, **kw) -> DataFrame:
     return churn_model(sales, days, **kw).scores.drop("_p")
 
 
-def churn_feature_attribution(sales: DataFrame, cm: ChurnModel | None = None, sample: int = 100,
-                              background: int = 10, seed: int = 42) -> DataFrame:
-    """Mean |Shapley value| per feature for the churn probability (exact enumeration).
+def churn_attribution(cm: ChurnModel) -> DataFrame:
+    """One row per scored customer: the forest's score, the base value and each feature's
+    Shapley value (``shap_<feature>``). Base and values add up to the score."""
+    return explain(cm.rows, cm.model, cm.features)
 
-    For each explained customer x and each coalition S of features (2^8 = 256), the
-    value v(S) is the model output averaged over background rows b with x's values
-    on S and b's elsewhere. φᵢ = Σ_{S∌i} |S|!(n−|S|−1)!/n! · (v(S∪{i}) − v(S)).
-    The coalitions and background rows are generated per customer with ``explode``
-    (no join); all rows are scored in one ``model.transform``. These are
-    interventional Shapley values, not path-dependent tree SHAP.
-    """
+
+def churn_feature_attribution(sales: DataFrame, cm: ChurnModel | None = None) -> DataFrame:
+    """Mean |Shapley value| per feature for the churn probability, over all customers."""
     cm = cm or churn_model(sales)
-    feats = cm.features
-    nf = len(feats)
-    rfm = rfm_features(sales)
-    arr = F.array(*[C(f).cast("double") for f in feats]).alias("x")
-    xs = rfm.orderBy(F.xxhash64(C(CID), F.lit(seed))).limit(sample).select(CID, arr)
-    bg_rows = (rfm.orderBy(F.xxhash64(C(CID), F.lit(seed + 1))).limit(background)
-               .select(arr).collect())
-    bg = F.array(*[F.array(*[F.lit(float(v)) for v in r["x"]]) for r in bg_rows])
-    masks = F.sequence(F.lit(0), F.lit((1 << nf) - 1))
-    rows = xs.select(CID, "x", F.explode(masks).alias("mask")).select(CID, "x", "mask", F.explode(bg).alias("b"))
-    mixed = F.expr(f"transform(sequence(0, {nf - 1}), i -> IF((shiftright(mask, i) & 1) = 1, x[i], b[i]))")
-    scored = cm.model.transform(rows.select(CID, "mask", array_to_vector(mixed).alias("features")))
-    v = scored.groupBy(CID, "mask").agg(F.avg(vector_to_array(C("probability"))[1]).alias("v"))
-    with_i = v.select(CID, "mask", "v", F.explode(F.sequence(F.lit(0), F.lit(nf - 1))).alias("i")) \
-        .filter(F.expr("(shiftright(mask, i) & 1) = 0"))
-    with_i = with_i.withColumn("size", F.expr("bit_count(mask)"))
-    weights = F.create_map(*[x for s in range(nf) for x in
-                             (F.lit(s), F.lit(math.factorial(s) * math.factorial(nf - s - 1) / math.factorial(nf)))])
-    up = v.select(CID, C("mask").alias("umask"), C("v").alias("vu"))
-    joined = with_i.withColumn("umask", F.expr("mask | shiftleft(1, i)")).join(up, [CID, "umask"])
-    phi = joined.groupBy(CID, "i").agg(F.sum(weights[C("size")] * (C("vu") - C("v"))).alias("phi"))
-    names = F.array(*[F.lit(f) for f in feats])
-    return phi.groupBy("i").agg(F.avg(F.abs("phi")).alias("mean_abs_shap")).select(
-        names[C("i")].alias("feature"), rnd(C("mean_abs_shap"), 4).alias("mean_abs_shap"))
+    means = churn_attribution(cm).agg(*[F.avg(F.abs(C(f"shap_{f}"))).alias(f) for f in cm.features])
+    pairs = F.explode(F.array(*[F.struct(F.lit(f).alias("feature"), rnd(C(f), 4).alias("mean_abs_shap")) for f in cm.features]))
+    return means.select(pairs.alias("p")).select("p.*")
 
 
 @dataclass

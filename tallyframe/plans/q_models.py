@@ -52,6 +52,11 @@ def _churn_attribution(spark, sf):
     return ml.churn_feature_attribution(S(spark, sf), churn(spark, sf))
 
 
+@register("churn_customer_attribution", None)
+def _churn_customer_attribution(spark, sf):
+    return ml.churn_attribution(churn(spark, sf))
+
+
 @register("customer_segments", None)
 def _customer_segments(spark, sf):
     return segments(spark, sf).summary

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import pytest
 
-from tallyframe.operators import forecast, ml
+from tallyframe.operators import forecast, ml, shapley
 from tallyframe.sources import catalog
 
 SF = "/root/testdata/sf0.01"
@@ -41,11 +41,72 @@ def test_segments_labels_and_sizes(sales):
     assert by_seg == {r["label"]: r["customer_count"] for r in summ}
 
 
-def test_shapley_attribution_shape(sales):
+def test_attribution_adds_up_for_every_customer(sales):
     cm = ml.churn_model(sales, 90, num_trees=10)
-    att = ml.churn_feature_attribution(sales, cm, sample=10, background=3).collect()
-    assert sorted(r["feature"] for r in att) == sorted(ml.FEATURES)
-    assert all(r["mean_abs_shap"] >= 0 for r in att)
+    rows = ml.churn_attribution(cm)
+    got = rows.collect()
+    assert len(got) == cm.scores.count() and len({r["customer_id"] for r in got}) == len(got)
+    for r in got:
+        assert r["base_value"] + sum(r[f"shap_{f}"] for f in cm.features) == pytest.approx(r["score"], abs=1e-9)
+    means = {r["feature"]: r["mean_abs_shap"] for r in ml.churn_feature_attribution(sales, cm).collect()}
+    assert set(means) == set(ml.FEATURES)
+    for f in cm.features:
+        assert means[f] == pytest.approx(sum(abs(r[f"shap_{f}"]) for r in got) / len(got), abs=6e-5)
+    assert "Exchange" not in rows._jdf.queryExecution().executedPlan().toString().split("InMemoryTableScan")[0]
+
+
+def test_attribution_against_all_coalitions(spark):
+    """Every coalition of features, walked down the trees of a small forest node by node."""
+    from itertools import combinations
+    from math import factorial
+
+    import numpy as np
+    from pyspark.ml.classification import RandomForestClassifier
+    from pyspark.ml.feature import VectorAssembler
+
+    rng = np.random.default_rng(4)
+    names = ["a", "b", "c", "d"]
+    x = rng.integers(0, 12, (160, 4)).astype(float)
+    label = ((x[:, 0] > 5) ^ (x[:, 1] * x[:, 2] > 30)).astype(float)
+    df = spark.createDataFrame([(*map(float, r), float(y)) for r, y in zip(x, label)], ", ".join(f"{n} double" for n in names) + ", label double")
+    data = VectorAssembler(inputCols=names, outputCol="features").transform(df)
+    model = RandomForestClassifier(numTrees=3, maxDepth=4, seed=5).fit(data)
+
+    def value(node, row, known):
+        if node.getClass().getSimpleName() == "LeafNode":
+            stats = list(node.impurityStats().stats())
+            return stats[1] / sum(stats)
+        f, cut = node.split().featureIndex(), node.split().threshold()
+        left, right = node.leftChild(), node.rightChild()
+        if f in known:
+            return value(left if row[f] <= cut else right, row, known)
+        wl, wr = sum(left.impurityStats().stats()), sum(right.impurityStats().stats())
+        return (wl * value(left, row, known) + wr * value(right, row, known)) / (wl + wr)
+
+    roots = [t._java_obj.rootNode() if hasattr(t, "_java_obj") else t._call_java("rootNode") for t in model.trees]
+    some = df.limit(4)
+    for r in shapley.explain(some, model, names).collect():
+        row = [r[n] for n in names]
+        v = {s: np.mean([value(t, row, s) for t in roots]) for k in range(5) for s in combinations(range(4), k)}
+        assert r["base_value"] == pytest.approx(v[()])
+        for j, name in enumerate(names):
+            rest = [i for i in range(4) if i != j]
+            want = sum(factorial(k) * factorial(3 - k) / 24 * (v[tuple(sorted((*s, j)))] - v[s]) for k in range(4) for s in combinations(rest, k))
+            assert r[f"shap_{name}"] == pytest.approx(want, abs=1e-9)
+
+
+def test_split_is_exact_in_each_class(spark):
+    rows = spark.range(1003).selectExpr("cast(id as string) AS customer_id", "cast(id % 10 = 0 AS double) AS label", "id AS z").repartition(5)
+    got = ml.stratified_split(rows, "customer_id", "label", 0.75).collect()
+    assert len(got) == 1003 and len({r["customer_id"] for r in got}) == 1003
+    for c in (0.0, 1.0):
+        mine = [r["is_train"] for r in got if r["label"] == c]
+        assert sum(mine) == int(0.75 * len(mine) + 0.5)
+    again = ml.stratified_split(rows.repartition(2), "customer_id", "label", 0.75).collect()
+    assert {r["customer_id"] for r in got if r["is_train"]} == {r["customer_id"] for r in again if r["is_train"]}
+    one = spark.createDataFrame([("a", 1.0)], "customer_id string, label double")
+    assert [r["is_train"] for r in ml.stratified_split(one, "customer_id", "label", 0.75).collect()] == [True]
+    assert ml.stratified_split(rows.limit(0), "customer_id", "label", 0.75).collect() == []
 
 
 def test_seasonal_forecast_shape(sales):
