@@ -1,9 +1,13 @@
 """Market-basket analysis (survey §2.3): FP-Growth rules, pair rules, bundle candidates.
 
-Frequent itemsets come from Spark ML's parallel FP-Growth, which partitions the
-search by item and never materialises every item pair of every invoice. Rules with
-multi-item consequents are derived from the frequent itemsets: each itemset is
-split into (antecedent, consequent) by bitmask, and supports are joined back.
+Frequent itemsets come from Spark ML's parallel FP-Growth over the frequent items of each
+invoice. Rules grow level by level: a rule's consequent can only reach the confidence if every
+smaller consequent of the same itemset does, so consequents of m items extend those of m - 1
+and the rows of a level are bounded by the rules found.
+
+Pairs are counted without a list per invoice. A first pass counts pairs by hash bucket; the
+second counts only pairs whose bucket reached the support. Invoices of many products are cut
+into blocks of items, and two blocks meet in a task of their own.
 """
 
 from __future__ import annotations
@@ -16,70 +20,89 @@ from pyspark.sql import functions as F
 from tallyframe import schema as S
 from tallyframe.functions.cols import is_sale, rnd
 from tallyframe.functions.ordered import top_k
+from tallyframe.session import checkpoint_dir
 
 C = F.col
 
+BLOCK = 1024          # items of an invoice that meet in one task
+BUCKETS = 1 << 20     # of pairs; at most so many rows are broadcast
 
-def baskets(sales: DataFrame, multi_item_only: bool = False) -> DataFrame:
-    """One row per invoice with its distinct products (sales lines).
+
+def basket_lines(sales: DataFrame) -> DataFrame:
+    """Distinct (invoice, product) of sales lines.
 
     Undated lines are left out whenever any dated line exists (as in the source).
-    Items are reduced to distinct (invoice, product) pairs before grouping.
     """
     pos = sales.filter(is_sale() & C(S.INVOICE).isNotNull() & C(S.DESCRIPTION).isNotNull())
     any_dated = pos.agg(F.max(F.when(C(S.INVOICE_DATE).isNotNull(), 1).otherwise(0))).scalar()
     pos = pos.filter(C(S.INVOICE_DATE).isNotNull() | (any_dated == 0))
-    pairs = pos.select(S.INVOICE, S.DESCRIPTION).distinct()
-    b = pairs.groupBy(S.INVOICE).agg(F.array_sort(F.collect_list(S.DESCRIPTION)).alias("items"))
-    if multi_item_only:
-        b = b.filter(F.size("items") >= 2)
-    return b
-
-
-def frequent_itemsets(b: DataFrame, min_support: float) -> DataFrame:
-    """(items sorted, freq) for every itemset with support ≥ min_support."""
-    fp = FPGrowth(itemsCol="items", minSupport=float(min_support), minConfidence=0.0)
-    model = fp.fit(b)
-    # freqItemsets is backed by the mined RDD; persist so that the three reads in
-    # rule derivation do not mine again.
+    return pos.select(S.INVOICE, S.DESCRIPTION).distinct()
+
+
+def least_count(min_support: float, n) -> F.Column:
+    return F.ceil(F.lit(float(min_support)) * n.cast("double"))
+
+
+def frequent_itemsets(lines: DataFrame, min_support: float) -> tuple[DataFrame, object]:
+    """(items sorted, freq) for every itemset with support ≥ min_support among all invoices,
+    and the number of invoices. Only frequent items are gathered by invoice."""
+    n = lines.agg(F.count_distinct(S.INVOICE)).scalar()
+    frequent = (lines.groupBy(S.DESCRIPTION).agg(F.count(F.lit(1)).alias("f"))
+                .filter(C("f") >= least_count(min_support, n)).select(S.DESCRIPTION, F.lit(True).alias("keep")))
+    marked = lines.join(frequent, S.DESCRIPTION, "left")
+    # Invoices without a frequent item stay, as empty ones: they count in the support.
+    b = marked.groupBy(S.INVOICE).agg(F.array_sort(F.collect_list(F.when(C("keep"), C(S.DESCRIPTION)))).alias("items"))
+    model = FPGrowth(itemsCol="items", minSupport=float(min_support), minConfidence=0.0).fit(b)
+    # freqItemsets is backed by the mined RDD; persist so that the reads in rule
+    # derivation do not mine again.
     return (model.freqItemsets.select(F.array_sort("items").alias("items"), C("freq").cast("bigint").alias("freq"))
-            .persist(StorageLevel.MEMORY_AND_DISK))
+            .persist(StorageLevel.MEMORY_AND_DISK)), n
+
 
+def rules_from_itemsets(fi: DataFrame, n, min_confidence: float) -> DataFrame:
+    """All rules A → C with A ∪ C frequent, A, C non-empty and disjoint, by growing C."""
+    checkpoint_dir(fi.sparkSession)   # names the folder that checkpoint() writes to
+    known = fi.select(C("items").alias("antecedent_items"), C("freq").alias("f_a"))
+
+    def confident(candidates: DataFrame) -> DataFrame:
+        rest = F.array_except("items", "consequent_items")
+        found = candidates.withColumn("antecedent_items", rest).filter(F.size("antecedent_items") > 0)
+        conf = C("f_ac").cast("double") / C("f_a").cast("double")
+        return (found.join(known, "antecedent_items").withColumn("confidence", conf)
+                .filter(C("confidence") >= F.lit(float(min_confidence)))
+                .select("items", "f_ac", "antecedent_items", "consequent_items", "confidence").checkpoint())
 
-def _rules_from_itemsets(fi: DataFrame, n, min_confidence: float) -> DataFrame:
-    """All rules A → C with A ∪ C frequent, A, C non-empty and disjoint."""
     multi = fi.filter(F.size("items") >= 2)
-    masks = multi.select(
-        "items", C("freq").alias("f_ac"),
-        F.explode(F.expr("sequence(1, shiftleft(1, size(items)) - 2)")).alias("mask"))
-    split = masks.select(
-        "f_ac",
-        F.expr("filter(items, (x, i) -> (shiftright(mask, i) & 1) = 1)").alias("antecedent_items"),
-        F.expr("filter(items, (x, i) -> (shiftright(mask, i) & 1) = 0)").alias("consequent_items"))
-    fa = fi.select(C("items").alias("antecedent_items"), C("freq").alias("f_a"))
+    level = confident(multi.select("items", C("freq").alias("f_ac"), F.explode("items").alias("i"))
+                      .select("items", "f_ac", F.array("i").alias("consequent_items")))
+    single = level.select("items", C("consequent_items")[0].alias("i"))
+    rules = [level]
+    while not level.isEmpty():
+        grown = level.join(single, "items").filter(C("i") > F.element_at("consequent_items", -1))
+        level = confident(grown.select("items", "f_ac", F.concat("consequent_items", F.array("i")).alias("consequent_items")))
+        rules.append(level)
+    found = rules[0]
+    for more in rules[1:-1]:
+        found = found.unionByName(more)
     fc = fi.select(C("items").alias("consequent_items"), C("freq").alias("f_c"))
-    r = split.join(fa, "antecedent_items").join(fc, "consequent_items").withColumn("n", n)
-    supp = C("f_ac").cast("double") / C("n").cast("double")
-    conf = C("f_ac").cast("double") / C("f_a").cast("double")
-    lift = conf / (C("f_c").cast("double") / C("n").cast("double"))
-    r = r.select("antecedent_items", "consequent_items", supp.alias("support"), conf.alias("confidence"),
-                 lift.alias("lift"))
-    return r.filter(C("confidence") >= F.lit(float(min_confidence)))
+    r = found.join(fc, "consequent_items").withColumn("n", n)
+    lift = C("confidence") / (C("f_c").cast("double") / C("n").cast("double"))
+    return r.select("antecedent_items", "consequent_items", (C("f_ac").cast("double") / C("n").cast("double")).alias("support"),
+                    "confidence", lift.alias("lift"))
 
 
-def mined(sales: DataFrame, min_support: float, multi_item_only: bool) -> tuple[DataFrame, object]:
+def mined(sales: DataFrame, min_support: float) -> tuple[DataFrame, object]:
     """(frequent itemsets, basket count) — the fitted part of basket analysis, which
     callers may keep and pass back in (``itemsets=``) for other thresholds or cuts."""
-    b = baskets(sales, multi_item_only)
-    return frequent_itemsets(b, min_support), b.agg(F.count(F.lit(1))).scalar()
+    return frequent_itemsets(basket_lines(sales), min_support)
 
 
 def market_basket_rules(sales: DataFrame, min_support: float = 0.01, min_confidence: float = 0.3,
                         limit: int | None = 15, itemsets: tuple | None = None) -> DataFrame:
     """Association rules over all invoices (single-item baskets count in the
     denominators), any-size antecedent and consequent, by lift descending."""
-    fi, n = itemsets or mined(sales, min_support, False)
-    r = _rules_from_itemsets(fi, n, min_confidence)
+    fi, n = itemsets or mined(sales, min_support)
+    r = rules_from_itemsets(fi, n, min_confidence)
     out = r.select(F.array_join("antecedent_items", ", ").alias("antecedent"),
                    F.array_join("consequent_items", ", ").alias("consequent"),
                    rnd(C("support"), 4).alias("support"), rnd(C("confidence"), 3).alias("confidence"),
@@ -87,19 +110,45 @@ def market_basket_rules(sales: DataFrame, min_support: float = 0.01, min_confide
     return top_k(out, [C("_lift").desc(), C("antecedent"), C("consequent")], limit).drop("_lift")
 
 
-def product_pairs(sales: DataFrame, min_support: float = 0.01, min_confidence: float = 0.3,
-                  limit: int | None = 15, itemsets: tuple | None = None) -> DataFrame:
-    """Pair rules in both directions; denominators count multi-item invoices only.
+def frequent_pairs(lines: DataFrame, least, block: int = BLOCK, buckets: int = BUCKETS) -> DataFrame:
+    """(a, c, f_ac) for products a < c that at least ``least`` invoices of ``lines`` (distinct
+    invoice, product) have both of. Every pair of an invoice is met once a pass, in the task of
+    its two blocks; only pairs in a frequent bucket are counted one by one."""
+    frequent = lines.groupBy(S.DESCRIPTION).agg(F.count(F.lit(1)).alias("f")).filter(C("f") >= least)
+    some = lines.join(frequent, S.DESCRIPTION, "left_semi")
+    large = (some.groupBy(S.INVOICE).agg(F.count(F.lit(1)).alias("size")).filter(C("size") > block)
+             .select(S.INVOICE, F.ceil(C("size") / F.lit(block)).alias("blocks")))
+    cut = some.join(large, S.INVOICE, "left").withColumn("blocks", F.coalesce("blocks", F.lit(1).cast("long")))
+    cut = cut.withColumn("own", F.pmod(F.xxhash64(S.DESCRIPTION), "blocks"))
+    met = cut.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), C("blocks") - 1))).select(
+        S.INVOICE, F.least("own", "other").alias("low"), F.greatest("own", "other").alias("high"), "own", C(S.DESCRIPTION).alias("a"))
+    there = met.select(C(S.INVOICE).alias("i"), C("low").alias("l"), C("high").alias("h"), C("own").alias("o"), C("a").alias("c"))
+    pairs = met.join(there, (C(S.INVOICE) == C("i")) & (C("low") == C("l")) & (C("high") == C("h")) & (C("a") < C("c"))
+                     & ((C("own") != C("o")) | (C("low") == C("high"))))
+    pairs = pairs.select("a", "c", F.pmod(F.xxhash64("a", "c"), F.lit(buckets)).alias("bucket"))
+    full = pairs.groupBy("bucket").agg(F.count(F.lit(1)).alias("n")).filter(C("n") >= least).select("bucket")
+    return (pairs.join(F.broadcast(full), "bucket", "left_semi").groupBy("a", "c").agg(F.count(F.lit(1)).alias("f_ac"))
+            .filter(C("f_ac") >= least))
 
-    Pairs whose support is below ``min_support`` are pruned by FP-Growth (counts of
-    at least ceil(min_support · n) are kept).
-    """
-    fi, n = itemsets or mined(sales, min_support, True)
-    fi = fi.filter(F.size("items") <= 2)
-    r = _rules_from_itemsets(fi, n, min_confidence)
-    out = r.select(C("antecedent_items")[0].alias("antecedent"), C("consequent_items")[0].alias("consequent"),
-                   rnd(C("support"), 4).alias("support"), rnd(C("confidence"), 3).alias("confidence"),
-                   rnd(C("lift"), 2).alias("lift"))
+
+def product_pairs(sales: DataFrame, min_support: float = 0.01, min_confidence: float = 0.3,
+                  limit: int | None = 15) -> DataFrame:
+    """Pair rules in both directions; denominators count multi-item invoices only."""
+    lines = basket_lines(sales)
+    sizes = lines.groupBy(S.INVOICE).agg(F.count(F.lit(1)).alias("k"), F.min(S.DESCRIPTION).alias("only"))
+    n = sizes.agg(F.count_if(C("k") >= 2)).scalar()
+    pairs = frequent_pairs(lines, F.greatest(least_count(min_support, n), F.lit(1)))
+    # A product's multi-item invoices: all of its invoices without those that hold nothing else.
+    counts = (lines.select(S.DESCRIPTION, F.lit(1).alias("one"))
+              .unionAll(sizes.filter("k = 1").select("only", F.lit(-1))).groupBy(S.DESCRIPTION).agg(F.sum("one").alias("f")))
+    both = pairs.select(C("a").alias("antecedent"), C("c").alias("consequent"), "f_ac").unionAll(pairs.select("c", "a", "f_ac"))
+    r = (both.join(counts.select(C(S.DESCRIPTION).alias("antecedent"), C("f").alias("f_a")), "antecedent")
+         .join(counts.select(C(S.DESCRIPTION).alias("consequent"), C("f").alias("f_c")), "consequent").withColumn("n", n))
+    conf = C("f_ac").cast("double") / C("f_a").cast("double")
+    lift = conf / (C("f_c").cast("double") / C("n").cast("double"))
+    out = r.filter(conf >= F.lit(float(min_confidence))).select(
+        "antecedent", "consequent", rnd(C("f_ac").cast("double") / C("n").cast("double"), 4).alias("support"),
+        rnd(conf, 3).alias("confidence"), rnd(lift, 2).alias("lift"))
     return top_k(out, [C("lift").desc(), C("antecedent"), C("consequent")], limit)
 
 
@@ -118,11 +167,10 @@ def bundle_candidates(rules: DataFrame, slow: DataFrame, min_lift: float = 1.0)
     return best
 
 
-def basket_summary(sales: DataFrame, min_support: float = 0.01, min_confidence: float = 0.3,
-                   itemsets: tuple | None = None) -> DataFrame:
+def basket_summary(sales: DataFrame, min_support: float = 0.01, min_confidence: float = 0.3) -> DataFrame:
     """Invoices mined, multi-item invoices, and pair rules found before any top-N cut."""
-    b = baskets(sales)
-    rules = product_pairs(sales, min_support, min_confidence, None, itemsets)
-    return b.agg(F.count(F.lit(1)).alias("invoices_analysed"),
-                 F.count_if(F.size("items") >= 2).alias("multi_item_invoices"),
-                 rules.agg(F.count(F.lit(1))).scalar().alias("pair_rules_found"))
+    sizes = basket_lines(sales).groupBy(S.INVOICE).agg(F.count(F.lit(1)).alias("k"))
+    rules = product_pairs(sales, min_support, min_confidence, None)
+    return sizes.agg(F.count(F.lit(1)).alias("invoices_analysed"),
+                     F.count_if(C("k") >= 2).alias("multi_item_invoices"),
+                     rules.agg(F.count(F.lit(1))).scalar().alias("pair_rules_found"))

@@ -1,4 +1,5 @@
-"""Registered basket questions and their SQL (pair rules; general FP-Growth rules are rows-only)."""
+"""Registered basket questions and their SQL: pair rules, and rules of itemsets of any size
+(the SQL enumerates itemsets of up to four products; the test data has none above three)."""
 
 from __future__ import annotations
 
@@ -32,32 +33,49 @@ PAIR_CTES = [
 ]
 
 
-_MINED: dict = {}
-
-
-def mined(spark, sf, multi_item_only: bool):
-    """FP-Growth itemsets kept per (session, data, support, basket kind), like the
-    fitted models in q_models."""
-    key = (id(spark), sf, MIN_SUPPORT, multi_item_only)
-    if key not in _MINED:
-        _MINED[key] = op.mined(S(spark, sf), MIN_SUPPORT, multi_item_only)
-    return _MINED[key]
+RULE_CTES = [
+    PAIR_CTES[0],
+    "nn AS (SELECT COUNT(DISTINCT invoice) AS n FROM b)",
+    f"mc AS (SELECT CAST(ceil({MIN_SUPPORT} * CAST(n AS DOUBLE)) AS BIGINT) AS mc FROM nn)",
+    "s1 AS (SELECT [description] AS items, COUNT(*) AS f FROM b GROUP BY 1 HAVING COUNT(*) >= (SELECT mc FROM mc))",
+    "o1 AS (SELECT invoice, [description] AS items FROM b WHERE [description] IN (SELECT items FROM s1))",
+    *[x for k in (2, 3, 4) for x in (
+        f"c{k} AS (SELECT p.invoice, list_append(p.items, x.items[1]) AS items FROM o{k - 1} p JOIN o1 x ON p.invoice = x.invoice "
+        "AND x.items[1] > p.items[-1])",
+        f"s{k} AS (SELECT items, COUNT(*) AS f FROM c{k} GROUP BY 1 HAVING COUNT(*) >= (SELECT mc FROM mc))",
+        f"o{k} AS (SELECT * FROM c{k} WHERE items IN (SELECT items FROM s{k}))")],
+    "sets AS (" + " UNION ALL ".join(f"SELECT * FROM s{k}" for k in (1, 2, 3, 4)) + ")",
+    "cuts AS (SELECT items, f, unnest(range(1, (1 << len(items)) - 1)) AS mask FROM sets WHERE len(items) >= 2)",
+    "parts AS (SELECT f, [items[i] for i in range(1, len(items) + 1) if (mask >> (i - 1)) & 1 = 1] AS a, "
+    "[items[i] for i in range(1, len(items) + 1) if (mask >> (i - 1)) & 1 = 0] AS c FROM cuts)",
+    "gr AS (SELECT p.a, p.c, CAST(p.f AS DOUBLE) / CAST(n AS DOUBLE) AS support, CAST(p.f AS DOUBLE) / CAST(sa.f AS DOUBLE) AS confidence, "
+    "(CAST(p.f AS DOUBLE) / CAST(sa.f AS DOUBLE)) / (CAST(sc.f AS DOUBLE) / CAST(n AS DOUBLE)) AS lift "
+    "FROM parts p JOIN sets sa ON sa.items = p.a JOIN sets sc ON sc.items = p.c, nn)",
+    "grules AS (SELECT array_to_string(a, ', ') AS antecedent, array_to_string(c, ', ') AS consequent, ROUND(support, 4) AS support, "
+    f"ROUND(confidence, 3) AS confidence, ROUND(lift, 2) AS lift, lift AS exact FROM gr WHERE confidence >= {MIN_CONFIDENCE})",
+]
 
 
 @register("product_pairs", with_sales(
     "SELECT * FROM rules ORDER BY lift DESC, antecedent, consequent LIMIT 15", *PAIR_CTES))
 def _product_pairs(spark, sf):
-    return op.product_pairs(S(spark, sf), MIN_SUPPORT, MIN_CONFIDENCE, 15, mined(spark, sf, True))
+    return op.product_pairs(S(spark, sf), MIN_SUPPORT, MIN_CONFIDENCE, 15)
 
 
 @register("product_pairs_all", with_sales("SELECT * FROM rules", *PAIR_CTES))
 def _product_pairs_all(spark, sf):
-    return op.product_pairs(S(spark, sf), MIN_SUPPORT, MIN_CONFIDENCE, None, mined(spark, sf, True))
+    return op.product_pairs(S(spark, sf), MIN_SUPPORT, MIN_CONFIDENCE, None)
 
 
-@register("market_basket_rules", None)
+@register("market_basket_rules", with_sales(
+    "SELECT * EXCLUDE (exact) FROM grules ORDER BY exact DESC, antecedent, consequent LIMIT 15", *RULE_CTES))
 def _market_basket_rules(spark, sf):
-    return op.market_basket_rules(S(spark, sf), MIN_SUPPORT, MIN_CONFIDENCE, 15, mined(spark, sf, False))
+    return op.market_basket_rules(S(spark, sf), MIN_SUPPORT, MIN_CONFIDENCE, 15)
+
+
+@register("market_basket_rules_all", with_sales("SELECT * EXCLUDE (exact) FROM grules", *RULE_CTES))
+def _market_basket_rules_all(spark, sf):
+    return op.market_basket_rules(S(spark, sf), MIN_SUPPORT, MIN_CONFIDENCE, None)
 
 
 @register("bundle_candidates", with_sales(
@@ -69,7 +87,7 @@ def _market_basket_rules(spark, sf):
     *PAIR_CTES, *WINDOW_CTES))
 def _bundle_candidates(spark, sf):
     s = S(spark, sf)
-    return op.bundle_candidates(op.product_pairs(s, MIN_SUPPORT, MIN_CONFIDENCE, None, mined(spark, sf, True)),
+    return op.bundle_candidates(op.product_pairs(s, MIN_SUPPORT, MIN_CONFIDENCE, None),
                                 prod.declining_products(s, 3))
 
 
@@ -77,4 +95,4 @@ def _bundle_candidates(spark, sf):
     "SELECT (SELECT COUNT(DISTINCT invoice) FROM b) AS invoices_analysed, (SELECT COUNT(*) FROM mb) AS multi_item_invoices, "
     "(SELECT COUNT(*) FROM rules) AS pair_rules_found", *PAIR_CTES))
 def _basket_summary(spark, sf):
-    return op.basket_summary(S(spark, sf), MIN_SUPPORT, MIN_CONFIDENCE, mined(spark, sf, True))
+    return op.basket_summary(S(spark, sf), MIN_SUPPORT, MIN_CONFIDENCE)
