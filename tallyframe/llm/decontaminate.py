@@ -55,6 +55,7 @@ class Index:
     """Postings by term; shingles of questions and answers by item."""
 
     item_ids: np.ndarray
+    no_id: np.ndarray
     terms: np.ndarray          # sorted hashes
     first: np.ndarray          # of each term's postings; one more than terms
     item: np.ndarray           # posting: item number
@@ -72,13 +73,13 @@ def _joined(questions, answers) -> list[str]:
     return [(q or "") + "\n" + (a or "") for q, a in zip(as_list(questions), as_list(answers))]
 
 
-def build(item_ids: np.ndarray, questions: list, answers: list, n_items: int, mean_len: float, df: dict) -> Index:
+def build(item_ids: np.ndarray, no_id: np.ndarray, questions: list, answers: list, n_items: int, mean_len: float, df: dict) -> Index:
     """The index of one part of the items; ``n_items`` and ``mean_len`` are of all parts."""
     n = len(item_ids)
     both = _joined(questions, answers)
     lengths = np.array([len(t) for t in both])
     order = np.lexsort((item_ids, lengths))  # like lengths share a block
-    item_ids = item_ids[order]
+    item_ids, no_id = item_ids[order], no_id[order]
 
     def hashed(texts):
         h, d = [], []
@@ -121,7 +122,7 @@ def build(item_ids: np.ndarray, questions: list, answers: list, n_items: int, me
         sh, sd = shingle_sets(th, td, n, SHINGLE)
         o = np.argsort(sh, kind="stable")
         parts.append((sh[o], sd[o], np.bincount(sd, minlength=n)))
-    return Index(item_ids, terms, np.searchsorted(term, edges), item, w, np.searchsorted(bkey // max(n_blocks, 1), edges),
+    return Index(item_ids, no_id, terms, np.searchsorted(term, edges), item, w, np.searchsorted(bkey // max(n_blocks, 1), edges),
                  bkey % max(n_blocks, 1), bmax, tuple(parts), tuple(short), n_blocks)
 
 
@@ -218,8 +219,9 @@ def parts_of(benchmark: DataFrame, item_id: str, question: str, answer: str | No
         terms = numbered.sparkSession.createDataFrame(pa.table({"term": np.unique(np.concatenate(own)).view(np.int64)}))
         df = stats.join(terms, "term", "left_semi").toArrow()
         d = dict(zip(df.column("term").to_pylist(), df.column("words").to_pylist()))
-        ids = np.array([-1 if x is None else x for x in part.column("item_id").to_pylist()], np.int64)
-        out.append(build(ids, part.column("q").to_pylist(), part.column("a").to_pylist(), n_items,
+        ids = part.column("item_id").to_pylist()
+        no_id = np.array([x is None for x in ids], bool)
+        out.append(build(np.array([x or 0 for x in ids], np.int64), no_id, part.column("q").to_pylist(), part.column("a").to_pylist(), n_items,
                          (total.words if total else 0) / max(n_items, 1), d))
     return out
 
@@ -276,9 +278,9 @@ def _part(rows: DataFrame, index: Index, threshold: float, overlap: float, short
             ids = b.column("doc_id")
             for p in pieces(b.column("text")):
                 d, item, score, q, a = _find(shared.value, p, threshold, overlap, short_items)
-                item_ids = shared.value.item_ids[item]
+                item_ids, no_id = shared.value.item_ids[item], shared.value.no_id[item]
                 yield pa.RecordBatch.from_arrays(
-                    [ids.take(pa.array(d + p.lo)), pa.array(item_ids, mask=item_ids < 0), pa.array(score), pa.array(q),
+                    [ids.take(pa.array(d + p.lo)), pa.array(item_ids, mask=no_id), pa.array(score), pa.array(q),
                      pa.array(a, mask=np.isnan(a))], ["doc_id", "item_id", "score", "overlap", "answer_overlap"])
 
     return rows.mapInArrow(run, "doc_id long, item_id long, score double, overlap double, answer_overlap double")

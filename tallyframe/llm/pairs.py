@@ -28,6 +28,7 @@ from tallyframe.llm.text import U, pieces
 
 BUCKET = 256  # members compared with one copy of a pivot's text
 TURNS = 6     # further pivots of a group, while they join a tenth of those they are compared with
+FIRSTS = 16   # keys by which a pair that meets under many is told to be met already
 
 
 class SetJoin(Protocol):
@@ -120,7 +121,12 @@ def linked_components(keyed: DataFrame, texts: DataFrame, sim: SetJoin) -> DataF
                 .withColumn("label", F.coalesce("label", "node")).join(about, ["pivot", "node"])
                 .select("key", "node", "label", "size", "sketch", "far"))
     mixed, links = _more_pivots(keep(_mixed(labelled), "mixed"), texts, sim)
-    cross = keep(mixed.alias("x").join(mixed.alias("y"), (F.col("x.node") < F.col("y.node")) & _possible(sim.percent))
+    # Similar texts share most of their keys. A pair is left to the least key that both have
+    # among their first ones, so it is given once and not once a key.
+    firsts = (mixed.groupBy(F.col("node").alias("of")).agg(F.slice(F.array_sort(F.collect_set("key")), 1, FIRSTS).alias("firsts")))
+    mixed = keep(mixed.join(firsts, F.col("node") == F.col("of")).drop("of"), "firsts")
+    earlier = F.arrays_overlap(F.filter("x.firsts", lambda k: k < F.col("x.key")), F.col("y.firsts"))
+    cross = keep(mixed.alias("x").join(mixed.alias("y"), (F.col("x.node") < F.col("y.node")) & _possible(sim.percent) & ~earlier)
                  .select(F.col("x.node").alias("a"), F.col("y.node").alias("b")).distinct(), "cross")
     if not cross.isEmpty():
         links.append(keep(compared(texts, cross, sim).filter("linked").select("a", "b"), "links"))

@@ -35,3 +35,11 @@ def tasks(spark: SparkSession) -> int:
 def fold(doc_id: str, by: int):
     """crc32 of the id's decimal text modulo ``by`` (null ids: null)."""
     return F.crc32(F.col(doc_id).cast("string").cast("binary")) % by
+
+
+def fresh(names: list[str], columns: list[str]) -> list[str]:
+    """``names`` with so many underscores before each that none of ``columns`` is called so."""
+    taken, prefix = {c.lower() for c in columns}, ""
+    while any((prefix + n).lower() in taken for n in names):
+        prefix += "_"
+    return [prefix + n for n in names]

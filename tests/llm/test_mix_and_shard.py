@@ -150,6 +150,22 @@ def test_near_duplicates_keeps_one_row_of_each_group(spark):
     assert {(1, base["a"]), (7, base["c"] + " tail"), (5, base["d"]), (6, base["e"]), (8, base["f"])} <= set(left)
 
 
+def test_pipeline_stages_keep_columns_of_any_name_and_type(spark, docs):
+    """Names that the stages use themselves, and a map, come through unchanged."""
+    names = ["low", "high", "byte_low", "_lang", "_h", "_t", "_nth", "_q_bits", "_q__of_low", "row", "node", "hash", "nth", "id",
+             "other", "copies", "draw", "size", "quality", "_one", "_row", "_part", "target"]
+    odd = docs.select("*", *[F.lit(i).alias(n) for i, n in enumerate(names)], F.create_map(F.lit("k"), F.col("doc_id")).alias("m"))
+    kept = docs
+    for name, stage in corpus_pipeline.STAGES:
+        plain, out = stage(spark, kept, SF), stage(spark, odd, SF)
+        want = Counter(r.doc_id for r in plain.collect())
+        rows = out.collect()
+        assert [c for c in out.columns if c not in ("shard", "slot")] == odd.columns
+        assert Counter(r.doc_id for r in rows) == want or name == "sharding" or name == "source_mixing"
+        assert all(tuple(r[n] for n in names) == tuple(range(len(names))) and r["m"] == {"k": r.doc_id} for r in rows if r.doc_id is not None)
+        assert len(rows) > 0
+
+
 def test_pipeline_stages_on_an_empty_table(spark):
     empty = spark.createDataFrame([], COLUMNS)
     for _, stage in corpus_pipeline.STAGES:

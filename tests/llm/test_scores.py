@@ -242,7 +242,7 @@ def test_decontamination_equals_brute_force(spark, monkeypatch):
     rng = random.Random(6)
     vocabulary = [f"w{int(rng.paretovariate(.6))}" for _ in range(4000)]
     items = [(i, " ".join(rng.choice(vocabulary) for _ in range(rng.choice([3, 8, 20, 40])))) for i in range(60)]
-    items += [(90, None), (91, ""), (92, items[0][1])]
+    items += [(90, None), (91, ""), (92, items[0][1]), (-5, items[3][1]), (None, items[4][1])]
     docs = []
     for d in range(150):
         w = [rng.choice(vocabulary) for _ in range(rng.randint(0, 80))]
