@@ -59,7 +59,7 @@ def test_kneser_ney_sums_to_one(monkeypatch):
     c = Counter(seq[i] << 4 | seq[i + 1] << 2 | seq[i + 2] for i in range(298))
     code = np.array(sorted(c), np.int64)
     model = quality.kneser_ney(code, np.array([c[int(x)] for x in code]), 3)
-    table = 2.0 ** -quality.table_of(model, 3)
+    table = 2.0 ** -quality.Costs(model, 3)(np.arange(64))
     assert np.allclose(table.reshape(-1, 4).sum(axis=1), 1, atol=1e-5)
 
     def p(level, gram, context):
