@@ -12,8 +12,7 @@ from tallyframe import schema as S
 from tallyframe.operators import clean
 from tallyframe.sources import csv as csvsrc
 from tallyframe.sources import eventlog
-from tallyframe.sources.mapping import (apply_mapping, detect_column_mapping, mapping_is_complete,
-                                        merge_overrides, missing_required)
+from tallyframe.sources.mapping import apply_mapping, detect_column_mapping, merge_overrides, missing_required
 
 HEADER = ["Invoice", "StockCode", "Description", "Quantity", "InvoiceDate", "Price", "Customer ID", "Country"]
 
@@ -22,7 +21,7 @@ def test_mapping_exact_then_alias_each_header_once():
     m = detect_column_mapping(["order_id", " Customer ID ", "product", "qty", "date", "unit price", "region", "name"])
     assert m == {"Customer ID": " Customer ID ", "Invoice": "order_id", "Description": "product", "Quantity": "qty",
                  "Price": "unit price", "InvoiceDate": "date", "Country": "region"}
-    assert mapping_is_complete(m)
+    assert not missing_required(m)
 
 
 def test_mapping_override_and_missing():
@@ -31,7 +30,7 @@ def test_mapping_override_and_missing():
     assert set(missing_required(m)) == {"Invoice", "Description", "Quantity", "Price", "InvoiceDate"}
     m2 = merge_overrides(m, {"Invoice": "event_id", "Description": "event_type", "Price": "value",
                              "InvoiceDate": "ts", "Quantity": "value", "Bogus": "x"})
-    assert mapping_is_complete(m2) and "Bogus" not in m2
+    assert not missing_required(m2) and "Bogus" not in m2
 
 
 def test_apply_mapping_raises_at_plan_time(spark):
