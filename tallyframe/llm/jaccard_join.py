@@ -32,6 +32,7 @@ from pyspark.sql import functions as F
 from tallyframe.llm.pairs import linked_components
 from tallyframe.llm.text import LOWER, U, SpanHash, mix, pieces, shingle_sets, words
 
+UNNAMED = 1 << 62   # names of rows without an id start here
 ENUMERATE = 2   # differences up to which subsets of two partitions are enumerated
 
 
@@ -141,8 +142,8 @@ def signature_rows(texts: DataFrame, sim: Similarity) -> DataFrame:
 
 def classes(docs: DataFrame, sim: Similarity, id_col: str = "doc_id", text: str = "text") -> DataFrame:
     """(node, component) of the documents that are linked with others: the least id that links
-    reach. Texts without words and rows without an id are linked with nothing; rows with the
-    same id are one node."""
+    reach. Texts without words and rows without ``id_col`` are linked with nothing; rows with the
+    same one are one node."""
     texts = (docs.select(F.col(id_col).cast("long").alias("node"), F.col(text).cast("string").alias("text"))
              .filter("node is not null and text is not null"))
     return linked_components(signature_rows(texts, sim), texts, sim)
@@ -150,18 +151,25 @@ def classes(docs: DataFrame, sim: Similarity, id_col: str = "doc_id", text: str
 
 def join(docs: DataFrame, sim: Similarity) -> DataFrame:
     """One row per document of (doc_id, text): doc_id, n_shingles (null and wordless texts: 0)
-    and component_id (its own id if it is linked with nothing; null for a null id). An empty
-    table gives an empty result."""
-    found = classes(docs, sim)
+    and component_id (the least id that links reach, its own if it is linked with nothing). A row
+    without an id takes part under a name made of its text, beyond all ids (which are below
+    2 ** 62): it can link two others, and gets their component_id; null if it reaches no id. Rows
+    with the same id are one node. Long texts are one set like others. An empty table gives an
+    empty result."""
+    unnamed = F.lit(UNNAMED) + F.shiftrightunsigned(F.xxhash64("text"), 2)
+    rows = (docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+            .withColumn("node", F.coalesce("doc_id", unnamed)))
+    found = classes(rows, sim, id_col="node").withColumnRenamed("node", "of")
 
     def count(batches):
         for b in batches:
             for p in pieces(b.column("text")):
                 size = np.bincount(sim.sets(p)[1], minlength=p.n).astype(np.int64)
-                yield pa.RecordBatch.from_arrays([b.slice(p.lo, p.n).column("doc_id"), pa.array(size)],
-                                                 ["doc_id", "n_shingles"])
-
-    sizes = (docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-             .mapInArrow(count, "doc_id long, n_shingles long"))
-    return (sizes.join(found, F.col("doc_id") == F.col("node"), "left")
-            .select("doc_id", "n_shingles", F.coalesce("component", "doc_id").alias("component_id")))
+                mine = b.slice(p.lo, p.n)
+                yield pa.RecordBatch.from_arrays([mine.column("doc_id"), mine.column("node"), pa.array(size)],
+                                                 ["doc_id", "node", "n_shingles"])
+
+    sizes = rows.mapInArrow(count, "doc_id long, node long, n_shingles long")
+    named = F.when((F.col("component") < UNNAMED) | F.col("doc_id").isNotNull(), F.col("component"))
+    return (sizes.join(found, F.col("node") == F.col("of"), "left")
+            .select("doc_id", "n_shingles", F.coalesce(named, "doc_id").alias("component_id")))

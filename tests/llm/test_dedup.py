@@ -35,20 +35,23 @@ def shingle_set(text, k):
 
 
 def brute_join(rows, k, percent):
-    sets = [(d, shingle_set(t, k)) for d, t in rows]
-    parent = {d: d for d, _ in rows if d is not None}
+    """Rows of one id are one node, a row without an id is a node of its own."""
+    nodes = [(0, d) if d is not None else (1, i) for i, (d, _) in enumerate(rows)]
+    sets = [shingle_set(t, k) for _, t in rows]
+    parent = {n: n for n in nodes}
 
     def find(x):
         while parent[x] != x:
             x = parent[x]
         return x
 
-    for i, (a, x) in enumerate(sets):
-        for b, y in sets[:i]:
-            if a is not None and b is not None and x and y and 100 * len(x & y) >= percent * len(x | y):
+    for a, x in zip(nodes, sets):
+        for b, y in zip(nodes, sets):
+            if a < b and x and y and 100 * len(x & y) >= percent * len(x | y):
                 p, q = sorted((find(a), find(b)))
                 parent[q] = p
-    return sorted(((d, len(x), None if d is None else find(d)) for d, x in sets), key=str)
+    least = [find(n) for n in nodes]
+    return sorted(((d, len(x), n[1] if n[0] == 0 else None) for (d, _), x, n in zip(rows, sets, least)), key=str)
 
 
 @pytest.mark.parametrize("k,percent,seed", [(3, 90, 1), (5, 80, 2)])
@@ -90,6 +93,17 @@ def test_jaccard_join_takes_the_most_similar_row_of_a_pivot(spark):
     assert sorted_rows(got) == brute_join(rows, 3, 90) == sorted([(1, 950, 1), (1, 50, 1), (2, 50, 1)], key=str)
 
 
+def test_jaccard_join_by_way_of_rows_without_ids(spark):
+    """1 and 2 are linked through a row without an id only; two more such rows reach no id."""
+    w = [f"w{i}" for i in range(102)]
+    near = lambda n, tail: " ".join(w[:102 - n] + [f"{tail}{i}" for i in range(n)])
+    rows = [(1, near(4, "a")), (None, " ".join(w)), (2, " ".join(["z"] * 4 + w[4:])), (None, "x y z u v"),
+            (None, "x y z u v"), (None, None), (None, ""), (3, None)]
+    got = sorted_rows(jaccard_join.join(frame(spark, rows), jaccard_join.Similarity(3, 90)))
+    assert got == brute_join(rows, 3, 90)
+    assert [r[2] for r in got if r[1] > 50] == [1, 1, 1]
+
+
 def test_empty_tables(spark):
     empty = spark.createDataFrame([], DOCS)
     assert jaccard_join.join(empty, jaccard_join.Similarity()).collect() == []
