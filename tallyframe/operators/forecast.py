@@ -3,19 +3,26 @@
 ``revenue_forecast_linear`` — least squares over monthly sales revenue (months with
 revenue > 0, indexed 0..n−1), from exact decimal sums.
 
-``revenue_forecast`` — a seasonal model in place of a Bayesian curve fitter: log daily
-revenue is regressed (ridge, Spark ML ``LinearRegression``) on a piecewise-linear
-trend, Fourier terms for weekly / 30.5-day / yearly cycles and a UK bank-holiday
-flag; the band comes from residual quantiles. Multiplicative seasonality becomes
-additive in logs. It is a different model from the source's and is labelled so.
+``revenue_forecast`` / ``revenue_forecast_by_series`` — one seasonal model for one series or
+for many, in place of a Bayesian curve fitter. Log daily revenue is a straight line with
+sparse changes of slope, Fourier terms for weekly / 30.5-day / yearly cycles and a UK
+bank-holiday flag; multiplicative seasonality becomes additive in logs. Spark reduces the
+lines to one row per series and day and brings a series' days together: a group is bounded by
+the calendar, never by the number of lines. There the most likely coefficients are found
+from the moments (Gram matrix) of the columns: the smooth ones have normal priors and are
+eliminated, the changes of slope have Laplace priors and are found by coordinate descent. The
+band comes from simulated futures: changes of slope as frequent and as large as the past ones,
+coefficients drawn from their posterior, residuals drawn anew, days without revenue as
+frequent as on that weekday. ``forecast_backtest`` measures what the band covers.
+It is a different model from the source's and is labelled so.
 """
 
 from __future__ import annotations
 
-import math
+import zlib
 
-from pyspark.ml.feature import VectorAssembler
-from pyspark.ml.regression import LinearRegression
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -111,135 +118,241 @@ def is_uk_bank_holiday(d: Column) -> Column:
     return new_year | good_fri | easter_mon | early_may | spring | summer | xmas
 
 
-def _design(day: Column, t0: Column, span: Column, changepoints: int) -> list[Column]:
-    t_days = F.datediff(day, t0).cast("double")
-    t = t_days / span
-    cols = [t.alias("f_t")]
-    for j in range(1, changepoints + 1):
-        cp = 0.8 * j / (changepoints + 1)
-        cols.append(F.greatest(t - F.lit(cp), F.lit(0.0)).alias(f"f_cp{j}"))
-    for name, period, order in (("w", 7.0, 3), ("m", 30.5, 5), ("y", 365.25, 10)):
-        for k in range(1, order + 1):
-            ang = F.lit(2 * math.pi * k / period) * t_days
-            cols += [F.sin(ang).alias(f"f_{name}s{k}"), F.cos(ang).alias(f"f_{name}c{k}")]
-    cols.append(is_uk_bank_holiday(day).cast("double").alias("f_hol"))
-    return cols
-
-
-def revenue_forecast(sales: DataFrame, horizon: int = 3, min_days: int = 30, reg: float = 0.01,
-                     changepoints: int = 10) -> DataFrame:
-    """Monthly forecast with a 95 % band. Falls back to the linear model (bounds null)
-    with fewer than ``min_days`` days of revenue. The first forecast month starts the
-    day after the last observed day and may be partial (``is_partial_month``)."""
+# ── seasonal model ───────────────────────────────────────────────────────────
+
+CYCLES = ((7.0, 3), (30.5, 5), (365.25, 10))    # period in days, Fourier order
+SEASONAL, SLOPE, CHANGE = 0.3, 5.0, 0.15        # prior scales: cycles and holidays, slope, its changes
+PATHS = 1000                                    # simulated futures
+MODEL = "log-linear seasonal, sparse trend changes"
+
+_FORECAST = ("month string, predicted_gbp double, lower_bound_gbp double, upper_bound_gbp double, "
+             "is_partial_month boolean, trend string, training_start date, training_end date, training_days int, "
+             "last_months array<struct<month: string, fitted_gbp: double>>, model string")
+_BACKTEST = ("series string, training_end date, month string, days int, actual_gbp double, predicted_gbp double, "
+             "lower_bound_gbp double, upper_bound_gbp double, is_covered boolean")
+
+
+def sparse_descent(gram: np.ndarray, c: np.ndarray, weight: float, start: np.ndarray) -> np.ndarray:
+    """The x with the least x'Gx / 2 - c'x + weight * sum |x|, by coordinate descent. Neighbouring
+    changes of slope look alike, which makes it slow alone: now and then all that are not 0 go
+    towards their joint optimum, as far as none changes its sign."""
+    x, scale = start.copy(), np.diag(gram)
+    usable = np.flatnonzero(scale > 1e-12)
+    for turn in range(1, 2001):
+        rest = c - gram @ x
+        moved = 0.0
+        for j in usable:
+            r = rest[j] + scale[j] * x[j]
+            new = np.sign(r) * max(abs(r) - weight, 0.0) / scale[j]
+            if new != x[j]:
+                rest -= gram[:, j] * (new - x[j])
+                moved = max(moved, scale[j] * abs(new - x[j]))
+                x[j] = new
+        if moved <= 1e-9 * weight:
+            break
+        if turn % 5 == 0:
+            on = np.flatnonzero(x)
+            step = np.linalg.lstsq(gram[np.ix_(on, on)], c[on] - weight * np.sign(x[on]), rcond=None)[0] - x[on]
+            against = np.flatnonzero(step * np.sign(x[on]) < 0)
+            reach = -x[on][against] / step[against]
+            far = min(1.0, reach.min(initial=1.0))
+            x[on] += far * step
+            if far < 1.0:
+                x[on[against[reach.argmin()]]] = 0.0
+    return x
+
+
+class Seasonal:
+    """The model of one series, from its days with revenue (days since 1970, sorted)."""
+
+    def __init__(self, day: np.ndarray, y: np.ndarray, holidays: np.ndarray, changepoints: int):
+        self.first, self.last, self.holidays = int(day[0]), int(day[-1]), holidays
+        self.span = max(self.last - self.first, 1)
+        self.at = 0.8 * np.arange(1, changepoints + 1) / (changepoints + 1)
+        smooth, hinges = self.columns(day)
+        ly = np.log(y)
+        x = np.hstack([smooth, hinges])
+        gram, c, n, k = x.T @ x, x.T @ ly, len(ly), smooth.shape[1]
+        prior = np.full(k, SEASONAL)
+        prior[:2] = np.inf, SLOPE
+        self.changes, variance = np.zeros(changepoints), max(float(ly.var()), 1e-6)
+        for _ in range(10):      # the residual variance and the coefficients in turn
+            inner = gram[:k, :k] + np.diag(variance / prior ** 2)
+            solved = np.linalg.solve(inner, np.column_stack([gram[:k, k:], c[:k]]))
+            left = gram[k:, k:] - gram[k:, :k] @ solved[:, :-1]
+            self.changes = sparse_descent(left, c[k:] - gram[k:, :k] @ solved[:, -1], variance / CHANGE, self.changes)
+            self.smooth = solved[:, -1] - solved[:, :-1] @ self.changes
+            self.residuals = ly - smooth @ self.smooth - hinges @ self.changes
+            before, variance = variance, max(float(np.mean(self.residuals ** 2)), 1e-6)
+            if abs(variance - before) <= 1e-6 * before:
+                break
+        values, axes = np.linalg.eigh(inner)
+        self.spread = axes * np.sqrt(variance / np.maximum(values, 1e-12 * values[-1]))     # of the coefficients
+        self.mean_noise = float(np.mean(np.exp(self.residuals)))
+        every = np.bincount((np.arange(self.first, self.last + 1) + 3) % 7, minlength=7)
+        self.open = np.bincount((day + 3) % 7, minlength=7) / np.maximum(every, 1)      # by weekday
+
+    def columns(self, day: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        passed = (day - self.first).astype(float)
+        t = passed / self.span
+        smooth = [np.ones(len(day)), t]
+        for period, order in CYCLES:
+            for k in range(1, order + 1):
+                smooth += [np.sin(2 * np.pi * k * passed / period), np.cos(2 * np.pi * k * passed / period)]
+        smooth.append(np.isin(day, self.holidays).astype(float))
+        return np.column_stack(smooth), np.maximum(t[:, None] - self.at, 0.0)
+
+    def expected(self, day: np.ndarray) -> np.ndarray:
+        smooth, hinges = self.columns(day)
+        return np.exp(smooth @ self.smooth + hinges @ self.changes) * self.mean_noise * self.open[(day + 3) % 7]
+
+    def futures(self, day: np.ndarray, rng: np.random.Generator) -> np.ndarray:
+        """Simulated revenue, a row for each path, of days that follow the last one."""
+        smooth, hinges = self.columns(day)
+        size = (PATHS, len(day))
+        coefficients = self.smooth + rng.standard_normal((PATHS, len(self.smooth))) @ self.spread.T
+        turn = rng.random(size) < len(self.at) / self.span
+        slope = np.cumsum(turn * rng.laplace(0.0, np.mean(np.abs(self.changes)) + 1e-12, size), axis=1) / self.span
+        drift = np.cumsum(slope, axis=1) - slope       # a change acts from the day after
+        log = coefficients @ smooth.T + hinges @ self.changes + drift + rng.choice(self.residuals, size)
+        return np.exp(np.minimum(log, 700.0)) * (rng.random(size) < self.open[(day + 3) % 7])
+
+
+def _months(day: np.ndarray) -> np.ndarray:
+    return day.astype("datetime64[D]").astype("datetime64[M]")
+
+
+def _dates(*days: int) -> list:
+    return [np.datetime64(int(d), "D").item() for d in days]
+
+
+def _trend(first: float, last: float, least: float) -> str:
+    return "upward" if last - first > least else "downward" if last - first < -least else "flat"
+
+
+def _next_months(name: str, day, y, holidays, horizon: int, changepoints: int) -> pd.DataFrame:
+    """Month, its first day and number of days, prediction and band, from the day after the last."""
+    model = Seasonal(day, y, holidays, changepoints)
+    ahead = np.arange(model.last + 1, model.last + 1 + horizon * 31)
+    month, at = np.unique(_months(ahead), return_inverse=True)
+    in_month = (at[:, None] == np.arange(len(month))).astype(float)
+    sums = model.futures(ahead, np.random.default_rng(zlib.crc32(name.encode()))) @ in_month
+    mean = model.expected(ahead) @ in_month
+    low, high = np.quantile(sums, [0.025, 0.975], axis=0)
+    out = pd.DataFrame({"month": month.astype(str), "first": [int(ahead[at == i][0]) for i in range(len(month))],
+                        "days": np.bincount(at), "predicted": mean, "low": np.minimum(low, mean),
+                        "high": np.maximum(high, mean)}).head(horizon)
+    past = np.arange(model.first, model.last + 1)
+    fitted = pd.Series(model.expected(past)).groupby(_months(past).astype(str)).sum().tail(3)
+    out.attrs["fitted"] = fitted
+    return out
+
+
+def _straight_months(day, y, horizon: int) -> pd.DataFrame | None:
+    """The linear model: least squares over months with revenue; None below three months."""
+    rev = pd.Series(y).groupby(_months(day).astype("int64")).sum()
+    if len(rev) < 3:      # no day with revenue included
+        return None
+    slope, level = np.polyfit(np.arange(len(rev)), rev.to_numpy(), 1)
+    after = np.arange(1, horizon + 1)
+    month = (int(rev.index[-1]) + after).astype("datetime64[M]")
+    out = pd.DataFrame({"month": month.astype(str), "first": month.astype("datetime64[D]").astype("int64"),
+                        "predicted": np.maximum(level + slope * (len(rev) - 1 + after), 0.0),
+                        "low": np.nan, "high": np.nan})
+    out.attrs["slope"] = slope
+    fitted = pd.Series(level + slope * np.arange(len(rev)), index=rev.index.to_numpy().astype("datetime64[M]").astype(str))
+    out.attrs["fitted"] = fitted.tail(3)
+    return out
+
+
+def _series_days(sales: DataFrame, key: Column, beyond: int) -> DataFrame:
+    """(series, day, y): a row for each day with revenue, day as days since 1970, and one with
+    y null for each bank holiday from a series' first day to ``beyond`` days after its last."""
+    lines = (sales.filter(is_sale() & C(S.INVOICE_DATE).isNotNull() & key.isNotNull())
+             .select(key.cast("string").alias("series"), F.to_date(S.INVOICE_DATE).alias("day"), S.REVENUE))
+    daily = lines.groupBy("series", "day").agg(F.sum(S.REVENUE).cast("double").alias("y")).filter(C("y") > 0)
+    span = lines.groupBy("series").agg(F.min("day").alias("first"), F.date_add(F.max("day"), beyond).alias("end"))
+    off = F.filter(F.sequence("first", "end"), is_uk_bank_holiday)
+    holidays = span.select("series", F.explode(off).alias("day"), F.lit(None).cast("double").alias("y"))
+    return daily.unionByName(holidays).select("series", F.unix_date("day").alias("day"), "y")
+
+
+def _split(pdf: pd.DataFrame) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    day, y = pdf["day"].to_numpy("int64"), pdf["y"].to_numpy("float64")
+    sold = np.flatnonzero(~np.isnan(y))
+    sold = sold[np.argsort(day[sold])]
+    return day[sold], y[sold], day[np.isnan(y)]
+
+
+def _forecast(sales: DataFrame, key: Column, horizon: int, min_days: int, changepoints: int) -> DataFrame:
     horizon = positive(horizon, "horizon")
-    daily = (sales.filter(is_sale() & C(S.INVOICE_DATE).isNotNull())
-             .groupBy(F.to_date(S.INVOICE_DATE).alias("day")).agg(F.sum(S.REVENUE).cast("double").alias("y"))
-             .filter(C("y") > 0))
-    bounds = daily.agg(F.count(F.lit(1)).alias("n"), F.min("day").alias("t0"), F.max("day").alias("t1"))
-    b = bounds.first()
-    if b["n"] < min_days:
-        lin = revenue_forecast_linear(sales, horizon)
-        return lin.select("month", "predicted_gbp", F.lit(None).cast("double").alias("lower_bound_gbp"),
-                          F.lit(None).cast("double").alias("upper_bound_gbp"), F.lit(False).alias("is_partial_month"),
-                          F.lit("linear").alias("model"))
-    span = F.lit(float(max((b["t1"] - b["t0"]).days, 1)))
-    t0 = F.lit(b["t0"])
-    feats = _design(C("day"), t0, span, changepoints)
-    names = [c._jc.toString().split(" AS ")[-1].strip("`") for c in feats]
-    train = daily.select("day", F.log("y").alias("ly"), *feats)
-    va = VectorAssembler(inputCols=names, outputCol="features")
-    lr = LinearRegression(featuresCol="features", labelCol="ly", regParam=reg, elasticNetParam=0.0)
-    model = lr.fit(va.transform(train))
-    resid = model.transform(va.transform(train)).select((C("ly") - C("prediction")).alias("r"))
-    q = resid.agg(F.percentile_approx("r", [0.025, 0.975], 10000).alias("q")).first()["q"]
-    fut = (bounds.select(F.explode(F.sequence(F.date_add("t1", 1), F.date_add("t1", horizon * 31))).alias("day")))
-    pred = model.transform(va.transform(fut.select("day", *feats))).select("day", "prediction")
-    pm = pred.groupBy(F.date_format("day", "yyyy-MM").alias("month")).agg(
-        F.sum(F.exp("prediction")).alias("yhat"), F.sum(F.exp(C("prediction") + F.lit(q[0]))).alias("lo"),
-        F.sum(F.exp(C("prediction") + F.lit(q[1]))).alias("hi"), F.min("day").alias("first_day"))
-    first = pm.orderBy("month").limit(horizon)
-    return first.select(
-        "month", rnd(F.greatest(C("yhat"), F.lit(0.0)), 2).alias("predicted_gbp"),
-        rnd(F.greatest(C("lo"), F.lit(0.0)), 2).alias("lower_bound_gbp"),
-        rnd(F.greatest(C("hi"), F.lit(0.0)), 2).alias("upper_bound_gbp"),
-        (F.dayofmonth("first_day") != 1).alias("is_partial_month"), F.lit("log-linear seasonal ridge").alias("model"))
-
-
-def forecast_trend_word(fc: DataFrame, threshold: float = 500.0) -> DataFrame:
-    """'upward' / 'downward' / 'flat' from last − first monthly prediction (±£500)."""
-    w = fc.agg(F.max_by("predicted_gbp", "month").alias("last"), F.min_by("predicted_gbp", "month").alias("first"),
-               F.count(F.lit(1)).alias("n"))
-    d = C("last") - C("first")
-    return w.select(F.when(C("n") < 2, "insufficient data").when(d > threshold, "upward")
-                    .when(d < -threshold, "downward").otherwise("flat").alias("trend"))
-
-
-SERIES_SCHEMA = "series string, month string, predicted_gbp double, lower_bound_gbp double, upper_bound_gbp double, " \
-                "is_partial_month boolean, model string"
-
-
-def revenue_forecast_by_series(sales: DataFrame, key: str, horizon: int = 3, min_days: int = 30,
-                               reg: float = 1.0, changepoints: int = 5) -> DataFrame:
-    """The seasonal model fitted separately for every value of ``key`` (e.g. country
-    or product), in one job.
-
-    Spark builds the daily series and the full design matrix (history plus the
-    future days of each series) with the same columns as ``revenue_forecast``; each
-    series is then fitted with a closed-form ridge solve in ``applyInPandas``. A group
-    holds one series' days (bounded by the calendar, not by the number of lines).
-    Series with fewer than ``min_days`` revenue days use a straight-line fit.
-    """
-    horizon = positive(horizon, "horizon")
-    daily = (sales.filter(is_sale() & C(S.INVOICE_DATE).isNotNull() & C(key).isNotNull())
-             .groupBy(C(key).cast("string").alias("series"), F.to_date(S.INVOICE_DATE).alias("day"))
-             .agg(F.sum(S.REVENUE).cast("double").alias("y")).filter(C("y") > 0))
-    w = Window.partitionBy("series")
-    daily = (daily.withColumn("t0", F.min("day").over(w)).withColumn("t1", F.max("day").over(w))
-             .withColumn("n", F.count(F.lit(1)).over(w)))
-    bounds = daily.groupBy("series").agg(F.first("t0").alias("t0"), F.first("t1").alias("t1"), F.first("n").alias("n"))
-    fut = bounds.select("series", "t0", "t1", "n",
-                        F.explode(F.sequence(F.date_add("t1", 1), F.date_add("t1", horizon * 31))).alias("day"))
-    rows = daily.withColumn("future", F.lit(False)).unionByName(
-        fut.withColumn("y", F.lit(None).cast("double")).withColumn("future", F.lit(True)))
-    span = F.greatest(F.datediff("t1", "t0"), F.lit(1)).cast("double")
-    feats = _design(C("day"), C("t0"), span, changepoints)
-    names = [c._jc.toString().split(" AS ")[-1].strip("`") for c in feats]
-    design = rows.select("series", "day", "y", "future", "n", *feats)
 
     def fit(pdf):
-        import numpy as np
-        import pandas as pd
-        pdf = pdf.sort_values("day")
-        tr, fu = pdf[~pdf["future"]], pdf[pdf["future"]]
-        if len(tr) >= min_days:
-            X, Xf = tr[names].to_numpy(float), fu[names].to_numpy(float)
-            mu, ly = X.mean(axis=0), np.log(tr["y"].to_numpy(float))
-            Xc, ym = X - mu, ly.mean()
-            beta = np.linalg.solve(Xc.T @ Xc + reg * np.eye(Xc.shape[1]), Xc.T @ (ly - ym))
-            res = ly - (ym + Xc @ beta)
-            q_lo, q_hi = np.quantile(res, [0.025, 0.975])
-            pred = ym + (Xf - mu) @ beta
-            fu = fu.assign(yhat=np.exp(pred), lo=np.exp(pred + q_lo), hi=np.exp(pred + q_hi))
-            model = "log-linear seasonal ridge"
+        name = pdf["series"].iloc[0]
+        day, y, holidays = _split(pdf)
+        seasonal = len(day) >= max(min_days, 1)
+        got = (_next_months(name, day, y, holidays, horizon, changepoints) if seasonal
+               else _straight_months(day, y, horizon))
+        if got is None:
+            return pd.DataFrame()
+        if seasonal:
+            p = got["predicted"].to_numpy()
+            trend = _trend(p[0], p[-1], 500.0) if len(p) > 1 else "insufficient data"
         else:
-            x = (tr["day"] - tr["day"].min()).dt.days.to_numpy(float) if len(tr) else np.zeros(0)
-            if len(tr) >= 2 and np.ptp(x) > 0:
-                slope, icpt = np.polyfit(x, tr["y"].to_numpy(float), 1)
-            else:
-                slope, icpt = 0.0, float(tr["y"].mean()) if len(tr) else 0.0
-            xf = (fu["day"] - (tr["day"].min() if len(tr) else fu["day"].min())).dt.days.to_numpy(float)
-            yh = np.maximum(icpt + slope * xf, 0.0)
-            fu = fu.assign(yhat=yh, lo=np.nan, hi=np.nan)
-            model = "linear"
-        fu = fu.assign(month=fu["day"].dt.strftime("%Y-%m"))
-        g = fu.groupby("month", sort=True).agg(yhat=("yhat", "sum"), lo=("lo", "sum"), hi=("hi", "sum"),
-                                                first=("day", "min")).head(horizon).reset_index()
+            trend = _trend(0.0, got.attrs["slope"], 0.0)
+        start, end = _dates(day[0], day[-1])
+        last = [{"month": m, "fitted_gbp": round(float(v), 2)} for m, v in got.attrs["fitted"].items()]
         return pd.DataFrame({
-            "series": pdf["series"].iloc[0], "month": g["month"],
-            "predicted_gbp": g["yhat"].clip(lower=0).round(2),
-            "lower_bound_gbp": g["lo"].clip(lower=0).round(2) if model != "linear" else np.nan,
-            "upper_bound_gbp": g["hi"].clip(lower=0).round(2) if model != "linear" else np.nan,
-            "is_partial_month": g["first"].dt.day != 1, "model": model})
-
-    design = design.withColumn("day", C("day").cast("timestamp"))
-    return design.groupBy("series").applyInPandas(fit, SERIES_SCHEMA)
+            "series": name, "month": got["month"], "predicted_gbp": got["predicted"].round(2),
+            "lower_bound_gbp": got["low"].round(2), "upper_bound_gbp": got["high"].round(2),
+            "is_partial_month": [d.day != 1 for d in _dates(*got["first"])], "trend": trend,
+            "training_start": start, "training_end": end, "training_days": len(day),
+            "last_months": [last] * len(got), "model": MODEL if seasonal else "linear"})
+
+    rows = _series_days(sales, key, horizon * 31)
+    out = rows.groupBy("series").applyInPandas(fit, "series string, " + _FORECAST)
+    return out.withColumns({c: F.nullif(C(c), F.lit(float("nan"))) for c in ("lower_bound_gbp", "upper_bound_gbp")})
+
+
+def revenue_forecast(sales: DataFrame, horizon: int = 3, min_days: int = 30, changepoints: int = 25) -> DataFrame:
+    """Monthly forecast with a 95 % band, the trend over it (last month against first, ± £500),
+    the training span and the fitted revenue of the last three months.
+
+    The first month starts the day after the last observed day and may be partial
+    (``is_partial_month``). With fewer than ``min_days`` days of revenue it is the straight line
+    over months of ``revenue_forecast_linear`` (bounds null), as in the source; none below three
+    months. An empty table gives no row."""
+    return _forecast(sales, F.lit("all"), horizon, min_days, changepoints).drop("series")
+
+
+def revenue_forecast_by_series(sales: DataFrame, key: str, horizon: int = 3, min_days: int = 30,
+                               changepoints: int = 25) -> DataFrame:
+    """``revenue_forecast`` for every non-null value of ``key`` (e.g. country or product), in one job."""
+    return _forecast(sales, C(key), horizon, min_days, changepoints)
+
+
+def forecast_backtest(sales: DataFrame, key: str | None = None, horizon: int = 1, folds: int = 6, min_days: int = 30,
+                      changepoints: int = 25) -> DataFrame:
+    """What the forecast would have said ``1 .. folds`` times ``horizon`` months (of 31 days)
+    before each series' last day, against what came: a row for each series, training end and
+    month, the revenue of the month's forecast days and whether the band covers it. Training
+    spans with fewer than ``min_days`` days of revenue give no rows."""
+    horizon, folds = positive(horizon, "horizon"), positive(folds, "folds")
+
+    def test(pdf):
+        name = pdf["series"].iloc[0]
+        day, y, holidays = _split(pdf)
+        out = []
+        for fold in range(folds, 0, -1):
+            known = day <= day.max(initial=0) - fold * horizon * 31
+            if known.sum() < max(min_days, 1):
+                continue
+            got = _next_months(name, day[known], y[known], holidays, horizon, changepoints)
+            for m, first, days, p, lo, hi in got[["month", "first", "days", "predicted", "low", "high"]].itertuples(index=False):
+                actual = float(y[(day >= first) & (day < first + days)].sum())
+                out.append((name, *_dates(day[known][-1]), m, days, round(actual, 2), round(p, 2), round(lo, 2),
+                            round(hi, 2), bool(lo <= actual <= hi)))
+        return pd.DataFrame(out, columns=[f.split(" ")[0] for f in _BACKTEST.split(", ")])
+
+    rows = _series_days(sales, F.lit("all") if key is None else C(key), 0)
+    return rows.groupBy("series").applyInPandas(test, _BACKTEST)

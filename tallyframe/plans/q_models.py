@@ -18,13 +18,6 @@ def churn(spark, sf, days: int = 90):
     return _MODELS[key]
 
 
-def seasonal(spark, sf, horizon: int = 3):
-    key = ("seasonal", id(spark), sf, horizon)
-    if key not in _MODELS:
-        _MODELS[key] = fc.revenue_forecast(S(spark, sf), horizon)
-    return _MODELS[key]
-
-
 def segments(spark, sf, k=None):
     key = ("seg", id(spark), sf, k)
     if key not in _MODELS:
@@ -112,9 +105,14 @@ def _revenue_forecast_linear(spark, sf):
 
 @register("revenue_forecast", None)
 def _revenue_forecast(spark, sf):
-    return seasonal(spark, sf, 3)
+    return fc.revenue_forecast(S(spark, sf), 3)
 
 
 @register("revenue_forecast_by_country", None)
 def _revenue_forecast_by_country(spark, sf):
     return fc.revenue_forecast_by_series(S(spark, sf), "country", 3)
+
+
+@register("revenue_forecast_backtest", None)
+def _revenue_forecast_backtest(spark, sf):
+    return fc.forecast_backtest(S(spark, sf), "country")

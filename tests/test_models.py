@@ -135,6 +135,83 @@ def test_forecast_by_series_shape(sales):
             assert r["lower_bound_gbp"] <= r["predicted_gbp"] <= r["upper_bound_gbp"]
 
 
+def as_sales(spark, rows):
+    """(series, days after 2021-01-01, revenue) as lines of canonical columns."""
+    df = spark.createDataFrame(rows, "country string, d int, y double")
+    return df.selectExpr("country", "timestamp(date_add(DATE'2021-01-01', d)) AS invoice_date",
+                         "CAST(y AS DECIMAL(18,2)) AS revenue", "1L AS quantity")
+
+
+def test_sparse_descent_is_optimal():
+    import numpy as np
+    rng = np.random.default_rng(3)
+    t = np.linspace(0, 1, 200)
+    x = np.maximum(t[:, None] - np.arange(1, 13) / 15, 0)
+    gram, c = x.T @ x, x.T @ (3 * x[:, 4] - 5 * x[:, 9] + rng.normal(0, .01, 200))
+    for weight in (1e-3, 1e-2, 1.0):
+        got = forecast.sparse_descent(gram, c, weight, np.zeros(12))
+        slack = c - gram @ got
+        assert np.all(np.abs(slack) <= weight * (1 + 1e-4) + 1e-7)
+        assert np.allclose(slack[got != 0], weight * np.sign(got[got != 0]), atol=1e-4 * weight + 1e-7)
+    assert np.count_nonzero(got) < 12
+
+
+def test_forecast_follows_the_last_slope(spark):
+    """Growth that turns to decline, closed on Sundays: the forecast goes on declining."""
+    import datetime as dt
+    import math
+    rows = []
+    for d in range(500):
+        log = 7 + d * 0.004 - max(d - 300, 0) * 0.008
+        if d % 7 != 2:
+            rows.append(("a", d, math.exp(log + 0.2 * math.sin(2 * math.pi * d / 7))))
+    got = sorted(forecast.revenue_forecast(as_sales(spark, rows), 3).collect(), key=lambda r: r["month"])
+    for r in got[1:]:       # whole months
+        y, m = map(int, r["month"].split("-"))
+        first = (dt.date(y, m, 1) - dt.date(2021, 1, 1)).days
+        days = [d for d in range(first, first + 31) if (dt.date(2021, 1, 1) + dt.timedelta(d)).month == m and d % 7 != 2]
+        want = sum(math.exp(7 + d * 0.004 - (d - 300) * 0.008 + 0.2 * math.sin(2 * math.pi * d / 7)) for d in days)
+        if not (r["is_partial_month"] or r["month"] == got[-1]["month"]):
+            assert r["predicted_gbp"] == pytest.approx(want, rel=0.1)
+        assert r["lower_bound_gbp"] <= r["predicted_gbp"] <= r["upper_bound_gbp"]
+    assert got[0]["trend"] in ("downward", "upward", "flat") and got[0]["training_days"] == len(rows)
+    assert [x["month"] for x in got[0]["last_months"]] == ["2022-03", "2022-04", "2022-05"]
+
+
+def test_one_series_and_many_share_the_model(spark):
+    rows = [(s, d, 100.0 + 10 * (d % 7) + i * d) for i, s in enumerate(("a", "all")) for d in range(120)]
+    many = forecast.revenue_forecast_by_series(as_sales(spark, rows), "country", 2).filter("series = 'all'").drop("series")
+    one = forecast.revenue_forecast(as_sales(spark, [r for r in rows if r[0] == "all"]), 2)
+    assert sorted(map(str, many.collect())) == sorted(map(str, one.collect()))
+
+
+def test_short_series_get_the_straight_line(spark):
+    rows = [("a", d, 50.0 + d) for d in range(0, 200, 10)]
+    sales = as_sales(spark, rows)
+    want = {r["month"]: (r["predicted_gbp"], r["trend"]) for r in forecast.revenue_forecast_linear(sales, 3).collect()}
+    got = forecast.revenue_forecast(sales, 3).collect()
+    assert {r["month"]: (pytest.approx(r["predicted_gbp"], abs=0.011), r["trend"]) for r in got} == want
+    assert all(r["lower_bound_gbp"] is None and r["model"] == "linear" for r in got)
+    assert forecast.revenue_forecast(as_sales(spark, rows[:3]), 3).collect() == []
+    assert forecast.revenue_forecast(as_sales(spark, rows[:1]).limit(0), 3).collect() == []
+
+
+def test_band_covers_what_came(spark):
+    import numpy as np
+    rng = np.random.default_rng(7)
+    rows = []
+    for s in range(24):
+        slope, level = rng.normal(0, 0.001), rng.uniform(5, 9)
+        weekly = rng.normal(0, 0.2, 7)
+        rows += [(f"s{s}", d, float(np.exp(level + slope * d + weekly[d % 7] + rng.normal(0, 0.3)))) for d in range(540)]
+    got = forecast.forecast_backtest(as_sales(spark, rows), "country", 1, 4).collect()
+    assert len(got) >= 24 * 4
+    covered = sum(r["is_covered"] for r in got) / len(got)
+    assert 0.85 <= covered <= 1.0
+    error = sorted(abs(r["predicted_gbp"] / r["actual_gbp"] - 1) for r in got)
+    assert error[len(error) // 2] < 0.15
+
+
 def test_churn_adjusted_clv_uses_every_score(sales):
     cm = ml.churn_model(sales, 90, num_trees=10)
     adj = ml.churn_adjusted_clv(sales, 12, cm)
@@ -144,3 +221,10 @@ def test_churn_adjusted_clv_uses_every_score(sales):
         assert r["source"] == ("random_forest" if r["customer_id"] in scored else "population_average")
         assert abs(r["churn_probability_pct"] + r["survival_probability_pct"] - 100.0) < 0.11
     assert sum(r["source"] == "random_forest" for r in rows) > 50      # not only a top-50 list
+
+
+def test_series_without_revenue_give_no_rows(spark):
+    rows = [("a", d, 0.0) for d in range(60)] + [("b", d, 10.0) for d in range(60)] + [(None, 3, 5.0)]
+    sales = as_sales(spark, rows)
+    assert {r["series"] for r in forecast.revenue_forecast_by_series(sales, "country", 1).collect()} == {"b"}
+    assert {r["series"] for r in forecast.forecast_backtest(sales, "country", 1, 1, 10).collect()} == {"b"}
