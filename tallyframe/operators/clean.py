@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from tallyframe import schema as S
 from tallyframe.functions.cols import day_key, is_sale, money, sum0
 
-# Date layouts tried in order when parsing text dates (first match wins).
+# Layouts of text dates that can be read in one way only, first match wins.
 DATE_FORMATS = [
     "yyyy-MM-dd HH:mm:ss",
     "yyyy-MM-dd HH:mm",
@@ -16,25 +16,40 @@ DATE_FORMATS = [
     "yyyy-MM-dd HH:mm:ss.SSSSSS",
     "yyyy-MM-dd'T'HH:mm:ssXXX",
     "yyyy-MM-dd",
-    "M/d/yyyy H:mm",
-    "M/d/yyyy",
-    "d/M/yyyy H:mm",
-    "d/M/yyyy H:mm:ss",
-    "d/M/yyyy",
     "dd.MM.yyyy HH:mm",
     "dd.MM.yyyy",
 ]
+# Layouts whose order of month and day the data must tell.
+MONTH_FIRST = ["M/d/yyyy H:mm", "M/d/yyyy H:mm:ss", "M/d/yyyy"]
+DAY_FIRST = ["d/M/yyyy H:mm", "d/M/yyyy H:mm:ss", "d/M/yyyy"]
 
 RULES = ["duplicate", "missing_customer_id", "missing_description", "non_positive_price"]
 
 
-def parse_timestamp(c) -> F.Column:
-    """First layout that parses; null when none does (never an error)."""
-    return F.coalesce(*[F.try_to_timestamp(c, F.lit(f)) for f in DATE_FORMATS])
+def _parsed(c, formats: list[str]) -> F.Column:
+    return F.coalesce(*[F.try_to_timestamp(c, F.lit(f)) for f in formats])
 
 
-def coerce_types(df: DataFrame) -> DataFrame:
-    """Cast text columns of a mapped frame to the canonical types; failures become null."""
+def day_comes_first(df: DataFrame, column: str = S.INVOICE_DATE) -> F.Column:
+    """Whether more text dates of ``df`` fit only a day-first layout than only a month-first one
+    (a tie, or no such date: month first). One aggregate, as a scalar subquery."""
+    text = F.trim(F.col(column))
+    month, day = _parsed(text, MONTH_FIRST).isNotNull(), _parsed(text, DAY_FIRST).isNotNull()
+    return df.agg((F.count_if(day & ~month) > F.count_if(month & ~day)).alias("day_first")).scalar()
+
+
+def parse_timestamp(c, day_first: F.Column | bool = False) -> F.Column:
+    """First layout that parses; null when none does (never an error). ``day_first`` decides
+    dates such as 3/4/2024 that have two readings; those with one are read by it."""
+    month, day = _parsed(c, MONTH_FIRST), _parsed(c, DAY_FIRST)
+    given = F.lit(day_first) if isinstance(day_first, bool) else day_first
+    return F.coalesce(_parsed(c, DATE_FORMATS), F.when(given, F.coalesce(day, month)).otherwise(F.coalesce(month, day)))
+
+
+def coerce_types(df: DataFrame, source: DataFrame | None = None) -> DataFrame:
+    """Cast text columns of a mapped frame to the canonical types; failures become null. All
+    text dates are read in one order of month and day, the one that ``source`` (all rows as
+    given; ``df`` itself by default) speaks for."""
     out = df
     types = dict(df.dtypes)
 
@@ -42,13 +57,14 @@ def coerce_types(df: DataFrame) -> DataFrame:
         return types.get(c) == "string"
 
     if S.QUANTITY in types and is_text(S.QUANTITY):
-        out = out.withColumn(S.QUANTITY, F.expr(f"try_cast(try_cast(trim({S.QUANTITY}) AS DOUBLE) AS BIGINT)"))
+        out = out.withColumn(S.QUANTITY, F.expr(f"try_cast(try_cast(trim({S.QUANTITY}) AS DECIMAL(38,6)) AS BIGINT)"))
     if S.PRICE in types and is_text(S.PRICE):
         out = out.withColumn(S.PRICE, F.expr(f"try_cast(trim({S.PRICE}) AS DECIMAL(18,4))"))
     if S.CUSTOMER_ID in types and is_text(S.CUSTOMER_ID):
-        out = out.withColumn(S.CUSTOMER_ID, F.expr(f"try_cast(try_cast(trim({S.CUSTOMER_ID}) AS DOUBLE) AS BIGINT)"))
+        out = out.withColumn(S.CUSTOMER_ID, F.expr(f"try_cast(try_cast(trim({S.CUSTOMER_ID}) AS DECIMAL(38,6)) AS BIGINT)"))
     if S.INVOICE_DATE in types and is_text(S.INVOICE_DATE):
-        out = out.withColumn(S.INVOICE_DATE, parse_timestamp(F.trim(F.col(S.INVOICE_DATE))))
+        day_first = day_comes_first(df if source is None else source)
+        out = out.withColumn(S.INVOICE_DATE, parse_timestamp(F.trim(F.col(S.INVOICE_DATE)), day_first))
     if S.REVENUE not in types and S.QUANTITY in out.columns and S.PRICE in out.columns:
         out = out.withColumn(
             S.REVENUE, (F.col(S.QUANTITY).cast("decimal(20,0)") * F.col(S.PRICE)).cast("decimal(18,2)"))
@@ -70,7 +86,7 @@ def clean_sales(df: DataFrame) -> DataFrame:
     # Hash on every column: exact copies meet in one task, and no key — a customer or
     # an invoice holding a third of all rows — can pile its lines into one task.
     deduped = df.repartition(*[F.col(f"`{c}`") for c in df.columns]).dropDuplicates()
-    typed = coerce_types(deduped)
+    typed = coerce_types(deduped, df)
     return typed.filter(_failing_rule().isNull())
 
 
@@ -83,7 +99,7 @@ def audited(df: DataFrame) -> DataFrame:
     """
     cols = [F.col(f"`{c}`") for c in df.columns]
     grouped = df.repartition(*cols).groupBy(*cols).agg(F.count(F.lit(1)).alias("_copies"))
-    return coerce_types(grouped).withColumn("_rule", _failing_rule())
+    return coerce_types(grouped, df).withColumn("_rule", _failing_rule())
 
 
 def report_from_audited(a: DataFrame) -> DataFrame:

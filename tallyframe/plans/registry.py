@@ -85,7 +85,7 @@ def money(x: str) -> str:
     return MONEY.format(x=x)
 
 
-MODULES = ("q_sales", "q_products", "q_customers", "q_basket", "q_models", "q_composite", "q_text", "q_lookup")
+MODULES = ("q_sales", "q_products", "q_customers", "q_basket", "q_models", "q_composite", "q_text", "q_lookup", "q_ingest")
 
 
 def load() -> None:

@@ -22,7 +22,7 @@ from tallyframe.operators.clean import audited, clean_sales, report_from_audited
 from tallyframe.session import checkpoint_dir, prepare
 from tallyframe.sources.star import STAR_TABLES, events_sales_raw, read_table, star_sales_raw
 
-_MATERIALIZED: dict[tuple, DataFrame] = {}
+_MATERIALIZED: dict[tuple, DataFrame | str] = {}
 _SESSION_TAG = uuid.uuid4().hex[:8]
 
 
@@ -50,6 +50,18 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     return spark.read.parquet(path)
 
 
+def written(spark: SparkSession, sf_dir: str, name: str, tables, write) -> str:
+    """The folder under the checkpoint folder that ``write(path)`` fills, once for each session
+    and state of the tables."""
+    prepare(spark)
+    name = f"{name}-{_fingerprint(sf_dir, tables)}"
+    path, key = _path(spark, name), (id(spark), checkpoint_dir(spark), name)
+    if key not in _MATERIALIZED:
+        write(path)
+        _MATERIALIZED[key] = path
+    return path
+
+
 def audited_sales(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The materialized audit table: each distinct canonical row with ``_copies`` and
     ``_rule`` (first failing cleaning rule, null when kept). Written once per session."""

@@ -22,18 +22,24 @@ EVENT_SCHEMA = T.StructType([
 
 
 def read_event_log(spark: SparkSession, path: str, multiline: bool = False) -> DataFrame:
-    """JSON lines (or one JSON array per file with ``multiline``) with a fixed schema;
-    ``ts`` is the parsed ISO-8601 timestamp."""
-    df = spark.read.schema(EVENT_SCHEMA).option("multiLine", multiline).json(path)
+    """JSON lines (or one JSON array per file with ``multiline``) with a fixed schema, batch
+    folders included; ``ts`` is the parsed ISO-8601 timestamp."""
+    df = (spark.read.schema(EVENT_SCHEMA).option("multiLine", multiline).option("recursiveFileLookup", True).json(path))
     return df.withColumn("ts", F.try_to_timestamp(F.col("timestamp")))
 
 
-def append_events(events: DataFrame, path: str) -> None:
+def append_events(events: DataFrame, path: str, batch: str | None = None) -> None:
     """Append records as JSON lines (one file per task; readers take the folder). Texts are
-    stored whole; a reader that wants a snippet cuts it."""
+    stored whole; a reader that wants a snippet cuts it. A named ``batch`` has a folder of its
+    own that a repeated write replaces: a job or stream that starts again and writes its batch
+    once more leaves each record once. Without a name, a repeated write adds its records again."""
     cols = [F.col(f.name).cast(f.dataType).alias(f.name)
             if f.name in events.columns else F.lit(None).cast(f.dataType).alias(f.name) for f in EVENT_SCHEMA.fields]
-    events.select(*cols).write.mode("append").json(path)
+    rows = events.select(*cols).write
+    if batch is None:
+        rows.mode("append").json(path)
+    else:
+        rows.mode("overwrite").json(f"{path}/batch-{batch}")
 
 
 def strategy_log_summary(log: DataFrame) -> DataFrame:

@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tallyframe.session import checkpoint_dir
-from tallyframe.sources.eventlog import EVENT_SCHEMA
+from tallyframe.sources.eventlog import EVENT_SCHEMA, append_events
 
 
 def event_stream(spark: SparkSession, folder: str, max_files_per_trigger: int | None = None) -> DataFrame:
@@ -48,3 +48,13 @@ def start_summary(spark: SparkSession, folder: str, query_name: str = "strategy_
     if trigger_once:
         q = q.trigger(availableNow=True)
     return q.start()
+
+
+def start_append(events: DataFrame, path: str, name: str, trigger_once: bool = False):
+    """Write a stream of events to the log, each micro-batch as a named batch: one that is
+    repeated after a restart replaces itself, so each record is in the log once."""
+    q = (events.writeStream.foreachBatch(lambda rows, n: append_events(rows, path, f"{name}-{n}")).queryName(name)
+         .option("checkpointLocation", f"{checkpoint_dir(events.sparkSession)}/stream-{name}"))
+    if trigger_once:
+        q = q.trigger(availableNow=True)
+    return q.start()

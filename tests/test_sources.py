@@ -150,3 +150,81 @@ def test_counts_are_honoured_or_refused(spark, mk_sales):
     assert money and all(abs(five[c] - 5 * year[c]) < 0.02 for c in money)
     with pytest.raises(ValueError):
         cohort_retention(sales, 0)
+
+
+def test_csv_heads_of_many_files_take_few_jobs(spark, tmp_path):
+    from tallyframe.sources.csv import read_csv_groups
+    for i in range(120):
+        (tmp_path / f"{i}.csv").write_bytes(("\n  \n" * (i % 2) + f"invoice,n\xe4me{i % 3}\n{i},\xe9\n").encode(
+            "latin-1" if i % 5 == 0 else "utf-8"))
+    (tmp_path / "empty.csv").write_text("")
+    sc = spark.sparkContext
+    sc.setJobGroup("heads", "heads")
+    groups = read_csv_groups(spark, str(tmp_path))
+    jobs = len(sc.statusTracker().getJobIdsForGroup("heads"))
+    sc.setJobGroup("other", "other")
+    assert jobs <= 16 and len(groups) == 6      # at most two for listing and one read for each header and encoding
+    got = {r[0]: r[1] for g in groups for r in g.collect()}
+    assert got == {str(i): "\xe9" for i in range(120)}
+
+
+def test_csv_blocks_of_one_file(spark, tmp_path):
+    """The header is the first line also where the file is read in many blocks."""
+    from tallyframe.sources.csv import file_heads
+    (tmp_path / "big.csv").write_text("b,a\n" + "a,b\n" * 20000)
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "4096")
+    try:
+        rows = file_heads(spark, [str(tmp_path)]).collect()
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+    assert [(bytes(r["head"]), r["is_utf8"]) for r in rows] == [(b"b,a", True)]
+
+
+def test_column_names_are_made_unique():
+    from tallyframe.sources.csv import column_names
+    assert column_names(b'\xef\xbb\xbfa,"b, c",,A', "UTF-8") == ("a0", "b, c", "_c2", "A3")
+    assert column_names("n\xe4me".encode("latin-1"), "ISO-8859-1") == ("n\xe4me",)
+
+
+def test_csv_files_are_mapped_each_by_its_header(spark, tmp_path):
+    (tmp_path / "1.csv").write_text("Invoice,Description,Quantity,Price,InvoiceDate,Customer ID,Country\n1,p,2,3.5,2010-01-05,7,UK\n")
+    (tmp_path / "2.csv").write_text("user_id,order_id,goods,qty,cost,when\n9007199254740993,2,q,1,4,13/02/2010 9:30\n8,3,q,1,4,3/2/2010\n")
+    got = csvsrc.read_sales_csv(spark, str(tmp_path), overrides={"InvoiceDate": "when"}).collect()
+    rows = {r["invoice"]: (r["customer_id"], r["country"], str(r["invoice_date"])) for r in got}
+    assert rows == {"1": (7, "UK", "2010-01-05 00:00:00"), "2": (9007199254740993, None, "2010-02-13 09:30:00"),
+                    "3": (8, None, "2010-02-03 00:00:00")}
+    with pytest.raises(S.MissingColumnsError):
+        csvsrc.read_sales_csv(spark, str(tmp_path), overrides={"InvoiceDate": "nowhere"})
+    with pytest.raises(S.MissingColumnsError):
+        csvsrc.read_sales_csv(spark, str(tmp_path))         # the second kind has no known date header
+
+
+@pytest.mark.parametrize("dates,want", [
+    (["3/4/2024", "25/12/2024", "2024-01-02"], ["2024-04-03", "2024-12-25", "2024-01-02"]),
+    (["3/4/2024", "12/25/2024 10:00"], ["2024-03-04", "2024-12-25"]),
+    (["3/4/2024", None, "junk"], ["2024-03-04", None, None]),
+    (["3/4/2024", "13/1/2024", "14/1/2024", "1/15/2024"], ["2024-04-03", "2024-01-13", "2024-01-14", "2024-01-15"])])
+def test_one_order_of_month_and_day(spark, dates, want):
+    df = spark.createDataFrame([(str(i), d) for i, d in enumerate(dates)], "invoice string, invoice_date string")
+    got = clean.coerce_types(df).selectExpr("invoice", "string(date(invoice_date)) AS d").collect()
+    assert [r["d"] for r in sorted(got, key=lambda r: r["invoice"])] == want
+
+
+def test_named_batches_are_kept_once(spark, tmp_path):
+    log = spark.createDataFrame([("1", "strategy_generated")], "id string, event string")
+    path = str(tmp_path / "log")
+    for batch in ("a", "b", "a"):
+        eventlog.append_events(log, path, batch)
+    eventlog.append_events(log, path)
+    assert eventlog.read_event_log(spark, path).count() == 3
+
+
+def test_preview_and_minimum_size(spark):
+    from tallyframe.sources.mapping import mapping_preview
+    df = spark.range(12).selectExpr("id", "CASE WHEN id > 0 THEN 'x' END AS name").coalesce(1)
+    got = mapping_preview(df, 2)
+    assert got["columns"] == ["id", "name"] and got["row_count"] == 12
+    assert got["preview"] == [["0", ""], ["1", "x"]] and got["dtypes"] == {"id": "bigint", "name": "string"}
+    assert clean.minimum_size_ok(df) and clean.minimum_size_ok(df, 12)
+    assert not clean.minimum_size_ok(df, 13) and not clean.minimum_size_ok(df.limit(0))

@@ -43,3 +43,14 @@ def test_daily_events_with_watermark(spark):
         assert sum(r["events"] for r in rows) == 6 and len({r["s"] for r in rows}) == 3
     finally:
         q.stop()
+
+
+def test_appended_stream_holds_each_record_once(spark):
+    from tallyframe.sources.eventlog import append_events, read_event_log
+    d, out = tempfile.mkdtemp(prefix="tally-stream-in-"), tempfile.mkdtemp(prefix="tally-stream-out-")
+    _drop(d, "1.json", [{"id": str(i), "event": "strategy_generated"} for i in range(5)])
+    for _ in range(2):      # started twice: the second start takes the new file only
+        st.start_append(st.event_stream(spark, d), out, "append_test", trigger_once=True).awaitTermination()
+        _drop(d, "2.json", [{"id": "5", "event": "profile_submitted"}])
+    append_events(read_event_log(spark, d).filter("id < '5'"), out, "append_test-0")     # the first batch, repeated
+    assert sorted(r["id"] for r in read_event_log(spark, out).collect()) == [str(i) for i in range(6)]
