@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tallyframe import schema as S
-from tallyframe.functions.cols import day_key, is_sale, money, sum0
+from tallyframe.functions.cols import day_key, is_sale, money, positive, sum0
 
 # Layouts of text dates that can be read in one way only, first match wins.
 DATE_FORMATS = [
@@ -209,7 +211,50 @@ def dataset_samples(df: DataFrame, n: int = 3) -> DataFrame:
     return out
 
 
+def dataset_context(df: DataFrame, n: int = 3) -> DataFrame:
+    """Per column, in their order: type, rows, nulls, null % and, for text, the ``n`` smallest
+    distinct values. One scan: each task reduces its rows to one row a column (counts and at
+    most ``n`` values), and those are merged. An empty table gives its columns with 0 rows."""
+    n = positive(n, "n")
+    names = df.columns
+    text = [t == "string" for _, t in df.dtypes]
+
+    def reduce_rows(batches):
+        rows, nulls = 0, [0] * len(names)
+        least = [pa.array([], pa.string()) for _ in names]
+        for b in batches:
+            rows += b.num_rows
+            for i, column in enumerate(b.columns):
+                nulls[i] += column.null_count
+                if not text[i]:
+                    continue
+                new = column.drop_null().cast(pa.string())
+                if len(least[i]) == n:
+                    new = new.filter(pc.less(new, least[i][n - 1]))
+                if len(new):
+                    both = pa.concat_arrays([least[i], new]).unique()
+                    least[i] = both.take(pc.sort_indices(both)[:n])
+        yield pa.RecordBatch.from_arrays(
+            [pa.array(range(len(names)), pa.int64()), pa.array([rows] * len(names), pa.int64()), pa.array(nulls, pa.int64()),
+             pa.array([v.to_pylist() for v in least], pa.list_(pa.string()))], ["id", "rows", "nulls", "least"])
+
+    parts = df.mapInArrow(reduce_rows, "id long, rows long, nulls long, least array<string>")
+    merged = parts.groupBy("id").agg(
+        F.sum("rows").alias("row_count"), F.sum("nulls").alias("null_count"),
+        F.slice(F.array_sort(F.array_distinct(F.flatten(F.collect_list("least")))), 1, n).alias("least"))
+    at = (F.col("id") + 1).cast("int")
+    count = {c: F.coalesce(c, F.lit(0)).cast("bigint") for c in ("row_count", "null_count")}
+    return df.sparkSession.range(len(names)).join(merged, "id", "left").select(
+        at.alias("place"), F.element_at(F.array(*map(F.lit, names)), at).alias("column_name"),
+        F.element_at(F.array(*[F.lit(t) for _, t in df.dtypes]), at).alias("data_type"),
+        count["row_count"].alias("row_count"), count["null_count"].alias("null_count"),
+        F.when(F.col("row_count") > 0, F.col("null_count") * 100 / F.col("row_count")).otherwise(F.lit(0.0)).alias("null_pct"),
+        F.when(F.element_at(F.array(*map(F.lit, text)), at), F.array_join("least", ", ")).alias("sample_values"))
+
+
 def dataset_sample_rows(df: DataFrame, n: int = 5) -> DataFrame:
-    """``n`` example rows, the first by invoice and stock code (a bounded top-n)."""
-    keys = [c for c in ("invoice", "stock_code") if c in df.columns] or df.columns[:1]
-    return df.orderBy(*keys).limit(n)
+    """``n`` example rows, the first by invoice and stock code, then by the columns in their
+    order (a bounded top-n)."""
+    keys = [c for c in ("invoice", "stock_code") if c in df.columns]
+    keys += [c for c, t in df.dtypes if c not in keys and "map<" not in t and t != "variant"]
+    return df.orderBy(*[F.col(f"`{c}`") for c in keys]).limit(n)

@@ -228,3 +228,20 @@ def test_preview_and_minimum_size(spark):
     assert got["preview"] == [["0", ""], ["1", "x"]] and got["dtypes"] == {"id": "bigint", "name": "string"}
     assert clean.minimum_size_ok(df) and clean.minimum_size_ok(df, 12)
     assert not clean.minimum_size_ok(df, 13) and not clean.minimum_size_ok(df.limit(0))
+
+
+def test_dataset_context_in_one_pass(spark):
+    df = spark.createDataFrame([("b", 1, None), ("a", None, "x, y"), ("c", 3, None), ("a", 4, ""), ("\xe9", 5, None)],
+                               "name string, n int, note string").repartition(3)
+    got = [tuple(r) for r in clean.dataset_context(df).orderBy("place").collect()]
+    assert got == [(1, "name", "string", 5, 0, 0.0, "a, b, c"), (2, "n", "int", 5, 1, 20.0, None),
+                   (3, "note", "string", 5, 3, 60.0, ", x, y")]
+    none = [tuple(r) for r in clean.dataset_context(df.limit(0), 1).orderBy("place").collect()]
+    assert [r[1:6] for r in none] == [(c, t, 0, 0, 0.0) for c, t in df.dtypes]
+    twice = clean.dataset_context(df.select("n", "n", a_map()))
+    assert [r["null_count"] for r in twice.orderBy("place").collect()] == [1, 1, 0]
+
+
+def a_map():
+    from pyspark.sql import functions as F
+    return F.create_map(F.lit("k"), F.lit(1)).alias("m")
