@@ -32,11 +32,16 @@ def _parsed(c, formats: list[str]) -> F.Column:
     return F.coalesce(*[F.try_to_timestamp(c, F.lit(f)) for f in formats])
 
 
+def _slashed(text) -> tuple[F.Column, F.Column]:
+    """A text date read month first and day first. Both orders are written with slashes; other
+    texts are not parsed."""
+    return tuple(F.when(text.contains("/"), _parsed(text, f)) for f in (MONTH_FIRST, DAY_FIRST))
+
+
 def day_comes_first(df: DataFrame, column: str = S.INVOICE_DATE) -> F.Column:
     """Whether more text dates of ``df`` fit only a day-first layout than only a month-first one
     (a tie, or no such date: month first). One aggregate, as a scalar subquery."""
-    text = F.trim(F.col(column))
-    month, day = _parsed(text, MONTH_FIRST).isNotNull(), _parsed(text, DAY_FIRST).isNotNull()
+    month, day = (c.isNotNull() for c in _slashed(F.trim(F.col(column))))
     return df.agg((F.count_if(day & ~month) > F.count_if(month & ~day)).alias("day_first")).scalar()
 
 
@@ -48,28 +53,74 @@ def parse_timestamp(c, day_first: F.Column | bool = False) -> F.Column:
     return F.coalesce(_parsed(c, DATE_FORMATS), F.when(given, F.coalesce(day, month)).otherwise(F.coalesce(month, day)))
 
 
-def coerce_types(df: DataFrame, source: DataFrame | None = None) -> DataFrame:
+def settle_dates(df: DataFrame, by: str, column: str = S.INVOICE_DATE) -> DataFrame:
+    """Text dates with two readings, written as ISO dates in the order of month and day that
+    the other dates with the same ``by`` (a file's name) speak for; ``by`` is dropped. Where
+    those are even or there are none, the texts stay as they are. The votes are one row a file
+    with a lead; Spark broadcasts them if they are few, and else splits a large file's rows."""
+    if dict(df.dtypes)[column] != "string":
+        return df.drop(by)
+    text = F.trim(F.col(column))
+    month, day = _slashed(text)
+    lead = F.count_if(day.isNotNull() & month.isNull()) - F.count_if(month.isNotNull() & day.isNull())
+    votes = df.groupBy(F.col(by).alias("_by")).agg(lead.alias("_lead")).filter("_lead <> 0")
+    iso = F.date_format(F.when(F.col("_lead") > 0, day).otherwise(month), "yyyy-MM-dd HH:mm:ss")
+    two = month.isNotNull() & day.isNotNull() & F.col("_lead").isNotNull()
+    return (df.join(votes, F.col(by) == F.col("_by"), "left")
+            .withColumn(column, F.when(two, iso).otherwise(F.col(column))).drop(by, "_by", "_lead"))
+
+
+# A whole number as a reader writes it: no leading zeros or plus sign that a number would lose.
+WHOLE = r"^-?(0|[1-9][0-9]{0,17})([.]0*)?$"
+
+
+def upload_types(df: DataFrame) -> dict[str, str]:
+    """The types that keep every value of the text columns of ``df`` as given: ids are BIGINT if
+    all of them are whole numbers, else text; quantities BIGINT if all are whole, else
+    DECIMAL(18,6); prices DECIMAL(18,4), or DECIMAL(18,8) if one has more decimals. Texts that
+    are no numbers decide nothing for the last two. One aggregate, one row to the driver."""
+    text = {c for c, t in df.dtypes if t == "string"}
+
+    def number(c):
+        return F.expr(f"try_cast(trim({c}) AS DECIMAL(38,12))")
+
+    checks = {
+        S.CUSTOMER_ID: (("bigint", "string"), F.trim(S.CUSTOMER_ID).rlike(WHOLE) | (F.trim(S.CUSTOMER_ID) == "")),
+        S.QUANTITY: (("bigint", "decimal(18,6)"), number(S.QUANTITY) == F.floor(number(S.QUANTITY))),
+        S.PRICE: (("decimal(18,4)", "decimal(18,8)"), number(S.PRICE) == F.round(number(S.PRICE), 4))}
+    asked = [c for c in checks if c in text]
+    if not asked:
+        return {}
+    fits = df.agg(*[F.coalesce(F.bool_and(checks[c][1]), F.lit(True)).alias(c) for c in asked]).first()
+    return {c: checks[c][0][0 if fits[c] else 1] for c in asked}
+
+
+def coerce_types(df: DataFrame, source: DataFrame | None = None, types: dict[str, str] | None = None) -> DataFrame:
     """Cast text columns of a mapped frame to the canonical types; failures become null. All
     text dates are read in one order of month and day, the one that ``source`` (all rows as
-    given; ``df`` itself by default) speaks for."""
+    given; ``df`` itself by default) speaks for. ``types`` (by default ``upload_types`` of
+    ``source``, one pass over it) says how ids, quantities and prices are kept. Revenue, where
+    it is not given, is the exact product of quantity and price."""
     out = df
-    types = dict(df.dtypes)
-
-    def is_text(c):
-        return types.get(c) == "string"
-
-    if S.QUANTITY in types and is_text(S.QUANTITY):
-        out = out.withColumn(S.QUANTITY, F.expr(f"try_cast(try_cast(trim({S.QUANTITY}) AS DECIMAL(38,6)) AS BIGINT)"))
-    if S.PRICE in types and is_text(S.PRICE):
-        out = out.withColumn(S.PRICE, F.expr(f"try_cast(trim({S.PRICE}) AS DECIMAL(18,4))"))
-    if S.CUSTOMER_ID in types and is_text(S.CUSTOMER_ID):
-        out = out.withColumn(S.CUSTOMER_ID, F.expr(f"try_cast(try_cast(trim({S.CUSTOMER_ID}) AS DECIMAL(38,6)) AS BIGINT)"))
-    if S.INVOICE_DATE in types and is_text(S.INVOICE_DATE):
-        day_first = day_comes_first(df if source is None else source)
-        out = out.withColumn(S.INVOICE_DATE, parse_timestamp(F.trim(F.col(S.INVOICE_DATE)), day_first))
-    if S.REVENUE not in types and S.QUANTITY in out.columns and S.PRICE in out.columns:
-        out = out.withColumn(
-            S.REVENUE, (F.col(S.QUANTITY).cast("decimal(20,0)") * F.col(S.PRICE)).cast("decimal(18,2)"))
+    source = df if source is None else source
+    given = dict(df.dtypes)
+    types = upload_types(source) if types is None else types
+    for c in (S.QUANTITY, S.PRICE, S.CUSTOMER_ID):
+        if given.get(c) != "string":
+            continue
+        if types[c] == "string":
+            plain = F.regexp_replace(F.trim(c), r"^([0-9]+)[.]0*$", "$1")
+            out = out.withColumn(c, F.when(plain != "", plain))
+        elif types[c] == "bigint":
+            out = out.withColumn(c, F.expr(f"try_cast(try_cast(trim({c}) AS DECIMAL(38,6)) AS BIGINT)"))
+        else:
+            out = out.withColumn(c, F.expr(f"try_cast(trim({c}) AS {types[c]})"))
+    if given.get(S.INVOICE_DATE) == "string":
+        out = out.withColumn(S.INVOICE_DATE, parse_timestamp(F.trim(F.col(S.INVOICE_DATE)), day_comes_first(source)))
+    if S.REVENUE not in given and S.QUANTITY in out.columns and S.PRICE in out.columns:
+        quantity = F.col(S.QUANTITY)
+        quantity = quantity.cast("decimal(20,0)") if dict(out.dtypes)[S.QUANTITY] == "bigint" else quantity
+        out = out.withColumn(S.REVENUE, (quantity * F.col(S.PRICE)).cast("decimal(28,10)"))
     return out
 
 
@@ -79,7 +130,7 @@ def _failing_rule() -> F.Column:
              .when(~(F.coalesce(F.col(S.PRICE) > 0, F.lit(False))), F.lit("non_positive_price")))
 
 
-def clean_sales(df: DataFrame) -> DataFrame:
+def clean_sales(df: DataFrame, types: dict[str, str] | None = None) -> DataFrame:
     """Drop exact duplicates (null equals null) → coerce → drop null customer →
     drop null description → keep price > 0. Dates that fail to parse stay as null.
 
@@ -88,7 +139,7 @@ def clean_sales(df: DataFrame) -> DataFrame:
     # Hash on every column: exact copies meet in one task, and no key — a customer or
     # an invoice holding a third of all rows — can pile its lines into one task.
     deduped = df.repartition(*[F.col(f"`{c}`") for c in df.columns]).dropDuplicates()
-    typed = coerce_types(deduped, df)
+    typed = coerce_types(deduped, df, types)
     return typed.filter(_failing_rule().isNull())
 
 

@@ -26,6 +26,11 @@ def _customers(sales: DataFrame) -> DataFrame:
     return sales.filter(C(CID).isNotNull())
 
 
+def _is_customer(sales: DataFrame, customer_id: int | str) -> F.Column:
+    """Ids are numbers or texts, as the upload has them; the one asked for is read likewise."""
+    return C(CID) == F.lit(customer_id).cast(sales.schema[CID].dataType)
+
+
 def reference_date(sales: DataFrame) -> DataFrame:
     """One row: ``ref`` = latest timestamp over all dated lines (returns included)."""
     return sales.agg(F.max(S.INVOICE_DATE).alias("ref"))
@@ -62,12 +67,12 @@ def top_spending_customers(sales: DataFrame, limit: int = 5) -> DataFrame:
     return top_k(per, [C("_rev").desc(), C(CID)], limit).select(CID, money(C("_rev")).alias("total_spend_gbp"))
 
 
-def customer_profiles(sales: DataFrame, customer_id: int | None = None) -> DataFrame:
+def customer_profiles(sales: DataFrame, customer_id: int | str | None = None) -> DataFrame:
     """One row per customer: modal country, sales spend, invoices, sales units,
     return lines, favourite product by sales units, first / last purchase day."""
     df = _customers(sales)
     if customer_id is not None:
-        df = df.filter(C(CID) == F.lit(int(customer_id)))
+        df = df.filter(_is_customer(df, customer_id))
     base = df.groupBy(CID).agg(
         money(sum0(F.when(is_sale(), C(S.REVENUE)))).alias("total_spend_gbp"),
         F.count_distinct(S.INVOICE).alias("total_orders"),
@@ -85,11 +90,11 @@ def customer_profiles(sales: DataFrame, customer_id: int | None = None) -> DataF
                       "refund_transactions", "favorite_product", "first_purchase", "last_purchase")
 
 
-def customer_orders(sales: DataFrame, customer_id: int | None = None) -> DataFrame:
+def customer_orders(sales: DataFrame, customer_id: int | str | None = None) -> DataFrame:
     """Per (customer, invoice): first day, net revenue, net units; revenue > 0 only."""
     df = _customers(sales)
     if customer_id is not None:
-        df = df.filter(C(CID) == F.lit(int(customer_id)))
+        df = df.filter(_is_customer(df, customer_id))
     per = df.groupBy(CID, S.INVOICE).agg(
         day_key(F.min(S.INVOICE_DATE)).alias("date"), F.sum(S.REVENUE).alias("_rev"),
         F.sum(S.QUANTITY).cast("bigint").alias("items_bought"))
@@ -97,11 +102,11 @@ def customer_orders(sales: DataFrame, customer_id: int | None = None) -> DataFra
                                             "items_bought")
 
 
-def customer_product_units(sales: DataFrame, customer_id: int | None = None, product: str | None = None) -> DataFrame:
+def customer_product_units(sales: DataFrame, customer_id: int | str | None = None, product: str | None = None) -> DataFrame:
     """Bought, returned and kept units per (customer, lower-cased product)."""
     df = _customers(sales).filter(C(S.DESCRIPTION).isNotNull())
     if customer_id is not None:
-        df = df.filter(C(CID) == F.lit(int(customer_id)))
+        df = df.filter(_is_customer(df, customer_id))
     if product is not None:
         df = df.filter(eq_ci(S.DESCRIPTION, product))
     per = df.groupBy(CID, F.lower(S.DESCRIPTION).alias("product")).agg(
@@ -214,7 +219,7 @@ def rfm_features(sales: DataFrame, by: tuple = ()) -> DataFrame:
         F.coalesce(sample_std(C("frequency"), C("mon"), C("mon2")), F.lit(0.0)).alias("std_basket_size"))
 
 
-def customer_clv(sales: DataFrame, months: int = 12, customer_id: int | None = None) -> DataFrame:
+def customer_clv(sales: DataFrame, months: int = 12, customer_id: int | str | None = None) -> DataFrame:
     """Projected value: AOV(sales invoices) × invoices / max(active_days/30, 1) × months.
 
     Active days span all of the customer's dated lines, returns included. Customers
@@ -223,7 +228,7 @@ def customer_clv(sales: DataFrame, months: int = 12, customer_id: int | None = N
     months = positive(months, "months")
     df = _customers(sales)
     if customer_id is not None:
-        df = df.filter(C(CID) == F.lit(int(customer_id)))
+        df = df.filter(_is_customer(df, customer_id))
     inv = df.filter(is_sale()).groupBy(CID, S.INVOICE).agg(F.sum(S.REVENUE).alias("r"))
     per = inv.groupBy(CID).agg(F.count(F.lit(1)).alias("orders"), F.sum("r").alias("hist"))
     span = df.groupBy(CID).agg(F.min(S.INVOICE_DATE).alias("f"), F.max(S.INVOICE_DATE).alias("l"))

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from tallyframe.operators import clean as cl
 from tallyframe.operators import sales as op
+from tallyframe.plans.oracle import RAW_SALES, WHY
 from tallyframe.plans.registry import (COUNTRY, KEYWORD, PERIOD, PRODUCT, RANGE, E, S, money, register,
                                        with_events, with_sales)
 from tallyframe.sources import catalog
@@ -48,16 +49,13 @@ def _clean_sales(spark, sf):
     return S(spark, sf).withColumn("invoice_date", F.col("invoice_date").cast("timestamp_ntz"))
 
 
-@register("cleaning_report", with_sales(
-    "SELECT rule, rows FROM (SELECT 'duplicate' AS rule, (SELECT COUNT(*) FROM lineitem JOIN orders ON l_orderkey = o_orderkey"
-    " JOIN customer ON o_custkey = c_custkey JOIN nation ON c_nationkey = n_nationkey JOIN part ON l_partkey = p_partkey)"
-    " - (SELECT COUNT(*) FROM sales) AS rows"
-    " UNION ALL SELECT 'missing_customer_id', 0 UNION ALL SELECT 'missing_description', 0"
-    " UNION ALL SELECT 'non_positive_price', 0"
-    " UNION ALL SELECT 'kept', (SELECT COUNT(*) FROM sales)"
-    " UNION ALL SELECT 'total', (SELECT COUNT(*) FROM lineitem JOIN orders ON l_orderkey = o_orderkey"
-    " JOIN customer ON o_custkey = c_custkey JOIN nation ON c_nationkey = n_nationkey JOIN part ON l_partkey = p_partkey)"
-    " UNION ALL SELECT 'unparseable_date', (SELECT COUNT(*) FROM sales WHERE invoice_date IS NULL))"))
+@register("cleaning_report", (
+    f"WITH given AS ({RAW_SALES}), told AS (SELECT *, {WHY} AS why FROM (SELECT DISTINCT * FROM given)) "
+    "SELECT 'total' AS rule, COUNT(*) AS rows FROM given UNION ALL "
+    "SELECT 'duplicate', (SELECT COUNT(*) FROM given) - (SELECT COUNT(*) FROM told) UNION ALL "
+    + "".join(f"SELECT '{r}', COUNT(*) FROM told WHERE why = '{r}' UNION ALL " for r in cl.RULES[1:]) +
+    "SELECT 'kept', COUNT(*) FROM told WHERE why IS NULL UNION ALL "
+    "SELECT 'unparseable_date', COUNT(*) FROM told WHERE why IS NULL AND invoice_date IS NULL"))
 def _cleaning_report(spark, sf):
     return catalog.cleaning_report(spark, sf)
 

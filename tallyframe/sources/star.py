@@ -3,7 +3,7 @@
 Mapping (one row per line item):
 
 ==============  ==========================================================
-invoice         ``o_orderkey`` as string
+invoice         ``l_orderkey`` as string
 stock_code      ``l_partkey`` as string
 description     ``p_name``
 quantity        ``l_quantity`` as bigint, negated when ``l_returnflag = 'R'``
@@ -41,8 +41,7 @@ def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 
 
-# The mapping is written as SQL expressions so that it reads the same here and in
-# the DuckDB oracle. Money goes through integer cents; the unit price is rounded
+# The mapping as SQL expressions; the DuckDB statements have their own. Money goes through integer cents; the unit price is rounded
 # half-up to 4 places with integer division.
 def _cents(x: str) -> str:
     return f"CAST(ROUND({x} * 100) AS BIGINT)"
@@ -60,7 +59,7 @@ def _money2(cents: str) -> str:
 _SIGN = "(CASE WHEN l_returnflag = 'R' THEN -1 ELSE 1 END)"
 _QTY = "CAST(l_quantity AS BIGINT)"
 STAR_EXPRS = [
-    f"CAST(o_orderkey AS STRING) AS {S.INVOICE}",
+    f"CAST(l_orderkey AS STRING) AS {S.INVOICE}",
     f"CAST(l_partkey AS STRING) AS {S.STOCK_CODE}",
     f"p_name AS {S.DESCRIPTION}",
     f"{_QTY} * {_SIGN} AS {S.QUANTITY}",
@@ -84,7 +83,9 @@ EVENT_EXPRS = [
 
 
 def star_sales_raw(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The uncleaned canonical frame over lineitem ⋈ orders ⋈ customer ⋈ nation ⋈ part.
+    """The uncleaned canonical frame over lineitem ⟕ orders ⟕ customer ⟕ nation ⟕ part: every
+    line is there. One without its order has no customer and no date, one without its part no
+    description, and the cleaning rules count them.
 
     Join strategy: lineitem ⋈ orders is the one large-large join (sort-merge on the
     order key; AQE splits a skewed order-key partition). The dimensions — customer
@@ -103,11 +104,11 @@ def star_sales_raw(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     limit = dim_broadcast_rows(spark)
     cust_country = bounded_broadcast(
-        cu.join(na, cu.c_nationkey == na.n_nationkey, "inner").select("c_custkey", "n_name"), limit)
+        cu.join(na, cu.c_nationkey == na.n_nationkey, "left").select("c_custkey", "n_name"), limit)
     pa = bounded_broadcast(pa, limit)
-    j = (li.join(od, li.l_orderkey == od.o_orderkey, "inner")
-           .join(cust_country, F.col("o_custkey") == F.col("c_custkey"), "inner")
-           .join(pa, F.col("l_partkey") == F.col("p_partkey"), "inner"))
+    j = (li.join(od, li.l_orderkey == od.o_orderkey, "left")
+           .join(cust_country, F.col("o_custkey") == F.col("c_custkey"), "left")
+           .join(pa, F.col("l_partkey") == F.col("p_partkey"), "left"))
 
     return j.selectExpr(*STAR_EXPRS)
 

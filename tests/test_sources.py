@@ -5,11 +5,13 @@ from __future__ import annotations
 import json
 import os
 import tempfile
+from decimal import Decimal
 
 import pytest
+from pyspark.sql import functions as F
 
 from tallyframe import schema as S
-from tallyframe.operators import clean
+from tallyframe.operators import clean, customers, sales
 from tallyframe.sources import csv as csvsrc
 from tallyframe.sources import eventlog
 from tallyframe.sources.mapping import apply_mapping, detect_column_mapping, merge_overrides, missing_required
@@ -243,5 +245,58 @@ def test_dataset_context_in_one_pass(spark):
 
 
 def a_map():
-    from pyspark.sql import functions as F
     return F.create_map(F.lit("k"), F.lit(1)).alias("m")
+
+
+def test_ids_quantities_and_prices_are_kept_as_given(spark, tmp_path):
+    """Ids that are no numbers stay, 2^53 + 1 stays itself, fractions stay, revenue is exact."""
+    path = str(tmp_path / "a.csv")
+    lines = [",".join(HEADER),
+             "1,a,TEA,2.5,2024-01-02,0.333,C-11,UK", "2,a,TEA,1,2024-01-02,0.000012,9007199254740993,UK",
+             "3,a,TEA,1,2024-01-02,3,00123,UK", "4,a,TEA,1,2024-01-02,3,17850.0,UK", "5,a,TEA,1,2024-01-02,3, ,UK",
+             "6,a,TEA,1,2024-01-02,3,NaN,UK", "7,a,N/A,1,2024-01-02,3,5,UK", "8,a,TEA,x,2024-01-02,3,5,UK"]
+    _write(path, lines, "utf-8")
+    got = {r["invoice"]: r for r in csvsrc.read_sales_csv(spark, path).collect()}
+    assert {k: r["customer_id"] for k, r in got.items()} == {
+        "1": "C-11", "2": "9007199254740993", "3": "00123", "4": "17850", "8": "5"}
+    assert str(got["1"]["quantity"]) == "2.500000" and got["8"]["quantity"] is None
+    assert got["1"]["revenue"] == Decimal("0.8325") and got["2"]["revenue"] == Decimal("0.000012")
+    report = {r["rule"]: r["rows"] for r in clean.cleaning_report(csvsrc.read_sales_csv(spark, path, clean=False)).collect()}
+    assert report["missing_customer_id"] == 2 and report["missing_description"] == 1 and report["kept"] == 5
+    one = customers.customer_orders(csvsrc.read_sales_csv(spark, path), customer_id="C-11").collect()
+    assert [(r["invoice"], r["items_bought"], r["total_revenue_gbp"]) for r in one] == [("1", 2, 0.83)]
+    assert sales.total_revenue(csvsrc.read_sales_csv(spark, path)).first()[0] == 6.83
+
+
+def test_whole_numbers_stay_numbers(spark, tmp_path):
+    path = str(tmp_path / "a.csv")
+    _write(path, [",".join(HEADER), "1,a,TEA,2.0,2024-01-02,0.5,17850.0,UK", "2,a,TEA,3,2024-01-02,0.5,,UK"], "utf-8")
+    df = csvsrc.read_sales_csv(spark, path)
+    assert dict(df.dtypes)["customer_id"] == "bigint" and dict(df.dtypes)["quantity"] == "bigint"
+    assert [(r["customer_id"], r["quantity"], r["revenue"]) for r in df.collect()] == [(17850, 2, 1)]
+    given = {"customer_id": "string", "quantity": "decimal(18,6)", "price": "decimal(18,4)"}
+    assert csvsrc.read_sales_csv(spark, path, types=given).first()["customer_id"] == "17850"
+
+
+def test_each_file_has_its_own_order_of_month_and_day(spark, tmp_path):
+    """One header, three files: day first, month first, and one that does not tell."""
+    for name, dates in (("a", ["3/4/2024", "25/12/2024 9:30"]), ("b", ["3/4/2024", "12/25/2024"]), ("c", ["3/4/2024"])):
+        _write(str(tmp_path / f"{name}.csv"), [",".join(HEADER)] + [
+            f"{name}{i},x,TEA,1,{d},1.5,7,UK" for i, d in enumerate(dates)], "utf-8")
+    got = {r["invoice"]: r["invoice_date"].strftime("%m-%d") for r in csvsrc.read_sales_csv(spark, str(tmp_path)).collect()}
+    assert got == {"a0": "04-03", "a1": "12-25", "b0": "03-04", "b1": "12-25", "c0": "03-04"}
+
+
+def test_lines_without_partners_are_counted(spark, tmp_path):
+    """A line without its order or part is removed by a rule, not lost in the join."""
+    from tallyframe.sources.star import STAR_TABLES, star_sales_raw
+    tables = {t: spark.read.parquet(f"/root/testdata/sf0.001/{t}.parquet") for t in STAR_TABLES}
+    n = tables["lineitem"].count()
+    orders, parts = tables["orders"].filter("o_orderkey % 5 <> 0"), tables["part"].filter("p_partkey % 7 <> 0")
+    lost = tables["lineitem"].join(orders, F.col("l_orderkey") == F.col("o_orderkey"), "left_anti").distinct()
+    for t, df in {**tables, "orders": orders, "part": parts}.items():
+        df.write.parquet(str(tmp_path / f"{t}.parquet"))
+    rep = {r["rule"]: r["rows"] for r in clean.cleaning_report(star_sales_raw(spark, str(tmp_path))).collect()}
+    assert rep["total"] == n and rep["missing_description"] > 0
+    assert 0 < rep["missing_customer_id"] <= lost.count()
+    assert sum(rep[r] for r in clean.RULES) + rep["kept"] == n
