@@ -75,7 +75,12 @@ def linear_trend(sales: DataFrame) -> DataFrame:
     Only the slope's sign is needed, so this is the least-squares sums alone (one
     aggregate over the month series), without the forecast's median and outliers.
     """
-    m = _monthly_pos(sales).filter(C("rev") > 0)
+    return linear_trend_of(_monthly_pos(sales))
+
+
+def linear_trend_of(per_month: DataFrame) -> DataFrame:
+    """``linear_trend`` from monthly sales revenue (month_idx, rev)."""
+    m = per_month.filter(C("rev") > 0)
     m = m.withColumn("x", (F.row_number().over(Window.orderBy("month_idx")) - 1).cast("bigint"))
     st = m.agg(F.count(F.lit(1)).alias("n"), F.sum("rev").alias("sy"), F.sum(C("x") * C("rev")).alias("sxy"))
     sx, sxx = index_sums(C("n"))

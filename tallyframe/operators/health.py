@@ -1,8 +1,8 @@
 """Business-health signals and the rule tables applied to them (survey §2.6).
 
-Every signal is a scalar subquery: over the month series (growth, trend) or over one
-per-customer rollup that is checkpointed once (churn share, repeat rate, new
-customers, concentration). The rules are ``when`` chains over the one-row signals
+Every signal is a scalar subquery over the rollup (``operators.rollup``): its month series
+(growth, trend) or its customers (churn share, repeat rate, new customers,
+concentration). The rules are ``when`` chains over the one-row signals
 frame. Nothing is collected to the driver.
 """
 
@@ -16,15 +16,12 @@ from tallyframe.functions.cols import div, is_sale, money, months_before, rnd, s
 from tallyframe.operators import customers as cu
 from tallyframe.operators import forecast as fc
 from tallyframe.operators import products as pr
+from tallyframe.operators import rollup as ro
 from tallyframe.operators import sales as sa
 
 C = F.col
 
 
-def _pin(df: DataFrame) -> DataFrame:
-    from tallyframe.functions.ordered import _pinned
-    return _pinned(df)
-
 # Thresholds of the traffic lights and severity rules.
 MOM_GREEN, MOM_YELLOW = 5.0, -5.0
 CHURN_GREEN, CHURN_YELLOW = 30.0, 55.0
@@ -60,24 +57,29 @@ def new_customer_counts(sales: DataFrame, months: int = 3) -> tuple[Column, Colu
 
 
 def signals(sales: DataFrame, days: int = 90, new_months: int = 3) -> DataFrame:
+    """``signals_of`` the rollup of ``sales``, made for this question alone."""
+    return signals_of(ro.rollup(sales), days, new_months)
+
+
+def signals_of(r: ro.Rollup, days: int = 90, new_months: int = 3) -> DataFrame:
     """One row: latest_mom, churn_risk_pct, repeat_rate, forecast_trend,
     concentration_pct, new_customers_recent, new_customers_prior.
 
-    The customer-level signals (churn share, repeat rate, new customers) come from
-    one per-customer rollup and a single conditional aggregate over it.
+    Growth and trend come from the rollup's month series, the customer signals from its
+    customers: one conditional aggregate, and the concentration from net revenues.
     """
-    spark = sales.sparkSession
-    mom = sa.latest_mom(sales).select("latest_mom").scalar()
-    trend = fc.linear_trend(sales).select("forecast_trend").scalar()
-    # One per-customer rollup, checkpointed once, feeds every customer-level signal.
-    roll = _pin(cu.customer_rollup(sales))
-    conc = sa.concentration_of(roll.select(S.CUSTOMER_ID, C("revenue").alias("rev"))).select("concentration_pct").scalar()
-    ref = cu.ref_scalar(sales)
-    ref_c = roll.agg(F.max("last")).scalar()
+    spark = r.invoices.sparkSession
+    per_month = ro.months(r)
+    mom = sa.latest_mom_of(per_month.select("month_idx", "rev")).select("latest_mom").scalar()
+    trend = fc.linear_trend_of(per_month.select("month_idx", C("sale_rev").alias("rev"))).select("forecast_trend").scalar()
+    people = ro.customers(r)
+    conc = sa.concentration_of(people.select(S.CUSTOMER_ID, C("revenue").alias("rev"))).select("concentration_pct").scalar()
+    ref = r.invoices.agg(F.max("last")).scalar()
+    ref_c = r.invoices.filter(C(S.CUSTOMER_ID).isNotNull()).agg(F.max("last")).scalar()
     cut = months_before(ref_c, new_months)
     pcut = months_before(cut, new_months)
     idle = F.floor((F.unix_micros(ref) - F.unix_micros(C("last"))) / F.lit(86_400_000_000))
-    st = roll.agg(F.struct(
+    st = people.agg(F.struct(
         F.count_if(C("last").isNotNull()).alias("dated"), F.count_if(idle >= days).alias("at_risk"),
         F.count(F.lit(1)).alias("customers"), F.count_if(C("invoices") > 1).alias("repeaters"),
         F.count_if(C("first") >= cut).alias("new_recent"),

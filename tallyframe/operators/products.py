@@ -16,6 +16,7 @@ from tallyframe import schema as S
 from tallyframe.functions.cols import (div, eq_ci, is_return, is_sale, month_index, month_key_from_index,
                                        months_before, rnd, sum0)
 from tallyframe.functions.ordered import top_k
+from tallyframe.functions.spine import fill_months_by
 from tallyframe.functions.stats import index_sums, ols_intercept, ols_slope
 
 C = F.col
@@ -180,6 +181,14 @@ def product_demand_trend(sales: DataFrame, product: str | None = None) -> DataFr
                       C("sy").cast("bigint").alias("total_units_sold"), n.alias("months_of_data"))
 
 
+def product_demand_months(sales: DataFrame, product: str | None = None) -> DataFrame:
+    """The monthly breakdown behind ``product_demand_trend``: units sold in each month from a
+    product's first to its last, months without sales as 0."""
+    df = sales.filter(eq_ci(D, product)) if product else sales
+    filled = fill_months_by(_monthly_units(df, is_sale()), [D], ["units"], "m")
+    return filled.select(D, "month", C("units").cast("bigint").alias("units_sold"))
+
+
 def demand_forecast_by_product(sales: DataFrame, horizon: int = 3) -> DataFrame:
     """Extend each product's monthly unit slope ``horizon`` months (clipped at 0)."""
     per = _monthly_units(sales, is_sale())

@@ -199,7 +199,10 @@ def _growth(sales: DataFrame, by: Sequence[str] = ()) -> DataFrame:
     The lag runs over months (one row per group and calendar month), never lines;
     without ``by`` it is a single small series.
     """
-    m = _monthly_series(sales, by)
+    return _growth_of(_monthly_series(sales, by), by)
+
+
+def _growth_of(m: DataFrame, by: Sequence[str] = ()) -> DataFrame:
     w = Window.partitionBy(*by).orderBy("month_idx") if by else Window.orderBy("month_idx")
     m = m.withColumn("prev", F.lag("rev").over(w))
     return m.withColumn("growth", pct_change(C("rev"), C("prev")))
@@ -219,8 +222,17 @@ def mom_growth(sales: DataFrame, by: Sequence[str] = ()) -> DataFrame:
 
 def latest_mom(sales: DataFrame) -> DataFrame:
     """One row: latest month-over-month % (0.0 when there is none)."""
-    g = _growth(sales).filter(C("growth").isNotNull()).agg(F.max_by(rnd(C("growth"), 2), "month_idx")).scalar()
-    return sales.sparkSession.range(1).select(F.coalesce(g, F.lit(0.0)).alias("latest_mom"))
+    return _latest(_growth(sales))
+
+
+def latest_mom_of(per_month: DataFrame) -> DataFrame:
+    """``latest_mom`` from monthly net revenue (month_idx, rev), gaps and all."""
+    return _latest(_growth_of(fill_months_by(per_month, [], ["rev"])))
+
+
+def _latest(growth: DataFrame) -> DataFrame:
+    g = growth.filter(C("growth").isNotNull()).agg(F.max_by(rnd(C("growth"), 2), "month_idx")).scalar()
+    return growth.sparkSession.range(1).select(F.coalesce(g, F.lit(0.0)).alias("latest_mom"))
 
 
 def sales_trend(sales: DataFrame) -> DataFrame:

@@ -10,9 +10,12 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tallyframe.functions.cols import day_key, div, elapsed_days, money, month_key_from_index, rnd
+from tallyframe.functions.ordered import top_k
 from tallyframe.operators import customers as cu
 from tallyframe.operators import forecast as fc
 from tallyframe.operators import products as pr
+from tallyframe.operators import rollup as ro
 from tallyframe.operators import sales as sa
 
 C = F.col
@@ -33,6 +36,18 @@ def dashboard_kpis(sales: DataFrame) -> DataFrame:
         kp.select("records").scalar().alias("records"))
 
 
+def dashboard_kpis_of(r: ro.Rollup) -> DataFrame:
+    """``dashboard_kpis`` from the rollup: one aggregate over its invoices and the month series."""
+    k = ro.totals(r)
+    mom = sa.latest_mom_of(ro.months(r).select("month_idx", "rev")).select("latest_mom").scalar()
+    return k.select(
+        money(C("sale_revenue")).alias("total_revenue"), C("orders").alias("total_orders"),
+        C("sale_units").cast("bigint").alias("total_items"),
+        F.coalesce(div(C("sale_revenue"), C("orders")), F.lit(0.0)).alias("aov"),
+        F.coalesce(div(C("return_lines") * 100, C("lines")), F.lit(0.0)).alias("refund_rate"),
+        mom.alias("mom_growth"), C("lines").cast("bigint").alias("records"))
+
+
 def dashboard_charts(sales: DataFrame, hourly_source: DataFrame | None = None) -> DataFrame:
     """Monthly revenue, top 5 countries, top 8 products and hourly revenue as
     (chart, label, value) rows. ``hourly_source`` lets hour-of-day come from a
@@ -49,6 +64,39 @@ def dashboard_charts(sales: DataFrame, hourly_source: DataFrame | None = None) -
     return m.unionByName(c).unionByName(p).unionByName(h)
 
 
+def dashboard_charts_of(r: ro.Rollup, hourly_source: DataFrame) -> DataFrame:
+    """``dashboard_charts`` from the rollup; hours, which it has not, come from ``hourly_source``."""
+    m = ro.months(r).select(F.lit("monthly_revenue").alias("chart"), month_key_from_index(C("month_idx")).alias("label"),
+                            money(C("rev")).alias("value"))
+
+    def best(df: DataFrame, key: str, value: str, chart: str, limit: int) -> DataFrame:
+        per = df.filter(C(key).isNotNull()).groupBy(key).agg(F.sum(value).alias("_rev"))
+        return top_k(per, [C("_rev").desc(), C(key)], limit).select(
+            F.lit(chart).alias("chart"), C(key).alias("label"), money(C("_rev")).alias("value"))
+
+    c = best(r.invoices, "country", "revenue", "top_countries", 5)
+    p = best(r.products.filter(C("sale_units") > 0), "description", "sale_revenue", "top_products", 8)
+    h = sa.hourly_sales(hourly_source).select(F.lit("hourly_sales").alias("chart"),
+                                              F.format_string("%d:00", C("hour")).alias("label"), C("revenue").alias("value"))
+    return m.unionByName(c).unionByName(p).unionByName(h)
+
+
+def prediction_metrics_of(r: ro.Rollup, days: int = 90) -> DataFrame:
+    """``prediction_metrics`` from the rollup's customers: one aggregate for all its figures."""
+    ref = r.invoices.agg(F.max("last")).scalar()
+    dated, repeats = C("last").isNotNull(), C("invoices") > 1
+    idle = dated & (elapsed_days(C("last"), ref) >= days)
+    n, risky, rep = F.count_if(dated), F.count_if(idle), F.count_if(repeats)
+    return ro.customers(r).agg(
+        F.when(n > 0, day_key(ref)).alias("reference_date"), F.lit(int(days)).alias("days_inactive_threshold"),
+        n.alias("total_customers"), risky.alias("at_risk_customers"), (n - risky).alias("healthy_customers"),
+        rnd(F.coalesce(div(risky * 100, n), F.lit(0.0)), 1).alias("churn_risk_pct"),
+        rep.alias("returned_for_second_purchase"),
+        rnd(F.coalesce(div(rep * 100, F.count(F.lit(1))), F.lit(0.0)), 1).alias("repeat_purchase_probability_pct"),
+        rnd(F.coalesce(div(F.sum(F.when(repeats, C("invoices"))), rep), F.lit(0.0)), 1)
+        .alias("avg_orders_per_returning_customer"))
+
+
 def prediction_metrics(sales: DataFrame, days: int = 90) -> DataFrame:
     """Churn summary and repeat-purchase figures in one row."""
     ch = cu.churn_risk_summary(sales, days)

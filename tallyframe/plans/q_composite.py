@@ -10,6 +10,7 @@ from tallyframe.plans.q_models import LINEAR_CTES
 from tallyframe.plans.q_products import WINDOW_CTES
 from tallyframe.plans.q_sales import GROWTH_CTES, REFUND_SQL, REPEAT_P
 from tallyframe.plans.registry import E, S, money, register, with_sales
+from tallyframe.sources import catalog
 
 LATEST = ("COALESCE((SELECT ROUND(growth, 2) FROM h WHERE growth IS NOT NULL ORDER BY month_idx DESC LIMIT 1), 0.0)")
 POS_REV = "COALESCE(SUM(CASE WHEN quantity > 0 THEN revenue END), 0)"
@@ -25,7 +26,7 @@ KPI_SQL = with_sales(
 
 @register("dashboard_kpis", KPI_SQL)
 def _dashboard_kpis(spark, sf):
-    return db.dashboard_kpis(S(spark, sf))
+    return db.dashboard_kpis_of(catalog.sales_rollup(spark, sf))
 
 
 @register("dashboard_charts", with_sales(
@@ -38,7 +39,7 @@ def _dashboard_kpis(spark, sf):
     f"SELECT 'hourly_sales', printf('%d:00', hour(invoice_date)), {money('SUM(revenue)')} FROM event_sales "
     "WHERE invoice_date IS NOT NULL GROUP BY hour(invoice_date)", EVENT_SALES_CTE))
 def _dashboard_charts(spark, sf):
-    return db.dashboard_charts(S(spark, sf), E(spark, sf))
+    return db.dashboard_charts_of(catalog.sales_rollup(spark, sf), E(spark, sf))
 
 
 @register("prediction_metrics", with_sales(
@@ -51,7 +52,7 @@ def _dashboard_charts(spark, sf):
     "NULLIF(CAST(COUNT(*) FILTER (WHERE n > 1) AS DOUBLE), 0), 0.0), 1) FROM p) AS avg_orders_per_returning_customer FROM ls",
     *LAST_SEEN, REPEAT_P))
 def _prediction_metrics(spark, sf):
-    return db.prediction_metrics(S(spark, sf))
+    return db.prediction_metrics_of(catalog.sales_rollup(spark, sf))
 
 
 @register("prediction_charts", with_sales(
@@ -86,7 +87,7 @@ SIGNAL_CTES = [
 
 
 def _signals(spark, sf):
-    return he.signals(S(spark, sf))
+    return catalog.sales_signals(spark, sf)
 
 
 @register("signals", with_sales("SELECT * FROM sig", *SIGNAL_CTES))

@@ -170,6 +170,14 @@ def _product_demand_trend(spark, sf):
     return op.product_demand_trend(S(spark, sf))
 
 
+@register("product_demand_months", with_sales(
+    f"SELECT sp.description, {MONTH_FROM.format(i='sp.m')} AS month, CAST(COALESCE(units, 0) AS BIGINT) AS units_sold FROM "
+    "(SELECT description, unnest(range(first_m, last_m + 1)) AS m FROM db) sp LEFT JOIN dm USING (description, m)",
+    *DEMAND_CTES[:2]))
+def _product_demand_months(spark, sf):
+    return op.product_demand_months(S(spark, sf))
+
+
 @register("demand_forecast_by_product", with_sales(
     f"SELECT description, {MONTH_FROM.format(i='last_m + step')} AS month, "
     "ROUND(greatest(intercept + slope * CAST(n - 1 + step AS DOUBLE), 0.0), 2) AS predicted_units FROM ("

@@ -18,6 +18,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from pyspark.sql import functions as F
 
+from tallyframe.operators import health, rollup
 from tallyframe.operators.clean import audited, clean_sales, report_from_audited
 from tallyframe.session import checkpoint_dir, prepare
 from tallyframe.sources.star import STAR_TABLES, events_sales_raw, read_table, star_sales_raw
@@ -85,6 +86,20 @@ def sales(spark: SparkSession, sf_dir: str) -> DataFrame:
     return a.filter(F.col("_rule").isNull()).drop("_rule", "_copies")
 
 
+def sales_rollup(spark: SparkSession, sf_dir: str) -> rollup.Rollup:
+    """The rollup of ``sales``, written once for each session and state of the tables."""
+    path = written(spark, sf_dir, "rollup", STAR_TABLES, lambda p: rollup.append(sales(spark, sf_dir), p, "all"))
+    return rollup.read(spark, path)
+
+
+def sales_signals(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The one row of health signals over the rollup, written once like it: the rules and
+    phrases that rest on the signals read it."""
+    path = written(spark, sf_dir, "signals", STAR_TABLES,
+                   lambda p: health.signals_of(sales_rollup(spark, sf_dir)).write.mode("overwrite").parquet(p))
+    return spark.read.parquet(path)
+
+
 def cleaning_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     return report_from_audited(audited_sales(spark, sf_dir))
 

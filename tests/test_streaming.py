@@ -54,3 +54,31 @@ def test_appended_stream_holds_each_record_once(spark):
         _drop(d, "2.json", [{"id": "5", "event": "profile_submitted"}])
     append_events(read_event_log(spark, d).filter("id < '5'"), out, "append_test-0")     # the first batch, repeated
     assert sorted(r["id"] for r in read_event_log(spark, out).collect()) == [str(i) for i in range(6)]
+
+
+def test_running_summary_counts_emails_exactly(spark):
+    """Emails that come again in later files or under other goals count once; the totals are
+    those of the batch summary over all files."""
+    from tallyframe.sources.eventlog import read_event_log, strategy_log_summary
+    d = tempfile.mkdtemp(prefix="tally-stream-emails-")
+
+    def file(name, ids):
+        _drop(d, name, [{"id": str(i), "event": "strategy_generated", "email": f"u{i % 50}@x" if i % 7 else "",
+                         "goal_label": "grow" if i % 3 else "save", "business_type": f"b{i % 2}" if i % 5 else None} for i in ids])
+
+    file("1.json", range(120))
+    q = st.start_summary(spark, d, query_name="strategy_exact_test", counts=st.strategy_state_stream)
+    try:
+        q.processAllAvailable()
+        file("2.json", range(100, 230))
+        q.processAllAvailable()
+        state = spark.table("strategy_exact_test")
+        want = strategy_log_summary(read_event_log(spark, d)).first()
+        assert tuple(st.strategy_totals(state).first()) == tuple(want) and want["total_strategies"] == 250
+        assert want["unique_emails"] == 50
+        counts = {(r[0], r[1]): (r[2], r[3]) for r in st.strategy_counts(state).collect()}
+        ids = [i for i in [*range(120), *range(100, 230)] if i % 3 and not i % 5]
+        assert counts["grow", ""] == (len(ids), len({i % 50 for i in ids if i % 7}))
+    finally:
+        q.stop()
+    assert tuple(st.strategy_totals(state.limit(0)).first()) == (0, 0, "\u2014", "\u2014")
