@@ -168,23 +168,27 @@ def customer_segments(sales: DataFrame, k: int | None = None, seed: int = 42,
     over 2..8 when not given. Spark's silhouette uses squared Euclidean distance
     (linear in the data, no sampling or pairwise table)."""
     rfm = rfm_features(sales).select(CID, "recency_days", "frequency", "monetary")
-    n = rfm.count()
+    va = VectorAssembler(inputCols=["recency_days", "frequency", "monetary"], outputCol="raw")
+    # The features are computed once, by this count; scaling and fitting read them from there.
+    raw = va.transform(rfm).persist(StorageLevel.MEMORY_AND_DISK)
+    n = raw.count()
     if n < 10:
+        raw.unpersist()
         raise InsufficientData("need at least 10 customers with complete RFM data")
-    va = VectorAssembler(inputCols=["recency_days", "frequency", "monetary"], outputCol="raw")
-    raw = va.transform(rfm)
     scaler = StandardScaler(inputCol="raw", outputCol="features", withMean=True, withStd=True).fit(raw)
-    data = scaler.transform(raw).persist(StorageLevel.MEMORY_AND_DISK)
+    data = scaler.transform(raw).drop("raw").persist(StorageLevel.MEMORY_AND_DISK)
+    data.count()
+    raw.unpersist()
     spark = sales.sparkSession
-    scores = []
+    scores, fitted = [], {}
     if k is None:
         ev = ClusteringEvaluator(featuresCol="features", predictionCol="prediction",
                                  distanceMeasure="squaredEuclidean")
         ks = [kk for kk in range(2, 9) if n >= kk * 5]
 
         def score(kk: int) -> tuple[int, float]:
-            m = KMeans(k=kk, seed=seed, maxIter=200).fit(data)
-            return kk, float(ev.evaluate(m.transform(data)))
+            fitted[kk] = KMeans(k=kk, seed=seed, maxIter=300).fit(data)
+            return kk, float(ev.evaluate(fitted[kk].transform(data)))
 
         # Candidate k are independent fits; submit them together (as CrossValidator's
         # ``parallelism`` does) so that their many small jobs overlap on the cluster.
@@ -195,7 +199,7 @@ def customer_segments(sales: DataFrame, k: int | None = None, seed: int = 42,
         k = positive(k, "k", 2)
     if n < k * 5:
         raise InsufficientData(f"not enough customers for {k} segments")
-    km = KMeans(k=k, seed=seed, maxIter=300).fit(data)
+    km = fitted.get(k) or KMeans(k=k, seed=seed, maxIter=300).fit(data)
     assigned = km.transform(data).select(CID, "recency_days", "frequency", "monetary",
                                          C("prediction").alias("cluster"))
     stats = assigned.groupBy("cluster").agg(

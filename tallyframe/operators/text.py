@@ -198,3 +198,14 @@ def evaluation_summary(scores: DataFrame, pass_pct: float = 75.0) -> DataFrame:
         n.alias("scored"), F.coalesce(F.sum("score"), F.lit(0)).cast("bigint").alias("total"),
         (n * 5).alias("max_total"), rnd(pct, 1).alias("pct"), (pct >= pass_pct).alias("passed"),
         F.count_if(C("score") == 0).alias("zero_scores"), F.count_if(C("score") <= 2).alias("low_scores"))
+
+
+def question_scores(df: DataFrame, text: str = "text") -> DataFrame:
+    """The score of the answer to each user turn: 0 where the turn after it is no answer (none,
+    not the assistant's, or blank), else ``response_score``. The join is on conversation and
+    turn, so a long conversation spreads over the tasks."""
+    answers = df.filter((C("role") == "assistant") & (F.trim(text) != ""))
+    scored = response_score(response_quality(answers)).select("conv_id", (C("turn") - 1).alias("turn"), "score")
+    asked = df.filter(C("role") == "user").select("conv_id", "turn")
+    return asked.join(scored, ["conv_id", "turn"], "left").select(
+        "conv_id", "turn", F.coalesce("score", F.lit(0)).alias("score"), C("score").isNull().alias("server_error"))

@@ -1,5 +1,6 @@
 """Registered model and forecast questions. Fitted models are kept per
-(session, data, parameters), so one threshold never serves another."""
+(session, state of the tables, parameters): neither another threshold nor changed tables are
+served by one."""
 
 from __future__ import annotations
 
@@ -7,19 +8,21 @@ from tallyframe.operators import forecast as fc
 from tallyframe.operators import ml
 from tallyframe.plans.q_sales import MONTH_IDX
 from tallyframe.plans.registry import S, money, register, with_sales
+from tallyframe.sources import catalog
+from tallyframe.sources.star import STAR_TABLES
 
 _MODELS: dict = {}
 
 
 def churn(spark, sf, days: int = 90):
-    key = ("churn", id(spark), sf, days)
+    key = ("churn", id(spark), catalog.fingerprint(spark, sf, STAR_TABLES), days)
     if key not in _MODELS:
         _MODELS[key] = ml.churn_model(S(spark, sf), days)
     return _MODELS[key]
 
 
 def segments(spark, sf, k=None):
-    key = ("seg", id(spark), sf, k)
+    key = ("seg", id(spark), catalog.fingerprint(spark, sf, STAR_TABLES), k)
     if key not in _MODELS:
         _MODELS[key] = ml.customer_segments(S(spark, sf), k)
     return _MODELS[key]

@@ -101,3 +101,26 @@ def _message_type(spark, sf):
     "COUNT(*) FILTER (WHERE score = 0) AS zero_scores, COUNT(*) FILTER (WHERE score <= 2) AS low_scores FROM sc"))
 def _evaluation_summary(spark, sf):
     return tx.evaluation_summary(tx.response_score(tx.response_quality(_assistant(spark, sf))))
+
+
+# Every user turn; one whose next turn holds no answer scores 0.
+QUESTION_CTE = (
+    "qs AS (SELECT u.conv_id, u.turn, COALESCE(a.score, 0) AS score, a.score IS NULL AS server_error FROM "
+    "(SELECT conv_id, turn FROM conversations WHERE role = 'user') u LEFT JOIN (SELECT sc.conv_id, sc.turn, sc.score FROM sc "
+    "JOIN conversations c ON c.conv_id = sc.conv_id AND c.turn = sc.turn WHERE c.role = 'assistant' AND trim(c.text) <> '') a "
+    "ON a.conv_id = u.conv_id AND a.turn = u.turn + 1)")
+
+
+@register("question_scores", "WITH " + ", ".join([QUALITY_CTE, SCORE_CTE, QUESTION_CTE]) + " SELECT * FROM qs")
+def _question_scores(spark, sf):
+    return tx.question_scores(catalog.table(spark, sf, "conversations"))
+
+
+@register("evaluation_by_question", (
+    "WITH " + ", ".join([QUALITY_CTE, SCORE_CTE, QUESTION_CTE]) + " SELECT COUNT(score) AS scored, "
+    "CAST(COALESCE(SUM(score), 0) AS BIGINT) AS total, COUNT(score) * 5 AS max_total, "
+    "ROUND(COALESCE(CAST(SUM(score) AS DOUBLE) * 100.0 / CAST(COUNT(score) * 5 AS DOUBLE), 0.0), 1) AS pct, "
+    "COALESCE(CAST(SUM(score) AS DOUBLE) * 100.0 / CAST(COUNT(score) * 5 AS DOUBLE), 0.0) >= 75.0 AS passed, "
+    "COUNT(*) FILTER (WHERE score = 0) AS zero_scores, COUNT(*) FILTER (WHERE score <= 2) AS low_scores FROM qs"))
+def _evaluation_by_question(spark, sf):
+    return tx.evaluation_summary(tx.question_scores(catalog.table(spark, sf, "conversations")))

@@ -14,6 +14,7 @@ import hashlib
 import os
 import uuid
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 
 from pyspark.sql import functions as F
@@ -27,18 +28,30 @@ _MATERIALIZED: dict[tuple, DataFrame | str] = {}
 _SESSION_TAG = uuid.uuid4().hex[:8]
 
 
-def _fingerprint(sf_dir: str, tables) -> str:
+def fingerprint(spark: SparkSession, sf_dir: str, tables) -> str:
+    """A name for the present state of the tables: paths, sizes and times of change. What the
+    driver's file system does not have, an object store for one, is listed by Spark and reduced
+    to one row a table; contents are not read."""
     h = hashlib.sha1(os.path.abspath(sf_dir).encode())
     for t in tables:
-        p = os.path.join(sf_dir, f"{t}.parquet")
+        p = f"{sf_dir.rstrip('/')}/{t}.parquet"
         try:
             st = os.stat(p)
-            h.update(f"{t}:{st.st_size}:{int(st.st_mtime)}".encode())
+            h.update(f"{t}:{st.st_size}:{st.st_mtime_ns}".encode())
         except OSError:
-            h.update(t.encode())
+            h.update(f"{t}:{_listed(spark, p)}".encode())
     return h.hexdigest()[:16]
 
 
+def _listed(spark: SparkSession, path: str) -> str:
+    try:
+        files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(path)
+        return str(tuple(files.agg(F.count(F.lit(1)), F.sum("length"),
+                                   F.bit_xor(F.xxhash64("path", "length", "modificationTime"))).first()))
+    except AnalysisException:      # no such table
+        return "none"
+
+
 def _path(spark: SparkSession, name: str) -> str:
     return f"{checkpoint_dir(spark)}/tallyframe-{_SESSION_TAG}/{name}"
 
@@ -55,7 +68,7 @@ def written(spark: SparkSession, sf_dir: str, name: str, tables, write) -> str:
     """The folder under the checkpoint folder that ``write(path)`` fills, once for each session
     and state of the tables."""
     prepare(spark)
-    name = f"{name}-{_fingerprint(sf_dir, tables)}"
+    name = f"{name}-{fingerprint(spark, sf_dir, tables)}"
     path, key = _path(spark, name), (id(spark), checkpoint_dir(spark), name)
     if key not in _MATERIALIZED:
         write(path)
@@ -67,7 +80,7 @@ def audited_sales(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The materialized audit table: each distinct canonical row with ``_copies`` and
     ``_rule`` (first failing cleaning rule, null when kept). Written once per session."""
     prepare(spark)
-    name = f"sales-{_fingerprint(sf_dir, STAR_TABLES)}"
+    name = f"sales-{fingerprint(spark, sf_dir, STAR_TABLES)}"
     key = (id(spark), checkpoint_dir(spark), name)
     if key not in _MATERIALIZED:
         # Sorting each output file by date (a local sort, no extra shuffle) gives the

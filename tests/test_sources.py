@@ -300,3 +300,15 @@ def test_lines_without_partners_are_counted(spark, tmp_path):
     assert rep["total"] == n and rep["missing_description"] > 0
     assert 0 < rep["missing_customer_id"] <= lost.count()
     assert sum(rep[r] for r in clean.RULES) + rep["kept"] == n
+
+
+@pytest.mark.parametrize("scheme", ["", "file://"])
+def test_changed_tables_have_another_fingerprint(spark, tmp_path, scheme):
+    """Also where only Spark can list them, as a path with a scheme stands for here."""
+    from tallyframe.sources.catalog import fingerprint
+    path = f"{scheme}{tmp_path}"
+    spark.range(5).write.parquet(f"{path}/a.parquet")
+    first = fingerprint(spark, path, ["a", "b"])
+    assert first == fingerprint(spark, path, ["a", "b"]) != fingerprint(spark, path, ["a"])
+    spark.range(6).write.mode("append").parquet(f"{path}/a.parquet")
+    assert fingerprint(spark, path, ["a", "b"]) != first

@@ -43,3 +43,16 @@ def test_message_type_precedence(spark):
     got = {(r["conv_id"], r["turn"]): r["message_type"] for r in tx.message_type(df).collect()}
     assert got == {(1, 0): "question", (1, 2): "constraint", (2, 0): "other", (3, 0): "goal", (4, 0): "vague",
                    (5, 0): "other"}
+
+
+def test_questions_without_an_answer_score_zero(spark):
+    from tallyframe.operators import text as tx
+    talk = spark.createDataFrame(
+        [(1, 0, "user", "how are sales?"), (1, 1, "assistant", "You earned \u00a3500 this week."), (1, 2, "user", "and now?"),
+         (2, 0, "user", "hello"), (2, 1, "assistant", "  "), (3, 0, "user", "x"), (3, 1, "user", "y"), (3, 2, "assistant", "z"),
+         (4, 0, "user", "u"), (4, 1, "assistant", None)], "conv_id int, turn int, role string, text string")
+    got = {(r["conv_id"], r["turn"]): (r["score"], r["server_error"]) for r in tx.question_scores(talk).collect()}
+    assert {k for k, v in got.items() if v == (0, True)} == {(1, 2), (2, 0), (3, 0), (4, 0)}
+    assert got[1, 0][0] > 0 and got[3, 1][0] > 0 and len(got) == 6
+    assert tx.evaluation_summary(tx.question_scores(talk)).first()["zero_scores"] == 4
+    assert tx.question_scores(talk.limit(0)).count() == 0
