@@ -67,7 +67,7 @@ def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return line_dedup.line_dedup(documents(spark, sf_dir))
+    return line_dedup.line_dedup(documents(spark, sf_dir), with_text=True)
 
 
 def op11_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -9,7 +9,7 @@ import re
 
 import pytest
 
-from tallyframe.llm import jaccard_join, line_dedup, suffix_dedup
+from tallyframe.llm import jaccard_join, line_dedup, queries, suffix_dedup
 
 DOCS = "doc_id long, text string, shard int, key string"
 
@@ -200,3 +200,13 @@ def test_line_dedup_equals_brute_force(spark):
     want = brute_lines(rows)
     assert sorted_rows(line_dedup.line_dedup(df, with_text=True)) == want
     assert sorted_rows(line_dedup.line_dedup(df)) == [r[:3] for r in want]
+
+
+def test_op10_gives_the_texts_that_are_left(spark, tmp_path):
+    rows = [(1, "one long line of words\n\nanother line here"), (2, "one long line of words\nthird"), (3, None), (4, ""),
+            (None, "third\n \nfourth")]
+    frame(spark, rows).write.parquet(f"{tmp_path}/documents.parquet")
+    got = queries.op10_line_dedup(spark, str(tmp_path)).select("doc_id", "n_lines", "n_removed", "kept")
+    assert sorted_rows(got) == brute_lines(rows)
+    assert {r.doc_id: r.kept for r in got.collect()} == {
+        1: "one long line of words\n\nanother line here", 2: "third", 3: None, 4: "", None: " \nfourth"}
