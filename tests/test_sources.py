@@ -5,6 +5,7 @@ from __future__ import annotations
 import json
 import os
 import tempfile
+from datetime import datetime
 from decimal import Decimal
 
 import pytest
@@ -302,6 +303,40 @@ def test_lines_without_partners_are_counted(spark, tmp_path):
     assert sum(rep[r] for r in clean.RULES) + rep["kept"] == n
 
 
+def _star(spark, path):
+    """Repeated lines, orders, customers and parts, some with other values; null keys; missing partners."""
+    tables = {
+        "lineitem": ("l_orderkey long, l_partkey long, l_quantity double, l_extendedprice double, l_returnflag string",
+                     [(1, 1, 2.0, 10.0, "N")] * 3 + [(1, 1, 2.0, 10.0, "R"), (1, 2, 0.0, 5.0, "N"), (2, 1, 1.0, 3.5, "N"),
+                      (2, 9, 1.0, 3.5, "N"), (9, 1, 1.0, 3.5, "A"), (None, 1, 1.0, 3.5, "N"), (None, 1, 1.0, 3.5, "N"),
+                      (3, None, 1.0, None, "N"), (4, 3, None, 2.0, None)]),
+        "orders": ("o_orderkey long, o_custkey long, o_orderdate timestamp_ntz",
+                   [(1, 7, datetime(2020, 1, 1))] * 2 + [(1, 8, datetime(2020, 1, 1)), (2, 7, None), (3, None, datetime(2020, 2, 1)),
+                    (4, 99, datetime(2020, 2, 1)), (None, 7, None)]),
+        "customer": ("c_custkey long, c_nationkey long", [(7, 0), (7, 0), (7, 1), (8, None), (None, 1)]),
+        "nation": ("n_nationkey long, n_name string", [(0, "A"), (1, "B"), (1, "B")]),
+        "part": ("p_partkey long, p_name string", [(1, "tea"), (1, "tea"), (1, "cup"), (2, None), (3, "pot")])}
+    for t, (schema, rows) in tables.items():
+        spark.createDataFrame(rows, schema).write.parquet(f"{path}/{t}.parquet")
+
+
+@pytest.mark.parametrize("limit", ["2000000", "1"])
+def test_copies_counted_before_the_joins(spark, tmp_path, limit):
+    """The same rows and copies as counting after them, and no text in a line's first shuffle."""
+    from tallyframe.sources.star import star_sales_distinct, star_sales_raw
+    _star(spark, tmp_path)
+    spark.conf.set("tallyframe.dim.broadcastRows", limit)
+    try:
+        got = clean.ruled(star_sales_distinct(spark, str(tmp_path)))
+        want = clean.audited(star_sales_raw(spark, str(tmp_path)))
+        assert got.schema.simpleString() == want.schema.simpleString()
+        assert sorted(map(str, got.collect())) == sorted(map(str, want.collect()))
+    finally:
+        spark.conf.unset("tallyframe.dim.broadcastRows")
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    assert not [x for x in plan.split("hashpartitioning(")[1:] if "description" in x.split("]")[0]]
+
+
 @pytest.mark.parametrize("scheme", ["", "file://"])
 def test_changed_tables_have_another_fingerprint(spark, tmp_path, scheme):
     """Also where only Spark can list them, as a path with a scheme stands for here."""
