@@ -303,6 +303,31 @@ def test_lines_without_partners_are_counted(spark, tmp_path):
     assert sum(rep[r] for r in clean.RULES) + rep["kept"] == n
 
 
+def test_layouts_are_tried_only_where_their_marks_fit(spark):
+    """Each text is read as by trying all layouts in turn."""
+    texts = ["2024-01-02 03:04:05", "2024-01-02 03:04", "2024-01-02T03:04:05", "2024-01-02 03:04:05.123456", "2024-01-02T03:04:05Z",
+             "2024-01-02T03:04:05+01:00", "2024-01-02", "31.12.2024 23:59", "1.2.2024", "01.02.2024", "1/2/2024 3:04", "13/2/2024 3:04",
+             "1/13/2024 3:04:05", "0001/0002/2024", "1/2/2024", "-1/2/2024", "1/2/2024 3", "1:2/3/2024", "//::", "", "x", None]
+    df = spark.createDataFrame([(t,) for t in texts], "t string")
+    formats = clean.DATE_FORMATS + clean.MONTH_FIRST + clean.DAY_FIRST
+    for some in (clean.DATE_FORMATS, clean.MONTH_FIRST, clean.DAY_FIRST, formats):
+        plain = F.coalesce(*[F.try_to_timestamp("t", F.lit(f)) for f in some])
+        assert df.filter(~clean._parsed(F.col("t"), some).eqNullSafe(plain)).collect() == []
+    tried = df.filter("t like '%/%'").select(clean._parsed(F.col("t"), clean.DATE_FORMATS))
+    assert tried._jdf.queryExecution().analyzed().toString().lower().count("when") >= len(clean.DATE_FORMATS)
+
+
+def test_upload_is_packed(spark, tmp_path):
+    from tallyframe.plans.q_ingest import _write_upload
+    from tallyframe.sources import catalog
+    sold = catalog.sales(spark, "/root/testdata/sf0.001")
+    _write_upload(sold, str(tmp_path))
+    for folder in ("bought", "returned"):
+        assert {f.name.rsplit(".", 1)[1] for f in (tmp_path / folder).glob("part-*")} == {"gz"}
+    n = sold.count() + 5 * sold.filter("quantity < 0").count()
+    assert csvsrc.read_sales_csv(spark, [f"{tmp_path}/bought", f"{tmp_path}/returned"], clean=False).count() == n
+
+
 def _star(spark, path):
     """Repeated lines, orders, customers and parts, some with other values; null keys; missing partners."""
     tables = {
