@@ -12,14 +12,17 @@ into blocks of items, and two blocks meet in a task of their own.
 
 from __future__ import annotations
 
+import math
+
 from pyspark import StorageLevel
 from pyspark.ml.fpm import FPGrowth
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tallyframe import schema as S
 from tallyframe.functions.cols import is_sale, rnd
 from tallyframe.functions.ordered import top_k
+from tallyframe.llm.store import keep
 from tallyframe.session import checkpoint_dir
 
 C = F.col
@@ -45,18 +48,35 @@ def least_count(min_support: float, n) -> F.Column:
 
 def frequent_itemsets(lines: DataFrame, min_support: float) -> tuple[DataFrame, object]:
     """(items sorted, freq) for every itemset with support ≥ min_support among all invoices,
-    and the number of invoices. Only frequent items are gathered by invoice."""
-    n = lines.agg(F.count_distinct(S.INVOICE)).scalar()
-    frequent = (lines.groupBy(S.DESCRIPTION).agg(F.count(F.lit(1)).alias("f"))
-                .filter(C("f") >= least_count(min_support, n)).select(S.DESCRIPTION, F.lit(True).alias("keep")))
-    marked = lines.join(frequent, S.DESCRIPTION, "left")
-    # Invoices without a frequent item stay, as empty ones: they count in the support.
-    b = marked.groupBy(S.INVOICE).agg(F.array_sort(F.collect_list(F.when(C("keep"), C(S.DESCRIPTION)))).alias("items"))
-    model = FPGrowth(itemsCol="items", minSupport=float(min_support), minConfidence=0.0).fit(b)
-    # freqItemsets is backed by the mined RDD; persist so that the reads in rule
-    # derivation do not mine again.
-    return (model.freqItemsets.select(F.array_sort("items").alias("items"), C("freq").cast("bigint").alias("freq"))
-            .persist(StorageLevel.MEMORY_AND_DISK)), n
+    and the number of invoices. Only frequent items are gathered by invoice, as numbers: their
+    count is at most an average invoice's items over the support.
+
+    An invoice with one frequent item adds to that item's count alone, which is known, so trees
+    are grown from the invoices with two or more, for the same least number of invoices."""
+    # Written, not cached: a cached table would keep as many partitions as its shuffle, and a tree
+    # is grown for each of them, so small ones share little.
+    lines = keep(lines, "lines")
+    n = lines.agg(F.count_distinct(S.INVOICE)).first()[0]
+    least = max(math.ceil(float(min_support) * n), 1)
+    ranked = F.row_number().over(Window.orderBy(C("f").desc(), S.DESCRIPTION))
+    frequent = (lines.groupBy(S.DESCRIPTION).agg(F.count(F.lit(1)).alias("f")).filter(C("f") >= least)
+                .select(S.DESCRIPTION, "f", ranked.alias("id")).persist(StorageLevel.MEMORY_AND_DISK))
+    b = keep(lines.join(frequent.select(S.DESCRIPTION, "id"), S.DESCRIPTION).groupBy(S.INVOICE)
+             .agg(F.collect_list("id").alias("items")).filter(F.size("items") >= 2).select("items"), "baskets")
+    several = b.count()
+    # The rounded-up product with their number is the least count again, or all of them.
+    share = min((least - 0.5) / max(several, 1), 1.0)
+    found = FPGrowth(itemsCol="items", minSupport=share, minConfidence=0.0).fit(b).freqItemsets
+    numbered = (found.filter((F.size("items") >= 2) & (C("freq") >= least))
+                .withColumn("set", F.monotonically_increasing_id()).select("set", "freq", F.explode("items").alias("id")))
+    named = (numbered.join(frequent.select("id", S.DESCRIPTION), "id").groupBy("set", "freq")
+             .agg(F.array_sort(F.collect_list(S.DESCRIPTION)).alias("items")))
+    # Backed by the mined RDD; persist so that the reads in rule derivation do not mine again.
+    fi = (frequent.select(F.array(S.DESCRIPTION).alias("items"), C("f").cast("bigint").alias("freq"))
+          .unionAll(named.select("items", C("freq").cast("bigint"))).persist(StorageLevel.MEMORY_AND_DISK))
+    fi.count()
+    frequent.unpersist()
+    return fi, F.lit(n)
 
 
 def rules_from_itemsets(fi: DataFrame, n, min_confidence: float) -> DataFrame:

@@ -58,3 +58,31 @@ def test_a_large_invoice_spreads(spark):
     assert basket.frequent_pairs(lines, F.lit(1), block=250).count() == 4000 * 3999 // 2
     plan = basket.frequent_pairs(lines, F.lit(1), block=250)._jdf.queryExecution().optimizedPlan().toString()
     assert "collect_list" not in plan
+
+
+def test_itemsets_are_mined_from_invoices_of_several_frequent_items(spark, monkeypatch):
+    """As numbers; invoices of one frequent product or none count in the support all the same."""
+    rng = np.random.default_rng(3)
+    invoices = [sorted({f"p{int(p)}" for p in rng.integers(0, 9, rng.integers(1, 6))}) for _ in range(80)]
+    invoices += [[f"rare{i}", f"odd{i}"] for i in range(20)] + [[f"rare{i}", "p1"] for i in range(15)]
+    lines = spark.createDataFrame([(f"i{k}", p) for k, ps in enumerate(invoices) for p in ps], "invoice string, description string")
+    seen = []
+
+    class Seen(basket.FPGrowth):
+        def fit(self, data):
+            seen.append((data.dtypes, sorted(len(r["items"]) for r in data.collect())))
+            return super().fit(data)
+
+    monkeypatch.setattr(basket, "FPGrowth", Seen)
+    for support in (0.02, 0.05, 0.2, 1.0):
+        least = -int(-support * len(invoices) // 1)
+        want = Counter(c for ps in invoices for k in range(1, len(ps) + 1) for c in combinations(ps, k))
+        want = {k: v for k, v in want.items() if v >= least}
+        fi, n = basket.frequent_itemsets(lines, support)
+        rows = fi.withColumn("n", n).collect()
+        assert {tuple(r["items"]): r["freq"] for r in rows} == want and len(rows) == len(want)
+        assert {r["n"] for r in rows} <= {len(invoices)}
+        single = {k[0] for k in want if len(k) == 1}
+        several = [len(single & set(ps)) for ps in invoices]
+        assert seen.pop() == ([("items", "array<int>")], sorted(x for x in several if x >= 2))
+    assert basket.frequent_itemsets(lines.limit(0), 0.1)[0].collect() == []
