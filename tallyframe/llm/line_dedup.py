@@ -27,6 +27,7 @@ from tallyframe.llm.text import LOWER, SPACE, U, SpanHash, mix, pieces, spans
 SHINGLE = 8
 BANDS, ROWS = 10, 4
 PERCENT = 80
+WHITE = bytes(np.flatnonzero(SPACE).tolist()).decode()
 
 
 def lines(p):
@@ -143,6 +144,7 @@ def band_keys(rows: DataFrame) -> DataFrame:
 
 
 def line_texts(rows: DataFrame) -> DataFrame:
+    """(node, text) of the lines, once for each batch that has the line."""
     def give(p, start, end, node):
         ends = np.cumsum(end - start)
         take = np.arange(ends[-1]) - np.repeat(ends - (end - start), end - start) + np.repeat(start, end - start)
@@ -150,7 +152,7 @@ def line_texts(rows: DataFrame) -> DataFrame:
                                                               pa.py_buffer(np.ascontiguousarray(p.buf[take]))])
         return pa.RecordBatch.from_arrays([pa.array(node), text], ["node", "text"])
 
-    return _distinct(rows, "node long, text string", give).groupBy("node").agg(F.first("text").alias("text"))
+    return _distinct(rows, "node long, text string", give)
 
 
 def line_dedup(docs: DataFrame, with_text: bool = False) -> DataFrame:
@@ -164,7 +166,7 @@ def line_dedup(docs: DataFrame, with_text: bool = False) -> DataFrame:
     table = keep(line_table(rows), "lines")
     place = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "rid", "line_no")
     first = table.groupBy("node").agg(F.min(place).alias("first"))
-    found = linked_components(band_keys(rows), line_texts(rows), LineJoin())
+    found = linked_components(band_keys(rows), line_texts(rows), LineJoin(), copies=True)
     kept = (first.join(found, "node", "left").groupBy(F.coalesce("component", "node").alias("label"))
             .agg(F.min("first").alias("first")).select("first.rid", "first.line_no"))
     if not with_text:
@@ -181,7 +183,7 @@ def line_dedup(docs: DataFrame, with_text: bool = False) -> DataFrame:
             for text, stay in zip(b.column("text").to_pylist(), b.column("stay").to_pylist()):
                 stay = set(stay or ())
                 parts = (text or "").split("\n")
-                has = [any(not SPACE[c] for c in x.encode()) for x in parts]
+                has = [bool(x.strip(WHITE)) for x in parts]
                 out.append(None if text is None else "\n".join(x for i, x in enumerate(parts) if not has[i] or i in stay))
                 n.append(sum(has))
                 gone.append(sum(has) - len(stay))

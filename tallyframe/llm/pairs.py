@@ -96,10 +96,11 @@ def _common(x: np.ndarray, y: np.ndarray) -> int:
     return int(np.count_nonzero(y[at] == x))
 
 
-def linked_components(keyed: DataFrame, texts: DataFrame, sim: SetJoin) -> DataFrame:
+def linked_components(keyed: DataFrame, texts: DataFrame, sim: SetJoin, copies: bool = False) -> DataFrame:
     """(node, component) of all nodes with links, from rows (key, node, slack): linked texts
     share a key. Of its keys of one slack, a node may forget the ``slack // 2`` most frequent
-    (linked nodes share more than that). Nodes without a link are not in the result."""
+    (linked nodes share more than that). Nodes without a link are not in the result. With ``copies``
+    all texts of a node are the same, and one is taken, of the candidates only."""
     group = W.partitionBy("key")
     shared = keep(keyed.withColumn("n", F.count("*").over(group)).withColumn("low", F.min("node").over(group))
                   .withColumn("high", F.max("node").over(group)).filter("low < high")
@@ -111,7 +112,8 @@ def linked_components(keyed: DataFrame, texts: DataFrame, sim: SetJoin) -> DataF
                    .filter("pivot < last and node != pivot").select("key", "node", "pivot").distinct(), "stars")
     # The texts of candidates, by far not all, are set apart once for all comparisons.
     wanted = starred.select("node").unionAll(starred.select(F.col("pivot").alias("node"))).distinct()
-    texts = keep(texts.join(wanted.hint("merge"), "node"), "texts")
+    texts = texts.join(wanted.hint("merge"), "node")
+    texts = keep(texts.groupBy("node").agg(F.first("text").alias("text")) if copies else texts, "texts")
     first = keep(compared(texts, starred.select(F.col("pivot").alias("a"), F.col("node").alias("b")), sim), "compared")
     found = keep(components(first.filter("linked").select("a", "b")), "components")
 

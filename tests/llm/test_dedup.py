@@ -210,3 +210,24 @@ def test_op10_gives_the_texts_that_are_left(spark, tmp_path):
     assert sorted_rows(got) == brute_lines(rows)
     assert {r.doc_id: r.kept for r in got.collect()} == {
         1: "one long line of words\n\nanother line here", 2: "third", 3: None, 4: "", None: " \nfourth"}
+
+
+def test_line_texts_are_made_one_for_candidates_only(spark, monkeypatch):
+    """No aggregate over the texts of all lines; a line of many batches is one text all the same."""
+    from tallyframe.llm import pairs
+    line, kept, keep = "a line that many documents have word for word", [], pairs.keep
+    rows = [(i, f"{line}{'!' * (i % 2)}\nown {i} {hashlib.sha256(str(i).encode()).hexdigest()}") for i in range(40)]
+
+    def seen(df, name):
+        out = keep(df, name)
+        if name == "texts":
+            kept.extend(r.text for r in out.collect())
+        return out
+
+    monkeypatch.setattr(pairs, "keep", seen)
+    df = frame(spark, rows).repartition(8)
+    assert "Aggregate" not in line_dedup.line_texts(df)._jdf.queryExecution().optimizedPlan().toString()
+    assert sorted_rows(line_dedup.line_dedup(df, with_text=True)) == brute_lines(rows)
+    assert sorted(kept) == [line, line + "!"]
+    odd = [(1, "\u00a0\n\x1f\n \t\x0b\x0c\r\n\u2003x"), (2, "\x85\n\x1c \n")]
+    assert sorted_rows(line_dedup.line_dedup(frame(spark, odd), with_text=True)) == brute_lines(odd)
