@@ -1,25 +1,30 @@
 """Quality rules with n-gram perplexity bands.
 
-Every text gets counts (words, symbols, repeated lines and passages) and the mean bits per
-byte that a modified Kneser-Ney model of its language needs for it. The model is over byte
-classes (64 of them, ``CLASSES``) and ``ORDER`` of them make a gram, so one language's
-model has ``64 ** ORDER`` grams at most, whatever the corpus: that is the proven bound on
-what is broadcast. Word grams have no such bound (on this kind of text most are unique), and
-would make a model as large as the corpus.
-
-Counting runs over all texts: each task counts its grams, Spark adds the counts. The grams of
+Every text gets counts (words, symbols, repeated lines and passages) and its perplexity by a
+modified Kneser-Ney model of the word pairs of its language (``word_model``), which is counted
+over all texts and grows with them. ``pair_bits`` is the mean cost of a word after the one before
+it, a text's own pairs left out of the counts. ``order_bits`` is how many bits less that is than the cost
+of the words by themselves: in a text whose words are in order, the word before tells something
+of the next one; in shuffled words it misleads.
+
+Marks and broken words need a closer look, so two more figures are over bytes. ``bits`` is the mean
+cost of a byte by a Kneser-Ney model over byte classes (64 of them, ``CLASSES``), of which ``ORDER``
+make a gram. One language's model has ``64 ** ORDER`` grams at most, whatever the corpus: that
+bounds what is broadcast. Each task counts its grams, Spark adds the counts. The grams of
 a language are kept as sorted arrays of gram codes with one log-probability each, and tasks
 look a gram up by its rank among those of its context (``Costs``). Languages are scored in blocks of at most
 ``BLOCK`` grams, so many languages cost more passes, not more memory.
-
-Texts full of marks hide in that mean: what is rare in good texts costs more there, what a mark
-repeats costs less. So a second figure, ``byte_bits``, is the mean cost of a word's bytes each by
+What is rare in good texts costs more there, what a mark
+repeats costs less. So ``byte_bits`` is the mean cost of a word's bytes each by
 itself, every byte value with a code of its own. The ``TRIM`` most costly of a document's words
 are left out of it: a number, an address or a quoted name does not make a text junk.
 
-The band of a language reaches from ``LOW`` below to ``HIGH`` above its median of bits per
-byte (``BYTES`` below and above for ``byte_bits``), in robust deviations, both from exact counts over all its documents that pass the base rules; documents
-outside either band, on either side, are rejected. Null languages are a language of their own.
+The limits come from exact counts over all documents of a language that pass the base rules.
+``bits`` and ``byte_bits`` have bands about their medians, in robust deviations (``LOW``, ``HIGH``,
+``BYTES``). ``pair_bits`` may lie ``PAIRS`` distances to the upper quartile above its median; there is no
+lower limit, as copies cost little. ``order_bits`` must not be below 0, or, where that is lower (a
+language of few texts knows few pairs), ``ORDERS`` distances to the lower quartile below its median.
+Null languages are a language of their own.
 """
 
 from __future__ import annotations
@@ -31,9 +36,11 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tallyframe.llm.store import keep
+from tallyframe.llm import word_model
+from tallyframe.llm.store import fresh, keep
 from tallyframe.llm.text import SPACE, SpanHash, U, per_doc, pieces, shingles, spans, sums_between, words
 
+STEP = 1 << 19       # bytes of texts whose working arrays a task holds at a time
 ORDER = 4
 BITS = 6
 BLOCK = 24_000_000
@@ -43,6 +50,8 @@ LOW = 6.0            # below the median, in robust deviations
 HIGH = 10.0          # above it: texts with foreign words or names are still good texts
 BYTES = 5.0          # on either side of the median of byte_bits
 TRIM = 0.1
+PAIRS = 6.0          # above the median of pair_bits, in distances from it to the upper quartile
+ORDERS = 2.5         # below the median of order_bits, in distances from it to the lower quartile
 
 
 def _classes() -> np.ndarray:
@@ -106,12 +115,12 @@ def gram_counts(docs: DataFrame, order: int = ORDER) -> DataFrame:
         held: dict = {}
         size = 0
         for b in batches:
-            for p in pieces(b.column("text")):
+            for p in pieces(b.column("text"), STEP):
                 code = grams(p, order)
-                langs = np.array(b.column("lang").slice(p.lo, p.n).to_pylist(), object)
-                which = np.repeat(langs, np.diff(p.offs))
-                for lang in set(langs):
-                    got = np.unique(code[which == lang], return_counts=True)
+                langs, which = np.unique(np.array(b.column("lang").slice(p.lo, p.n).to_pylist(), object).astype(str), return_inverse=True)
+                which = np.repeat(which, np.diff(p.offs))
+                for i, lang in enumerate(map(str, langs)):
+                    got = np.unique(code[which == i], return_counts=True)
                     size += len(got[0])
                     held.setdefault(lang, []).append(got)
                 if size > 2_000_000:
@@ -132,7 +141,7 @@ def byte_counts(docs: DataFrame) -> DataFrame:
         for b in batches:
             langs = np.array(b.column("lang").to_pylist(), object)
             held: dict = {}
-            for p in pieces(b.column("text")):
+            for p in pieces(b.column("text"), STEP):
                 own = langs[p.lo:p.hi]
                 for lang in set(own):
                     got = np.bincount(p.buf[np.repeat(own == lang, np.diff(p.offs))], minlength=256)
@@ -169,12 +178,7 @@ def word_bits(p, cost: np.ndarray) -> np.ndarray:
 def _discounts(n: np.ndarray) -> np.ndarray:
     """Modified Kneser-Ney discounts for counts 0, 1, 2 and 3 or more. Where a corpus lacks
     the counts they are made from, 0.5 (never all of a count)."""
-    n1, n2, n3, n4 = (int((n == k).sum()) for k in (1, 2, 3, 4))
-    if not (n1 and n2 and n3 and n4):
-        return np.array([0, 0.5, 0.5, 0.5])
-    y = n1 / (n1 + 2 * n2)
-    d = np.array([0, 1 - 2 * y * n2 / n1, 2 - 3 * y * n3 / n2, 3 - 4 * y * n4 / n3])
-    return np.clip(d, np.array([0, 0.05, 0.05, 0.05]), np.array([0, 0.95, 1.9, 2.85]))
+    return word_model.discounts(*(int((n == k).sum()) for k in (1, 2, 3, 4)))
 
 
 def kneser_ney(code: np.ndarray, n: np.ndarray, order: int = ORDER) -> list[tuple]:
@@ -300,21 +304,22 @@ def base_counts(p) -> dict[str, np.ndarray]:
 
 
 def annotate(docs: DataFrame, models: dict, prefix: str = "", lang: str = "lang", text: str = "text") -> DataFrame:
-    """``docs`` plus the columns of ``METRICS`` (named with ``prefix``), for the rows whose
+    """``docs`` without the text, plus the columns of ``METRICS`` (named with ``prefix``), for the rows whose
     language is in ``models`` (language -> arrays of ``kneser_ney`` and ``byte_costs``). ``bits``
     is the mean cost of a byte, to six places; null for an empty text. ``byte_bits`` is that of
     ``word_bits``; null for a text without words."""
     shared = docs.sparkSession.sparkContext.broadcast(models)
     made = [prefix + name for name, _ in METRICS]
     docs = docs.drop(*made)
-    schema = T.StructType(docs.schema.fields + [T.StructField(prefix + n, t) for n, t in METRICS])
-    names = docs.columns + made
+    schema = T.StructType([f for f in docs.schema.fields if f.name != text] + [T.StructField(prefix + n, t) for n, t in METRICS])
+    stay = [c for c in docs.columns if c != text]
+    names = stay + made
 
     def run(batches):
         costs: dict = {}
         for b in batches:
             langs_all = ["" if x is None else "=" + x for x in b.column(lang).to_pylist()]
-            for p in pieces(b.column(text)):
+            for p in pieces(b.column(text), STEP):
                 out = base_counts(p)
                 code = grams(p)
                 total = np.zeros(p.n)
@@ -337,10 +342,9 @@ def annotate(docs: DataFrame, models: dict, prefix: str = "", lang: str = "lang"
                 each = np.round(word_bits(p, single), 6)
                 cut = b.slice(p.lo, p.n)
                 yield pa.RecordBatch.from_arrays(
-                    [cut.column(c) for c in docs_columns] + [pa.array(out[n]) for n, _ in METRICS[:-2]]
+                    [cut.column(c) for c in stay] + [pa.array(out[n]) for n, _ in METRICS[:-2]]
                     + [bits, pa.array(each, mask=np.isnan(each))], names)
 
-    docs_columns = docs.columns
     return docs.filter(_key(lang).isin(*models)).mapInArrow(run, schema)
 
 
@@ -374,17 +378,37 @@ def fit(docs: DataFrame) -> list[dict]:
 
 
 def bands(scored: DataFrame, prefix: str = "") -> DataFrame:
-    """(lang, low, high, byte_low, byte_high) from the figures of all documents that pass the base
-    rules."""
+    """(lang, low, high, byte_low, byte_high, pair_high, order_low) from the figures of all documents that
+    pass the base rules."""
     good = scored.filter(~F.col(prefix + "base_failed") & F.col(prefix + "bits").isNotNull())
+
+    def spread(a: str, b: str):
+        return F.greatest(F.lit(LEAST), BIN * (F.col(b) - F.col(a)))
+
+    pair = _quartiles(good, prefix + "pair_bits").select("_lang", (BIN * F.col("q2") + PAIRS * spread("q2", "q3")).alias("pair_high"))
+    order = _quartiles(good, prefix + "order_bits").select(
+        "_lang", F.least(F.lit(0.0), BIN * F.col("q2") - ORDERS * spread("q1", "q2")).alias("order_low"))
     return (_band(good, prefix + "bits", LOW, HIGH, "low", "high")
-            .join(_band(good, prefix + "byte_bits", BYTES, BYTES, "byte_low", "byte_high"), "_lang"))
+            .join(_band(good, prefix + "byte_bits", BYTES, BYTES, "byte_low", "byte_high"), "_lang")
+            .join(pair, "_lang").join(order, "_lang"))
+
+
+def _bins(good: DataFrame, figure: str) -> DataFrame:
+    return good.groupBy(_key("lang").alias("_lang"), F.round(F.col(figure) / BIN).cast("long").alias("bin")).count()
+
+
+def _quartiles(good: DataFrame, figure: str) -> DataFrame:
+    """(lang, q1, q2, q3): the bins of the quartiles of one figure, by exact counts."""
+    counted = (_bins(good, figure).withColumn("_upto", F.sum("count").over(W.partitionBy("_lang").orderBy("bin")))
+               .withColumn("_all", F.sum("count").over(W.partitionBy("_lang"))))
+    return counted.groupBy("_lang").agg(*[F.min(F.when(F.col("_upto") * 4 >= F.col("_all") * i, F.col("bin"))).alias(f"q{i}")
+                                          for i in (1, 2, 3)])
 
 
 def _band(good: DataFrame, figure: str, below: float, above: float, low: str, high: str) -> DataFrame:
     """(lang, low, high) of one figure, each counted in a bin of ``BIN`` bits: median and
     median absolute deviation by exact counts."""
-    bins = good.groupBy(_key("lang").alias("_lang"), F.round(F.col(figure) / BIN).cast("long").alias("bin")).count()
+    bins = _bins(good, figure)
 
     def median(df: DataFrame, value: str) -> DataFrame:
         w = W.partitionBy("_lang").orderBy(value)
@@ -402,12 +426,13 @@ def _band(good: DataFrame, figure: str, below: float, above: float, low: str, hi
 
 
 def judge(scored: DataFrame, limits: DataFrame, prefix: str = "") -> DataFrame:
-    """``scored`` plus ``<prefix>kept``: base rules passed and both figures inside their bands.
+    """``scored`` plus ``<prefix>kept``: base rules passed and all figures inside their bands.
     No other column of ``scored`` may be called like a limit with the prefix and ``_of_``."""
     own = {c: f"{prefix}_of_{c}" for c in limits.columns}
     limits = limits.withColumnsRenamed(own)
     inside = (F.col(prefix + "bits").between(F.col(own["low"]), F.col(own["high"]))
-              & F.col(prefix + "byte_bits").between(F.col(own["byte_low"]), F.col(own["byte_high"])))
+              & F.col(prefix + "byte_bits").between(F.col(own["byte_low"]), F.col(own["byte_high"]))
+              & (F.col(prefix + "pair_bits") <= F.col(own["pair_high"])) & (F.col(prefix + "order_bits") >= F.col(own["order_low"])))
     return (scored.join(limits, _key("lang") == F.col(own["_lang"]), "left")
             .withColumn(prefix + "kept", ~F.col(prefix + "base_failed") & F.coalesce(inside, F.lit(False)))
             .drop(*own.values()))
@@ -420,29 +445,45 @@ def union(parts: list[DataFrame]) -> DataFrame:
     return out
 
 
+def _scored(docs: DataFrame) -> DataFrame:
+    """(lang, text) and further columns of ``docs``, its name (one, two) by language and text: without the text, with
+    the columns of ``METRICS``, ``pair_bits``, the mean bits a word of the model of word pairs, and
+    ``order_bits``, how many less these are than without the word before; to four places, null
+    for a text without words."""
+    blocks = fit(docs) or [{"": (kneser_ney(np.zeros(1, np.int64), np.ones(1, np.int64)), byte_costs(np.zeros(256, np.int64)))}]
+    scored = keep(union([annotate(docs, m) for m in blocks]), "quality")
+    slim = docs.select(_key("lang").alias("lang"), "text", "one", "two")
+    found = keep(word_model.score(slim, word_model.fit(slim)), "pairs")
+    found = found.select(F.col("one").alias("_one"), F.col("two").alias("_two"), "pair", "single")
+    on = (F.col("one") == F.col("_one")) & (F.col("two") == F.col("_two"))
+    words = F.when(F.col("n_words") > 0, F.col("n_words"))
+    return keep(scored.join(found, on, "left").withColumns({
+        "pair_bits": F.round(F.col("pair") / words, 4), "order_bits": F.round((F.col("single") - F.col("pair")) / words, 4)})
+        .drop("_one", "_two", "pair", "single"), "scored")
+
+
+def _named(docs: DataFrame, one: str = "one", two: str = "two") -> DataFrame:
+    """``docs`` with a name of 128 bits by language and text, in two columns. Rows with the same have the same figures."""
+    text = F.col("text").cast("string")
+    return docs.withColumns({one: F.xxhash64(_key("lang"), text), two: F.xxhash64(F.lit(1), text, _key("lang"))})
+
+
 def quality(docs: DataFrame) -> DataFrame:
-    """One row per document of (doc_id, lang, text): doc_id, lang, the columns of ``METRICS``
-    and ``kept``. Null and empty texts have no words and fail the base rules. Further columns
-    of ``docs`` are ignored; an empty table gives an empty result."""
+    """One row per document of (doc_id, lang, text): doc_id, lang, the columns of ``METRICS``,
+    ``pair_bits``, ``order_bits``, ``perplexity`` (2 to the power of ``pair_bits``) and ``kept``. Null and empty
+    texts have no words and fail the base rules. Further columns of ``docs`` are ignored; an empty table gives an empty result."""
     docs = docs.select("doc_id", F.col("lang").cast("string").alias("lang"), F.col("text").cast("string").alias("text"))
-    blocks = fit(docs) or [{"": (kneser_ney(np.zeros(1, np.int64), np.ones(1, np.int64)), byte_costs(np.zeros(256, np.int64)))}]
-    scored = keep(union([annotate(docs, m) for m in blocks]).drop("text"), "quality")
+    scored = _scored(_named(docs)).drop("one", "two").withColumn("perplexity", F.pow(F.lit(2.0), "pair_bits"))
     return judge(scored, bands(scored))
 
 
 def filtered(docs: DataFrame) -> DataFrame:
-    """The rows of ``docs`` (any columns besides lang and text) that ``quality`` keeps. Texts
-    are scored once for the bands and once more to filter, so no text is shuffled. Null, empty
+    """The rows of ``docs`` (any columns besides lang and text) that ``quality`` keeps. Null, empty
     and wordless texts fail the base rules, very long ones are scored whole, repeated rows are
     judged alike, ties with a limit are inside it, and an empty table gives an empty result."""
-    base = docs.select(F.col("lang").cast("string").alias("lang"), F.col("text").cast("string").alias("text"))
-    blocks = fit(base)
-    if not blocks:
-        return docs
-    slim = keep(union([annotate(base, m) for m in blocks]).select("lang", "bits", "byte_bits", "base_failed"), "bits")
-    limits = F.broadcast(bands(slim))  # one row a language
-    prefix = "_q_"
-    while any(c.lower().startswith(prefix) for c in docs.columns):
-        prefix = "_" + prefix
-    out = union([annotate(docs, m, prefix) for m in blocks])
-    return judge(out, limits, prefix).filter(prefix + "kept").select(*[F.col(f"`{c}`") for c in docs.columns])
+    slim = _named(docs.select(F.col("lang").cast("string").alias("lang"), F.col("text").cast("string").alias("text")))
+    scored = _scored(slim)
+    good = judge(scored, F.broadcast(bands(scored))).filter("kept").select("one", "two").distinct()  # one row a language is sent
+    one, two = fresh(["one", "two"], docs.columns)
+    return (_named(docs, one, two).join(good.withColumnsRenamed({"one": one, "two": two}).hint("merge"), [one, two], "left_semi")
+            .select(*[F.col(f"`{c}`") for c in docs.columns]))

@@ -11,7 +11,7 @@ import numpy as np
 import pyarrow as pa
 import pytest
 
-from tallyframe.llm import decontaminate, langid, quality, queries, token_counts, toxicity
+from tallyframe.llm import decontaminate, langid, quality, queries, token_counts, toxicity, word_model
 from tallyframe.llm.text import SpanHash, pieces
 
 SF = "/root/testdata/sf0.01"
@@ -118,6 +118,75 @@ def test_quality_blocks_of_languages(spark, monkeypatch):
     assert kept == {r[0] for r in want if r[-1]}
 
 
+def _prose(rng, n, vocabulary=400, follow=3):
+    """Texts of a made-up language: each word is followed by one of ``follow`` others."""
+    words = ["".join(rng.choice("abcdefghijklmnop") for _ in range(rng.randint(2, 9))) for _ in range(vocabulary)]
+    after = {w: [rng.choice(words) for _ in range(follow)] for w in words}
+    out = []
+    for _ in range(n):
+        text = [rng.choice(words)]
+        while len(text) < 120:
+            text.append(rng.choice(after[text[-1]]) if rng.random() < .8 else rng.choice(words))
+        out.append(text)
+    return out
+
+
+def test_quality_rejects_shuffled_words(spark):
+    """The model sees the order of words, in each language, though the shuffled texts are counted too."""
+    rng = random.Random(11)
+    rows, shuffled = [], set()
+    for lang in ("en", None):
+        for text in _prose(rng, 150):
+            rows.append((len(rows), lang, " ".join(text)))
+            if len(rows) % 15 == 0:
+                shuffled.add(len(rows))
+                rows.append((len(rows), lang, " ".join(rng.sample(text, len(text)))))
+    df = spark.createDataFrame(rows, "doc_id long, lang string, text string")
+    got = {r.doc_id: r for r in quality.quality(df).collect()}
+    for lang in ("en", None):
+        ids = [i for i, own, _ in rows if own == lang]
+        assert [i for i in ids if i in shuffled and got[i].kept] == []
+        assert np.mean([got[i].kept for i in ids if i not in shuffled]) > 0.9
+    assert all(r.perplexity == pytest.approx(2 ** r.pair_bits) for r in got.values())
+    assert {r.doc_id for r in quality.filtered(df).collect()} == {i for i, r in got.items() if r.kept}
+
+
+def test_word_pairs_equal_plain_kneser_ney(spark, monkeypatch):
+    """Sums of the dealt arrays against the recursion over all pairs, a text's own ones left out; null and
+    wordless texts, repeated rows, several languages and batches."""
+    monkeypatch.setattr(word_model, "DOCS", 16)
+    rng = random.Random(12)
+    texts = [(lang, " ".join(rng.choice("ab cd ef gh ij kl mn op qr é".split()) for _ in range(rng.randint(1, 40))))
+             for lang in ("en", "de", "") for _ in range(25)]
+    texts += [("en", None), ("en", " \n"), ("de", ""), texts[0], texts[0], ("en", texts[30][1])]
+    df = spark.createDataFrame([(a, t, i if i < 78 else 0, 7) for i, (a, t) in enumerate(texts[:80])] + [("en", texts[80][1], 99, 7)],
+                               "lang string, text string, one long, two long").repartition(3)
+    got = {r.one: r for r in word_model.score(df, word_model.fit(df)).collect()}
+    for lang in ("en", "de", ""):
+        docs = [["<s>", *words_of(t)] for a, t in texts if a == lang]
+        n = Counter(x for d in docs for x in zip(d, d[1:]))
+        before = Counter(w for _, w in n)
+        d2, d1 = (word_model.discounts(*(list(c.values()).count(k) for k in (1, 2, 3, 4))) for c in (n, before))
+        for i, (a, t) in enumerate(texts):
+            if a != lang or not words_of(t):
+                continue
+            w = ["<s>", *words_of(t)]
+            own, pair, single = Counter(zip(w, w[1:])), 0, 0
+            for (v, x), k in own.items():
+                follow = {y: c for (u, y), c in n.items() if u == v}
+                total = sum(follow.values())
+                back = sum(d2[min(c, 3)] for c in follow.values()) / total
+                lower = ((before[x] - d1[min(before[x], 3)]) / len(n)
+                         + sum(d1[min(c, 3)] for c in before.values()) / len(n) / len(before))
+                c = n[v, x] - k
+                pair -= k * np.log2(min((c - d2[min(c, 3)]) / max(total - k, 1) + back * lower, 1))
+                single -= k * np.log2(lower)
+            r = got[i if i < 78 else 0 if i < 80 else 99]
+            assert (r.pair, r.single) == pytest.approx((pair, single), rel=1e-3)
+    assert all(got[i].pair == got[i].single == 0 for i in {75, 76, 77} & set(got))
+    assert word_model.score(df.limit(0), word_model.fit(df.limit(0))).collect() == []
+
+
 def test_language_id_held_out(spark):
     rows = queries.op1_language_id(spark, SF).join(
         spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "lang"), "doc_id").collect()
