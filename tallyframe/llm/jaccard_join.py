@@ -42,7 +42,6 @@ class Similarity:
 
     words: int = 5
     percent: int = 80
-    sketch_bits: int = 6
 
     def bands(self, most: int) -> np.ndarray:
         """Lower ends of the bands up to size ``most``, and one more."""

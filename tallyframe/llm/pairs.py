@@ -2,14 +2,12 @@
 
 Members of a key's group are first compared with one of them, its pivot: a group of near
 copies, however large, takes one comparison a member, and the links join it to one component.
-What such stars may miss are links between members of different components. Up to ``TURNS``
-further pivots, drawn anew in each group, are compared with the members of other components,
-while that still joins many: of a large group whose copies lie near the limit, each turn joins
-a good part. The pairs of different components that are left then are all compared, except
-where the first figures rule a link out: by size; by distance to the common pivot (Jaccard
-distance is a metric); or by a sketch, the counts of a set's hashes in 2 ** ``sketch_bits`` buckets,
-whose differences add up to no more than the sets'. So every two linked texts end in one
-component, without all pairs of a group.
+What such stars may miss are links between members of different components. The groups that
+still have several components are dealt out as blocks of members, and the task of two blocks
+(mostly of one and the same) compares each member with all that are of another component and of
+a size that allows a link, at once by the numbers of their common hashes. A link makes two components one,
+which are not compared any more. A text is sent once for each block that its own one meets, not once a
+pair. So every two linked texts end in one component.
 """
 
 from __future__ import annotations
@@ -27,24 +25,21 @@ from tallyframe.llm.store import keep, tasks
 from tallyframe.llm.text import U, pieces
 
 BUCKET = 256  # members compared with one copy of a pivot's text
-TURNS = 6     # further pivots of a group, while they join a tenth of those they are compared with
-FIRSTS = 16   # keys by which a pair that meets under many is told to be met already
+BLOCK = 1 << 18   # hashes of a block of a group's members
 
 
 class SetJoin(Protocol):
     """What is joined: texts are linked at ``percent`` of their sets' union in common."""
 
     percent: int
-    sketch_bits: int
 
     def sets(self, piece) -> tuple[np.ndarray, np.ndarray]:
         """Distinct (hash, document) of a piece of texts, sorted by document, then hash."""
 
 
 def compared(texts: DataFrame, pairs: DataFrame, sim: SetJoin) -> DataFrame:
-    """The pairs (a, b) of nodes with linked, common (hashes of both), m and n (sizes of the
-    sets of a and b) and the sketch of b. ``texts``: (node, text). Each text is sent once for each pair it is a member of, and
-    once for each ``BUCKET`` members as a pivot, so a pivot of many is met by many tasks. Of
+    """The pairs (a, b) of nodes with linked and n (size of the set of b). ``texts``: (node, text).
+    Each text is sent once for each pair it is a member of, and once for each ``BUCKET`` members as a pivot, so a pivot of many is met by many tasks. Of
     rows that share an id, the most similar pivot row counts."""
     pairs = pairs.select("a", "b").distinct()
     load = pairs.groupBy("a").agg(F.ceil(F.count("*") / BUCKET).alias("salts"))
@@ -57,7 +52,7 @@ def compared(texts: DataFrame, pairs: DataFrame, sim: SetJoin) -> DataFrame:
             .sortWithinPartitions("a", "salt", "role"))
 
     def run(batches):
-        key, pivots, top = None, [], U(64 - sim.sketch_bits)
+        key, pivots = None, []
         for batch in batches:
             a, salt, role, node = (batch.column(c).to_numpy() for c in ("a", "salt", "role", "node"))
             got: list[tuple] = []
@@ -74,16 +69,15 @@ def compared(texts: DataFrame, pairs: DataFrame, sim: SetJoin) -> DataFrame:
                         continue
                     common, m = max(((_common(pivot, own), len(pivot)) for pivot in pivots), default=(0, 0),
                                     key=lambda x: x[0] / max(x[1] + len(own) - x[0], 1))
-                    sketch = np.minimum(np.bincount((own >> top).astype(np.int64), minlength=1 << sim.sketch_bits), 127)
                     linked = common > 0 and 100 * common >= sim.percent * (m + len(own) - common)
-                    got.append((a[at], node[at], linked, common, m, len(own), sketch.astype(np.int8)))
-            columns = zip(*got) if got else [[]] * 7
+                    got.append((a[at], node[at], linked, len(own)))
+            columns = zip(*got) if got else [[]] * 4
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types)], names)
 
-    names = ["a", "b", "linked", "common", "m", "n", "sketch"]
-    types = [pa.int64(), pa.int64(), pa.bool_(), pa.int64(), pa.int64(), pa.int64(), pa.list_(pa.int8())]
+    names = ["a", "b", "linked", "n"]
+    types = [pa.int64(), pa.int64(), pa.bool_(), pa.int64()]
     return sent.select("a", "salt", "role", "node", "text").mapInArrow(
-        run, "a long, b long, linked boolean, common long, m long, n long, sketch array<tinyint>")
+        run, "a long, b long, linked boolean, n long")
 
 
 def _common(x: np.ndarray, y: np.ndarray) -> int:
@@ -96,11 +90,10 @@ def _common(x: np.ndarray, y: np.ndarray) -> int:
     return int(np.count_nonzero(y[at] == x))
 
 
-def linked_components(keyed: DataFrame, texts: DataFrame, sim: SetJoin, copies: bool = False) -> DataFrame:
+def linked_components(keyed: DataFrame, texts: DataFrame, sim: SetJoin) -> DataFrame:
     """(node, component) of all nodes with links, from rows (key, node, slack): linked texts
     share a key. Of its keys of one slack, a node may forget the ``slack // 2`` most frequent
-    (linked nodes share more than that). Nodes without a link are not in the result. With ``copies``
-    all texts of a node are the same, and one is taken, of the candidates only."""
+    (linked nodes share more than that). Nodes without a link are not in the result."""
     group = W.partitionBy("key")
     shared = keep(keyed.withColumn("n", F.count("*").over(group)).withColumn("low", F.min("node").over(group))
                   .withColumn("high", F.max("node").over(group)).filter("low < high")
@@ -108,77 +101,103 @@ def linked_components(keyed: DataFrame, texts: DataFrame, sim: SetJoin, copies:
     often = W.partitionBy("node", "slack").orderBy(F.desc("n"), "key")
     rare = (shared.withColumn("rank", F.when(F.col("slack") > 1, F.dense_rank().over(often)))
             .filter("slack <= 1 or rank > slack div 2"))
-    starred = keep(rare.withColumn("pivot", F.min("node").over(group)).withColumn("last", F.max("node").over(group))
-                   .filter("pivot < last and node != pivot").select("key", "node", "pivot").distinct(), "stars")
+    stars = (rare.withColumn("pivot", F.min("node").over(group)).withColumn("last", F.max("node").over(group))
+             .filter("pivot < last and node != pivot").select("key", "node", "pivot").distinct())
+    return linked_stars(keep(stars, "stars"), texts, sim)
+
+
+def linked_stars(stars: DataFrame, texts: DataFrame, sim: SetJoin, copies: bool = False) -> DataFrame:
+    """(node, component) of all nodes with links, from distinct rows (key, node, pivot): the
+    members of a key's group, and one of them that is the pivot and has no row itself. With
+    ``copies`` all texts of a node are the same, and one is taken, of the candidates only."""
     # The texts of candidates, by far not all, are set apart once for all comparisons.
-    wanted = starred.select("node").unionAll(starred.select(F.col("pivot").alias("node"))).distinct()
+    wanted = stars.select("node").unionAll(stars.select(F.col("pivot").alias("node"))).distinct()
     texts = texts.join(wanted.hint("merge"), "node")
     texts = keep(texts.groupBy("node").agg(F.first("text").alias("text")) if copies else texts, "texts")
-    first = keep(compared(texts, starred.select(F.col("pivot").alias("a"), F.col("node").alias("b")), sim), "compared")
+    first = keep(compared(texts, stars.select(F.col("pivot").alias("a"), F.col("node").alias("b")), sim), "compared")
     found = keep(components(first.filter("linked").select("a", "b")), "components")
 
-    about = first.select(F.col("a").alias("pivot"), F.col("b").alias("node"), F.col("n").alias("size"), "sketch",
-                         (1 - F.col("common") / (F.col("m") + F.col("n") - F.col("common"))).alias("far"))
-    labelled = (starred.join(found.withColumnRenamed("component", "label"), "node", "left")
-                .withColumn("label", F.coalesce("label", "node")).join(about, ["pivot", "node"])
-                .select("key", "node", "label", "size", "sketch", "far"))
-    mixed, links = _more_pivots(keep(_mixed(labelled), "mixed"), texts, sim)
-    # Similar texts share most of their keys. A pair is left to the least key that both have
-    # among their first ones, so it is given once and not once a key.
-    firsts = (mixed.groupBy(F.col("node").alias("of")).agg(F.slice(F.array_sort(F.collect_set("key")), 1, FIRSTS).alias("firsts")))
-    mixed = keep(mixed.join(firsts, F.col("node") == F.col("of")).drop("of"), "firsts")
-    earlier = F.arrays_overlap(F.filter("x.firsts", lambda k: k < F.col("x.key")), F.col("y.firsts"))
-    cross = keep(mixed.alias("x").join(mixed.alias("y"), (F.col("x.node") < F.col("y.node")) & _possible(sim.percent) & ~earlier)
-                 .select(F.col("x.node").alias("a"), F.col("y.node").alias("b")).distinct(), "cross")
-    if not cross.isEmpty():
-        links.append(keep(compared(texts, cross, sim).filter("linked").select("a", "b"), "links"))
-    links = [more for more in links if not more.isEmpty()]
-    if not links:
+    size = first.groupBy(F.col("b").alias("node")).agg(F.max("n").alias("size"))
+    label = found.withColumnRenamed("component", "label")
+    labelled = (stars.join(size, "node").join(label, "node", "left")
+                .select("key", "node", F.coalesce("label", "node").alias("label"), "size"))
+    links = keep(_in_groups(labelled, texts, sim), "links")
+    if links.isEmpty():
         return found
-    every = found.select(F.col("component").alias("a"), F.col("node").alias("b"))
-    for more in links:
-        every = every.unionAll(more.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")))
-    return components(every)
-
-
-def _mixed(rows: DataFrame) -> DataFrame:
-    """The rows of the keys under which there are several labels."""
-    several = rows.groupBy("key").agg(F.min("label").alias("least"), F.max("label").alias("most")).filter("least < most")
-    return rows.join(several.select("key"), "key", "left_semi")
-
-
-def _possible(percent: int):
-    """Whether rows x and y share a key, have different labels and may be linked at all."""
-    differ = F.aggregate(F.zip_with("x.sketch", "y.sketch", lambda s, t: F.abs(s.cast("int") - t.cast("int"))),
-                         F.lit(0), lambda s, t: s + t)
-    return ((F.col("x.key") == F.col("y.key")) & (F.col("x.label") != F.col("y.label"))
-            & (100 * F.least("x.size", "y.size") >= percent * F.greatest("x.size", "y.size"))
-            & (F.abs(F.col("x.far") - F.col("y.far")) <= (100 - percent) / 100 + 1e-9)
-            & (differ * (100 + percent) <= (100 - percent) * (F.col("x.size") + F.col("y.size"))))
-
-
-def _more_pivots(mixed: DataFrame, texts: DataFrame, sim: SetJoin) -> tuple[DataFrame, list[DataFrame]]:
-    """What is left of ``mixed`` after further pivots, with the labels that their links join made
-    one, and these links. A pivot is drawn of all members, so mostly from a large component."""
-    links = []
-    for turn in range(TURNS):
-        drawn = F.min(F.struct(F.xxhash64("node", F.lit(turn)).alias("draw"), "node", "label", "size", "sketch", "far"))
-        pivots = mixed.groupBy("key").agg(drawn.alias("p")).select("key", "p.*")
-        pairs = keep(mixed.alias("x").join(pivots.alias("y"), _possible(sim.percent))
-                     .select(F.col("y.node").alias("a"), F.col("x.node").alias("b"), F.col("y.label").alias("of_a"),
-                             F.col("x.label").alias("of_b")).distinct(), "turn")
-        compared_to = pairs.count()
-        if compared_to == 0:
-            break
-        linked = keep(compared(texts, pairs, sim).filter("linked").select("a", "b"), "links")
-        links.append(linked)
-        # A pivot's label and those linked with it become the least of them.
-        both = pairs.join(linked, ["a", "b"]).select("of_a", "of_b")
-        star = both.groupBy("of_a").agg(F.least(F.min("of_b"), F.col("of_a")).alias("to"))
-        moves = (both.join(star, "of_a").select(F.col("of_b").alias("label"), "to")
-                 .unionAll(star.select(F.col("of_a").alias("label"), "to")).groupBy("label").agg(F.min("to").alias("to")))
-        moved = mixed.join(moves, "label", "left").withColumn("label", F.coalesce("to", "label")).drop("to")
-        mixed = keep(_mixed(moved.select("key", "node", "label", "size", "sketch", "far")), "mixed")
-        if linked.count() * 10 < compared_to:
-            break
-    return mixed, links
+    return components(found.select(F.col("component").alias("a"), F.col("node").alias("b")).unionAll(links))
+
+
+def _in_groups(labelled: DataFrame, texts: DataFrame, sim: SetJoin) -> DataFrame:
+    """Links (a, b), a < b, that join the components (label) which links between members of a
+    key's group join, from rows (key, node, label, size). Keys of the same nodes are one group."""
+    groups = (labelled.groupBy("key").agg(F.min("label").alias("least"), F.max("label").alias("most"), F.count("*").alias("n"),
+                                          F.bit_xor(F.xxhash64("node")).alias("name"), F.sum("size").alias("total"))
+              .filter("least < most").groupBy("name", "n")
+              .agg(F.min_by(F.struct("key", "total"), "key").alias("one"))
+              .select("one.key", F.ceil(F.col("one.total") / BLOCK).cast("int").alias("blocks")))
+    own, other = F.pmod(F.xxhash64("node"), F.greatest("blocks", F.lit(1))).cast("int").alias("own"), F.col("other")
+    members = (labelled.join(groups, "key").select("key", "node", "label", "size", "blocks", own)
+               .withColumn("other", F.explode(F.sequence(F.lit(0), F.greatest("blocks", F.lit(1)) - 1)))
+               .select("key", F.least("own", other).alias("x"), F.greatest("own", other).alias("y"), "own", "node", "label"))
+    sent = (texts.join(members.hint("merge"), "node").repartition(tasks(texts.sparkSession), "key", "x", "y")
+            .sortWithinPartitions("key", "x", "y"))
+    names = ["key", "x", "y", "own", "node", "label"]
+
+    def run(batches):
+        tile, got = None, []
+        for batch in batches:
+            rows = [batch.column(c).to_numpy() for c in names]
+            links = []
+            for p in pieces(batch.column("text")):
+                h, d = sim.sets(p)
+                cut = np.searchsorted(d, np.arange(p.n + 1))
+                for i in range(p.n):
+                    key, x, y, side, node, label = (int(c[p.lo + i]) for c in rows)
+                    if (key, x, y) != tile:
+                        links += _tile(got, sim.percent, tile is not None and tile[1] != tile[2])
+                        tile, got = (key, x, y), []
+                    got.append((h[cut[i]:cut[i + 1]].copy(), node, label, side))
+            yield _links(links)
+        yield _links(_tile(got, sim.percent, tile is not None and tile[1] != tile[2]))
+
+    return sent.select(*names, "text").mapInArrow(run, "a long, b long").distinct()
+
+
+def _links(links: list[tuple[int, int]]) -> pa.RecordBatch:
+    a, b = zip(*links) if links else ((), ())
+    return pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
+
+
+def _tile(members: list[tuple], percent: int, two: bool) -> list[tuple[int, int]]:
+    """Links (a, b), a < b, between members (set, node, label, side), enough to join the labels that
+    links join. With ``two`` only members of different sides are compared."""
+    members = sorted((m for m in members if len(m[0])), key=lambda m: len(m[0]))
+    if len(members) < 2:
+        return []
+    size = np.array([len(m[0]) for m in members])
+    node, label, side = (np.array([m[k] for m in members]) for k in (1, 2, 3))
+    _, code, count = np.unique(np.concatenate([m[0] for m in members]), return_inverse=True, return_counts=True)
+    doc = np.repeat(np.arange(len(members)), size)
+    common = count[code] > 1    # the others are in no two sets
+    code, doc = code[common], doc[common]
+    cut = np.searchsorted(doc, np.arange(len(members) + 1))
+    most = np.searchsorted(size, size * 100 // percent, side="right")
+    mine, out = np.zeros(len(count), bool), []
+    for i in range(len(members) - 1):
+        other = label[i + 1:most[i]] != label[i]
+        if two:
+            other &= side[i + 1:most[i]] != side[i]
+        if not other.any():
+            continue
+        last = i + int(np.flatnonzero(other)[-1]) + 2
+        mine[code[cut[i]:cut[i + 1]]] = True
+        total = np.append(0, np.cumsum(mine[code[cut[i + 1]:cut[last]]]))
+        mine[code[cut[i]:cut[i + 1]]] = False
+        at = cut[i + 1:last + 1] - cut[i + 1]
+        both = total[at[1:]] - total[at[:-1]]
+        linked = other[:last - i - 1] & (both > 0) & (100 * both >= percent * (size[i] + size[i + 1:last] - both))
+        for j in np.flatnonzero(linked) + i + 1:
+            if label[j] != label[i]:
+                out.append((int(min(node[i], node[j])), int(max(node[i], node[j]))))
+                label[label == label[j]] = label[i]
+    return out

@@ -7,6 +7,7 @@ import hashlib
 import random
 import re
 
+import numpy as np
 import pytest
 
 from tallyframe.llm import jaccard_join, line_dedup, queries, suffix_dedup
@@ -231,3 +232,74 @@ def test_line_texts_are_made_one_for_candidates_only(spark, monkeypatch):
     assert sorted(kept) == [line, line + "!"]
     odd = [(1, "\u00a0\n\x1f\n \t\x0b\x0c\r\n\u2003x"), (2, "\x85\n\x1c \n")]
     assert sorted_rows(line_dedup.line_dedup(frame(spark, odd), with_text=True)) == brute_lines(odd)
+
+
+def pair_links(texts, sim):
+    """Components by brute force of (node, text)."""
+    sets, parent = {n: shingle_set(t, sim.words) for n, t in texts}, {n: n for n, _ in texts}
+
+    def find(x):
+        while parent[x] != x:
+            x = parent[x]
+        return x
+
+    for a in sets:
+        for b in sets:
+            if a < b and sets[a] and 100 * len(sets[a] & sets[b]) >= sim.percent * len(sets[a] | sets[b]):
+                x, y = sorted((find(a), find(b)))
+                parent[y] = x
+    groups = {}
+    for n in parent:
+        groups.setdefault(find(n), []).append(n)
+    return {n: least for least, members in groups.items() if len(members) > 1 for n in members}
+
+
+@pytest.mark.parametrize("block", [1 << 18, 1500])
+def test_a_group_near_the_limit_is_compared_without_its_pairs(spark, monkeypatch, block):
+    """Members of one key that are not quite similar: no table of about their square is written,
+    and the links that its pivot does not show are found, also between blocks."""
+    from tallyframe.llm import pairs
+    monkeypatch.setattr(pairs, "BLOCK", block, raising=False)
+    common = " ".join(f"c{i}" for i in range(31))
+    texts = [(n, f"{common} " + " ".join(f"o{n}x{i}" for i in range(4))) for n in range(200)]
+    texts += [(1000 + n, t.replace(f"o{n}x0", f"p{n}")) for n, t in texts[50:60]]
+    rows, keep = [], pairs.keep
+
+    def seen(df, name):
+        out = keep(df, name)
+        rows.append((out.count(), name))
+        return out
+
+    monkeypatch.setattr(pairs, "keep", seen)
+    df = spark.createDataFrame(texts, "node long, text string")
+    keyed = df.selectExpr("1L as key", "node", "0 as slack").unionAll(df.selectExpr("2L as key", "node", "0 as slack"))
+    sim = jaccard_join.Similarity(words=1, percent=80)
+    found = pairs.linked_components(keyed, df, sim).collect()
+    assert {r.node: r.component for r in found} == pair_links(texts, sim)
+    assert len(found) == 20
+    assert max(rows)[0] <= 2 * len(texts), max(rows)
+
+
+def test_line_dedup_moves_no_row_a_band_key(spark):
+    """Keys move packed: of lines that share nothing no key becomes a row."""
+    rows = [(i, "\n".join(hashlib.sha256(f"{i} {j}".encode()).hexdigest() for j in range(20))) for i in range(50)]
+    rows += [(100, rows[0][1].replace("\n", "!\n")), (None, "x"), (7, None)]
+    df = frame(spark, rows)
+    scanned = line_dedup.scan(df.selectExpr("doc_id", "text", "xxhash64(doc_id, text) as rid")).collect()
+    keys = [r for r in scanned if r.kind == line_dedup.KEYS]
+    nodes = {r.y for r in keys} | {r.z for r in keys}
+    assert 0 < len(nodes) <= 40
+    assert [r.y for r in scanned if r.kind == line_dedup.GONE] == [19]
+    places = [x for r in scanned if r.kind == line_dedup.PLACES for x in np.frombuffer(r.packed, line_dedup.PLACE)]
+    assert len(places) == 50 * 20 + 19 + 1   # the last line of document 100 is that of document 0
+    assert sorted_rows(line_dedup.line_dedup(df, with_text=True)) == brute_lines(rows)
+
+
+def test_line_dedup_of_repeated_rows(spark):
+    """Rows that repeat id and text lose the same lines, also those of one batch."""
+    rows = [(1, "first line of all\nsecond line here"), (2, "second line here\nown line of two\nown line of two"), (None, "third\nthird")]
+    df = frame(spark, rows + rows)
+    want = [(1, 2, 0, "first line of all\nsecond line here"), (2, 3, 2, "own line of two"), (None, 2, 1, "third")]
+    for n in (1, 3):
+        got = line_dedup.line_dedup(df.repartition(n), with_text=True)
+        assert sorted_rows(got) == sorted(want + want, key=str)
