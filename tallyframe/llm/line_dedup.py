@@ -99,6 +99,7 @@ class LineJoin:
     """Lines as texts of their own (none has a line feed)."""
 
     percent = PERCENT
+    sketch_bits = 0
 
     def sets(self, p):
         some = np.flatnonzero(np.diff(p.offs) > 0)
