@@ -1,13 +1,16 @@
 """Benchmark decontamination: a BM25 index of test items, searched with every passage.
 
-The items are indexed once: every term's postings carry its BM25 contribution divided by the
+The items are indexed once: every posting carries its term's BM25 contribution divided by the
 item's self score (the score of its own terms), so one threshold fits all items: a passage
 that holds the whole item scores 1. Items are numbered by length and cut into blocks; each
 term has its largest contribution in each block (block-max). An item's weakest terms, which
 add up to ``SLACK`` at most, cannot lift it over the threshold alone; so only blocks whose
-bounds over the other terms reach the threshold less ``SLACK`` have their postings scored.
-That is the WAND pivot, taken for a whole piece of passages at once: nothing above the
-threshold is lost, and frequent words cost nothing where no item is near.
+bounds over the other terms reach the threshold less ``SLACK`` have their items scored, from
+the heaviest term on: an item whose ``HEAD`` heaviest terms leave it short of the threshold,
+even with all others, is dropped there. That is the WAND pivot, taken for many passages at
+once: nothing above the threshold is lost, and frequent words cost nothing where no item is
+near. Passages, blocks and pairs are taken in runs of some ``CELLS`` steps, so the working
+arrays stay small however many items a part has.
 Each item found is verified on the text: the share of the item's distinct word ``SHINGLE``-
 grams that the passage holds, for the question and for the answer. A text of fewer words has
 no such gram: its words, in their order, anywhere in the passage are all of it.
@@ -19,6 +22,7 @@ more passes over the documents, not more memory.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -37,6 +41,8 @@ SLACK = 0.2
 SHINGLE = 5
 K1, B = 1.2, 0.75
 BLOCK_ITEMS = 8
+HEAD = 8
+CELLS = 1 << 20
 PART_WORDS = 2_000_000
 
 _WORD = ~SPACE
@@ -52,18 +58,19 @@ def tokens(p):
 
 @dataclass
 class Index:
-    """Postings by term; shingles of questions and answers by item."""
+    """Block bounds by term; postings and shingles of questions and answers by item."""
 
     item_ids: np.ndarray
     no_id: np.ndarray
     terms: np.ndarray          # sorted hashes
-    first: np.ndarray          # of each term's postings; one more than terms
-    item: np.ndarray           # posting: item number
+    first: np.ndarray          # of each item's postings, heaviest first; one more than items
+    term: np.ndarray           # posting: term number
     weight: np.ndarray         # posting: contribution over the item's self score
-    bfirst: np.ndarray         # of each term's blocks
+    rest: np.ndarray           # of each item: sum of the weights behind its HEAD first
+    bfirst: np.ndarray         # of each term's blocks; one more than terms
     block: np.ndarray
     bmax: np.ndarray
-    parts: tuple               # (sorted shingles, their items, shingles of each item) for question, answer
+    parts: tuple               # (sorted shingles, first of each item's, their places) for question, answer
     short: tuple               # (words of each item if fewer than a shingle has, else 0; hash of them) for both
     n_blocks: int
 
@@ -108,6 +115,10 @@ def build(item_ids: np.ndarray, no_id: np.ndarray, questions: list, answers: lis
     bkey, bat = np.unique(term[strong] * max(n_blocks, 1) + blocks[strong], return_inverse=True)
     bmax = np.zeros(len(bkey))
     np.maximum.at(bmax, bat, w[strong])
+    heavy = np.lexsort((term, -w, item))
+    first = np.searchsorted(item[heavy], np.arange(n + 1))
+    nth = np.arange(len(heavy)) - first[item[heavy]]
+    rest = np.bincount(item[heavy], weights=np.where(nth < HEAD, 0.0, w[heavy]), minlength=n)
     edges = np.arange(len(terms) + 1)
     parts, short = [], []
     for texts in (questions, answers):
@@ -120,38 +131,62 @@ def build(item_ids: np.ndarray, no_id: np.ndarray, questions: list, answers: lis
             whole[wd[one]] = wh[one]
         short.append((words, whole))
         sh, sd = shingle_sets(th, td, n, SHINGLE)
-        o = np.argsort(sh, kind="stable")
-        parts.append((sh[o], sd[o], np.bincount(sd, minlength=n)))
-    return Index(item_ids, no_id, terms, np.searchsorted(term, edges), item, w, np.searchsorted(bkey // max(n_blocks, 1), edges),
+        distinct, place = np.unique(sh, return_inverse=True)
+        parts.append((distinct, np.searchsorted(sd, np.arange(n + 1)), place))
+    return Index(item_ids, no_id, terms, first, term[heavy], w[heavy], rest, np.searchsorted(bkey // max(n_blocks, 1), edges),
                  bkey % max(n_blocks, 1), bmax, tuple(parts), tuple(short), n_blocks)
 
 
-def _expand(first: np.ndarray, term: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Places of all postings of the terms, and which entry of ``term`` each is of."""
-    size = first[term + 1] - first[term]
-    of = np.repeat(np.arange(len(term)), size)
-    return np.arange(len(of)) - np.repeat(np.cumsum(size) - size, size) + first[term][of], of
+def _expand(lo: np.ndarray, hi: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """All places from ``lo`` to before ``hi`` of each entry, and which entry each is of."""
+    size = hi - lo
+    of = np.repeat(np.arange(len(lo)), size)
+    return np.arange(len(of)) - np.repeat(np.cumsum(size) - size - lo, size), of
 
 
-def search(index: Index, term: np.ndarray, doc: np.ndarray, n: int, threshold: float) -> tuple:
-    """(doc, item, score) of all pairs at or above the threshold, from distinct (term, doc)."""
+def _runs(size: np.ndarray):
+    """Slices of neighbours whose sizes add up to ``CELLS`` at most, or of one entry."""
+    upto = np.concatenate([[0], np.cumsum(size)])
+    lo = 0
+    while lo < len(size):
+        hi = max(lo + 1, int(np.searchsorted(upto, upto[lo] + CELLS, side="right")) - 1)
+        yield slice(lo, hi)
+        lo = hi
+
+
+def search(index: Index, term: np.ndarray, doc: np.ndarray, n: int, threshold: float):
+    """Runs of (doc, item, score), together all pairs with a common term at or above the
+    threshold, from distinct (term, doc) in the order of the documents."""
     if len(term) == 0 or index.n_blocks == 0:
-        return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0)
-    strong = index.bfirst[term + 1] > index.bfirst[term]
-    at, of = _expand(index.bfirst, term[strong])
-    cell = doc[strong][of] * index.n_blocks + index.block[at]
-    bound = np.bincount(cell, weights=index.bmax[at], minlength=n * index.n_blocks)
-    open_ = bound >= threshold - SLACK - 1e-9
-    some = np.flatnonzero(open_.reshape(n, -1).any(axis=1)[doc])
-    at, of = _expand(index.first, term[some])
-    d = doc[some][of]
-    item = index.item[at]
-    use = open_[d * index.n_blocks + item // BLOCK_ITEMS]
-    d, item, w = d[use], item[use], index.weight[at[use]]
-    pair, which = np.unique(d * len(index.item_ids) + item, return_inverse=True)
-    score = np.bincount(which, weights=w)
-    hit = score >= threshold - 1e-9
-    return pair[hit] // len(index.item_ids), pair[hit] % len(index.item_ids), score[hit]
+        return
+    items = np.minimum(np.arange(index.n_blocks + 1) * BLOCK_ITEMS, len(index.item_ids))
+    first = np.searchsorted(doc, np.arange(n + 1))
+    upto = np.concatenate([[0], np.cumsum(index.bfirst[term + 1] - index.bfirst[term])])
+    for docs in _runs(upto[first[1:]] - upto[first[:-1]] + index.n_blocks + len(index.terms) // 8 + 1):
+        lo, k = docs.start, docs.stop - docs.start
+        t, d = term[first[lo]:first[docs.stop]], doc[first[lo]:first[docs.stop]] - lo
+        at, of = _expand(index.bfirst[t], index.bfirst[t + 1])
+        bound = np.bincount(d[of] * index.n_blocks + index.block[at], weights=index.bmax[at], minlength=k * index.n_blocks)
+        has = np.zeros((k, len(index.terms)), bool)
+        has[d, t] = True
+        open_ = np.flatnonzero(bound >= threshold - SLACK - 1e-9)
+        block = open_ % index.n_blocks
+        for some in _runs(index.first[items[block + 1]] - index.first[items[block]]):
+            b = block[some]
+            item, of = _expand(items[b], items[b + 1])
+            d = (open_[some] // index.n_blocks)[of]
+            from_, to = index.first[item], index.first[item + 1]
+            at, of = _expand(from_, np.minimum(to, from_ + HEAD))
+            score = np.bincount(of, weights=index.weight[at] * has[d[of], index.term[at]], minlength=len(item))
+            near = score + index.rest[item] >= threshold - 2e-9
+            item, d = item[near], d[near]
+            at, of = _expand(from_[near], to[near])
+            common = has[d[of], index.term[at]]
+            at, of = at[common], of[common]
+            score = np.bincount(of, weights=index.weight[at], minlength=len(item))
+            hit = (score >= threshold - 1e-9) & (np.bincount(of, minlength=len(item)) > 0)
+            if hit.any():
+                yield d[hit] + lo, item[hit], score[hit]
 
 
 def matches(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text: str = "text",
@@ -184,9 +219,9 @@ def clean(docs: DataFrame, benchmark: DataFrame, text: str = "text", threshold:
     return docs
 
 
-def parts_of(benchmark: DataFrame, item_id: str, question: str, answer: str | None) -> list[Index]:
-    """Indexes of the items in parts of bounded size. Document frequencies and lengths are of
-    all items, whatever the parts."""
+def parts_of(benchmark: DataFrame, item_id: str, question: str, answer: str | None) -> Iterator[Index]:
+    """Indexes of the items in parts of bounded size, made one at a time. Document frequencies
+    and lengths are of all items, whatever the parts."""
     items = benchmark.select(F.col(item_id).cast("long").alias("item_id"), F.col(question).cast("string").alias("q"),
                              (F.col(answer).cast("string") if answer else F.lit(None).cast("string")).alias("a"))
     size = F.coalesce(F.length("q"), F.lit(0)) + F.coalesce(F.length("a"), F.lit(0)) + 1
@@ -212,7 +247,6 @@ def parts_of(benchmark: DataFrame, item_id: str, question: str, answer: str | No
                  "terms")  # term 0 holds the number of all words
     n_items = numbered.count()
     total = stats.filter("term = 0").select("words").first()
-    out = []
     for row in numbered.select("part").distinct().orderBy("part").collect():
         part = numbered.filter(F.col("part") == row.part).select("item_id", "q", "a").toArrow()
         own = [tokens(p)[0] for p in pieces(pa.array(_joined(part.column("q"), part.column("a")), pa.large_string()))]
@@ -221,9 +255,8 @@ def parts_of(benchmark: DataFrame, item_id: str, question: str, answer: str | No
         d = dict(zip(df.column("term").to_pylist(), df.column("words").to_pylist()))
         ids = part.column("item_id").to_pylist()
         no_id = np.array([x is None for x in ids], bool)
-        out.append(build(np.array([x or 0 for x in ids], np.int64), no_id, part.column("q").to_pylist(), part.column("a").to_pylist(), n_items,
-                         (total.words if total else 0) / max(n_items, 1), d))
-    return out
+        yield build(np.array([x or 0 for x in ids], np.int64), no_id, part.column("q").to_pylist(), part.column("a").to_pylist(), n_items,
+                    (total.words if total else 0) / max(n_items, 1), d)
 
 
 def _anywhere(h: np.ndarray, doc: np.ndarray, d: np.ndarray, words: np.ndarray, whole: np.ndarray) -> np.ndarray:
@@ -238,36 +271,35 @@ def _anywhere(h: np.ndarray, doc: np.ndarray, d: np.ndarray, words: np.ndarray,
 
 
 def _find(index: Index, p, threshold: float, overlap: float, short_items: bool):
-    """Verified matches of a piece: (document, item, score, overlap, answer overlap)."""
+    """Verified matches of a piece, in runs: (document, item, score, overlap, answer overlap)."""
     h, doc = tokens(p)
     at = np.minimum(np.searchsorted(index.terms, h), max(len(index.terms) - 1, 0))
     known = index.terms[at] == h if len(index.terms) else np.zeros(len(h), bool)
     key = np.unique(doc[known] * len(index.terms) + at[known])
-    d, item, score = search(index, key % max(len(index.terms), 1), key // max(len(index.terms), 1), p.n, threshold)
-    if len(d) == 0:
-        return d, item, score, score, score
-    hit = np.zeros(p.n, bool)
-    hit[d] = True
-    use = hit[doc]
-    sh, sd = shingle_sets(h[use], doc[use], p.n, SHINGLE)
-    got = []
-    for (shingle, of, total), (words, whole), anywhere in zip(index.parts, index.short, (short_items, True)):
-        # Pairs (document, item) by the shingles that both have.
-        size_at = np.searchsorted(shingle, sh, "left"), np.searchsorted(shingle, sh, "right")
-        n = size_at[1] - size_at[0]
-        which = np.repeat(np.arange(len(sh)), n)
-        place = np.arange(len(which)) - np.repeat(np.cumsum(n) - n, n) + size_at[0][which]
-        pair, common = np.unique(sd[which] * len(index.item_ids) + of[place], return_counts=True)
-        want = d * len(index.item_ids) + item
-        i = np.minimum(np.searchsorted(pair, want), max(len(pair) - 1, 0))
-        found = np.where(pair[i] == want, common[i], 0) if len(pair) else np.zeros(len(want), np.int64)
-        share = np.where(total[item] > 0, found / np.maximum(total[item], 1), np.nan)
-        few = np.flatnonzero(words[item] > 0) if anywhere else np.zeros(0, np.int64)
-        share[few] = _anywhere(h[use], doc[use], d[few], words[item[few]], whole[item[few]])
-        got.append(share)
-    q, a = got
-    good = (np.where(np.isnan(q), 0, q) >= overlap) & (np.isnan(a) | (a >= overlap))
-    return d[good], item[good], score[good], q[good], a[good]
+    for d, item, score in search(index, key % max(len(index.terms), 1), key // max(len(index.terms), 1), p.n, threshold):
+        hit = np.zeros(p.n, bool)
+        hit[d] = True
+        use = hit[doc]
+        sh, sd = shingle_sets(h[use], doc[use], p.n, SHINGLE)
+        got = []
+        for (shingle, first, place), (words, whole), anywhere in zip(index.parts, index.short, (short_items, True)):
+            # The item's shingles are looked up among those of the document.
+            at = np.minimum(np.searchsorted(shingle, sh), max(len(shingle) - 1, 0))
+            known = shingle[at] == sh if len(shingle) else np.zeros(len(sh), bool)
+            held = np.append(sd[known] * len(shingle) + at[known], np.iinfo(np.int64).max)
+            total = first[item + 1] - first[item]
+            found = np.zeros(len(d), np.int64)
+            for some in _runs(total):
+                a, of = _expand(first[item[some]], first[item[some] + 1])
+                want = d[some][of] * len(shingle) + place[a]
+                found[some] = np.bincount(of[held[np.searchsorted(held, want)] == want], minlength=some.stop - some.start)
+            share = np.where(total > 0, found / np.maximum(total, 1), np.nan)
+            few = np.flatnonzero(words[item] > 0) if anywhere else np.zeros(0, np.int64)
+            share[few] = _anywhere(h[use], doc[use], d[few], words[item[few]], whole[item[few]])
+            got.append(share)
+        q, a = got
+        good = (np.where(np.isnan(q), 0, q) >= overlap) & (np.isnan(a) | (a >= overlap))
+        yield d[good], item[good], score[good], q[good], a[good]
 
 
 def _part(rows: DataFrame, index: Index, threshold: float, overlap: float, short_items: bool) -> DataFrame:
@@ -277,11 +309,11 @@ def _part(rows: DataFrame, index: Index, threshold: float, overlap: float, short
         for b in batches:
             ids = b.column("doc_id")
             for p in pieces(b.column("text")):
-                d, item, score, q, a = _find(shared.value, p, threshold, overlap, short_items)
-                item_ids, no_id = shared.value.item_ids[item], shared.value.no_id[item]
-                yield pa.RecordBatch.from_arrays(
-                    [ids.take(pa.array(d + p.lo)), pa.array(item_ids, mask=no_id), pa.array(score), pa.array(q),
-                     pa.array(a, mask=np.isnan(a))], ["doc_id", "item_id", "score", "overlap", "answer_overlap"])
+                for d, item, score, q, a in _find(shared.value, p, threshold, overlap, short_items):
+                    item_ids, no_id = shared.value.item_ids[item], shared.value.no_id[item]
+                    yield pa.RecordBatch.from_arrays(
+                        [ids.take(pa.array(d + p.lo)), pa.array(item_ids, mask=no_id), pa.array(score), pa.array(q),
+                         pa.array(a, mask=np.isnan(a))], ["doc_id", "item_id", "score", "overlap", "answer_overlap"])
 
     return rows.mapInArrow(run, "doc_id long, item_id long, score double, overlap double, answer_overlap double")
 
@@ -294,7 +326,8 @@ def _without(docs: DataFrame, text: str, index: Index, threshold: float, overlap
         for b in batches:
             stay = np.ones(b.num_rows, bool)
             for p in pieces(b.column(text)):
-                stay[_find(shared.value, p, threshold, overlap, short_items)[0] + p.lo] = False
+                for d, *_ in _find(shared.value, p, threshold, overlap, short_items):
+                    stay[d + p.lo] = False
             yield b.filter(pa.array(stay))
 
     return docs.mapInArrow(run, docs.schema)

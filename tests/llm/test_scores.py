@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import random
 import re
+import tracemalloc
 import zlib
 from collections import Counter
 
@@ -332,6 +333,29 @@ def test_decontamination_equals_brute_force(spark, monkeypatch):
     assert decontaminate.matches(df.limit(0), bench).collect() == []
 
 
+def test_decontamination_memory_is_bounded(monkeypatch):
+    """Neither the items of a part nor the documents of a piece times items set the working memory."""
+    rng = random.Random(8)
+    vocabulary = [f"w{i}" for i in range(300)]
+    items = [" ".join(rng.choice(vocabulary) for _ in range(20)) for _ in range(3000)]
+    texts = [items[d] if d % 10 == 0 else " ".join(rng.choice(vocabulary) for _ in range(20)) for d in range(1500)]
+    h, d = decontaminate.tokens(next(pieces(pa.array(items, pa.large_string()))))
+    terms, df = np.unique(np.array(sorted({*zip(h.tolist(), d.tolist())}), np.uint64)[:, 0], return_counts=True)
+    index = decontaminate.build(np.arange(3000), np.zeros(3000, bool), items, [None] * 3000, 3000, 20.0,
+                                dict(zip(terms.view(np.int64).tolist(), df.tolist())))
+    for cells in (1 << 20, 1 << 17):
+        monkeypatch.setattr(decontaminate, "CELLS", cells, raising=False)
+        got = set()
+        tracemalloc.start()
+        for p in pieces(pa.array(texts, pa.large_string())):
+            for found in decontaminate._find(index, p, decontaminate.THRESHOLD, decontaminate.OVERLAP, True):
+                got |= {(int(x) + p.lo, int(index.item_ids[y])) for x, y in zip(found[0], found[1])}
+        peak = tracemalloc.get_traced_memory()[1]
+        tracemalloc.stop()
+        assert got == {(i, i) for i in range(0, 1500, 10)}
+        assert peak < 150e6
+
+
 def test_decontamination_checks_answers(spark):
     bench = spark.createDataFrame([(1, "what is the tallest known tree on earth today", "the coast redwood called hyperion in the park"),
                                    (2, "some other question about rivers and lakes", None)], "id long, q string, a string")
