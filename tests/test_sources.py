@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import json
 import os
+import re
 import tempfile
 from datetime import datetime
 from decimal import Decimal
@@ -372,3 +373,55 @@ def test_changed_tables_have_another_fingerprint(spark, tmp_path, scheme):
     assert first == fingerprint(spark, path, ["a", "b"]) != fingerprint(spark, path, ["a"])
     spark.range(6).write.mode("append").parquet(f"{path}/a.parquet")
     assert fingerprint(spark, path, ["a", "b"]) != first
+
+
+def _exchanges(df):
+    plan = df._jdf.queryExecution().executedPlan().toString()
+    return [line for line in plan.splitlines() if re.search(r"(?<!Broadcast)Exchange ", line)]
+
+
+def test_votes_on_dates_move_no_rows(spark, tmp_path, monkeypatch):
+    """The votes of a few files meet the rows without a shuffle, whatever size Spark takes them for."""
+    for name, dates in (("d", ["13/2/2010", "3/4/2010"]), ("m", ["2/13/2010", "3/4/2010"])):
+        _write(str(tmp_path / f"{name}.csv"), [",".join(HEADER)] + [
+            f"{name}{i},1,p,2,{d} 9:30,3.5,7,UK" for i, d in enumerate(dates)], "utf-8")
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        rows = csvsrc.read_sales_csv(spark, str(tmp_path), clean=False)
+        assert _exchanges(rows) == []
+        want = sorted(map(tuple, rows.collect()))
+        monkeypatch.setattr(clean, "FEW_FILES", 0)
+        many = csvsrc.read_sales_csv(spark, str(tmp_path), clean=False)
+        assert len(_exchanges(many)) > 0 and sorted(map(tuple, many.collect())) == want
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+    assert {r[0]: r[5][:10] for r in want if r[0][1] == "1"} == {"d1": "2010-04-03", "m1": "2010-03-04"}
+
+
+ODD_ROWS = [("1", "a", "p", "2", "3.5", "2010-01-05", "7", "UK")] * 3 + [
+    ("1", "a", "p", "2", "3.50", "2010-01-05", "7", "UK"),            # the same values, not the same texts
+    ("1", None, "p", "2", "3.5", "2010-01-05", "7", "UK"), ("1", "", "p", "2", "3.5", "2010-01-05", "7", "UK"),
+    ("1", "-", "p", "2", "3.5", "2010-01-05", "7", "UK"), ("1", "\x02n", "p", "2", "3.5", "2010-01-05", "7", "UK"),
+    ("\x01", "\x02", "\x01\x02a", "2", "3.5", "no date", "7", "\x02\x01b"), ("\x01\x02", "", "\x02a", "2", "3.5", None, "7", ""),
+    ("1:a", "", "p", "2", "1", "2010-01-05", "7", None), ("1", ":a", "p", "2", "1", "2010-01-05", "7", None),
+    ("2", "a", "p", "2", "3.5", "2010-01-05", None, "UK"), ("2", "a", "p", "2", "3.5", "2010-01-05", None, "UK"),
+    ("2", "a", "p", "2", "3.5", "2010-01-05", "x", "UK"), ("2", "a", None, "2", "3.5", "2010-01-05", "7", "UK"),
+    ("2", "a", "p", "2", "0", "2010-01-05", "7", "UK"), ("2", "a", "p", "2", "much", "2010-01-05", "7", "UK"),
+    (None,) * 8, (None,) * 8]
+
+
+def _odd(spark):
+    return spark.createDataFrame(ODD_ROWS, "invoice string, stock_code string, description string, quantity string, "
+                                 "price string, invoice_date string, customer_id string, country string").repartition(3)
+
+
+def test_text_rows_are_cleaned_packed(spark):
+    """Rows move as one text and come back as they were given."""
+    df = _odd(spark)
+    got = clean.clean_sales(df)
+    assert not any("description" in x for x in _exchanges(got) if "hashpartitioning" in x)
+    typed = clean.coerce_types(df.dropDuplicates(), df)
+    want = typed.filter("customer_id is not null and description is not null and price > 0")
+    assert sorted(map(str, got.collect())) == sorted(map(str, want.collect())) and got.schema == want.schema
+    assert got.count() == len({r for r in ODD_ROWS if r[6] is not None and r[2] is not None and r[4] not in ("0", "much")})
