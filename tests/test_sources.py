@@ -416,6 +416,18 @@ def _odd(spark):
                                  "price string, invoice_date string, customer_id string, country string").repartition(3)
 
 
+def test_report_of_text_rows_moves_digests_only(spark):
+    """Text rows are told apart field by field, nulls, empty texts and marks included, by one small shuffle."""
+    df = _odd(spark)
+    report = clean.cleaning_report(df)
+    want = sorted(map(tuple, clean.report_from_audited(clean.audited(df)).collect()))
+    assert sorted(map(tuple, report.collect())) == want
+    n = dict(want)
+    assert n["total"] == len(ODD_ROWS) and n["duplicate"] == len(ODD_ROWS) - len(set(ODD_ROWS))
+    moved = [x for x in _exchanges(report) if "hashpartitioning" in x]
+    assert moved and not any("description" in x for x in moved)
+
+
 def test_text_rows_are_cleaned_packed(spark):
     """Rows move as one text and come back as they were given."""
     df = _odd(spark)
